@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, toxicity
-from .common import crc_fold, read_table
+from . import byte_bpe, language_id, token_files, toxicity
+from .common import crc_fold, read_table, stage_path
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    path, folder = public_tokenizers.path("word_bpe_49k.json"), stage_path(spark, "tokens")
+    manifest = token_files.write(docs, path, folder, end_id=2)
+    return token_files.digest(token_files.read(manifest, folder, token_files.encoder(path).dtype))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(crc_fold("doc_id", 4) != 2), public_tokenizers.path("piece_bpe_32k.model"))
@@ -33,5 +40,6 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
+    "op6_token_files": op6_token_files,
     "op8_language_id": op8_language_id,
 }
