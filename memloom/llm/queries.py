@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, token_files, toxicity
+from . import byte_bpe, language_id, token_files, toxicity, vector_topk
 from .common import crc_fold, read_table, stage_path
 
 
@@ -37,9 +37,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = vector_topk.integer_vectors(read_table(spark, sf_dir, "embeddings"))
+    return vector_topk.top_k(vectors, vectors.where(F.col("id") % 50 == 0), k=5)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
     "op6_token_files": op6_token_files,
     "op8_language_id": op8_language_id,
+    "op9_vector_topk": op9_vector_topk,
 }
