@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame
 from .common import HashIndex, slices
 
 #: Pieces whose ids a worker keeps; when more are known, it starts again.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 400_000
+_WIDE = re.compile(r"\s\s|^\s|\s\Z").search
 _NONE = np.iinfo(np.int64).max
 
 
@@ -47,6 +49,7 @@ class ByteBpe:
                     rank.append(i)
         self.pairs = HashIndex(np.array(left, np.uint64) << np.uint64(32) | np.array(right, np.uint64), np.array(rank))
         self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     def _leaf(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Leaf values: (rank, position) in one integer; infinity where no merge exists."""
@@ -122,36 +125,41 @@ class ByteBpe:
                 for (piece, _), ids in zip(part, self._merge([raw for _, raw in part], size), strict=True):
                     self.known[piece] = ids.tobytes()
 
-    def encode_bytes(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
-        for text in texts:
-            pieces = self.split(text)
-            new = [x for x in dict.fromkeys(pieces) if x not in self.known]
-            if len(self.known) + len(new) > CACHE_PIECES:
-                self.known.clear()
-                new = list(dict.fromkeys(pieces))
-            if new:
-                self._learn(new)
-            out.append(b"".join(map(self.known.__getitem__, pieces)))
-        return out
+    def _runs(self, text: str) -> list[str]:
+        """The text cut before every blank, or by the pattern.
+
+        A single blank between two other characters starts a piece whatever
+        stands around it, so runs can be cut into pieces one by one. A text
+        with white space beside white space, or at an end, is cut as a whole.
+        """
+        if _WIDE(text):
+            return self.split(text)
+        first, *rest = text.split(" ")
+        return [first, *[" " + x for x in rest]] if first else []
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """As encode_bytes; the new pieces of all the texts are merged together."""
-        cut = [self.split(text) for text in texts]
-        new: set[str] = set()
-        for pieces in cut:
-            new.update(pieces)
-        new.difference_update(self.known)
-        if len(self.known) + len(new) > CACHE_PIECES:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        cut = [self._runs(text) for text in texts]
+        new: set[str] = set().union(*cut)
+        new.difference_update(self.runs)
+        if len(self.runs) + len(new) > CACHE_PIECES:
+            self.runs.clear()
+            new = set().union(*cut)
+        pieces = {run: self.split(run) for run in new}
+        own: set[str] = set().union(*pieces.values())
+        own.difference_update(self.known)
+        if len(self.known) + len(own) > CACHE_PIECES:
             self.known.clear()
-            return self.encode_bytes(texts)
-        self._learn(list(new))
+            own = set().union(*pieces.values())
+        self._learn(list(own))
         get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        for run, parts in pieces.items():
+            self.runs[run] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
+        get = self.runs.__getitem__
+        return [b"".join(map(get, runs)) for runs in cut]
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes([text])[0], "<u4").tolist()
+        return np.frombuffer(self.encode_many([text])[0], "<u4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
