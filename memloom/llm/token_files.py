@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import slices, stage_path
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: Words whose ids a worker keeps; when more are known, it starts again.
-CACHE_WORDS = 1_000_000
+#: Words and runs whose ids a worker keeps; when more are known, it starts again.
+CACHE_WORDS, CACHE_RUNS = 800_000, 400_000
 #: The pre-tokeniser's pattern, as the vocabulary file states it.
 _PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters on whose case or class two libraries may differ: such texts go to the tokenizer whole.
@@ -43,39 +43,55 @@ _ODD = regex.compile(r"[\x1c-\x1f\x85İΣ᠎]|<\|").search
 class WordEncoder:
     """Ids of whole texts from a tokenizer file that treats each pre-token alone.
 
-    Texts are normalised and cut here, each different word is encoded once by
-    the tokenizers library, and a text's ids are its words' ids in a row.
+    Texts are normalised here and cut at white space, which no pre-token spans;
+    each different run is cut into pre-tokens and each different pre-token is
+    encoded once by the tokenizers library. A text's ids are those in a row.
     """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.cut = regex.compile(_PIECE).findall
 
-    def _pieces(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        return self.cut(text.lower())
+    def _learn_words(self, words: list[str]) -> None:
+        for s in range(0, len(words), 1000):
+            part = words[s : s + 1000]
+            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids, owner = np.array(found.ids, self.dtype), np.array(found.word_ids, np.int64)
+            ends = np.searchsorted(owner, np.arange(len(part)), side="right")
+            raw, width, start = ids.tobytes(), ids.itemsize, 0
+            for word, end in zip(part, (ends * width).tolist(), strict=True):
+                self.words[word] = raw[start:end]
+                start = end
+
+    def _learn(self, runs: set[str]) -> None:
+        cut = {run: self.cut(run) for run in runs}
+        new = set().union(*cut.values())
+        new.difference_update(self.words)
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words.clear()
+            new = set().union(*cut.values())
+        self._learn_words(sorted(new))
+        get = self.words.__getitem__
+        for run, pieces in cut.items():
+            self.runs[run] = get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         odd = {i for i, t in enumerate(texts) if _ODD(t)}
-        cut = [[] if i in odd else self._pieces(t) for i, t in enumerate(texts)]
+        cut = [[] if i in odd else (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().split() for i, t in enumerate(texts)]
         new: set[str] = set()
-        for pieces in cut:
-            new.update(pieces)
-        new.difference_update(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
+        for runs in cut:
+            new.update(runs)
+        new.difference_update(self.runs)
+        if len(self.runs) + len(new) > CACHE_RUNS:
+            self.runs.clear()
             new = set().union(*cut)
-        order = list(new)
-        for s in range(0, len(order), 10_000):
-            part = order[s : s + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, self.dtype).tobytes()
-        get = self.known.__getitem__
-        out = [b"".join(map(get, pieces)) for pieces in cut]
+        self._learn(new)
+        get = self.runs.__getitem__
+        out = [b"".join(map(get, runs)) for runs in cut]
         for i in odd:
             out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype).tobytes()
         return out
