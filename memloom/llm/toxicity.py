@@ -62,62 +62,93 @@ class Model:
         return float(self.weights[features].sum(dtype=np.float64) + self.bias)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = 1.0, dead_zone: float = 0.7, l2: float = 1.0, steps: int = 100) -> Model:
-    """Fit on feature rows; without both classes, a constant of the base rate."""
+def log_count_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, alpha: float = 4.0) -> np.ndarray:
+    """Of document frequencies per class, not shares of all features: long texts
+    count no more than short ones."""
+    return np.log((pos + alpha) / (n_pos + 2 * alpha)) - np.log((neg + alpha) / (n_neg + 2 * alpha))
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, used: np.ndarray, ratio: np.ndarray, bits: int = BITS, l2: float = 0.1, steps: int = 100, toxic_weight: float = 2.5) -> Model:
+    """Logistic regression on the features ``used`` (sorted), each scaled by its
+    ratio; rows hold used features only. A toxic row counts ``toxic_weight``
+    times: unseen texts have smaller margins than those of the fit. Without both classes, a constant of
+    the base rate."""
     y = labels.astype(np.float64)
     if not len(y) or y.min() == y.max():
         rate = (y.sum() + 0.5) / (len(y) + 1.0) if len(y) else 0.02
         return Model(np.zeros(1 << bits), np.log(rate / (1 - rate)))
-    size = np.fromiter(map(len, rows), np.int64, len(rows))
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), size)
-    pos = np.bincount(flat[y[owner] > 0], minlength=1 << bits)
-    neg = np.bincount(flat[y[owner] == 0], minlength=1 << bits)
-    # document frequencies per class, not shares of all features: long texts count no more than short ones
-    ratio = np.log((pos + alpha) / (y.sum() + 2 * alpha)) - np.log((neg + alpha) / ((1 - y).sum() + 2 * alpha))
-    ratio[(np.abs(ratio) < dead_zone) | (pos + neg < 3)] = 0.0
-    keep = ratio[flat] != 0
-    used, flat = np.unique(flat[keep], return_inverse=True)
-    owner, scale = owner[keep], ratio[used]
-    value = scale[flat]
-    w, b = np.full(len(used), 1e-2), np.log(y.mean() / (1 - y.mean()))
+    share = np.where(y > 0, toxic_weight, 1.0)
+    share /= share.sum()
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), np.fromiter(map(len, rows), np.int64, len(rows)))
+    flat = np.searchsorted(used, np.concatenate(rows)).astype(np.int32)
+    value = ratio.astype(np.float32)[flat]
+    w, b = np.zeros(len(used)), np.log(y.mean() / (1 - y.mean()))
+    # a step of Adam moves every weight alike: scaled so that a text of mean length moves by one or less
+    pace = 1.0 / max(1.0, float(np.abs(value).sum()) / len(y))
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, steps + 1):
         z = np.bincount(owner, w[flat] * value, len(y)) + b
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+        g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         gw = np.bincount(flat, value * g[owner], len(used)) + l2 * w / len(y)
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        rate = 0.02 / (1 + t / 100)
+        rate = pace / (1 + t / 50)
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
+        b -= 0.05 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
     weights = np.zeros(1 << bits)
-    weights[used] = w * scale
+    weights[used] = w * ratio
     return Model(weights, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000) -> Model:
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500, dead_zone: float = 1.6, least: int = 5, share: float = 0.03) -> Model:
     """Fit on labelled documents.
 
     The fit uses a bounded sample: of each class the ``per_class`` ids of the
     smallest hash. A row of ``labels`` with a null id or label is skipped; an
     id with several labels counts as toxic if one of them says so. Features are
-    computed on the executors, only they come to the driver.
+    computed and counted on the executors; to the driver come the counts of
+    features in ``least`` texts and ``share`` of the smaller class or more, and for each text those of them whose
+    ratio lies outside the dead zone.
     """
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
     sample = own.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i"))).where(F.col("r") <= per_class).select("i", "y")
     # at most 2 x per_class rows: a proven bound
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(sample), "i").select("y", "t")
 
+    def count(batches):
+        features = Featurizer()
+        tally = [np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)]
+        for batch in batches:
+            labels = np.asarray(batch.column(0))
+            for i, texts in slices(batch, "t"):
+                for k, x in enumerate(texts):
+                    tally[labels[i + k]][features(x)] += 1
+        at = np.flatnonzero(tally[0] + tally[1]).astype(np.int32)
+        for s in range(0, len(at), 100_000):
+            part = at[s : s + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(tally[1][part]), pa.array(tally[0][part])], names=["f", "pos", "neg"])
+
+    classes = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
+    least = max(least, int(share * min(classes.get(0, 0), classes.get(1, 0))))
+    counts = rows.mapInArrow(count, "f int, pos int, neg int").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") + F.col("neg") >= least).toArrow()
+    f, pos, neg = (np.asarray(counts.column(i)) for i in range(3))
+    ratio = log_count_ratio(pos, neg, classes.get(1, 0), classes.get(0, 0))
+    order = np.argsort(f, kind="stable")
+    order = order[np.abs(ratio[order]) >= dead_zone]
+    used, ratio = f[order], ratio[order]
+
     def run(batches):
         features = Featurizer()
+        wanted = np.zeros(1 << BITS, bool)
+        wanted[used] = True
         for batch in batches:
-            found = [features(x).tobytes() for _, texts in slices(batch, "t") for x in texts]
+            found = [(x := features(t))[wanted[x]].tobytes() for _, texts in slices(batch, "t") for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["y", "f"])
 
-    got = rows.mapInArrow(run, "y int, f binary").collect()
-    return fit([np.frombuffer(r[1], np.int32) for r in got], np.array([r[0] for r in got]))
+    got = rows.mapInArrow(run, "y int, f binary").toArrow()
+    return fit([np.frombuffer(x.as_buffer(), np.int32) for x in got.column(1)], np.asarray(got.column(0)), used, ratio)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
