@@ -16,6 +16,7 @@ the attempt and then renamed, so a repeated task leaves whole files only.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import uuid
 import zlib
@@ -32,31 +33,32 @@ from pyspark.sql import functions as F
 from .common import slices, stage_path
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: Words and runs whose ids a worker keeps; when more are known, it starts again.
-CACHE_WORDS, CACHE_RUNS = 800_000, 400_000
-#: The pre-tokeniser's pattern, as the vocabulary file states it.
-_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Characters on whose case or class two libraries may differ: such texts go to the tokenizer whole.
-_ODD = regex.compile(r"[\x1c-\x1f\x85İΣ᠎]|<\|").search
+#: Words whose ids a worker keeps; when more are known, it starts again.
+CACHE_WORDS = 800_000
+# The vocabulary file cuts texts by 's|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+ (a fixed
+# value). The forms below match the same where none of the odd characters occurs: those on whose
+# case or class the libraries differ, and numbers that are no digits. Texts with them go to the
+# tokenizer whole, as do texts that seem to name a special token.
+_CUT_ASCII = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9]+").findall
+_CUT = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\s\w]|_)+").findall
+_ODD_ASCII = re.compile(r"[\x1c-\x1f]|<\|").search
+_ODD = regex.compile(r"[\x1c-\x1f\x85İΣ\u180e\p{No}\p{Nl}]|<\|").search
 
 
 class WordEncoder:
     """Ids of whole texts from a tokenizer file that treats each pre-token alone.
 
-    Texts are normalised here and cut at white space, which no pre-token spans;
-    each different run is cut into pre-tokens and each different pre-token is
-    encoded once by the tokenizers library. A text's ids are those in a row.
+    Texts are normalised and cut here, each different pre-token is encoded once
+    by the tokenizers library, and a text's ids are its pre-tokens' ids in a row.
     """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.runs: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.cut = regex.compile(_PIECE).findall
 
-    def _learn_words(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         for s in range(0, len(words), 1000):
             part = words[s : s + 1000]
             found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
@@ -67,34 +69,23 @@ class WordEncoder:
                 self.words[word] = raw[start:end]
                 start = end
 
-    def _learn(self, runs: set[str]) -> None:
-        cut = {run: self.cut(run) for run in runs}
-        new = set().union(*cut.values())
+    @staticmethod
+    def _cut(text: str) -> list[str] | None:
+        """Pre-tokens of a text; None if the tokenizer had better see it whole."""
+        if text.isascii():
+            return None if _ODD_ASCII(text) else _CUT_ASCII(text.lower())
+        return None if _ODD(text) else _CUT(unicodedata.normalize("NFC", text).lower())
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        cut = [self._cut(t) for t in texts]
+        new: set[str] = set().union(*(c for c in cut if c))
         new.difference_update(self.words)
         if len(self.words) + len(new) > CACHE_WORDS:
             self.words.clear()
-            new = set().union(*cut.values())
-        self._learn_words(sorted(new))
+            new = set().union(*(c for c in cut if c))
+        self._learn(list(new))
         get = self.words.__getitem__
-        for run, pieces in cut.items():
-            self.runs[run] = get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces))
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        odd = {i for i, t in enumerate(texts) if _ODD(t)}
-        cut = [[] if i in odd else (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().split() for i, t in enumerate(texts)]
-        new: set[str] = set()
-        for runs in cut:
-            new.update(runs)
-        new.difference_update(self.runs)
-        if len(self.runs) + len(new) > CACHE_RUNS:
-            self.runs.clear()
-            new = set().union(*cut)
-        self._learn(new)
-        get = self.runs.__getitem__
-        out = [b"".join(map(get, runs)) for runs in cut]
-        for i in odd:
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype).tobytes()
-        return out
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
 
 
 @lru_cache(maxsize=2)
