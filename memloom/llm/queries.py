@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, token_files, toxicity, vector_topk
+from . import byte_bpe, jaccard_join, language_id, token_files, toxicity, vector_topk
 from .common import crc_fold, read_table, stage_path
 
 
@@ -42,10 +42,15 @@ def op9_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_topk.top_k(vectors, vectors.where(F.col("id") % 50 == 0), k=5)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
     "op6_token_files": op6_token_files,
     "op8_language_id": op8_language_id,
     "op9_vector_topk": op9_vector_topk,
+    "op10_jaccard_join": op10_jaccard_join,
 }
