@@ -39,7 +39,9 @@ PERCENT = 75
 SKETCH_BITS, CHUNK = 18, 1024
 #: A 5-gram whose count surely exceeds this makes a star; so does a longer posting list than LIST.
 HOT, LIST = 256, 32
-MAX_MATCHES = 8
+MAX_MATCHES = 48
+#: Candidates that a 5-gram of no noticeable count is expected to bring.
+EXPECTED = 0.1
 #: A block of a family holds about so many documents and 5-grams at most.
 BLOCK_DOCS, BLOCK_GRAMS = 1024, 1_000_000
 
@@ -171,10 +173,10 @@ class Order:
         a = needed(len(s))
         base = len(s) - a
         most = min(MAX_MATCHES, a)
-        cost = np.cumsum(extra[order], dtype=np.float64)
+        candidates = np.cumsum(extra[order] + EXPECTED)
         tries = np.arange(1, most + 1)
-        scan = cost[base + tries - 1]
-        matches = int(np.argmin(scan * (1 + len(s) / 8 / tries) + tries)) + 1
+        # a longer prefix costs its own rows and postings; of its candidates, one in `tries` at most is left to verify
+        matches = int(np.argmin(tries + candidates[base + tries - 1] * (1 + len(s) / 8 / tries))) + 1
         take = order[: base + matches]
         level = np.maximum(1, np.arange(len(take)) - base + 1)
         return s[take], level, matches, extra[take] >= HOT
