@@ -14,7 +14,10 @@ at least 0.75. The join is exact up to collisions of 64-bit hashes.
    the smaller of its two l within the prefixes of that length.
 3. Prefixes meet by 5-gram. A posting list of moderate length yields the pairs
    that pass the length and match conditions; a long one only yields stars, so
-   nothing grows with the square of a group's size.
+   nothing grows with the square of a group's size. If many classes are on
+   stars, the join starts again among these alone: their sketch is emptier, so
+   it tells more 5-grams apart, and classes that share a passage but little else
+   leave the stars.
 4. Pairs and stars together connect classes into families. Families are
    verified exactly, in blocks of bounded size: a matrix product over the
    5-grams two blocks share gives all overlaps at once, and only the links'
@@ -30,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stage, mix64, slices, stage, stage_path
+from .common import mix64, slices, stage, stage_path
 from .components import connected
 
 WORDS = 5
 #: Jaccard threshold in hundredths.
 PERCENT = 75
-SKETCH_BITS, CHUNK = 18, 1024
+SKETCH_BITS, CHUNK = 20, 2048
 #: A 5-gram whose count surely exceeds this makes a star; so does a longer posting list than LIST.
 HOT, LIST = 256, 32
 MAX_MATCHES = 48
@@ -44,6 +47,8 @@ MAX_MATCHES = 48
 EXPECTED = 0.1
 #: A block of a family holds about so many documents and 5-grams at most.
 BLOCK_DOCS, BLOCK_GRAMS = 1024, 1_000_000
+#: Classes on long posting lists that are verified in blocks at once; more are first joined again among themselves.
+FEW = 4096
 
 _SPAN = 1 << 16
 _ODD = 0xD6E8FEB86659FD93
@@ -105,13 +110,24 @@ def _slots(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _first_pass(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _rows(batches, likely: np.ndarray | None):
+    """Batches of (d, t); with a bitmap over hashed ids, the rows that it has."""
+    for batch in batches:
+        if likely is not None:
+            keep = np.flatnonzero(likely[_id_slots(np.asarray(batch.column(0).fill_null(0)), len(likely))])
+            if not len(keep):
+                continue
+            batch = batch.take(pa.array(keep))
+        yield batch
+
+
+def _first_pass(docs: DataFrame, likely: np.ndarray | None) -> tuple[DataFrame, DataFrame]:
     """(d, n, c) for every document, and the sketch's chunks by task."""
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         known: set[int] = set()
-        for batch in batches:
+        for batch in _rows(batches, likely):
             sizes, classes = [], []
             for _, texts in slices(batch, "t"):
                 for text in texts:
@@ -132,7 +148,7 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
             yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["kind", "d", "n", "c", "chunk", "counts"])
 
     spark = docs.sparkSession
-    both = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(run, "kind int, d long, n long, c long, chunk int, counts binary")
+    both = docs.mapInArrow(run, "kind int, d long, n long, c long, chunk int, counts binary")
     path = stage_path(spark, "sets")
     both.write.partitionBy("kind").parquet(path)
     read = spark.read.schema("d long, n long, c long, chunk int, counts binary, kind int").parquet(path)
@@ -182,12 +198,12 @@ class Order:
         return s[take], level, matches, extra[take] >= HOT
 
 
-def _postings(docs: DataFrame, id_col: str, text_col: str, order: Order) -> tuple[DataFrame, DataFrame]:
+def _postings(docs: DataFrame, order: Order, likely: np.ndarray | None) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a, b, m, w) and star rows (g, c) from the prefixes."""
 
     def emit(batches):
         known: set[int] = set()
-        for batch in batches:
+        for batch in _rows(batches, likely):
             for _, texts in slices(batch, "t"):
                 cols = [[], [], [], []]
                 for text in texts:
@@ -252,9 +268,9 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, order: Order) -> tupl
             cols = [np.concatenate([h, np.asarray(batch.column(i)).astype(np.int64)]) for i, h in enumerate(held)]
             if not len(cols[0]):
                 continue
-            # the last 5-gram may go on in the next batch; a hot one need not be held
-            cut = int(np.searchsorted(cols[0] != cols[0][-1], False)) if cols[3][-1] < 0 else len(cols[0])
-            cut = len(cols[0]) - int(np.argmax((cols[0] != cols[0][-1])[::-1])) if cols[3][-1] < 0 and (cols[0] != cols[0][-1]).any() else cut if cols[3][-1] >= 0 else 0
+            # the last 5-gram may go on in the next batch; rows of a hot one need not be held
+            other = np.flatnonzero(cols[0] != cols[0][-1])
+            cut = len(cols[0]) if cols[3][-1] >= 0 else int(other[-1]) + 1 if len(other) else 0
             held = [x[cut:] for x in cols]
             if cut:
                 out, found = groups(*(x[:cut] for x in cols))
@@ -274,7 +290,7 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, order: Order) -> tupl
             yield flush()
 
     spark = docs.sparkSession
-    prefixes = docs.select(F.col(text_col).alias("t")).mapInArrow(emit, "g long, c long, p long, salt byte")
+    prefixes = docs.mapInArrow(emit, "g long, c long, p long, salt byte")
     dealt = prefixes.repartition("g", "salt").sortWithinPartitions("g", "c")
     path = stage_path(spark, "candidates")
     dealt.mapInArrow(meet, "kind int, a long, b long, m int, w long").write.partitionBy("kind").parquet(path)
@@ -356,11 +372,24 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     each, of the same component if their texts link. The id column must be an
     integer; rows of null id are linked with nothing.
     """
-    table, chunks = _first_pass(docs, id_col, text_col)
-    order = Order(add_chunks(chunks, 1 << SKETCH_BITS))
-    pairs, stars = _postings(docs, id_col, text_col, order)
+    docs = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
+    table, chunks = _first_pass(docs, None)
     classes = table.where("n > 0 and d is not null").groupBy("c").agg(F.min("d").alias("rep"), F.first("n").alias("n"))
-    enough = pairs.groupBy("a", "b").agg(F.sum("w").alias("w"), F.first("m").alias("m")).where("w >= m").select("a", "b")
+    order = Order(add_chunks(chunks, 1 << SKETCH_BITS))
+    pairs, stars = _postings(docs, order, None)
+    found, n, before = [], stars.select("c").distinct().count(), None
+    while True:
+        found.append(pairs.groupBy("a", "b").agg(F.sum("w").alias("w"), F.first("m").alias("m")).where("w >= m").select("a", "b"))
+        if n <= FEW or before is not None and n > before // 2:
+            break
+        before = n
+        likely = _bitmap(stars.select("c").distinct().join(classes, "c").select("rep"))
+        chunks = _first_pass(docs, likely)[1]
+        pairs, stars = _postings(docs, Order(add_chunks(chunks, 1 << SKETCH_BITS)), likely)
+        n = stars.select("c").distinct().count()
+    enough = found[0]
+    for more in found[1:]:
+        enough = enough.union(more)
     centre = stars.groupBy("g").agg(F.min("c").alias("b")).withColumnRenamed("g", "h")
     spokes = stars.join(centre, F.col("g") == F.col("h")).where("c <> b").select(F.col("c").alias("a"), "b")
     family = connected(enough.union(spokes))
@@ -369,7 +398,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     members = stage(family.join(classes, F.col("node") == F.col("c")).select(F.col("label").alias("f"), "rep", "n"), "members")
     size = members.groupBy("f").agg((F.floor(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n") / BLOCK_GRAMS)) + 1).cast("int").alias("k"), F.count(F.lit(1)).alias("of")).where("of > 1").withColumnRenamed("f", "f2")
     placed = members.join(size, F.col("f") == F.col("f2")).select("f", "rep", "k", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int").alias("i"))
-    sets = _sets_of(docs, members.select("rep"), id_col, text_col)
+    sets = _sets_of(docs, members.select("rep"))
     own = placed.join(sets, "rep")
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
     blocks = own.select("f", "i", "rep", "set", other).select("f", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), (F.col("i") > F.col("o")).alias("right"), F.col("rep").alias("d"), "set")
@@ -379,33 +408,31 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return out.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "d").alias("component_id"))
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rep, set) of the wanted documents.
-
-    A bitmap of fixed size over hashed ids spares the texts of most others the
-    shuffle; the join decides. A repeated id gives the first set by value.
-    """
-    bits = 1 << 20
+def _bitmap(wanted: DataFrame, bits: int = 1 << 20) -> np.ndarray:
+    """A bitmap of fixed size over hashed ids, made on the executors."""
 
     def mark(batches):
         seen = np.zeros(bits, np.uint8)
         for batch in batches:
             seen[_id_slots(np.asarray(batch.column(0)), bits)] = 1
-        parts = np.packbits(seen).reshape(-1, CHUNK)
+        parts = seen.reshape(-1, CHUNK)
         used = [k for k in range(len(parts)) if parts[k].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([np.unpackbits(parts[k]).tobytes() for k in used], pa.binary())], names=["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())], names=["chunk", "counts"])
 
-    likely = add_chunks(wanted.mapInArrow(mark, "chunk int, counts binary"), bits, "u1") > 0
+    return add_chunks(wanted.mapInArrow(mark, "chunk int, counts binary"), bits, "u1") > 0
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, set) of the wanted documents: the bitmap spares the texts of most
+    others the way, the join decides."""
+    likely = _bitmap(wanted)
 
     def run(batches):
-        for batch in batches:
-            maybe = np.flatnonzero(likely[_id_slots(np.asarray(batch.column(0)), bits)])
-            if len(maybe):
-                batch = batch.take(pa.array(maybe))
-                sets = [shingles(x).tobytes() for _, texts in slices(batch, "t") for x in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "set"])
+        for batch in _rows(batches, likely):
+            sets = [shingles(x).tobytes() for _, texts in slices(batch, "t") for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "set"])
 
-    found = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).where("d is not null").mapInArrow(run, "rep long, set binary")
+    found = docs.where("d is not null").mapInArrow(run, "rep long, set binary")
     return found.join(wanted.distinct(), "rep", "left_semi")
 
 
