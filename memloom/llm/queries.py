@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, language_id, secret_scan, token_files, toxicity, vector_topk
+from . import byte_bpe, decontaminate, jaccard_join, language_id, secret_scan, token_files, toxicity, vector_topk
 from .common import crc_fold, read_table, stage_path
 
 
@@ -29,6 +29,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(docs, model))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_items", F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"), "covered", "changed")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     path, folder = public_tokenizers.path("word_bpe_49k.json"), stage_path(spark, "tokens")
@@ -56,6 +61,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_secret_scan": op4_secret_scan,
+    "op5_decontaminate": op5_decontaminate,
     "op6_token_files": op6_token_files,
     "op8_language_id": op8_language_id,
     "op9_vector_topk": op9_vector_topk,

@@ -108,7 +108,9 @@ def labelled_samples(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     four = [pick(k) for k in range(4)]
     shapes = [F.concat_ws("_", *four), F.concat_ws("-", *four), F.concat(four[0], *[F.initcap(w) for w in four[1:]]), F.upper(F.concat_ws("_", *four[:3])), F.concat_ws("/", *four), F.concat(F.concat_ws("_", *four[:3]), F.lit("_"), (F.col("id") % 100).cast("string")), F.regexp_replace("x", "[a-f]", ""), F.concat_ws("-", F.lit("2024"), F.lpad((F.col("id") % 12 + 1).cast("string"), 2, "0"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0")), F.repeat(F.element_at(F.array(*map(F.lit, "-=_+/")), (F.col("id") % 5 + 1).cast("int")), 24)]
     ordinary = n.select(F.explode(F.array(*shapes)).alias("token"), F.lit(False).alias("random"))
-    prose = docs.where(F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(ordinary_docs).select(F.explode(F.regexp_extract_all(text_col, F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("token"), F.lit(False).alias("random"))
+    ids = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i")).orderBy(F.xxhash64("i"), "i").limit(ordinary_docs).distinct()
+    # the ids are bounded by ordinary_docs, and only they pass through one task
+    prose = docs.join(F.broadcast(ids), docs[id_col] == ids["i"], "left_semi").select(F.explode(F.regexp_extract_all(text_col, F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("token"), F.lit(False).alias("random"))
     return random.union(ordinary).union(prose)
 
 
