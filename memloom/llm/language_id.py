@@ -242,3 +242,18 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a language of posterior
+    ``least`` or more; without any learned language, those with a letter."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for _, texts in slices(batch, text_col):
+                for t, x in zip(texts, model.score_many(texts) if model.languages else [None] * len(texts), strict=True):
+                    keep.append(bool(_WORDS(t)) if x is None else float(1 / np.exp(np.minimum(x - x.max(), 0)).sum()) >= least)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

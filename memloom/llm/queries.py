@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, jaccard_join, language_id, masked_lm, secret_scan, token_files, toxicity, vector_topk
-from .common import crc_fold, read_table, stage_path
+from . import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, masked_lm, secret_scan, token_files, toxicity, vector_topk
+from .common import crc_fold, read_table, stage, stage_path
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.read(manifest, folder, token_files.encoder(path).dtype))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = stage(chat_format.transcripts(read_table(spark, sf_dir, "conversations")), "transcripts")
+    hmm = chat_format.train(raw.where(crc_fold("c", 4) != 2))
+    out = chat_format.format_chats(raw, hmm, ["c", "part"])
+    return out.select(F.col("c").alias("conv_id"), "part", (crc_fold("c", 4) == 2).alias("held_out"), "n_turns", "roles", "chat")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(crc_fold("doc_id", 4) != 2), public_tokenizers.path("piece_bpe_32k.model"))
@@ -69,6 +76,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_decontaminate": op5_decontaminate,
     "op6_token_files": op6_token_files,
+    "op7_chat_format": op7_chat_format,
     "op8_language_id": op8_language_id,
     "op9_vector_topk": op9_vector_topk,
     "op10_jaccard_join": op10_jaccard_join,
