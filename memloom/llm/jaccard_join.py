@@ -5,7 +5,8 @@ at least 0.75. The join is exact up to collisions of 64-bit hashes.
 
 1. One pass hashes every document's set. Equal sets are one class, known by a
    64-bit hash of the set; copies are never expanded into pairs. The same pass
-   counts 5-grams in a sketch of fixed size, whose counts are upper bounds.
+   counts 5-grams in a sketch of fixed size; it orders them and estimates
+   costs, no link depends on its errors.
 2. Each class orders its 5-grams from rare to frequent (by the sketch) and emits
    a prefix: with size n, overlap a = ceil(0.75 n) needed and l matches asked
    for, the first n - a + l of them. Two linked sets share at least l 5-grams of
@@ -27,6 +28,7 @@ at least 0.75. The join is exact up to collisions of 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from .components import connected
 WORDS = 5
 #: Jaccard threshold in hundredths.
 PERCENT = 75
-SKETCH_BITS, CHUNK = 20, 2048
+SKETCH_BITS, CHUNK = 22, 1 << 15
 #: A 5-gram whose count surely exceeds this makes a star; so does a longer posting list than LIST.
 HOT, LIST = 256, 32
 MAX_MATCHES = 48
@@ -125,7 +127,7 @@ def _first_pass(docs: DataFrame, likely: np.ndarray | None) -> tuple[DataFrame,
     """(d, n, c) for every document, and the sketch's chunks by task."""
 
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
         known: set[int] = set()
         for batch in _rows(batches, likely):
             sizes, classes = [], []
@@ -139,13 +141,14 @@ def _first_pass(docs: DataFrame, likely: np.ndarray | None) -> tuple[DataFrame,
                         if len(known) >= 200_000:
                             known.clear()
                         known.add(c)
-                        np.add.at(sketch, _slots(s), 1)
+                        at = _slots(s)
+                        sketch[at] = np.minimum(sketch[at], 254) + 1
             n = len(sizes)
             yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["kind", "d", "n", "c", "chunk", "counts"])
         if sketch.any():
             parts = sketch.reshape(-1, CHUNK)
             n = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["kind", "d", "n", "c", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array([zlib.compress(p, 1) for p in parts], pa.binary())], names=["kind", "d", "n", "c", "chunk", "counts"])
 
     spark = docs.sparkSession
     both = docs.mapInArrow(run, "kind int, d long, n long, c long, chunk int, counts binary")
@@ -155,21 +158,21 @@ def _first_pass(docs: DataFrame, likely: np.ndarray | None) -> tuple[DataFrame,
     return read.where("kind = 0").select("d", "n", "c"), read.where("kind = 1").select("chunk", "counts")
 
 
-def add_chunks(chunks: DataFrame, size: int, dtype: str = "<u4") -> np.ndarray:
-    """Sum the tasks' arrays chunk by chunk on the executors; one array comes back."""
+def add_chunks(chunks: DataFrame, size: int) -> np.ndarray:
+    """Sum the tasks' byte arrays chunk by chunk on the executors; one array comes back."""
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(raw.as_buffer(), dtype).astype(np.uint64)
+                part = np.frombuffer(zlib.decompress(raw.as_buffer()), np.uint8).astype(np.uint32)
                 total[k] = total[k] + part if k in total else part
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"])
 
-    out = np.zeros(size, np.uint64)
+    out = np.zeros(size, np.uint32)
     for k, raw in chunks.repartition("chunk").mapInArrow(run, "chunk int, counts binary").collect():
-        part = np.frombuffer(raw, np.uint64)
+        part = np.frombuffer(raw, np.uint32)
         out[k * len(part) : (k + 1) * len(part)] += part
     return out
 
@@ -178,9 +181,9 @@ class Order:
     """The order of 5-grams and the choice of prefixes, from the sketch."""
 
     def __init__(self, sketch: np.ndarray):
-        mean = float(sketch.sum()) / len(sketch)
+        mean = float(sketch.sum(dtype=np.int64)) / len(sketch)
         noise = int(mean + 4 * mean**0.5) if mean >= 1 else 0
-        self.extra = np.maximum(sketch.astype(np.int64) - noise, 0).astype(np.uint32)
+        self.extra = np.minimum(np.maximum(sketch.astype(np.int64) - noise, 0), 65535).astype(np.uint16)
 
     def prefix(self, s: np.ndarray):
         """(5-grams, level at which each enters, matches l, is it hot) of a set."""
@@ -417,9 +420,9 @@ def _bitmap(wanted: DataFrame, bits: int = 1 << 20) -> np.ndarray:
             seen[_id_slots(np.asarray(batch.column(0)), bits)] = 1
         parts = seen.reshape(-1, CHUNK)
         used = [k for k in range(len(parts)) if parts[k].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())], names=["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([zlib.compress(parts[k], 1) for k in used], pa.binary())], names=["chunk", "counts"])
 
-    return add_chunks(wanted.mapInArrow(mark, "chunk int, counts binary"), bits, "u1") > 0
+    return add_chunks(wanted.mapInArrow(mark, "chunk int, counts binary"), bits) > 0
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
