@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import aggregates, retrieval, scoring, similarity, temporal, text
+from .dialect import Op
+from .views import VIEWS, load
+
+OPS: list[Op] = [*aggregates.OPS, *scoring.OPS, *temporal.OPS, *retrieval.OPS, *similarity.OPS, *text.OPS]
+
+
+def _query(op: Op) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: op(*load(spark, sf_dir, *op.frames))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {op.name: _query(op) for op in OPS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {op.name: op.oracle(VIEWS) for op in OPS}
