@@ -256,8 +256,8 @@ def _postings(docs: DataFrame, order: Order, likely: np.ndarray | None) -> tuple
             for n in range(2, LIST + 1):
                 at = start[(size == n) & (salt[start] < 0)]
                 i, j = np.triu_indices(n, 1)
-                for s in range(0, len(at), max(1, 2_000_000 // len(i))):
-                    part = at[s : s + max(1, 2_000_000 // len(i)), None]
+                for s in range(0, len(at), max(1, 400_000 // len(i))):
+                    part = at[s : s + max(1, 400_000 // len(i)), None]
                     x, y = (part + i).ravel(), (part + j).ravel()
                     px, py = p[x], p[y]
                     nx, ny = px >> 16, py >> 16
@@ -281,7 +281,7 @@ def _postings(docs: DataFrame, order: Order, likely: np.ndarray | None) -> tuple
                     yield out
                 pairs += found
                 waiting += sum(x.shape[1] for x in found)
-                if waiting > 2_000_000:
+                if waiting > 400_000:
                     yield flush()
                     pairs, waiting = [], 0
         if len(held[0]):

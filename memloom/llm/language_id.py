@@ -29,7 +29,9 @@ from .common import HashIndex, mix64, slices
 MARK = "▁"
 MAX_PIECE, CHUNK = 8, 32
 #: Words whose scores a worker keeps; when more are known, it starts again.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+#: Characters of words that are worked on at once.
+_CELLS = 60_000
 _WORDS = regex.compile(r"\p{L}+").findall
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,8 +147,9 @@ class Model:
             by_length.setdefault(len(w), []).append(w)
         found = []
         for n, own in by_length.items():
-            for s in range(0, len(own), 20_000):
-                part = own[s : s + 20_000]
+            step = max(256, _CELLS // n)
+            for s in range(0, len(own), step):
+                part = own[s : s + step]
                 found.append(np.log(self.forward(part, n)[2][n]))
                 at = len(self.known)
                 self.known.update(zip(part, range(at, at + len(part))))
@@ -209,8 +212,9 @@ def train(labelled: DataFrame, path: str, text_col: str = "text", lang_col: str
     for _ in range(rounds if languages else 0):
         use = np.zeros_like(model.prob)
         for n, own in groups.items():
-            for s in range(0, len(own), 5_000):
-                part = own[s : s + 5_000]
+            step = max(256, _CELLS // n)
+            for s in range(0, len(own), step):
+                part = own[s : s + step]
                 model.expected(part, n, np.array([vocabulary[w] for w in part]), use)
         use += smoothing
         model.prob = use / use.sum(0)
