@@ -29,7 +29,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN_LEAST = 16
 RUN = rf"[A-Za-z0-9+/_=-]{{{RUN_LEAST},}}"
 #: Log-likelihood ratio, in nats in all and per character, from which a run is a secret.
-THRESHOLD, PER_CHARACTER = 14.0, 0.45
+THRESHOLD, PER_CHARACTER = 16.0, 1.0
 _SPAN = "array<struct<s:int,k:int,e:int>>"
 
 
@@ -102,11 +102,11 @@ def labelled_samples(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     n = spark.range(strings).withColumn("x", F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256))
     cut = lambda c: F.substring(c, F.lit(1), (F.lit(RUN_LEAST) + F.col("id") % 25).cast("int"))
     b64 = F.base64(F.unhex("x"))
-    random = n.select(F.explode(F.array(cut(F.col("x")), cut(b64), cut(F.translate(b64, "+/=", "abc")), cut(F.upper(F.translate(b64, "+/=", "XYZ"))))).alias("token"), F.lit(True).alias("random"))
+    random = n.select(F.explode(F.array(cut(F.col("x")), cut(b64), cut(F.translate(b64, "+/=", "ab")), cut(F.upper(F.translate(b64, "+/=", "XY"))))).alias("token"), F.lit(True).alias("random"))
     words = F.array(*[F.lit(w) for w in _WORDS])
     pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(_WORDS))) + 1).cast("int"))
     four = [pick(k) for k in range(4)]
-    shapes = [F.concat_ws("_", *four), F.concat_ws("-", *four), F.concat(four[0], *[F.initcap(w) for w in four[1:]]), F.upper(F.concat_ws("_", *four[:3])), F.concat_ws("/", *four), F.concat(F.concat_ws("_", *four[:3]), F.lit("_"), (F.col("id") % 100).cast("string")), F.regexp_replace("x", "[a-f]", ""), F.concat_ws("-", F.lit("2024"), F.lpad((F.col("id") % 12 + 1).cast("string"), 2, "0"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0")), F.repeat(F.element_at(F.array(*map(F.lit, "-=_+/")), (F.col("id") % 5 + 1).cast("int")), 24)]
+    shapes = [F.concat_ws("_", *four), F.concat_ws("-", *four), F.concat(four[0], *[F.initcap(w) for w in four[1:]]), F.upper(F.concat_ws("_", *four[:3])), F.concat_ws("/", *four), F.concat(*four), F.concat(F.concat_ws("_", *four[:3]), F.lit("_"), (F.col("id") % 100).cast("string")), F.regexp_replace("x", "[a-f]", ""), F.concat_ws("-", F.lit("2024"), F.lpad((F.col("id") % 12 + 1).cast("string"), 2, "0"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0")), F.repeat(F.substring(F.lit(ALPHABET), (F.col("id") % len(ALPHABET) + 1).cast("int"), F.lit(1)), 24)]
     ordinary = n.select(F.explode(F.array(*shapes)).alias("token"), F.lit(False).alias("random"))
     ids = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i")).orderBy(F.xxhash64("i"), "i").limit(ordinary_docs).distinct()
     # the ids are bounded by ordinary_docs, and only they pass through one task

@@ -1,0 +1,32 @@
+"""The corpus pipeline against its stages' own rules, and the queries' names."""
+
+import __spark_entry__
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from memloom.llm.queries import QUERIES
+
+
+def test_every_operator_has_its_query():
+    names = __spark_entry__.queries()
+    assert [sum(n.startswith(f"op{k}_") for n in QUERIES) for k in range(1, 11)] == [1] * 10
+    assert set(QUERIES) <= set(names) and "pipeline" in names
+
+
+def test_pipeline(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = corpus_pipeline.run(spark, sf)
+    assert out.where("not round_trip").count() == 0
+    kept, n = out.count(), docs.count()
+    assert 0.5 * n < kept < n
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        assert step(spark, docs, sf).columns == docs.columns, name
+
+
+@pytest.mark.parametrize("step", [s for _, s in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows_and_none(spark, sf, step):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(3)
+    odd = docs.union(docs).union(spark.createDataFrame([(900, None, None, None, None), (901, "", "en", "s", 0), (None, "abc def", "en", "s", 7)], docs.schema))
+    assert step(spark, odd, sf).count() >= 1
+    assert step(spark, docs.where(F.lit(False)), sf).count() == 0
