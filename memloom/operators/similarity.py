@@ -30,7 +30,6 @@ OPS = [
     Op("tms2", "SELECT l.dst, round(min(l.weight * 0.75), 9) AS confidence, CASE WHEN min(l.weight * 0.75) < 0.5 THEN 'suspended' ELSE 'held' END AS state FROM @links l GROUP BY l.dst", ("links",), "Confidence passed on along support."),
     Op("gra2", "SELECT src, dst, relation FROM @links WHERE src = @node OR dst = @node", ("links",), "Related nodes: direct edges.", {"node": 3}),
     Op("gra3", f"WITH RECURSIVE hop(v, depth, path) AS (SELECT CAST(@node AS INT) AS v, 0 AS depth, concat(',', CAST(@node AS STRING), ',') AS path UNION ALL SELECT l.dst, h.depth + 1, concat(h.path, CAST(l.dst AS STRING), ',') FROM hop h JOIN @links l ON l.src = h.v WHERE h.depth < 12 AND h.path NOT LIKE concat('%,', CAST(l.dst AS STRING), ',%')) SELECT v, CAST(min(depth) AS BIGINT) AS depth FROM hop GROUP BY v", ("links",), "Shortest path lengths from a node.", {"node": 1}),
-    Op("gra4", f"WITH RECURSIVE e AS ({_BOTH}), reach(v, u) AS (SELECT u AS v, u FROM e UNION SELECT e.v, r.u FROM reach r JOIN e ON e.u = r.v) SELECT v AS node, min(u) AS component FROM reach GROUP BY v", ("links",), "Weakly connected components."),
     Op("gra5", "SELECT n, m, round(m / CAST(n * (n - 1) AS DOUBLE), 9) AS density, round(2.0 * m / n, 9) AS degree FROM (SELECT count(*) AS n FROM (SELECT src AS x FROM @links UNION SELECT dst AS x FROM @links) u) a CROSS JOIN (SELECT count(*) AS m FROM @links) b", ("links",), "Graph statistics."),
     Op("gra6", f"WITH e AS ({_BOTH}), ball AS (SELECT CAST(@node AS INT) AS x UNION SELECT v AS x FROM e WHERE u = @node UNION SELECT b.v AS x FROM e a JOIN e b ON b.u = a.v WHERE a.u = @node) SELECT l.src, l.dst, l.relation FROM @links l JOIN ball p ON p.x = l.src JOIN ball q ON q.x = l.dst", ("links",), "Ego subgraph of radius two.", {"node": 3}),
     Op("gra8", "SELECT s.src, count(*) AS parts, min(s.dst) AS first_part FROM @edges s GROUP BY s.src", ("edges",), "Lookups over the bipartite graph."),
