@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import aggregates, retrieval, scoring, similarity, temporal, text
+from ..operators import aggregates, records, retrieval, scoring, similarity, temporal, text
 from . import special
 from .dialect import Op
 from .views import VIEWS, load
 
-OPS: list[Op] = [*aggregates.OPS, *scoring.OPS, *temporal.OPS, *retrieval.OPS, *similarity.OPS, *text.OPS]
+OPS: list[Op] = [*aggregates.OPS, *scoring.OPS, *temporal.OPS, *retrieval.OPS, *similarity.OPS, *text.OPS, *records.OPS]
 
 
 def _query(op: Op) -> Callable[[SparkSession, str], DataFrame]:
