@@ -29,9 +29,9 @@ from .common import HashIndex, mix64, slices
 MARK = "▁"
 MAX_PIECE, CHUNK = 8, 32
 #: Words whose scores a worker keeps; when more are known, it starts again.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 #: Characters of words that are worked on at once.
-_CELLS = 60_000
+_CELLS = 100_000
 _WORDS = regex.compile(r"\p{L}+").findall
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -166,9 +166,7 @@ class Model:
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
             self.rows = self.rows[:0]
-            if len(texts) > 1:
-                return [x for t in texts for x in self.score_many([t])]
-            new = set(cut[0])
+            new = set().union(*cut)
         self.learn(sorted(new))
         get = self.known.__getitem__
         return [self.rows[np.fromiter(map(get, words), np.int64, len(words))].sum(0) if words else None for words in cut]
