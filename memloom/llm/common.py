@@ -17,7 +17,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -65,6 +65,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def smallest(table: DataFrame, group: str, order: list[str], n: int, salts: int = 64) -> DataFrame:
+    """The first ``n`` rows of each group by ``order``. A group is cut into salted
+    parts first, so no task gets more than salts x n rows of it at the end."""
+    part = F.pmod(F.xxhash64(F.lit(3), *order), F.lit(salts))
+    for by in ([group, part], [group]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        table = table.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    return table
+
+
 def crc_fold(col: str, mod: int) -> Column:
     """crc32 of the column as text, modulo ``mod``; a null counts as ''."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod

@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashIndex, mix64, slices
+from .common import HashIndex, mix64, slices, smallest
 
 MARK = "▁"
 MAX_PIECE, CHUNK = 8, 32
@@ -182,11 +182,9 @@ def train(labelled: DataFrame, path: str, text_col: str = "text", lang_col: str
     model has no language and every text is undetermined.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    from pyspark.sql import Window
-
     order = F.xxhash64(F.col(id_col), F.length(text_col))
     ranked = rows.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), order.alias("h"), F.col(id_col).alias("i"))
-    ids = ranked.select("l", "h", "i").withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).where(F.col("r") <= per_language).select("l", "h", "i").distinct()
+    ids = smallest(ranked.select("l", "h", "i").distinct(), "l", ["h", "i"], per_language)
 
     def words(batches):
         for batch in batches:

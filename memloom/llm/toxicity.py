@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, smallest
 
 ORDERS = (5, 7, 8)
 BITS = 21
@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ratio lies outside the dead zone.
     """
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
-    sample = own.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i"))).where(F.col("r") <= per_class).select("i", "y")
+    sample = smallest(own.withColumn("h", F.xxhash64("i")), "y", ["h", "i"], per_class).select("i", "y")
     # at most 2 x per_class rows: a proven bound
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(sample), "i").select("y", "t")
 
