@@ -18,4 +18,27 @@ WITH ok AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-ORACLE: dict[str, str] = {"op9_vector_topk": OP9}
+OP10 = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g
+  FROM cut
+), sizes AS (
+  SELECT cut.doc_id, count(grams.g) AS n FROM cut LEFT JOIN grams ON grams.doc_id = cut.doc_id GROUP BY cut.doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), both_ways AS (
+  SELECT a, b FROM links UNION SELECT b AS a, a AS b FROM links
+), reach AS (
+  SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, e.b AS other FROM reach r JOIN both_ways e ON e.a = r.other
+)
+SELECT s.doc_id, s.n AS n_shingles, coalesce(min(r.other), s.doc_id) AS component_id
+FROM sizes s LEFT JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, s.n
+"""
+
+ORACLE: dict[str, str] = {"op9_vector_topk": OP9, "op10_jaccard_join": OP10}
