@@ -34,7 +34,7 @@ from .common import slices, stage_path
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Words whose ids a worker keeps; when more are known, it starts again.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 # The vocabulary file cuts texts by 's|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+ (a fixed
 # value). The forms below match the same where none of the odd characters occurs: those on whose
 # case or class the libraries differ, and numbers that are no digits. Texts with them go to the
@@ -55,13 +55,18 @@ class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # for pre-tokens, which are normalised and cut already
+        self.merger = tokenizers.Tokenizer.from_file(path)
+        self.merger.encode_special_tokens = True
+        self.merger.normalizer = None
+        self.merger.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.words: dict[str, bytes] = {}
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
     def _learn(self, words: list[str]) -> None:
         for s in range(0, len(words), 1000):
             part = words[s : s + 1000]
-            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            found = self.merger.encode(part, is_pretokenized=True, add_special_tokens=False)
             ids, owner = np.array(found.ids, self.dtype), np.array(found.word_ids, np.int64)
             ends = np.searchsorted(owner, np.arange(len(part)), side="right")
             raw, width, start = ids.tobytes(), ids.itemsize, 0
