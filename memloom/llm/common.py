@@ -65,7 +65,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def smallest(table: DataFrame, group: str, order: list[str], n: int, salts: int = 64) -> DataFrame:
+def smallest(table: DataFrame, group: str, order: list[str], n: int, salts: int = 16) -> DataFrame:
     """The first ``n`` rows of each group by ``order``. A group is cut into salted
     parts first, so no task gets more than salts x n rows of it at the end."""
     part = F.pmod(F.xxhash64(F.lit(3), *order), F.lit(salts))
