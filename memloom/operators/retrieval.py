@@ -7,7 +7,7 @@ from ..plans.dialect import Op
 _COS = "#dot(q.v, m.v) / (sqrt(#dot(q.v, q.v)) * sqrt(#dot(m.v, m.v)))"
 _VECTOR = f"SELECT q.id AS qid, m.id, {_COS} AS sim FROM (SELECT id, v FROM @vec WHERE id < @queries) q JOIN @vec m ON m.id <> q.id"
 _TOKEN = "SELECT id, user_id, word, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT id, user_id, #each(#tokens(text)) AS word FROM @doc) w GROUP BY id, user_id, word"
-_LENGTH = "SELECT id, user_id, sum(tf) AS len FROM tok GROUP BY id, user_id"
+_LENGTH = "SELECT id, user_id, CAST(#size(#tokens(text)) AS DOUBLE) AS len FROM @doc"
 _IDF = "SELECT d.user_id, d.word, ln((c.n - d.df + 0.5) / (d.df + 0.5)) AS raw FROM (SELECT user_id, word, count(*) AS df FROM tok GROUP BY user_id, word) d JOIN (SELECT user_id, count(*) AS n FROM @doc GROUP BY user_id) c ON c.user_id = d.user_id"
 _QUERY = "SELECT DISTINCT id AS qid, user_id, word FROM (SELECT id, user_id, #each(#tokens(substring(text, 1, 60))) AS word FROM @doc WHERE id % 100 = 0) q"
 #: Documents of a language are one user's memories; a query is the beginning of a document's text.
