@@ -165,3 +165,71 @@ def compressed(mem: DataFrame) -> DataFrame:
         return pd.Series(["ok" if gzip.decompress(gzip.compress((t or "").encode(), mtime=0)) == (t or "").encode() else "broken" for t in x])
 
     return mem.select("id", state("text").alias("state"))
+
+
+def assembled_context(mem: DataFrame, tokens: int = 80, least: float = 0.5, similar: float = 0.9) -> DataFrame:
+    """RET14: drop low relevance, then near duplicates of what is kept, then what
+    the token budget has no room for; every dropped row has its reason."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(score=0.8 * pdf.confidence * pdf.importance / 10 + 0.2 / (1 + pdf.age / 30)).sort_values(["score", "id"], ascending=[False, True])
+        left, kept, out = tokens, [], []
+        for id_, score, text in zip(pdf.id, pdf.score, pdf.text, strict=True):
+            words = set(text.lower().split())
+            if score < least:
+                out.append((id_, "low_relevance"))
+            elif any(min(len(text), len(t)) >= 0.5 * max(len(text), len(t)) and len(words & w) >= similar * len(words | w) for t, w in kept):
+                out.append((id_, "duplicate"))
+            elif len(text) // 4 + 1 > left:
+                out.append((id_, "budget"))
+            else:
+                left -= len(text) // 4 + 1
+                kept.append((text, words))
+                out.append((id_, "kept"))
+        return pd.DataFrame({"user_id": pdf.user_id.iloc[0], "id": [x[0] for x in out], "state": [x[1] for x in out]})
+
+    return mem.select("user_id", "id", "importance", "confidence", "age", "text").groupBy("user_id").applyInPandas(run, "user_id long, id long, state string")
+
+
+def migrated(vec: DataFrame) -> DataFrame:
+    """MIG1: every vector re-encoded, here to unit length, batch by batch."""
+
+    def run(batches):
+        for pdf in batches:
+            v = np.stack(pdf.v.to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
+            norm = np.sqrt((v * v).sum(1))
+            yield pd.DataFrame({"id": pdf.id, "norm": np.round(norm, 6), "first": np.round(v[:, 0] / np.maximum(norm, 1e-12), 6)})
+
+    return vec.select("id", "v").mapInPandas(run, "id long, norm double, first double")
+
+
+def facts_with_context(docs: DataFrame, width: int = 50) -> DataFrame:
+    """TXT4, TXT15: number facts with their place and the characters around them."""
+    import re
+
+    pattern = re.compile(r"[0-9]{3,}")
+
+    def run(batches):
+        for pdf in batches:
+            found = [(i, m.start(), m.group(), t[max(0, m.start() - width) : m.end() + width]) for i, t in zip(pdf.id, pdf.text, strict=True) for m in pattern.finditer(t or "")]
+            yield pd.DataFrame(found, columns=["id", "start", "fact", "around"])
+
+    return docs.select("id", "text").mapInPandas(run, "id long, start long, fact string, around string")
+
+
+def pruned_text(docs: DataFrame, share: float = 0.5) -> DataFrame:
+    """CMP4: the share of a text's words that scores best, in the order of the text."""
+
+    def score(w: str) -> float:
+        return len(w) + 3 * w[:1].isupper() + 4 * any(c.isdigit() for c in w)
+
+    @F.pandas_udf("string")
+    def prune(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            words = (t or "").split()
+            keep = sorted(sorted(range(len(words)), key=lambda k: (-score(words[k]), k))[: int(len(words) * share)])
+            out.append(" ".join(words[k] for k in keep))
+        return pd.Series(out)
+
+    return docs.select("id", prune("text").alias("text"))

@@ -72,4 +72,16 @@ OPS = [
     Op("svc1", "SELECT user_id, count(*) AS n, round(avg(importance), 8) AS importance, round(avg(exp(-age / 30.0)), 8) AS freshness, count(DISTINCT tag2) AS topics FROM @mem GROUP BY user_id", ("mem",), "Service summary."),
     Op("cru1", "SELECT session_id, min(created_at) AS started, max(created_at) AS ended, CASE WHEN min(age) > 0.1 THEN 'completed' ELSE 'active' END AS state FROM @mem GROUP BY session_id", ("mem",), "Session records."),
     Op("sim8", "SELECT a.id AS a, b.id AS b, round(least(1.0, #common(a.t, b.t) / CAST(#size(a.t) + #size(b.t) - #common(a.t, b.t) AS DOUBLE) + CASE WHEN a.kind = b.kind THEN 0.2 ELSE 0.0 END), 8) AS s FROM (SELECT id, user_id, tag1 AS kind, #distinct(#tokens(text)) AS t FROM @mem WHERE id < 3000) a JOIN (SELECT id, user_id, tag1 AS kind, #distinct(#tokens(text)) AS t FROM @mem WHERE id < 3000) b ON a.user_id = b.user_id AND a.id < b.id", ("mem",), "Lexical similarity with a boost for synonyms."),
+    Op("src17", "SELECT CAST(CAST(created_at AS DATE) AS STRING) AS snapshot, count(*) AS n, max(id) AS last_id FROM @mem GROUP BY CAST(CAST(created_at AS DATE) AS STRING)", ("mem",), "Rows of each daily snapshot."),
+    Op("set3", "SELECT a.id, round(#common(a.t, b.t) / CAST(#size(a.t) + #size(b.t) - #common(a.t, b.t) AS DOUBLE), 9) AS jaccard FROM (SELECT id, #distinct(#tokens(text)) AS t FROM @mem) a JOIN (SELECT id, #distinct(#tokens(text)) AS t FROM @mem) b ON b.id = a.id + 1", ("mem",), "Jaccard similarity of token sets."),
+    Op("dat3", "SELECT id, CASE WHEN h >= 5 AND h < 8 THEN 'early_morning' WHEN h >= 8 AND h < 12 THEN 'morning' WHEN h >= 12 AND h < 17 THEN 'afternoon' WHEN h >= 17 AND h < 21 THEN 'evening' WHEN h >= 21 OR h = 0 THEN 'night' ELSE 'late_night' END AS period FROM (SELECT id, hour(created_at) AS h FROM @mem) x", ("mem",), "Period of the day."),
+    Op("mth2", "SELECT id, round(exp(-age / 30.0), 9) AS e, round(pow(0.5, age / 30.0), 9) AS p, round(1.0 / (1 + ln(1 + age)), 9) AS l FROM @mem", ("mem",), "The decay family."),
+    Op("map1", "SELECT id, concat('kind=', tag1, ';key=', tag2, CASE WHEN is_archived THEN ';archived=true' ELSE '' END) AS metadata FROM @mem", ("mem",), "Metadata merged."),
+    Op("ret7", "SELECT k.id, round(v.s, 8) AS sim FROM (SELECT id FROM @mem WHERE tag1 = 'click') k JOIN (SELECT m.id, #dot(q.v, m.v) / (sqrt(#dot(q.v, q.v)) * sqrt(#dot(m.v, m.v))) AS s FROM @vec m CROSS JOIN (SELECT v FROM @vec WHERE id = 0) q WHERE m.id <> 0) v ON v.id = k.id", ("mem", "vec"), "Candidates: only ids among one query's vector hits."),
+    Op("sim20", "SELECT id, CASE WHEN score >= 0.98 THEN 'exact' WHEN score >= 0.85 THEN 'soft' WHEN score >= 0.75 THEN 'paraphrase' ELSE 'different' END AS kind FROM (SELECT id, confidence AS score FROM @mem) x", ("mem",), "Kinds of duplicates from a given pair score."),
+    Op("lif5", "SELECT tier, low, high FROM (SELECT 'hot' AS tier, 0 AS low, 30 AS high UNION ALL SELECT 'warm' AS tier, 30 AS low, 90 AS high UNION ALL SELECT 'cold' AS tier, 90 AS low, 365 AS high) c WHERE EXISTS (SELECT 1 FROM @mem m WHERE m.age >= c.low AND m.age < c.high)", ("mem",), "Configured tiers in use."),
+    Op("txt17", "SELECT id, kind, CASE WHEN hits >= 3 THEN 1.0 WHEN hits = 2 THEN 0.8 WHEN hits = 1 THEN 0.6 ELSE 0.3 END AS confidence FROM (SELECT id, CASE WHEN #like(text, 'purchase') THEN 'preference' WHEN #like(text, 'click') THEN 'habit' ELSE 'fact' END AS kind, #hits(text, '(purchase|click|key|user)') AS hits FROM @mem) x", ("mem",), "Classifier's fallback with confidence by hits."),
+    Op("mon5", "SELECT concat('memloom_events_total{kind=\"', tag1, '\"} ', CAST(count(*) AS STRING)) AS line FROM @mem GROUP BY tag1", ("mem",), "Text export of counters."),
+    Op("svc2", "SELECT type, count(*) AS n, count(DISTINCT user_id) AS users, CAST(sum(CASE WHEN age > 25 THEN 1 ELSE 0 END) AS BIGINT) AS expired FROM @mem GROUP BY type", ("mem",), "Facade analytics."),
+    Op("svc3", "SELECT user_id, count(*) - count(DISTINCT text) AS to_dedup, CAST(sum(CASE WHEN importance < 1 THEN 1 ELSE 0 END) AS BIGINT) AS to_clean, CAST(sum(CASE WHEN age > 28 THEN 1 ELSE 0 END) AS BIGINT) AS to_expire FROM @mem GROUP BY user_id", ("mem",), "What the batch jobs find for each user."),
 ]

@@ -60,6 +60,12 @@ QUERIES = {
     "sim14": _one("vec", greedy.disjoint_merges),
     "sim17": _one("mem", greedy.reconcile),
     "lif4": _one("mem", greedy.compressed),
+    "ret14": _one("mem", greedy.assembled_context),
+    "tmp4": _one("mem", greedy.interval_patterns),
+    "mig1": _one("vec", greedy.migrated),
+    "txt4": _one("doc", greedy.facts_with_context),
+    "txt15": _one("doc", lambda d: greedy.facts_with_context(d).groupBy("id").agg(F.count(F.lit(1)).alias("facts"), F.min("start").alias("first_at"))),
+    "cmp4": _one("doc", greedy.pruned_text),
     "str8": str8,
     "gra4": gra4,
     "sim5": sim5,
@@ -72,6 +78,8 @@ QUERIES = {
     "stm5": lambda spark, sf: streams.replay(spark, sf, streams.feedback_scores),
     "stm6": lambda spark, sf: streams.replay(spark, sf, streams.first_of_kind, "append"),
     "stm7": lambda spark, sf: streams.effectiveness(streams.read_events(spark, sf, False)),
+    "stm10": lambda spark, sf: streams.replay(spark, sf, streams.tumbling, "append"),
+    "stm_w3": lambda spark, sf: streams.replay(spark, sf, streams.sessions),
     "stm_w1": lambda spark, sf: streams.replay(spark, sf, streams.tumbling),
     "stm_w2": lambda spark, sf: streams.replay(spark, sf, streams.sliding),
 }
@@ -94,9 +102,11 @@ ORACLE = {
     "stm5": ("mem", "SELECT user_id, round(avg(CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'click' THEN 0.6 WHEN 'view' THEN 0.1 ELSE 0.0 END), 8) AS score FROM events GROUP BY user_id"),
     "stm6": ("mem", "SELECT DISTINCT user_id, event_type, props FROM events"),
     "stm3": ("mem", """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) a) b GROUP BY user_id, run"""),
+    "stm_w3": ("mem", """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) a) b GROUP BY user_id, run"""),
     "stm7": ("mem", """WITH RECURSIVE r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE event_type WHEN 'error' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS x FROM events),
       f AS (SELECT user_id, k, 0.5::DOUBLE * 0.9::DOUBLE + x * 0.1::DOUBLE AS ema FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.k, f.ema * 0.9::DOUBLE + r.x * 0.1::DOUBLE FROM f JOIN r ON r.user_id = f.user_id AND r.k = f.k + 1)
       SELECT user_id, round(max_by(ema, k), 8) AS ema FROM f GROUP BY user_id"""),
     "stm_w2": ("mem", "SELECT time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE AS start, count(*) AS n, round(sum(value), 4) AS v FROM events CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS i) t GROUP BY time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE"),
+    "mig1": ("vec", "WITH {views}, n AS (SELECT id, CAST(v AS DOUBLE[]) AS v, sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[]))) AS norm FROM vec) SELECT id, round(norm, 6) AS norm, round(v[1] / norm, 6) AS first FROM n"),
     "stm_w1": ("mem", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY date_trunc('hour', ts), event_type"),
 }

@@ -67,3 +67,34 @@ def test_graph_files(spark, tmp_path):
     storage.export_graph(links, f"file://{tmp_path}/graph")
     nodes, back = storage.import_graph(spark, f"file://{tmp_path}/graph")
     assert sorted(r.id for r in nodes.collect()) == [1, 2, 3] and sorted(back.collect()) == sorted(links.collect())
+
+
+def test_star_clusters_are_not_transitive(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.5], 0), (3, [0.6, 1.0], 0), (4, [0.0, 1.0], 0)]
+    got = {r.id: r.seed for r in greedy.star_clusters(spark.createDataFrame(rows, "id long, v array<double>, label int"), least=0.8).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
+def test_disjoint_merges_take_the_closest_pair_first(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.1], 0), (3, [1.0, 0.15], 0)]
+    got = [(r.a, r.b) for r in greedy.disjoint_merges(spark.createDataFrame(rows, "id long, v array<double>, label int"), least=0.5).collect()]
+    assert got == [(2, 3)]
+
+
+def test_anchored_windows_measure_from_the_start(spark):
+    rows = [(1, k, int(h * 3.6e9)) for k, h in enumerate([0, 3, 4, 5, 8.5, 13])]
+    got = [r.win for r in greedy.anchored_windows(spark.createDataFrame(rows, "user_id long, id long, us long")).orderBy("id").collect()]
+    assert got == [0, 0, 0, 1, 1, 2]
+
+
+def test_assembled_context_states_reasons(spark):
+    rows = [(1, 0, 9.0, 1.0, 0.0, "alpha beta gamma"), (1, 1, 8.9, 1.0, 0.0, "alpha beta gamma"), (1, 2, 0.1, 0.1, 90.0, "low"), (1, 3, 8.0, 1.0, 0.0, "x" * 900)]
+    got = {r.id: r.state for r in greedy.assembled_context(spark.createDataFrame(rows, "user_id long, id long, importance double, confidence double, age double, text string")).collect()}
+    assert got == {0: "kept", 1: "duplicate", 2: "low_relevance", 3: "budget"}
+
+
+def test_sequence_ratio_and_facts(spark):
+    pairs = spark.createDataFrame([("abcd", "bcde"), (None, "x"), ("", "")], "a string, b string")
+    assert [r.ratio for r in greedy.sequence_ratio(pairs, "a", "b").collect()] == [0.75, 0.0, 1.0]
+    docs = spark.createDataFrame([(1, "in 1984 and 42"), (2, None)], "id long, text string")
+    assert [(r.id, r.start, r.fact) for r in greedy.facts_with_context(docs).collect()] == [(1, 3, "1984")]
