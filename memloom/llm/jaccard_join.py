@@ -50,7 +50,7 @@ EXPECTED = 0.1
 #: A block of a family holds about so many documents and 5-grams at most.
 BLOCK_DOCS, BLOCK_GRAMS = 1024, 1_000_000
 #: Classes on long posting lists that are verified in blocks at once; more are first joined again among themselves.
-FEW = 4096
+FEW = 1024
 
 _SPAN = 1 << 16
 _ODD = 0xD6E8FEB86659FD93
