@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import HashIndex, slices
 
 #: Pieces whose ids a worker keeps; when more are known, it starts again.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 350_000
 _NONE = np.iinfo(np.int64).max
 
 

@@ -80,7 +80,7 @@ def crc_fold(col: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def slices(batch: pa.RecordBatch, column: str, chars: int = 2_000_000, rows: int = 512):
+def slices(batch: pa.RecordBatch, column: str, chars: int = 1_000_000, rows: int = 512):
     """(start, texts) of runs of rows with about ``chars`` bytes of text at most,
     so that the memory of a task does not grow with the size of an Arrow batch."""
     col = batch.column(batch.schema.get_field_index(column))

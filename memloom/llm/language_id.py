@@ -29,7 +29,7 @@ from .common import HashIndex, mix64, slices, smallest
 MARK = "▁"
 MAX_PIECE, CHUNK = 8, 32
 #: Words whose scores a worker keeps; when more are known, it starts again.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Characters of words that are worked on at once.
 _CELLS = 100_000
 _WORDS = regex.compile(r"\p{L}+").findall
