@@ -5,8 +5,6 @@ from __future__ import annotations
 
 from ..plans.dialect import Op
 
-_CAP = "#like(text, '[A-Z][a-z]+ [A-Z][a-z]+')"
-
 OPS = [
     Op("src8", "SELECT concat('{\"id\":', CAST(id AS STRING), ',\"type\":\"', type, '\",\"tag\":\"', tag2, '\"}') AS line FROM @mem", ("mem",), "JSON lines, one record each."),
     Op("src12", "SELECT o.id, round(CASE WHEN n.id IS NULL THEN o.importance ELSE greatest(o.importance, n.importance) END, 8) AS importance, CASE WHEN n.id IS NULL THEN 'kept' ELSE 'merged' END AS state FROM (SELECT * FROM @mem WHERE id % 2 = 0) o LEFT JOIN (SELECT id, importance * 1.5 AS importance FROM @mem WHERE id % 3 = 0) n ON n.id = o.id", ("mem",), "Import with the merge strategy."),
@@ -46,7 +44,7 @@ OPS = [
     Op("txt5", "SELECT id, round(0.5 * least(1.0, #hits(text, '[0-9]+') / 5.0) + 0.5 * least(1.0, length(text) / 2000.0), 9) AS quality FROM @doc", ("doc",), "Fact quality."),
     Op("txt6", "SELECT id, #hits(text, '[\\n]') + 1 AS parts FROM @doc", ("doc",), "Splitting into parts."),
     Op("txt13", "SELECT id, #sub(regexp_extract(lower(text), '(key k[0-9]+ of user [0-9]+)', 1), '[.,!?]+$', '') AS extracted FROM @mem", ("mem",), "Memories extracted by pattern."),
-    Op("txt14", f"SELECT conv_id, turn, CASE WHEN prev IS NULL OR length(text) > 4 * length(prev) THEN 'boundary' ELSE 'same' END AS state FROM (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM @turns) x WHERE {_CAP} OR turn >= 0", ("turns",), "Session boundaries."),
+    Op("txt14", "SELECT conv_id, turn, CASE WHEN prev IS NULL OR length(text) > 4 * length(prev) THEN 'boundary' ELSE 'same' END AS state FROM (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM @turns) x", ("turns",), "Session boundaries."),
     Op("txt16", "SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS context_chars FROM @turns", ("turns",), "Running context."),
     Op("cmp5", "SELECT id, #size(#tokens(text)) AS before_n, CAST(floor(#size(#tokens(text)) * 0.5) AS BIGINT) AS after_n, round(#size(#distinct(#tokens(text))) / greatest(1.0, #size(#tokens(text))), 8) AS preserved FROM @doc", ("doc",), "Token pruning metrics."),
     Op("cmp6", "SELECT user_id, tag, count(*) AS episodes, round(avg(importance), 8) AS confidence, CASE WHEN count(*) >= 10 THEN 'abstract' WHEN count(*) >= 5 THEN 'general' ELSE 'specific' END AS level FROM @tag GROUP BY user_id, tag", ("tag",), "Episodic to semantic, by topic."),
