@@ -50,7 +50,7 @@ EXPECTED = 0.1
 #: A block of a family holds about so many documents and 5-grams at most.
 BLOCK_DOCS, BLOCK_GRAMS = 1024, 1_000_000
 #: Classes on long posting lists that are verified in blocks at once; more are first joined again among themselves.
-FEW = 1024
+FEW = 4096
 
 _SPAN = 1 << 16
 _ODD = 0xD6E8FEB86659FD93
@@ -181,8 +181,9 @@ class Order:
     """The order of 5-grams and the choice of prefixes, from the sketch."""
 
     def __init__(self, sketch: np.ndarray):
-        mean = float(sketch.sum(dtype=np.int64)) / len(sketch)
-        noise = int(mean + 4 * mean**0.5) if mean >= 1 else 0
+        # above the mean only: half of the rare 5-grams keep a count of zero, enough to fill most prefixes,
+        # and those in a few documents more than others already come late
+        noise = int(sketch.sum(dtype=np.int64) // len(sketch))
         self.extra = np.minimum(np.maximum(sketch.astype(np.int64) - noise, 0), 65535).astype(np.uint16)
 
     def prefix(self, s: np.ndarray):
