@@ -8,8 +8,9 @@ Tokens are words: lower-cased ASCII, punctuation cut off, digits alike. The
 vocabulary is the corpus's most frequent words; every other word falls into one
 of a fixed number of classes by its ending. Training is data-parallel, in
 numpy: in every round each task starts from the same parameters, runs Adam over
-a fixed share of the positions of every document it holds, and the tasks'
-parameters are averaged, weighted by their positions. Word counts and
+a fixed share of the positions of every document it holds, another share in each
+round and all positions in the end, and the tasks' parameters are averaged,
+weighted by their positions. Word counts and
 parameters are gathered from all documents, so both grow with the corpus; only
 the vocabulary and the averaged parameters, of fixed size, reach the driver.
 """
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import mix64, slices
 
 VOCABULARY, ENDINGS, HIDDEN, SIDES = 256, 64, 32, (-2, -1, 1, 2)
-#: A task trains on one position of this many, other ones in each round.
-STRIDE, ROUNDS, BATCH = 16, 2, 512
+#: A task trains on one position of this many, other ones in each round: all positions in as many rounds.
+STRIDE, ROUNDS, BATCH = 2, 2, 512
 CACHE_WORDS = 300_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -101,8 +102,10 @@ class WindowNet:
 
     def gradient(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         h = self.hidden(ids, at)
-        p = h @ self.out + self.out_bias
-        p = np.exp(p - p.max(1, keepdims=True))
+        p = h @ self.out
+        p += self.out_bias
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(at)), ids[at]] -= 1
         p /= len(at)
@@ -111,12 +114,22 @@ class WindowNet:
         back = (p @ self.out.T) * (1 - h * h)
         g.bias[:] = back.sum(0)
         for k, d in enumerate(SIDES):
-            one = np.zeros((len(at), VOCABULARY), np.float32)
-            one[np.arange(len(at)), ids[at + d]] = 1
-            g.side[k][:] = one.T @ back
+            near = ids[at + d]
+            order = np.argsort(near, kind="stable")
+            near = near[order]
+            first = np.flatnonzero(np.diff(near, prepend=-1))
+            g.side[k][near[first]] = np.add.reduceat(back[order], first, axis=0)
         return g.all
 
 
+def share(ids: np.ndarray, owner: np.ndarray, turn: int, stride: int = STRIDE) -> np.ndarray:
+    """The positions of round ``turn``: one of ``stride``, disjoint from those of the next ``stride`` - 1 rounds."""
+    at = np.flatnonzero(owner >= 0)
+    # by the words around, so that it depends neither on order nor on partitions
+    key = mix64((ids[at] * 65537 + ids[at - 1] * 257 + ids[at + 1] + at - np.searchsorted(owner[at], owner[at])).astype(np.uint64))
+    return at[key % np.uint64(stride) == turn % stride]
+
+
 def vocabulary(docs: DataFrame, text_col: str = "text") -> list[bytes]:
     """The most frequent words of all documents; ties by the word's bytes."""
 
@@ -155,10 +168,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
             for batch in batches:
                 for _, texts in slices(batch, text_col):
                     ids, owner = ids_of.texts(texts)
-                    at = np.flatnonzero(owner >= 0)
-                    # which positions: by the words around, so that it depends neither on order nor on partitions
-                    key = mix64((ids[at] * 65537 + ids[at - 1] * 257 + ids[at + 1] + at - np.searchsorted(owner[at], owner[at])).astype(np.uint64))
-                    at = at[key % np.uint64(stride) == turn]
+                    at = share(ids, owner, turn, stride)
                     for s in range(0, len(at), BATCH):
                         g = net.gradient(ids, at[s : s + BATCH])
                         t += 1

@@ -147,6 +147,13 @@ def test_masked_lm_gradient():
         assert slope == pytest.approx(float(g[k]), rel=0.05, abs=2e-4)
 
 
+def test_masked_lm_trains_on_every_position_once():
+    ids, owner = masked_lm.Ids([b"alpha", b"beta"]).texts([prose(1, 300), "", prose(2, 300), "alpha"])
+    rounds = [masked_lm.share(ids, owner, turn, masked_lm.STRIDE) for turn in range(masked_lm.ROUNDS)]
+    assert sorted(np.concatenate(rounds)) == np.flatnonzero(owner >= 0).tolist()
+    assert all(len(r) for r in rounds)
+
+
 # 4 ---------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
