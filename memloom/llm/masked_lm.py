@@ -5,14 +5,19 @@ left and the two on its right; a document's score is the sum of the tokens'
 conditional log-probabilities.
 
 Tokens are words: lower-cased ASCII, punctuation cut off, digits alike. The
-vocabulary is the corpus's most frequent words; every other word falls into one
-of a fixed number of classes by its ending. Training is data-parallel, in
+softmax is hierarchical. The network predicts one of the corpus's most frequent
+words or, for every other word, one of a fixed number of classes by its ending;
+log p(word | class) is added from the corpus's counts. The ``LISTED`` most
+frequent words have counts of their own; the rest of a class is shared out by a
+byte model, counted on those rarer words and scaled to sum to one over the words
+of the class that are not listed, so unseen words have a probability as well. Training is data-parallel, in
 numpy: in every round each task starts from the same parameters, runs Adam over
 a fixed share of the positions of every document it holds, another share in each
 round and all positions in the end, and the tasks' parameters are averaged,
 weighted by their positions. Word counts and
 parameters are gathered from all documents, so both grow with the corpus; only
-the vocabulary and the averaged parameters, of fixed size, reach the driver.
+the listed words, the byte model and the averaged parameters, all of bounded
+size, reach the driver.
 """
 
 from __future__ import annotations
@@ -25,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices
+from .common import drop_stage, mix64, slices, stage
 
 VOCABULARY, ENDINGS, HIDDEN, SIDES = 256, 64, 32, (-2, -1, 1, 2)
 #: A task trains on one position of this many, other ones in each round: all positions in as many rounds.
 STRIDE, ROUNDS, BATCH = 2, 2, 512
+#: Words with a count of their own, those of the network included; scale of the classes of counts.
+LISTED, _FINE = 65_536, 64
 CACHE_WORDS = 300_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -38,6 +45,92 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
+def ending(word: bytes) -> int:
+    return zlib.crc32(word[-3:]) % ENDINGS
+
+
+class Vocabulary(list):
+    """The network's words, and p(word | ending class) of all others.
+
+    ``counts`` are the listed words' counts, ``rest`` the counts of unlisted
+    words by class, ``pairs`` the byte pairs of unlisted words, read from the
+    end: pairs[a, b] counts byte b before byte a; 256 is the border on both sides.
+    """
+
+    def __init__(self, words: list[bytes], counts: dict[bytes, int], rest: np.ndarray, pairs: np.ndarray):
+        super().__init__(words)
+        own = set(words)
+        listed = {w: n for w, n in counts.items() if w not in own}
+        used = np.array([*sorted(set(_TABLE) - {32}), 256])
+        step = np.zeros((257, 257))
+        step[np.ix_(used, used)] = pairs[np.ix_(used, used)] + 0.5
+        step[256, 256] = 0  # no word is empty
+        total = step.sum(1, keepdims=True)
+        with np.errstate(divide="ignore"):
+            self.step = np.log(np.divide(step, total, out=np.zeros_like(step), where=total > 0)).tolist()
+        # the byte model's share of each class, without listed words
+        share = self._class_shares(used[:-1])
+        for w in counts.keys() | own:
+            share[ending(w)] -= np.exp(self.spelled(w))
+        seen = rest.astype(np.float64) + 1
+        for w, n in listed.items():
+            seen[ending(w)] += n
+        self.listed = {w: float(np.log(n / seen[ending(w)])) for w, n in listed.items()}
+        self.unlisted = (np.log((rest + 1) / seen) - np.log(np.maximum(share, 1e-12))).tolist()
+        self.within = {w: 0.0 for w in words} | self.listed
+
+    def __reduce__(self):
+        return _restored, (list(self), self.__dict__)
+
+    def _class_shares(self, used: np.ndarray) -> np.ndarray:
+        """The byte model's probability of all words of each class."""
+        p = np.exp(np.array(self.step))
+        out = np.zeros(ENDINGS)
+        for a in used:  # the last byte
+            out[ending(bytes([a]))] += p[256, a] * p[a, 256]
+            for b in used:
+                two = p[256, a] * p[a, b]
+                out[ending(bytes([b, a]))] += two * p[b, 256]
+                three = [ending(bytes([c, b, a])) for c in used]
+                out += np.bincount(three, two * p[b, used], ENDINGS)
+        return out
+
+    def spelled(self, word: bytes) -> float:
+        """Log-probability of the word in the byte model."""
+        total, last = 0.0, 256
+        for b in reversed(word):
+            total += self.step[last][b]
+            last = b
+        return total + self.step[last][256]
+
+    def log_within(self, word: bytes) -> float:
+        """log p(word | class); 0 for a word that the network predicts itself."""
+        found = self.within.get(word)
+        return self.unlisted[ending(word)] + self.spelled(word) if found is None else found
+
+
+def _restored(words: list[bytes], state: dict) -> Vocabulary:
+    out = Vocabulary.__new__(Vocabulary)
+    out.extend(words)
+    out.__dict__.update(state)
+    return out
+
+
+class Within(dict):
+    """Log p(word | class) of the words met, as many as ``CACHE_WORDS``."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__(vocabulary.within)
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+            self.update(self.vocabulary.within)
+        found = self[word] = self.vocabulary.log_within(word)
+        return found
+
+
 class Ids(dict):
     """Word to id; 0 is the edge of a text, then the ending classes, then the vocabulary."""
 
@@ -49,15 +142,17 @@ class Ids(dict):
         if len(self) > CACHE_WORDS:
             self.clear()
             self.update({w: 1 + ENDINGS + i for i, w in enumerate(self.vocabulary)})
-        found = self[word] = 1 + zlib.crc32(word[-3:]) % ENDINGS
+        found = self[word] = 1 + ending(word)
         return found
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row with edges between the texts, and each id's text (-1: edge)."""
+        return self.rows([words_of(text) for text in texts])
+
+    def rows(self, cut: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         edge = max(map(abs, SIDES))
         ids, owner = [np.zeros(edge, np.int64)], [np.full(edge, -1)]
-        for k, text in enumerate(texts):
-            words = words_of(text)
+        for k, words in enumerate(cut):
             ids += [np.fromiter(map(self.__getitem__, words), np.int64, len(words)), np.zeros(edge, np.int64)]
             owner += [np.full(len(words), k), np.full(edge, -1)]
         return np.concatenate(ids), np.concatenate(owner)
@@ -130,8 +225,9 @@ def share(ids: np.ndarray, owner: np.ndarray, turn: int, stride: int = STRIDE) -
     return at[key % np.uint64(stride) == turn % stride]
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> list[bytes]:
-    """The most frequent words of all documents; ties by the word's bytes."""
+def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
+    """The most frequent words of all documents, ties by the word's bytes, and the
+    counts behind p(word | class)."""
 
     def run(batches):
         def rows(counts):
@@ -150,13 +246,40 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> list[bytes]:
                     counts.clear()
         yield from rows(counts)
 
-    counted = docs.select(text_col).mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [bytes(r[0]) for r in counted.orderBy(F.desc("n"), "w").limit(VOCABULARY - 1 - ENDINGS).collect()]
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[list[bytes], np.ndarray]:
+    counted = stage(docs.select(text_col).mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
+    level = F.floor(F.log("n") * _FINE)
+    least, room = 0, LISTED
+    for x, n in sorted(map(tuple, counted.groupBy(level.alias("x")).count().collect()), reverse=True):  # a few thousand classes of counts
+        room -= n
+        if room < 0:
+            least = x + 1
+            break
+    listed = {bytes(w): n for w, n in counted.where(level >= least).collect()}  # LISTED rows at most
+    head = sorted(listed, key=lambda w: (-listed[w], w))[: VOCABULARY - 1 - ENDINGS]
+
+    def spell(batches):
+        tally: Counter = Counter()
+        for batch in batches:
+            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tally[257 * 257 + ending(w)] += n
+                last = 256
+                for b in reversed(w):
+                    tally[last * 257 + b] += n
+                    last = b
+                tally[last * 257 + 256] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.int32()), pa.array(list(tally.values()), pa.int64())], names=["k", "n"])
+
+    flat = np.zeros(257 * 257 + ENDINGS, np.int64)
+    for k, n in counted.where(level < least).mapInArrow(spell, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        flat[k] = n
+    drop_stage(counted)
+    return Vocabulary(head, listed, flat[257 * 257 :], flat[: 257 * 257].reshape(257, 257))
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[Vocabulary, np.ndarray]:
     """(vocabulary, parameters) of a network fitted on all documents."""
-    words = vocabulary(docs, text_col)
+    found = vocabulary(docs, text_col)
+    words = list(found)
     parameters = WindowNet().all
     chunk = 1024
 
@@ -198,10 +321,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
             stop = min(len(merged), (k + 1) * chunk)
             merged[k * chunk : stop] = part[: stop - k * chunk]
         parameters = merged
-    return words, parameters
+    return found, parameters
 
 
-def score(docs: DataFrame, model: tuple[list[bytes], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: tuple[Vocabulary, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pseudo-log-likelihood of every text.
 
     Result, one row per input row: the id column, ``n_tokens`` long, ``score``
@@ -212,16 +335,17 @@ def score(docs: DataFrame, model: tuple[list[bytes], np.ndarray], id_col: str =
     words, parameters = model
 
     def run(batches):
-        net, ids_of = WindowNet(parameters), Ids(words)
+        net, ids_of, within = WindowNet(parameters), Ids(words), Within(words).__getitem__
         for batch in batches:
             count, total = [], []
             for _, texts in slices(batch, text_col):
-                ids, owner = ids_of.texts(texts)
+                cut = [words_of(text) for text in texts]
+                ids, owner = ids_of.rows(cut)
                 at = np.flatnonzero(owner >= 0)
                 own = owner[at]
                 n = np.bincount(own, minlength=len(texts))
                 count.append(n)
-                total.append(np.bincount(own, net.log_probability(ids, at), len(texts)))
+                total.append(np.bincount(own, net.log_probability(ids, at), len(texts)) + [sum(map(within, x)) for x in cut])
             n = np.concatenate(count) if count else np.zeros(0, np.int64)
             s = np.concatenate(total) if total else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(s), pa.array(s / np.maximum(n, 1), mask=n == 0)], names=[id_col, "n_tokens", "score", "per_token"])

@@ -154,6 +154,39 @@ def test_masked_lm_trains_on_every_position_once():
     assert all(len(r) for r in rounds)
 
 
+def test_masked_lm_tells_words_of_a_class_apart(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"{a}{b}{c}ing" for a in "bcdfgklmnprst" for b in "aeiou" for c in "bdgklmnprst"]  # one class
+    rows = [(i, " ".join([f"{a}{b}" for a in "bcdfghklmnprst" for b in "aeiouwxyzcdfgh"] * 3 + rng.choices(words[:80], range(80, 0, -1), k=60))) for i in range(40)]
+    tail = words[:80]
+    monkeypatch.setattr(masked_lm, "LISTED", 250)  # in the driver, where the list is cut
+    words_, parameters = masked_lm.train(frame(spark, rows), rounds=1)
+    text = "ba be bi bo {} ca ce ci co"
+    n = collections.Counter(" ".join(t for _, t in rows).split())
+    often, seldom, gibberish = max(tail, key=lambda w: n[w]), min(tail, key=lambda w: n[w] or 999), "qxqzqqing"
+    got = {r.doc_id: r.score for r in masked_lm.score(frame(spark, list(enumerate(map(text.format, (often, seldom, gibberish))))), (words_, parameters)).collect()}
+    assert got[0] > got[1] > got[2]
+    assert got[0] - got[1] == pytest.approx(words_.log_within(often.encode()) - words_.log_within(seldom.encode()), rel=1e-4)
+
+
+def test_masked_lm_word_probabilities_of_a_class_sum_to_one():
+    rng = np.random.default_rng(3)
+    pairs = np.zeros((257, 257))
+    pairs[256, [97, 98]], pairs[np.ix_([97, 98], [97, 98])], pairs[[97, 98], 256] = 1e9, rng.integers(1, 9, (2, 2)) * 1e8, 2e9
+    rest = rng.integers(0, 50, masked_lm.ENDINGS)
+    found = masked_lm.Vocabulary([b"a"], {b"a": 90, b"ab": 30, b"bbb": 7}, rest, pairs)
+    total = np.zeros(masked_lm.ENDINGS)
+    import itertools
+
+    for n in range(1, 15):  # other bytes have no weight to speak of
+        for w in map(bytes, itertools.product(b"ab", repeat=n)):
+            if w != b"a":
+                total[masked_lm.ending(w)] += np.exp(found.log_within(w))
+    met = {masked_lm.ending(bytes(w)) for n in (1, 2, 3) for w in itertools.product(b"ab", repeat=n)}
+    for c in met:
+        assert total[c] == pytest.approx(1, abs=0.02) or c == masked_lm.ending(b"a")
+
+
 # 4 ---------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
