@@ -22,7 +22,7 @@ OPS = [
     Op("flt8", "SELECT id FROM @usage WHERE status_code >= 400 AND response_ms > 100000 AND tokens BETWEEN 10 AND 60", ("usage",), "Trace query."),
     Op("flt9", "SELECT id, text_length, CAST(floor(text_length / 4.0) AS BIGINT) AS token_count FROM @doc", ("doc",), "Size columns."),
     Op("flt11", "SELECT id, replace(replace('User {user} did {what}', '{user}', CAST(user_id AS STRING)), '{what}', tag1) AS text FROM @mem", ("mem",), "Template instantiation."),
-    Op("flt12", "SELECT id, CASE WHEN tag1 = 'error' THEN least(10.0, greatest(0.0, importance + 2.5)) ELSE importance END AS importance, least(1.0, greatest(0.0, confidence * 1.5)) AS confidence FROM @mem WHERE user_id < 20", ("mem",), "Batch update with clamps."),
+    Op("flt12", "SELECT id, CASE WHEN tag1 = 'error' THEN least(10.0, greatest(0.0, importance + 2.5)) ELSE importance END AS importance, least(1.0, greatest(0.0, confidence * 1.5)) AS confidence FROM @mem", ("mem",), "Batch update with clamps."),
     Op("joi1", "SELECT u.name, u.tier, count(*) AS n, round(sum(g.response_ms), 5) AS ms FROM @usage g JOIN @users u ON g.key_id = u.id GROUP BY u.name, u.tier", ("usage", "users"), "Usage with its users."),
     Op("joi2", "SELECT u.id, count(g.id) AS n, CAST(coalesce(sum(g.tokens), 0) AS BIGINT) AS tokens, max(g.day) AS last_day FROM @users u LEFT JOIN @usage g ON g.key_id = u.id GROUP BY u.id", ("users", "usage"), "Left join and aggregate."),
     Op("joi4", "SELECT id FROM @mem m WHERE EXISTS (SELECT 1 FROM @users u WHERE u.id = m.user_id AND u.tier = 'BUILDING')", ("mem", "users"), "Semi join."),

@@ -18,12 +18,12 @@ OPS = [
     Op("set1", "SELECT id, 'facts' AS collection FROM @mem WHERE type NOT IN ('preference', 'habit') UNION ALL SELECT id, 'prefs' AS collection FROM @mem WHERE type IN ('preference', 'habit')", ("mem",), "Union of two collections."),
     Op("set4", "SELECT user_id, #joined(tag) AS tags FROM @tag GROUP BY user_id", ("tag",), "Union of tags on a merge."),
     Op("str10", "SELECT a.fact_id, a.id AS old_id, b.id AS new_id, CASE WHEN a.status = b.status THEN 'same' ELSE concat(a.status, '->', b.status) END AS status_change, round(b.value - a.value, 6) AS delta FROM @facts a JOIN @facts b ON b.fact_id = a.fact_id AND b.from_us = a.to_us AND b.id <> a.id", ("facts",), "Difference between consecutive versions."),
-    Op("str11", "SELECT a.id, CASE WHEN position(a.text IN b.text) > 0 THEN b.text WHEN position(b.text IN a.text) > 0 THEN a.text ELSE concat(a.text, '. ', b.text) END AS text FROM @mem a JOIN @mem b ON b.id = a.id + 1 WHERE a.id < 500", ("mem",), "Texts combined."),
+    Op("str11", "SELECT a.id, CASE WHEN position(a.text IN b.text) > 0 THEN b.text WHEN position(b.text IN a.text) > 0 THEN a.text ELSE concat(a.text, '. ', b.text) END AS text FROM @mem a JOIN @mem b ON b.id = a.id + 1", ("mem",), "Texts combined."),
     Op("dat1", "SELECT id, round(age, 9) AS fractional_days, days FROM @mem", ("mem",), "Age in fractional and in whole days."),
     Op("mth3", "SELECT a.id, b.id AS other, round(#dot(a.v, b.v) / (sqrt(#dot(a.v, a.v)) * sqrt(#dot(b.v, b.v))), 8) AS cosine FROM @vec a JOIN @vec b ON b.id = a.id + 1", ("vec",), "Cosine similarity."),
     Op("arr1", "SELECT user_id, tag, share FROM (SELECT user_id, tag, round(n / CAST(sum(n) OVER (PARTITION BY user_id) AS DOUBLE), 8) AS share, n FROM (SELECT user_id, tag, count(*) AS n FROM @tag GROUP BY user_id, tag) x) y WHERE n >= 2 AND share > 0.1", ("tag",), "Common tags by share."),
     Op("jsn1", "SELECT event_id AS id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM @events", ("events",), "Fields of a JSON payload."),
-    Op("ret6", "SELECT q.id AS qid, v.id, CASE WHEN q.id % 3 = 0 THEN 'vector_only' WHEN q.id % 3 = 1 THEN 'keyword_only' ELSE 'hybrid' END AS mode FROM (SELECT id, label FROM @vec WHERE id < 6) q JOIN @vec v ON v.label = q.label AND v.id <> q.id", ("vec",), "Dispatch by mode."),
+    Op("ret6", "SELECT q.id AS qid, v.id, CASE WHEN q.id % 3 = 0 THEN 'vector_only' WHEN q.id % 3 = 1 THEN 'keyword_only' ELSE 'hybrid' END AS mode FROM @vec q JOIN @vec v ON v.label = q.label AND v.id <> q.id", ("vec",), "Dispatch by mode."),
     Op("ret8", "SELECT id, round(greatest(0.0, least(1.0, (importance * 4 - 20 + 10) / 20.0)), 9) AS rerank FROM @mem", ("mem",), "Normalised rerank score."),
     Op("ret11", "SELECT src, dst, round(max(score) / max(max(score)) OVER (PARTITION BY src), 9) AS score FROM (SELECT src, dst, weight / 2.0 AS score FROM @links UNION ALL SELECT a.src, b.dst, a.weight * b.weight / 3.0 AS score FROM @links a JOIN @links b ON b.src = a.dst) x GROUP BY src, dst", ("links",), "Graph score up to two hops, scaled by the best."),
     Op("ret17", "SELECT m.id, round(0.9 * m.confidence + 0.1 * f.score, 9) AS score FROM @mem m JOIN (SELECT user_id, avg(CASE WHEN tag1 = 'purchase' THEN 1.0 ELSE 0.3 END) AS score FROM @mem GROUP BY user_id) f ON f.user_id = m.user_id", ("mem",), "Recall with feedback."),
@@ -54,7 +54,7 @@ OPS = [
     Op("con7", "SELECT user_id, count(*) AS n, count(DISTINCT type) AS types, CASE WHEN count(DISTINCT type) <= 2 THEN true ELSE false END AS may_run FROM @mem WHERE age <= 3 GROUP BY user_id", ("mem",), "Gate of a consolidation group."),
     Op("prv1", "SELECT b.id, a.id AS parent, CASE WHEN a.type = b.type THEN 'refined' ELSE 'derived' END AS kind FROM @mem a JOIN @mem b ON b.user_id = a.user_id AND b.tag2 = a.tag2 AND b.id > a.id AND b.us - a.us < 7200000000", ("mem",), "Lineage."),
     Op("prv2", "SELECT id, #hits(text, 'https?://[^ ]+') AS citations FROM @doc", ("doc",), "Citations."),
-    Op("tms3", "SELECT id, confidence FROM @mem WHERE id % 97 = 0", ("mem",), "Belief lookup."),
+    Op("tms3", "SELECT id, confidence FROM @mem", ("mem",), "Belief lookup."),
     Op("rtn5", "SELECT id FROM @mem WHERE age > CASE tag1 WHEN 'error' THEN 29 WHEN 'purchase' THEN 25 ELSE 15 END", ("mem",), "Audit retention by severity."),
     Op("rtn6", "SELECT user_id, max(created_at) AS last_run, CASE WHEN min(age) > 1 THEN true ELSE false END AS due FROM @mem WHERE tag1 = 'signup' GROUP BY user_id", ("mem",), "Maintenance that is due."),
     Op("quo1", "SELECT n.n_name AS path, r.r_name AS parent, CASE WHEN n.n_nationkey % 4 = 0 THEN 'own' WHEN n.n_regionkey % 2 = 0 THEN 'inherited' ELSE 'none' END AS permission FROM @nation n JOIN @region r ON r.r_regionkey = n.n_regionkey", ("nation", "region"), "Effective permission: own, else of the parent."),
@@ -69,7 +69,7 @@ OPS = [
     Op("mon4", "SELECT tag1, CAST(CAST(created_at AS DATE) AS STRING) AS day, count(*) AS n, round(sum(importance), 6) AS total FROM @mem WHERE age <= 20 GROUP BY tag1, CAST(CAST(created_at AS DATE) AS STRING)", ("mem",), "Counters by day, old ones purged."),
     Op("svc1", "SELECT user_id, count(*) AS n, round(avg(importance), 8) AS importance, round(avg(exp(-age / 30.0)), 8) AS freshness, count(DISTINCT tag2) AS topics FROM @mem GROUP BY user_id", ("mem",), "Service summary."),
     Op("cru1", "SELECT session_id, min(created_at) AS started, max(created_at) AS ended, CASE WHEN min(age) > 0.1 THEN 'completed' ELSE 'active' END AS state FROM @mem GROUP BY session_id", ("mem",), "Session records."),
-    Op("sim8", "SELECT a.id AS a, b.id AS b, round(least(1.0, #common(a.t, b.t) / CAST(#size(a.t) + #size(b.t) - #common(a.t, b.t) AS DOUBLE) + CASE WHEN a.kind = b.kind THEN 0.2 ELSE 0.0 END), 8) AS s FROM (SELECT id, user_id, tag1 AS kind, #distinct(#tokens(text)) AS t FROM @mem WHERE id < 3000) a JOIN (SELECT id, user_id, tag1 AS kind, #distinct(#tokens(text)) AS t FROM @mem WHERE id < 3000) b ON a.user_id = b.user_id AND a.id < b.id", ("mem",), "Lexical similarity with a boost for synonyms."),
+    Op("sim8", "SELECT a.id AS a, b.id AS b, round(least(1.0, #common(a.t, b.t) / CAST(#size(a.t) + #size(b.t) - #common(a.t, b.t) AS DOUBLE) + CASE WHEN a.kind = b.kind THEN 0.2 ELSE 0.0 END), 8) AS s FROM (SELECT id, user_id, tag1 AS kind, #distinct(#tokens(text)) AS t FROM @mem) a JOIN (SELECT id, user_id, tag1 AS kind, #distinct(#tokens(text)) AS t FROM @mem) b ON a.user_id = b.user_id AND a.id < b.id", ("mem",), "Lexical similarity with a boost for synonyms."),
     Op("src17", "SELECT CAST(CAST(created_at AS DATE) AS STRING) AS snapshot, count(*) AS n, max(id) AS last_id FROM @mem GROUP BY CAST(CAST(created_at AS DATE) AS STRING)", ("mem",), "Rows of each daily snapshot."),
     Op("set3", "SELECT a.id, round(#common(a.t, b.t) / CAST(#size(a.t) + #size(b.t) - #common(a.t, b.t) AS DOUBLE), 9) AS jaccard FROM (SELECT id, #distinct(#tokens(text)) AS t FROM @mem) a JOIN (SELECT id, #distinct(#tokens(text)) AS t FROM @mem) b ON b.id = a.id + 1", ("mem",), "Jaccard similarity of token sets."),
     Op("dat3", "SELECT id, CASE WHEN h >= 5 AND h < 8 THEN 'early_morning' WHEN h >= 8 AND h < 12 THEN 'morning' WHEN h >= 12 AND h < 17 THEN 'afternoon' WHEN h >= 17 AND h < 21 THEN 'evening' WHEN h >= 21 OR h = 0 THEN 'night' ELSE 'late_night' END AS period FROM (SELECT id, hour(created_at) AS h FROM @mem) x", ("mem",), "Period of the day."),

@@ -32,7 +32,7 @@ OPS = [
     Op("tmp3", "SELECT user_id, dow, n, round(1 - v / 49.0, 8) AS regularity, last_us + 604800000000 AS next_us FROM (SELECT user_id, dow, count(*) + 1 AS n, var_pop(g) AS v, max(us) AS last_us FROM (SELECT user_id, dow, us, (us - lag(us) OVER (PARTITION BY user_id, dow ORDER BY us, id)) / 8.64E10 AS g FROM (SELECT user_id, id, us, CAST(#dow(created_at) AS BIGINT) AS dow FROM @mem) z) a WHERE g IS NOT NULL GROUP BY user_id, dow) b WHERE n >= 3", ("mem",), "Weekly patterns."),
     Op("tmp5", "SELECT user_id, CASE WHEN late > early * 1.1 THEN 'increasing' WHEN late < early * 0.9 THEN 'decreasing' ELSE 'stable' END AS importance_trend, kinds_early, kinds_late FROM (SELECT user_id, avg(CASE WHEN age > 15 THEN importance END) AS early, avg(CASE WHEN age <= 15 THEN importance END) AS late, count(DISTINCT CASE WHEN age > 15 THEN type END) AS kinds_early, count(DISTINCT CASE WHEN age <= 15 THEN type END) AS kinds_late FROM @mem GROUP BY user_id) x", ("mem",), "Trends of importance and of type diversity."),
     Op("tmp6", "SELECT user_id, count(*) AS n, min(created_at) AS first_at, max(created_at) AS last_at, round(count(*) / greatest(1.0, (max(us) - min(us)) / 86400000000.0), 8) AS per_day FROM @mem GROUP BY user_id", ("mem",), "Temporal summary."),
-    Op("tmp7", "SELECT user_id, CAST(CAST(created_at AS DATE) AS STRING) AS day, #ordered(id, text) AS story FROM @mem WHERE user_id < 30 GROUP BY user_id, CAST(CAST(created_at AS DATE) AS STRING)", ("mem",), "Chronological narrative by day."),
+    Op("tmp7", "SELECT user_id, CAST(CAST(created_at AS DATE) AS STRING) AS day, #ordered(id, text) AS story FROM @mem GROUP BY user_id, CAST(CAST(created_at AS DATE) AS STRING)", ("mem",), "Chronological narrative by day."),
     Op("tmp8", "SELECT id, created_at, CASE type WHEN 'fact' THEN 'milestone' WHEN 'preference' THEN 'decision' WHEN 'habit' THEN 'routine' WHEN 'event' THEN 'incident' ELSE 'observation' END AS kind FROM @mem", ("mem",), "Timeline entries by kind."),
     Op("tmp9", "SELECT id, #us(due) AS due_us FROM (SELECT id, created_at AS due FROM @mem WHERE created_at <= TIMESTAMP '2024-01-10 00:00:00' AND tag1 = 'signup') x", ("mem",), "Scheduled memories that are due."),
     Op("dat2", f"SELECT id, {_HOUR} AS hour, CAST(#dow(created_at) AS BIGINT) AS dow, CAST(month(created_at) AS BIGINT) AS month, CAST(year(created_at) AS BIGINT) AS year FROM @mem", ("mem",), "Calendar fields."),
