@@ -27,7 +27,7 @@ VIEWS = {
       SELECT o_orderkey AS id, o_custkey AS fact_id, o_orderdate AS valid_from, #us(o_orderdate) AS from_us, o_totalprice AS value, o_orderstatus AS status,
         lead(#us(o_orderdate)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS to_us
       FROM orders""",
-    "edges": "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_partkey % 10 = 0",
+    "edges": "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem",
     "links": "SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst, CASE n_nationkey % 5 WHEN 0 THEN 'works_at' WHEN 3 THEN 'located_in' WHEN 1 THEN 'manages' WHEN 4 THEN 'knows' ELSE 'part_of' END AS relation, 0.5 + (n_nationkey % 5) / 10.0 AS weight FROM nation",
     "usage": "SELECT o.o_orderkey AS id, o.o_custkey AS key_id, CAST(CAST(o.o_orderdate AS DATE) AS STRING) AS day, o.o_totalprice AS response_ms, CASE o.o_orderstatus WHEN 'F' THEN 200 WHEN 'O' THEN 404 ELSE 500 END AS status_code, CAST(o.o_orderkey % 100 AS BIGINT) AS tokens FROM orders o",
     "events": "SELECT * FROM main.events",

@@ -20,6 +20,10 @@ def large_ids(tmp_path_factory):
     pq.write_table(pa.table(events).cast(pa.schema([("event_id", pa.int64()), ("ts", pa.timestamp("us")), ("user_id", pa.int64()), ("event_type", pa.string()), ("value", pa.float64()), ("props", pa.string())])), os.path.join(folder, "events.parquet"))
     vectors = {"vec_id": pa.array([200, 301, 402, 503], pa.int64()), "embedding": pa.array([[1.0, 0.0], [1.0, 0.5], [0.0, 1.0], [1.0, 1.0]], pa.list_(pa.float32())), "label": pa.array([1, 1, 1, 2], pa.int32())}
     pq.write_table(pa.table(vectors), os.path.join(folder, "embeddings.parquet"))
+    words = "ab cd ef gh ij kl mn op qr st uv wx yz".split()
+    texts = {100: "  ab  cd " * 60 + "zz", 200: "only here", 301: "ab cd", 402: " ".join(words * 20), 503: " ".join(words)}
+    pq.write_table(pa.table({"doc_id": pa.array(list(texts), pa.int64()), "text": list(texts.values()), "lang": ["en"] * 5, "source": ["x"] * 5, "n_chars": pa.array(map(len, texts.values()), pa.int64())}), os.path.join(folder, "documents.parquet"))
+    pq.write_table(pa.table({"l_suppkey": pa.array([1, 1, 1, 2], pa.int64()), "l_partkey": pa.array([7, 7, 20, 13], pa.int64())}), os.path.join(folder, "lineitem.parquet"))
     return str(folder)
 
 
@@ -51,3 +55,21 @@ def test_similarity_covers_all_pairs_of_a_user(spark, large_ids):
 def test_dispatch_covers_all_queries(spark, large_ids):
     got = {(r.qid, r.id) for r in rows(spark, large_ids, "ret6")}
     assert got == {(a, b) for a in (200, 301, 402) for b in (200, 301, 402) if a != b}
+
+
+def test_texts_of_any_length_are_covered(spark, large_ids):
+    assert {(r.a, r.b, round(r.jaccard, 6)) for r in rows(spark, large_ids, "sim3")} == {(100, 301, round(2 / 3, 6)), (402, 503, 1.0)}
+    assert {r.id: r.text for r in rows(spark, large_ids, "str6")}[100] == "ab cd " * 60 + "zz"
+
+
+def test_edges_cover_all_parts(spark, large_ids):
+    assert {tuple(r) for r in rows(spark, large_ids, "gra8")} == {(1, 2, 7), (2, 1, 13)}
+
+
+def test_search_covers_every_hundredth_id_and_whole_texts(spark, large_ids):
+    assert {(r.qid, r.id) for r in rows(spark, large_ids, "ret1")} == {(200, 301), (200, 402), (200, 503)}
+    assert {(r.qid, r.id) for r in rows(spark, large_ids, "src2")} == {(200, 301), (200, 503)}
+    # "zz" stands at the end of text 100 only, far behind its sixtieth character
+    top = {r.id: r.score for r in rows(spark, large_ids, "ret2") if r.qid == 100}
+    short = {r.id for r in rows(spark, large_ids, "ret2") if r.qid == 200}
+    assert max(top, key=top.get) == 100 and short == {200}
