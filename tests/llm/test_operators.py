@@ -247,6 +247,17 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(frame(spark, []), spark.createDataFrame([(10, item)], "item_id long, text string")).count() == 0
 
 
+def test_decontaminate_loses_no_copies(spark):
+    apart = "Take 3 red cups and fill each of them with fresh water from the old well behind our house until only 3 remain on the shelf near the door"
+    table = "12 15 18 21 24 27 30 33 36 39 42 45 48 51"
+    short, item = "what is the capital of France", "4 7 sum 9 2 product 8 1 5 total 6 6 3 2 5"
+    rows = [(1, prose(1) + ". " + apart.replace("only 3", "only 5")), (2, "see " + table + " end"), (3, "So " + short + " then"), (4, "what is the capital of Spain"), (5, table.replace("27", "28").replace("39", "38")), (6, prose(2)), (7, item), (8, item.replace("9", "7", 1))]
+    items = [(1, apart), (2, table), (3, short), (4, item), (5, "... !")]
+    got = {r.doc_id: r for r in decontaminate.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {d: r["items"] for d, r in got.items()} == {1: [1], 2: [2], 3: [3], 7: [4]}
+    assert got[1].covered >= 13 and not got[2].changed and got[3].covered == 6 and not got[3].changed
+
+
 # 6 ---------------------------------------------------------------------------
 
 
