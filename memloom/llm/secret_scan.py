@@ -3,9 +3,10 @@
 Base spans come from three patterns. Further spans come from two character
 Markov models: one of random strings, one of ordinary identifiers, both bigram
 models trained on labelled samples. Every run of key-like characters of a
-minimum length is scored by the difference of its log-likelihoods; a run whose
-ratio passes a threshold and that touches no base span is a span of kind
-``markov``.
+minimum length is scored by the difference of its log-likelihoods, and so are
+its segments between separators, as ordinary text joined to a secret would hide
+it. A run or segment whose ratio passes a threshold, that lies in no longer one
+and touches no base span, is a span of kind ``markov``.
 
 Positions are code points, end exclusive. They follow from the lengths of the
 pieces between matches, so no user code runs.
@@ -28,13 +29,15 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN_LEAST = 16
 RUN = rf"[A-Za-z0-9+/_=-]{{{RUN_LEAST},}}"
-#: Log-likelihood ratio, in nats in all and per character, from which a run is a secret.
+#: Separators at which a run is cut into segments, each by itself and together.
+CUTS = ("=", "/", "-", "_", "[=/]", "[_-]", "[=/_-]")
+#: Log-likelihood ratio, in nats in all and per character, from which a run or segment is a secret.
 THRESHOLD, PER_CHARACTER = 16.0, 1.0
 _SPAN = "array<struct<s:int,k:int,e:int>>"
 
 
-def _positions(text: Column, pattern: str, keep, kind: int) -> Column:
-    """Spans of the kept matches; ``keep`` maps a match's number and text to a condition."""
+def _positions(text: Column, pattern: str, spans) -> Column:
+    """Spans of the matches; ``spans`` maps a match's gap and text, its start and its end to an array of spans."""
     between = F.split(text, pattern, -1)
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
@@ -42,17 +45,33 @@ def _positions(text: Column, pattern: str, keep, kind: int) -> Column:
     def step(acc, pair):
         s = acc["at"] + F.length(pair["g"])
         e = s + F.length(pair["m"])
-        one = F.array(F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e")))
-        return F.struct(e.alias("at"), F.when(keep(pair), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        return F.struct(e.alias("at"), F.concat(acc["out"], spans(pair, s, e)).alias("out"))
 
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(match)), match, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
     return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
 
 
+def _kept(keep, kind: int):
+    """The whole match as a span of ``kind`` if ``keep`` says so."""
+    return lambda p, s, e: F.when(keep(p), F.array(F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e")))).otherwise(F.array().cast(_SPAN))
+
+
+def _segments(run: Column) -> Column:
+    """(at, t) of a run and of its segments that are long enough, each once."""
+    none = F.array().cast("array<struct<at:int,t:string>>")
+
+    def step(acc, t):
+        one = F.array(F.struct(acc["at"].alias("at"), t.alias("t")))
+        return F.struct((acc["at"] + F.length(t) + 1).alias("at"), F.when(F.length(t) >= RUN_LEAST, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    cuts = [F.aggregate(F.split(run, cut, -1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"]) for cut in CUTS]
+    return F.array_distinct(F.concat(F.array(F.struct(F.lit(0).alias("at"), run.alias("t"))), *cuts))
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     value = lambda p: F.length(F.regexp_extract(p["m"], ASSIGN, 2)) >= ASSIGN_LEAST
     every = lambda p: F.lit(True)
-    return {"assign": _positions(text, ASSIGN, value, 0), "access": _positions(text, ACCESS, every, 1), "hex": _positions(text, HEX, every, 2)}
+    return {"assign": _positions(text, ASSIGN, _kept(value, 0)), "access": _positions(text, ACCESS, _kept(every, 1)), "hex": _positions(text, HEX, _kept(every, 2))}
 
 
 def _bigrams(token: Column) -> Column:
@@ -131,8 +150,12 @@ def scan(docs: DataFrame, model: MarkovModel, id_col: str = "doc_id", text_col:
     out = docs.select(F.col(id_col), *extra, text.alias("_text"), F.concat(*kinds.values()).alias("_base"))
     runs = F.regexp_extract_all("_text", F.lit(RUN), F.lit(0))
     secret = lambda m: model.score(m) >= F.greatest(F.lit(THRESHOLD), PER_CHARACTER * F.length(m))
-    out = out.withColumn("_likely", F.exists(runs, secret))
-    out = out.withColumn("_found", F.when(F.col("_likely"), _positions(F.col("_text"), RUN, lambda p: secret(p["m"]), 3)).otherwise(F.array().cast(_SPAN)))
+    passing = lambda m: F.filter(_segments(m), lambda x: secret(x["t"]))
+    found = lambda p, s, e: F.transform(passing(p["m"]), lambda x: F.struct((s + x["at"]).alias("s"), F.lit(3).alias("k"), (s + x["at"] + F.length(x["t"])).alias("e")))
+    out = out.withColumn("_likely", F.exists(runs, lambda m: F.size(passing(m)) > 0))
+    out = out.withColumn("_all", F.when(F.col("_likely"), _positions(F.col("_text"), RUN, found)).otherwise(F.array().cast(_SPAN)))
+    inside = lambda x, y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]) & (y["e"] - y["s"] > x["e"] - x["s"])
+    out = out.withColumn("_found", F.filter("_all", lambda x: ~F.exists("_all", lambda y: inside(x, y))))
     new = F.filter("_found", lambda x: ~F.exists("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     return out.select(id_col, *extra, F.array_sort("_base").alias("base"), F.array_sort(F.concat("_base", new)).alias("spans"))
 

@@ -228,6 +228,21 @@ def test_secret_scan_against_brute_force(spark):
     assert secret_scan.scan(frame(spark, []), model).count() == 0
 
 
+def test_secret_scan_finds_secrets_joined_to_ordinary_text(spark):
+    rng = random.Random(6)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]
+    keys = ["".join(rng.choices(a, k=n)) for a in alphabets for n in (16, 20) for _ in range(12)]
+    names = ["", "PROD_SERVICE_KEY=", "config/production/service_account/private_key=", "backup-archive-server-name-"]
+    rows = [(1000 * j + i, name + key) for j, name in enumerate(names) for i, key in enumerate(keys)] + [(-1, names[2] + "get_user_name_from_database/index")]
+    docs = frame(spark, rows)
+    got = {r.doc_id: {(x.s, x.e) for x in r.spans} for r in secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_samples(spark, docs))).collect()}
+    alone = [i for i, key in enumerate(keys) if (0, len(key)) in got[i]]
+    assert len(alone) >= 0.9 * len(keys) and not got[-1]
+    for j, name in enumerate(names[1:], 1):
+        for i in alone:
+            assert any(s <= len(name) and e == len(name) + len(keys[i]) for s, e in got[1000 * j + i]), name + keys[i]
+
+
 # 5 ---------------------------------------------------------------------------
 
 
