@@ -27,9 +27,6 @@ OPS = [
     Op("ret8", "SELECT id, round(greatest(0.0, least(1.0, (importance * 4 - 20 + 10) / 20.0)), 9) AS rerank FROM @mem", ("mem",), "Normalised rerank score."),
     Op("ret11", "SELECT src, dst, round(max(score) / max(max(score)) OVER (PARTITION BY src), 9) AS score FROM (SELECT src, dst, weight / 2.0 AS score FROM @links UNION ALL SELECT a.src, b.dst, a.weight * b.weight / 3.0 AS score FROM @links a JOIN @links b ON b.src = a.dst) x GROUP BY src, dst", ("links",), "Graph score up to two hops, scaled by the best."),
     Op("ret17", "SELECT m.id, round(0.9 * m.confidence + 0.1 * f.score, 9) AS score FROM @mem m JOIN (SELECT user_id, avg(CASE WHEN tag1 = 'purchase' THEN 1.0 ELSE 0.3 END) AS score FROM @mem GROUP BY user_id) f ON f.user_id = m.user_id", ("mem",), "Recall with feedback."),
-    Op("hlt7", "SELECT user_id, round(0.3 * fresh + 0.25 * div + 0.25 * cons + 0.2 * cov, 7) AS score, CASE WHEN 0.3 * fresh + 0.25 * div + 0.25 * cons + 0.2 * cov >= 75 THEN 'good' WHEN 0.3 * fresh + 0.25 * div + 0.25 * cons + 0.2 * cov >= 60 THEN 'fair' ELSE 'poor' END AS status FROM (SELECT user_id, 100 * avg(exp(-age / 30.0)) AS fresh, least(100.0, 100 * count(DISTINCT type) / 6.0) AS div, 100 * avg(confidence) AS cons, least(100.0, 10.0 * count(DISTINCT tag2)) AS cov FROM @mem GROUP BY user_id) x", ("mem",), "Store health, second definition."),
-    Op("hlt11", "SELECT user_id, round(0.5 * q + 10 - 5 * low, 7) AS score FROM (SELECT user_id, 10 * avg(importance * confidence) AS q, avg(CASE WHEN importance < 2 THEN 1.0 ELSE 0.0 END) AS low FROM @mem GROUP BY user_id) x", ("mem",), "Store health, third definition."),
-    Op("hlt12", "SELECT id, round(0.3 * least(1.0, length(text) / 60.0) + 0.25 * confidence + 0.2 * exp(-age / 60.0) + 0.15 * importance / 10.0 + 0.1 * least(1.0, access_count / 10.0), 9) AS quality FROM @mem", ("mem",), "Heuristic provenance quality."),
     Op("hlt14", "SELECT user_id, id, action FROM (SELECT user_id, id, action, row_number() OVER (PARTITION BY user_id ORDER BY action, id) AS r FROM (SELECT user_id, id, CASE WHEN importance < 1 AND access_count = 0 THEN 'cleanup' WHEN access_count > 9 AND importance < 4 THEN 'raise' WHEN access_count = 0 AND importance > 9 THEN 'lower' END AS action FROM @mem) x WHERE action IS NOT NULL) y WHERE r <= 20", ("mem",), "Healing actions, up to a limit."),
     Op("hlt16", "SELECT m.user_id, count(*) AS n, CAST(sum(CASE WHEN m.age > 20 AND m.access_count = 0 THEN 1 ELSE 0 END) AS BIGINT) AS stale, count(*) - count(DISTINCT m.text) AS copies, count(DISTINCT m.tag2) AS topics FROM @mem m GROUP BY m.user_id", ("mem",), "Combined quality report."),
     Op("ins7", "SELECT tag, CAST(sum(CASE WHEN age > 20 THEN 1 ELSE 0 END) AS BIGINT) AS early, CAST(sum(CASE WHEN age <= 10 THEN 1 ELSE 0 END) AS BIGINT) AS late FROM @tag GROUP BY tag", ("tag",), "Tag trends."),
@@ -39,7 +36,6 @@ OPS = [
     Op("gra10", "SELECT concat('memory_', CAST(id AS STRING)) AS src, concat('topic_', tag) AS dst, 'about' AS relation FROM @tag UNION ALL SELECT concat('memory_', CAST(id AS STRING)) AS src, concat('entity_', CAST(user_id AS STRING)) AS dst, 'mentions' AS relation FROM @mem", ("tag", "mem"), "Links that populate the graph."),
     Op("gra14", "WITH RECURSIVE up(node, root, depth) AS (SELECT dst, src, 1 FROM @links WHERE src < dst UNION ALL SELECT u.node, l.src, u.depth + 1 FROM up u JOIN @links l ON l.dst = u.root AND l.src < l.dst WHERE u.depth < 25) SELECT node, CAST(max(depth) AS BIGINT) AS generations, CAST(min(root) AS BIGINT) AS oldest FROM up GROUP BY node", ("links",), "Ancestry along parents of smaller number."),
     Op("gra17", "SELECT tag, CAST(CAST(created_at AS DATE) AS STRING) AS day, count(*) AS n FROM @tag GROUP BY tag, CAST(CAST(created_at AS DATE) AS STRING)", ("tag",), "Mentions over time."),
-    Op("txt2", "SELECT id, #hits(text, '([A-Z][a-z]+ (is|der|la|the) [A-Za-z]+)') AS relations FROM @doc", ("doc",), "Relations by pattern."),
     Op("txt3", "SELECT tag AS entity, count(*) AS mentions, min(created_at) AS first_seen, max(created_at) AS last_seen, count(DISTINCT user_id) AS users FROM @tag GROUP BY tag", ("tag",), "Entity profiles."),
     Op("txt5", "SELECT id, round(0.5 * least(1.0, #hits(text, '[0-9]+') / 5.0) + 0.5 * least(1.0, length(text) / 2000.0), 9) AS quality FROM @doc", ("doc",), "Fact quality."),
     Op("txt6", "SELECT id, #hits(text, '[\\n]') + 1 AS parts FROM @doc", ("doc",), "Splitting into parts."),
@@ -57,8 +53,6 @@ OPS = [
     Op("tms3", "SELECT id, confidence FROM @mem", ("mem",), "Belief lookup."),
     Op("rtn5", "SELECT id FROM @mem WHERE age > CASE tag1 WHEN 'error' THEN 29 WHEN 'purchase' THEN 25 ELSE 15 END", ("mem",), "Audit retention by severity."),
     Op("rtn6", "SELECT user_id, max(created_at) AS last_run, CASE WHEN min(age) > 1 THEN true ELSE false END AS due FROM @mem WHERE tag1 = 'signup' GROUP BY user_id", ("mem",), "Maintenance that is due."),
-    Op("quo1", "SELECT n.n_name AS path, r.r_name AS parent, CASE WHEN n.n_nationkey % 4 = 0 THEN 'own' WHEN n.n_regionkey % 2 = 0 THEN 'inherited' ELSE 'none' END AS permission FROM @nation n JOIN @region r ON r.r_regionkey = n.n_regionkey", ("nation", "region"), "Effective permission: own, else of the parent."),
-    Op("stm4", "SELECT id, CASE WHEN #like(text, 'purchase event with key k[0-4]') THEN 'fired' WHEN age > 25 THEN 'expired' ELSE 'pending' END AS state FROM @mem", ("mem",), "Prospective intents."),
     Op("stm8", "SELECT job, n FROM (SELECT 'expire' AS job, count(*) AS n FROM @mem WHERE age > 28 UNION ALL SELECT 'decay' AS job, count(*) AS n FROM @mem WHERE age > 1 UNION ALL SELECT 'dedup' AS job, count(*) - count(DISTINCT text) AS n FROM @mem) x", ("mem",), "What the scheduled jobs would touch."),
     Op("stm9", "SELECT id, CAST(row_number() OVER (ORDER BY us, id) AS BIGINT) AS place FROM @mem WHERE tag1 = 'error'", ("mem",), "Replay order of an offline queue."),
     Op("stm11", "SELECT tag1, id FROM (SELECT tag1, id, row_number() OVER (PARTITION BY tag1 ORDER BY us DESC, id DESC) AS r FROM @mem) x WHERE r <= 10", ("mem",), "Fire history, newest first."),
@@ -69,7 +63,6 @@ OPS = [
     Op("mon4", "SELECT tag1, CAST(CAST(created_at AS DATE) AS STRING) AS day, count(*) AS n, round(sum(importance), 6) AS total FROM @mem WHERE age <= 20 GROUP BY tag1, CAST(CAST(created_at AS DATE) AS STRING)", ("mem",), "Counters by day, old ones purged."),
     Op("svc1", "SELECT user_id, count(*) AS n, round(avg(importance), 8) AS importance, round(avg(exp(-age / 30.0)), 8) AS freshness, count(DISTINCT tag2) AS topics FROM @mem GROUP BY user_id", ("mem",), "Service summary."),
     Op("cru1", "SELECT session_id, min(created_at) AS started, max(created_at) AS ended, CASE WHEN min(age) > 0.1 THEN 'completed' ELSE 'active' END AS state FROM @mem GROUP BY session_id", ("mem",), "Session records."),
-    Op("sim8", "SELECT a.id AS a, b.id AS b, round(least(1.0, #common(a.t, b.t) / CAST(#size(a.t) + #size(b.t) - #common(a.t, b.t) AS DOUBLE) + CASE WHEN a.kind = b.kind THEN 0.2 ELSE 0.0 END), 8) AS s FROM (SELECT id, user_id, tag1 AS kind, #distinct(#tokens(text)) AS t FROM @mem) a JOIN (SELECT id, user_id, tag1 AS kind, #distinct(#tokens(text)) AS t FROM @mem) b ON a.user_id = b.user_id AND a.id < b.id", ("mem",), "Lexical similarity with a boost for synonyms."),
     Op("src17", "SELECT CAST(CAST(created_at AS DATE) AS STRING) AS snapshot, count(*) AS n, max(id) AS last_id FROM @mem GROUP BY CAST(CAST(created_at AS DATE) AS STRING)", ("mem",), "Rows of each daily snapshot."),
     Op("set3", "SELECT a.id, round(#common(a.t, b.t) / CAST(#size(a.t) + #size(b.t) - #common(a.t, b.t) AS DOUBLE), 9) AS jaccard FROM (SELECT id, #distinct(#tokens(text)) AS t FROM @mem) a JOIN (SELECT id, #distinct(#tokens(text)) AS t FROM @mem) b ON b.id = a.id + 1", ("mem",), "Jaccard similarity of token sets."),
     Op("dat3", "SELECT id, CASE WHEN h >= 5 AND h < 8 THEN 'early_morning' WHEN h >= 8 AND h < 12 THEN 'morning' WHEN h >= 12 AND h < 17 THEN 'afternoon' WHEN h >= 17 AND h < 21 THEN 'evening' WHEN h >= 21 OR h = 0 THEN 'night' ELSE 'late_night' END AS period FROM (SELECT id, hour(created_at) AS h FROM @mem) x", ("mem",), "Period of the day."),

@@ -6,28 +6,10 @@ from ..plans.dialect import Op
 
 #: Half-lives in days by memory type, of the engine's decay (fixed values).
 HALF_LIFE = "CASE type WHEN 'preference' THEN 90.0 WHEN 'fact' THEN 30.0 WHEN 'goal' THEN 60.0 WHEN 'habit' THEN 90.0 WHEN 'event' THEN 14.0 WHEN 'context' THEN 30.0 ELSE 30.0 END"
-_BOOST = "(1 + least(access_count * 0.5, 3.0) * 0.1)"
-_FACTOR = {
-    "linear": f"greatest(0.0, 1 - age / (2 * {HALF_LIFE}))",
-    "exponential": f"pow(0.5, age / {HALF_LIFE})",
-    "logarithmic": f"greatest(0.0, 1 - ln(1 + age) / ln(1 + 4 * {HALF_LIFE}))",
-    "step": f"CASE WHEN age < 0.5 * {HALF_LIFE} THEN 1.0 WHEN age < {HALF_LIFE} THEN 0.75 WHEN age < 2 * {HALF_LIFE} THEN 0.5 WHEN age < 4 * {HALF_LIFE} THEN 0.25 ELSE 0.1 END",
-}
-_FACTOR["hybrid"] = f"CASE WHEN age < {HALF_LIFE} THEN {_FACTOR['linear']} ELSE {_FACTOR['exponential']} END"
-
-
-def decayed(kind: str) -> str:
-    """Importance after decay: factor plus access boost, scaled by confidence, floor 1."""
-    return f"greatest(1.0, importance * ({_FACTOR[kind]} + least(access_count * 0.5, 3.0) * 0.1) * (1 + 0.35 * confidence))"
-
-
 HEALTH = "(0.4 * importance + 10 * 0.25 * exp(-age / 30.0) + 10 * 0.2 * least(access_count / 20.0, 1.0) + 10 * 0.15 * confidence)"
 VERDICT = "CASE WHEN h >= 7 THEN 'keep' WHEN h >= 5 THEN 'decay' WHEN h >= 3 THEN 'archive' ELSE 'prune' END"
-TEMPERATURE = "(0.4 * least(access_count / 10.0, 1.0) + 0.3 * exp(-age / 30.0) + 0.3 * importance / 10.0)"
 
 OPS = [
-    Op("dec1", "SELECT id, " + ", ".join(f"round({decayed(k)}, 9) AS {k}" for k in _FACTOR) + " FROM @mem", ("mem",), "Decayed importance under five functions."),
-    Op("dec2", f"SELECT user_id, count(*) AS n, round(sum(importance), 7) AS before_sum, round(sum({decayed('exponential')}), 7) AS after_sum, round(avg({decayed('exponential')}), 9) AS after_avg, CAST(sum(CASE WHEN abs({decayed('exponential')} - importance) > 0.1 * importance THEN 1 ELSE 0 END) AS BIGINT) AS n_changed FROM @mem GROUP BY user_id", ("mem",), "Statistics of a batch decay by user."),
     Op("dec3", f"SELECT id, round(importance * pow(0.5, age / {HALF_LIFE}), 9) AS importance FROM @mem WHERE importance - importance * pow(0.5, age / {HALF_LIFE}) > 0.1", ("mem",), "Nightly decay: rows that change by more than 0.1."),
     Op("dec4", "SELECT id, round(greatest(0.1, pow(0.5, days / 90.0)), 9) AS exponential, round(greatest(0.1, 1 - 0.01 * days), 9) AS linear, round(greatest(0.1, 1 - ln(1 + days) / ln(1 + 180)), 9) AS logarithmic, CASE WHEN days <= 7 THEN 1.0 WHEN days <= 30 THEN 0.8 WHEN days <= 90 THEN 0.6 WHEN days <= 180 THEN 0.4 WHEN days <= 365 THEN 0.2 ELSE 0.1 END AS step FROM @mem", ("mem",), "Registered decay multipliers on whole days, with floors."),
     Op("dec5", "SELECT id, round(importance * pow(0.95, days), 9) AS importance FROM @mem", ("mem",), "Policy decay by day."),
@@ -35,19 +17,10 @@ OPS = [
     Op("hlt1", f"SELECT id, round(h, 9) AS health, {VERDICT} AS verdict FROM (SELECT id, {HEALTH} AS h FROM @mem) x", ("mem",), "Health of each memory, 0 to 10, and its verdict."),
     Op("hlt2", f"SELECT user_id, id, round(h, 9) AS health FROM (SELECT user_id, id, h, row_number() OVER (PARTITION BY user_id ORDER BY h, id) AS r FROM (SELECT user_id, id, {HEALTH} AS h FROM @mem) x) y WHERE r <= @k AND h < 5", ("mem",), "Pruning candidates: each user's least healthy.", {"k": 5}),
     Op("hlt3", f"SELECT user_id, count(*) AS n, CAST(sum(CASE WHEN h >= 7 THEN 1 ELSE 0 END) AS BIGINT) AS keep, CAST(sum(CASE WHEN h >= 5 AND h < 7 THEN 1 ELSE 0 END) AS BIGINT) AS decay, CAST(sum(CASE WHEN h >= 3 AND h < 5 THEN 1 ELSE 0 END) AS BIGINT) AS archive, CAST(sum(CASE WHEN h < 3 THEN 1 ELSE 0 END) AS BIGINT) AS prune, CAST(sum(CASE WHEN importance < 2 THEN 1 ELSE 0 END) AS BIGINT) AS band1, CAST(sum(CASE WHEN importance >= 2 AND importance < 4 THEN 1 ELSE 0 END) AS BIGINT) AS band2, CAST(sum(CASE WHEN importance >= 4 AND importance < 6 THEN 1 ELSE 0 END) AS BIGINT) AS band3, CAST(sum(CASE WHEN importance >= 6 AND importance < 8 THEN 1 ELSE 0 END) AS BIGINT) AS band4, CAST(sum(CASE WHEN importance >= 8 THEN 1 ELSE 0 END) AS BIGINT) AS band5 FROM (SELECT user_id, importance, {HEALTH} AS h FROM @mem) x GROUP BY user_id", ("mem",), "Maintenance report: verdicts and importance bands by user."),
-    Op("hlt4", """SELECT user_id, round(quality, 7) AS quality, round(diversity, 7) AS diversity, round(freshness, 7) AS freshness, round(coverage, 7) AS coverage, round(duplication, 7) AS duplication, round(0.25 * quality + 0.15 * (diversity + freshness + coverage + duplication + staleness), 7) AS health FROM (
-      SELECT m.user_id, 100 * (0.5 * avg(importance) / 10.0 + 0.5 * avg(confidence)) AS quality, 100 * count(DISTINCT type) / 9.0 AS diversity, 100 * avg(exp(-age / 90.0)) AS freshness, 100 * least(1.0, count(DISTINCT tag2) / 10.0) AS coverage, 100 * count(DISTINCT text) / CAST(count(*) AS DOUBLE) AS duplication, 100 * avg(CASE WHEN age > 180 AND access_count = 0 THEN 0.0 ELSE 1.0 END) AS staleness FROM @mem m GROUP BY m.user_id) x""", ("mem",), "Store health: quality, diversity, freshness, coverage, duplication, staleness."),
-    Op("hlt5", "SELECT id, round(s, 7) AS stale_confidence FROM (SELECT id, CASE WHEN age > 20 THEN 0.3 ELSE 0.0 END + CASE WHEN access_count = 0 THEN 0.3 ELSE 0.0 END + CASE WHEN importance < 3 THEN 0.2 ELSE 0.0 END + CASE WHEN confidence < 0.6 THEN 0.2 ELSE 0.0 END AS s FROM @mem) x WHERE s >= 0.5", ("mem",), "Stale memories by additive evidence."),
     Op("hlt6", "SELECT user_id, tag, n, CASE WHEN n >= 1.5 * mean THEN 'over' WHEN n < 0.5 * mean THEN 'under' ELSE 'balanced' END AS level FROM (SELECT user_id, tag, n, avg(n) OVER (PARTITION BY user_id) AS mean FROM (SELECT user_id, tag, count(*) AS n FROM @tag GROUP BY user_id, tag) a) b", ("tag",), "Topic coverage against the user's mean."),
     Op("hlt8", "SELECT id, round(least(1.0, 0.5 * least(age / 180.0, 1.0) + 0.3 * (CASE WHEN access_count = 0 THEN 1.0 ELSE 1.0 / (1 + access_count) END) + 0.2 * (1 - confidence)), 9) AS staleness, CASE WHEN importance >= 7 THEN 'review' WHEN access_count = 0 AND importance < 3 THEN 'delete' WHEN age > 25 THEN 'archive' ELSE 'refresh' END AS advice FROM @mem", ("mem",), "Staleness score and advice."),
     Op("hlt9", "SELECT user_id, tag, n, CASE WHEN n >= 10 THEN 'comprehensive' WHEN n >= 5 THEN 'good' WHEN n >= 2 THEN 'moderate' WHEN n = 1 THEN 'minimal' ELSE 'none' END AS level, round(q, 7) AS quality FROM (SELECT user_id, tag, count(*) AS n, avg(importance) / 10.0 AS q FROM @tag GROUP BY user_id, tag) x", ("tag",), "Coverage level and quality of each topic."),
-    Op("hlt10", "SELECT id, round(10 * (0.25 * least(1.0, length(text) / 100.0) + 0.2 * (CASE WHEN length(text) BETWEEN 20 AND 300 THEN 1.0 ELSE 0.6 END) + 0.2 * exp(-age / 90.0) + 0.2 * confidence + 0.15 * importance / 10.0), 9) AS quality FROM @mem", ("mem",), "Quality of each memory."),
     Op("hlt13", "SELECT id, round(0.35 * exp(-age / 60.0) + 0.35 * (CASE WHEN access_count = 0 THEN 0.0 ELSE least(1.0, ln(1 + access_count) / ln(21)) END) + 0.3 * (CASE WHEN type IN ('event', 'context') THEN exp(-age / 14.0) ELSE 1.0 END), 9) AS freshness FROM @mem", ("mem",), "Freshness, 0 to 1."),
-    Op("hlt15", "SELECT user_id, CASE WHEN n < 50 THEN 'add memories' WHEN imp < 4 THEN 'raise quality' WHEN kinds < 4 THEN 'diversify' ELSE 'none' END AS advice FROM (SELECT user_id, count(*) AS n, avg(importance) AS imp, count(DISTINCT type) AS kinds FROM @mem GROUP BY user_id) x", ("mem",), "The first recommendation that applies."),
-    Op("sco1", "SELECT id, greatest(1.0, least(10.0, 5.0 + (CASE WHEN length(text) < 10 THEN -3.0 ELSE 0.0 END) + (CASE WHEN #like(lower(text), 'critical|urgent|password|deadline|purchase') THEN 2.0 WHEN #like(lower(text), 'prefer|like|signup|need') THEN 1.0 WHEN #like(lower(text), 'maybe|view') THEN -0.5 ELSE 0.0 END) + (CASE WHEN #like(text, '[A-Z!]') THEN 1.0 ELSE 0.0 END) + (CASE WHEN length(text) > 100 THEN 0.5 ELSE 0.0 END) + (CASE type WHEN 'preference' THEN 1.0 WHEN 'fact' THEN 0.5 ELSE 0.0 END))) AS importance FROM @mem", ("mem",), "Heuristic importance, 1 to 10."),
-    Op("lif1", f"SELECT id, round(t, 9) AS temperature, CASE WHEN t >= 0.7 THEN 'hot' WHEN t >= 0.5 THEN 'warm' WHEN t >= 0.3 THEN 'cool' WHEN t >= 0.15 THEN 'cold' ELSE 'frozen' END AS tier FROM (SELECT id, {TEMPERATURE} AS t FROM @mem) x", ("mem",), "Temperature and tier."),
-    Op("lif2", "SELECT tier, count(*) AS n FROM (SELECT CASE WHEN d <= 30 THEN 'hot' WHEN d <= 90 THEN 'warm' WHEN d <= 365 THEN 'cold' ELSE 'frozen' END AS tier FROM (SELECT days * 4 - floor((importance / 10.0 + least(access_count / 100.0, 1.0)) * 30) AS d FROM @mem) x) y GROUP BY tier", ("mem",), "Target storage tiers with a retention bonus."),
-    Op("lif3", "SELECT id, CAST(length(text) AS BIGINT) AS n, substring(text, 1, 500) AS warm, substring(text, 1, 100) AS frozen FROM @doc WHERE length(text) < 2000", ("doc",), "Texts cut for the warm and frozen tiers."),
     Op("con2", "SELECT user_id, n, tokens, CASE WHEN n >= 100 THEN 'count' WHEN tokens >= 10000 THEN 'tokens' ELSE 'no' END AS due, CAST(floor(n * 0.6) AS BIGINT) AS after_n FROM (SELECT user_id, count(*) AS n, CAST(sum(floor(length(text) / 4.0)) AS BIGINT) AS tokens FROM @mem GROUP BY user_id) x", ("mem",), "Is a consolidation due, and what would it leave."),
     Op("con4", "SELECT id, CASE WHEN importance < 1 AND access_count = 0 AND age > 7 THEN 'delete' WHEN age > 20 AND importance < 3 THEN 'archive' WHEN access_count >= 9 AND importance >= 5 THEN 'promote' ELSE 'keep' END AS action FROM @mem", ("mem",), "Policy decisions in order of precedence."),
     Op("rtn1", "SELECT id FROM @mem WHERE age >= @days AND importance < @importance AND access_count < @accesses AND tag1 NOT IN ('purchase')", ("mem",), "Memories that a retention policy lets go.", {"days": 20, "importance": 5.0, "accesses": 5}),

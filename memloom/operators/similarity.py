@@ -15,25 +15,17 @@ OPS = [
     Op("sim2", f"SELECT b AS id, CASE WHEN max(s) >= @exact THEN 'skip' WHEN max(s) >= @near THEN 'update' ELSE 'store' END AS action FROM ({_PAIRS}) x GROUP BY b", ("vec",), "Duplicate gate of the service.", {"exact": 0.4, "near": 0.3}),
     Op("sim4", f"SELECT a, b, round(s, 8) AS s, least(a, b) AS keep FROM ({_PAIRS}) x WHERE s >= @low AND s < @high", ("vec",), "Near duplicates with a merge suggestion.", {"low": 0.3, "high": 0.5}),
     Op("sim7", "SELECT user_id, sha, n, n * (n - 1) / 2 AS pairs, keep FROM (SELECT user_id, #sha(lower(trim(text))) AS sha, count(*) AS n, min(id) AS keep FROM @doc GROUP BY user_id, #sha(lower(trim(text)))) x WHERE n > 1", ("doc",), "Exact duplicates by normalised text."),
-    Op("sim9", "SELECT id, CASE WHEN greatest(a, b, c) = 0 THEN 'general' WHEN a >= b AND a >= c THEN 'licence' WHEN b >= c THEN 'contact' ELSE 'markup' END AS topic FROM (SELECT id, #hits(lower(text), '(licen|copyright)') AS a, #hits(lower(text), '(mail|phone|call)') AS b, #hits(lower(text), '(http|www|[<>{}])') AS c FROM @doc) x", ("doc",), "Topic by keyword counts, ties in order."),
     Op("sim10", "SELECT user_id, type, n FROM (SELECT user_id, type, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, type) AS r FROM (SELECT user_id, type, count(*) AS n FROM @mem GROUP BY user_id, type) x) y WHERE r <= 3", ("mem",), "Largest topic clusters."),
     Op("sim12", f"SELECT la AS label, count(*) AS pairs, round(avg(s), 8) AS cohesion, round(1 - avg(s), 8) AS diversity FROM ({_PAIRS}) x GROUP BY la", ("vec",), "Cluster quality."),
     Op("sim13", f"SELECT a, b, CASE WHEN s >= @close THEN 'similar_to' ELSE 'related_to' END AS relation FROM ({_PAIRS}) x WHERE s >= @least", ("vec",), "Suggested relationships.", {"least": 0.3, "close": 0.4}),
-    Op("sim16", f"SELECT a, b, CASE WHEN s >= 0.45 THEN 'skip' WHEN s >= 0.35 THEN 'update' WHEN s >= 0.25 THEN 'merge' ELSE 'keep_both' END AS action FROM ({_PAIRS}) x WHERE s >= 0.2", ("vec",), "Smart update decision."),
     Op("sim18", "SELECT least(a.tag2, b.tag2) AS a, greatest(a.tag2, b.tag2) AS b, count(*) AS n FROM @mem a JOIN @mem b ON a.user_id = b.user_id AND a.session_id = b.session_id AND a.id < b.id AND b.us - a.us BETWEEN -3600000000 AND 3600000000 GROUP BY least(a.tag2, b.tag2), greatest(a.tag2, b.tag2)", ("mem",), "Co-accessed keys."),
     Op("sim19", f"SELECT a, b, round((s - 0.3) / 0.15, 8) AS confidence FROM ({_PAIRS}) x WHERE s >= 0.3 AND s < 0.45", ("vec",), "Near-duplicate warnings."),
     Op("con1", "SELECT user_id, tag2, max(CASE WHEN r = 1 THEN text END) AS text, round(max(importance), 8) AS importance, round(min(confidence), 8) AS confidence, CAST(sum(access_count) AS BIGINT) AS uses, #joined(tag1) AS tags FROM (SELECT *, row_number() OVER (PARTITION BY user_id, tag2 ORDER BY importance DESC, id) AS r FROM @mem) x GROUP BY user_id, tag2", ("mem",), "Heuristic consolidation."),
     Op("sim15", "SELECT user_id, type, max(CASE WHEN a = 1 THEN id END) AS newest, max(CASE WHEN b = 1 THEN id END) AS surest, max(CASE WHEN c = 1 THEN id END) AS longest FROM (SELECT user_id, type, id, row_number() OVER (PARTITION BY user_id, type ORDER BY us DESC, id) AS a, row_number() OVER (PARTITION BY user_id, type ORDER BY confidence DESC, id) AS b, row_number() OVER (PARTITION BY user_id, type ORDER BY length(text) DESC, id) AS c FROM @mem) x GROUP BY user_id, type", ("mem",), "The survivor of a merge under three strategies."),
-    Op("cfl1", "SELECT a.id AS a, b.id AS b FROM @mem a JOIN @mem b ON a.user_id = b.user_id AND a.tag2 = b.tag2 AND a.id < b.id AND ((a.tag1 = 'purchase' AND b.tag1 = 'error') OR (a.tag1 = 'error' AND b.tag1 = 'purchase'))", ("mem",), "Contradicting pairs of the same subject."),
-    Op("cfl2", "SELECT a, b, CASE WHEN ca > cb THEN a WHEN cb > ca THEN b WHEN ta >= tb THEN a ELSE b END AS winner FROM (SELECT a.id AS a, b.id AS b, a.confidence AS ca, b.confidence AS cb, a.us AS ta, b.us AS tb FROM @mem a JOIN @mem b ON a.user_id = b.user_id AND a.tag2 = b.tag2 AND a.id < b.id AND a.tag1 = 'purchase' AND b.tag1 = 'error') x", ("mem",), "Resolution by confidence, ties by time."),
-    Op("tms1", "SELECT id, n, round(confidence * pow(0.5, n), 9) AS confidence, CASE WHEN confidence * pow(0.5, n) < 0.3 THEN 'contradicted' ELSE 'believed' END AS state FROM (SELECT a.id, a.confidence, count(b.id) AS n FROM @mem a LEFT JOIN @mem b ON a.user_id = b.user_id AND a.tag2 = b.tag2 AND a.tag1 = 'purchase' AND b.tag1 = 'error' GROUP BY a.id, a.confidence) x", ("mem",), "Belief after contradictions."),
-    Op("tms2", "SELECT l.dst, round(min(l.weight * 0.75), 9) AS confidence, CASE WHEN min(l.weight * 0.75) < 0.5 THEN 'suspended' ELSE 'held' END AS state FROM @links l GROUP BY l.dst", ("links",), "Confidence passed on along support."),
     Op("gra2", "SELECT src, dst, relation FROM @links WHERE src = @node OR dst = @node", ("links",), "Related nodes: direct edges.", {"node": 3}),
-    Op("gra3", f"WITH RECURSIVE hop(v, depth, path) AS (SELECT CAST(@node AS INT) AS v, 0 AS depth, concat(',', CAST(@node AS STRING), ',') AS path UNION ALL SELECT l.dst, h.depth + 1, concat(h.path, CAST(l.dst AS STRING), ',') FROM hop h JOIN @links l ON l.src = h.v WHERE h.depth < 12 AND h.path NOT LIKE concat('%,', CAST(l.dst AS STRING), ',%')) SELECT v, CAST(min(depth) AS BIGINT) AS depth FROM hop GROUP BY v", ("links",), "Shortest path lengths from a node.", {"node": 1}),
     Op("gra5", "SELECT n, m, round(m / CAST(n * (n - 1) AS DOUBLE), 9) AS density, round(2.0 * m / n, 9) AS degree FROM (SELECT count(*) AS n FROM (SELECT src AS x FROM @links UNION SELECT dst AS x FROM @links) u) a CROSS JOIN (SELECT count(*) AS m FROM @links) b", ("links",), "Graph statistics."),
     Op("gra6", f"WITH e AS ({_BOTH}), ball AS (SELECT CAST(@node AS INT) AS x UNION SELECT v AS x FROM e WHERE u = @node UNION SELECT b.v AS x FROM e a JOIN e b ON b.u = a.v WHERE a.u = @node) SELECT l.src, l.dst, l.relation FROM @links l JOIN ball p ON p.x = l.src JOIN ball q ON q.x = l.dst", ("links",), "Ego subgraph of radius two.", {"node": 3}),
     Op("gra8", "SELECT s.src, count(*) AS parts, min(s.dst) AS first_part FROM @edges s GROUP BY s.src", ("edges",), "Lookups over the bipartite graph."),
-    Op("gra9", "SELECT DISTINCT a.src, b.dst, a.relation AS via, 'inferred' AS relation, CASE WHEN a.relation = 'knows' THEN 0.5 WHEN a.relation = 'part_of' THEN 0.65 ELSE 0.7 END AS confidence FROM @links a JOIN @links b ON a.dst = b.src WHERE (a.relation = 'works_at' AND b.relation = 'located_in') OR (a.relation = 'located_in' AND b.relation = 'part_of') OR (a.relation = 'knows' AND b.relation = 'located_in') OR (a.relation = 'manages' AND b.relation = 'works_at') OR (a.relation = 'knows' AND b.relation = 'works_at') OR (a.relation = 'part_of' AND b.relation = 'part_of')", ("links",), "Rule inference over two hops."),
     Op("gra11", f"SELECT user_id, tag1, tag2, round({_STRENGTH}, 9) AS strength, CASE WHEN {_STRENGTH} >= 0.8 THEN 'very_strong' WHEN {_STRENGTH} >= 0.6 THEN 'strong' WHEN {_STRENGTH} >= 0.4 THEN 'moderate' WHEN {_STRENGTH} >= 0.2 THEN 'weak' ELSE 'very_weak' END AS level FROM @mem GROUP BY user_id, tag1, tag2", ("mem",), "Strength of relationships."),
     Op("gra12", f"WITH RECURSIVE hop(v, depth, w, path) AS (SELECT CAST(@node AS INT) AS v, 0 AS depth, 1.0 AS w, concat(',', CAST(@node AS STRING), ',') AS path UNION ALL SELECT l.v, h.depth + 1, h.w * l.weight, concat(h.path, CAST(l.v AS STRING), ',') FROM hop h JOIN (SELECT src AS u, dst AS v, weight FROM @links UNION ALL SELECT dst AS u, src AS v, weight FROM @links) l ON l.u = h.v WHERE h.depth < 3 AND h.path NOT LIKE concat('%,', CAST(l.v AS STRING), ',%')) SELECT v, CAST(min(depth) AS BIGINT) AS depth, round(max(w), 9) AS strength FROM hop GROUP BY v", ("links",), "Paths up to three hops with the product of weights.", {"node": 1}),
     Op("gra13", "SELECT node, round(sum(w) / (0.5 * 25), 9) AS centrality FROM (SELECT src AS node, weight AS w FROM @links UNION ALL SELECT dst AS node, weight AS w FROM @links) x GROUP BY node", ("links",), "Centrality."),

@@ -33,6 +33,7 @@ _SPELL = {
     "hits": ("CAST(size(regexp_extract_all({0}, '{1}', 0)) AS BIGINT)", "CAST(len(regexp_extract_all({0}, '{1}')) AS BIGINT)"),
     "sub": ("regexp_replace({0}, '{1}', '{2}')", "regexp_replace({0}, '{1}', '{2}', 'g')"),
     "ordered": ("array_join(transform(array_sort(collect_list(struct({0} AS o, {1} AS v))), x -> x.v), ',')", "string_agg({1}, ',' ORDER BY {0})"),
+    "span": ("sequence({0}, {1})", "generate_series({0}, {1})"),
     "each": ("explode({0})", "unnest({0})"),
     "bytes": ("CAST(octet_length({0}) AS BIGINT)", "CAST(octet_length(encode({0})) AS BIGINT)"),
 }
@@ -76,7 +77,7 @@ def spell(sql: str, engine: int) -> str:
 
 
 def bind(sql: str, names: dict[str, object]) -> str:
-    return re.sub(r"@(\w+)", lambda m: str(names[m[1]]), sql)
+    return re.sub(r"@(\w+)", lambda m: str(names.get(m[1], m[0])), sql)
 
 
 @dataclass

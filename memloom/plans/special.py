@@ -36,11 +36,8 @@ def str8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _round_trip(kind: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        import tempfile
-
         mem = load(spark, sf_dir, "mem")[0]
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="memloom-export-")
-        path = f"{base}/export-{kind}-{spark.sparkContext.applicationId}"
+        path = storage.fresh_path(spark, f"export-{kind}")
         {"json": storage.export_json, "parquet": storage.export_parquet, "csv": storage.export_csv}[kind](mem, path)
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in mem.select(*storage.MEMORY_COLUMNS).schema)
         back = storage.import_records(spark, path, kind, schema)
@@ -73,15 +70,15 @@ QUERIES = {
     "src9": _round_trip("parquet"),
     "src10": _round_trip("csv"),
     "stm1": lambda spark, sf: streams.replay(spark, sf, lambda e: streams.fired_triggers(e, spark.createDataFrame([("purchase", 200.0, "notify"), ("error", 0.0, "page")], "event_type string, least double, action string")), "append"),
-    "stm2": lambda spark, sf: streams.replay(spark, sf, streams.access_patterns),
+    "stm2": lambda spark, sf: streams.replay(spark, sf, streams.access_patterns, "update", ["user_id", "event_type"]),
     "stm3": lambda spark, sf: streams.replay(spark, sf, streams.sessions),
-    "stm5": lambda spark, sf: streams.replay(spark, sf, streams.feedback_scores),
+    "stm5": lambda spark, sf: streams.replay(spark, sf, streams.feedback_scores, "update", ["user_id"]),
     "stm6": lambda spark, sf: streams.replay(spark, sf, streams.first_of_kind, "append"),
     "stm7": lambda spark, sf: streams.effectiveness(streams.read_events(spark, sf, False)),
     "stm10": lambda spark, sf: streams.replay(spark, sf, streams.tumbling, "append"),
     "stm_w3": lambda spark, sf: streams.replay(spark, sf, streams.sessions),
-    "stm_w1": lambda spark, sf: streams.replay(spark, sf, streams.tumbling),
-    "stm_w2": lambda spark, sf: streams.replay(spark, sf, streams.sliding),
+    "stm_w1": lambda spark, sf: streams.replay(spark, sf, streams.tumbling, "update", ["start", "event_type"]),
+    "stm_w2": lambda spark, sf: streams.replay(spark, sf, streams.sliding, "update", ["start"]),
 }
 
 _COMPONENTS = """WITH RECURSIVE {views}, e AS (SELECT src AS u, dst AS v FROM links WHERE src <> dst UNION SELECT dst AS u, src AS v FROM links WHERE src <> dst),

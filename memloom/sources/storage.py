@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,12 +11,32 @@ from pyspark.sql import functions as F
 MEMORY_COLUMNS = ("id", "user_id", "type", "text", "importance", "confidence", "tag1", "tag2", "access_count", "created_at")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the one
+    the session was given by ``setCheckpointDir``. A local session without either gets
+    a folder of its own; a cluster without either is an error, since no machine's own
+    folder would do."""
+    sc = spark.sparkContext
+    found, given = sc.getConf().get("spark.checkpoint.dir"), sc._jsc.sc().getCheckpointDir()
+    if found or given.isDefined():
+        return (found or given.get()).rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="memloom-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of its own for each use, below the shared folder."""
+    return f"{shared_folder(spark)}/memloom-{uuid.uuid4().hex}/{name}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in ``spark.checkpoint.dir``; a folder of
-    its own is set only where the session has none, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="memloom-checkpoints-"))
+    """Cut the lineage by a checkpoint in the shared folder."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

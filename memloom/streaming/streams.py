@@ -6,11 +6,13 @@ column ``ts`` and returns a frame; watermarks bound the state.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.storage import fresh_path
 
 LATE = "2 hours"
 
@@ -62,13 +64,33 @@ def effectiveness(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.round(F.aggregate(ordered, F.lit(0.5), lambda acc, e: acc * 0.9 + e["x"] * 0.1), 8).alias("ema"))
 
 
-def run_once(stream: DataFrame, mode: str) -> DataFrame:
-    """Drive a stream over what is there (availableNow) and return its last state."""
-    spark, name = stream.sparkSession, f"out_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def run_once(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Drive a stream over what is there (availableNow) and return its last state.
 
+    Every micro-batch is written to files of the shared folder under its number, so a
+    repeated batch replaces itself; nothing passes through the driver. In append mode
+    all batches count, in update mode the last row of each key, and in complete mode
+    the last batch. Windows of a watermarked stream leave the state once they are
+    closed in update mode; sessions, and totals by user, keep theirs.
+    """
+    spark = stream.sparkSession
+    top = fresh_path(spark, "stream")
+    schema = stream.schema
 
-def replay(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
-    return run_once(build(read_events(spark, sf_dir)), mode)
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{top}/out/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    number = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    out = spark.read.schema(number).parquet(f"{top}/out")
+    if mode == "update":
+        last = out.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in schema.names if c not in keys]), "batch").alias("_r"))
+        return last.select(*keys, "_r.*").select(*schema.names)
+    if mode == "complete":
+        return out.where(F.col("batch") == out.agg(F.max("batch")).first()[0]).select(*schema.names)
+    return out.select(*schema.names)
+
+
+def replay(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
+    return run_once(build(read_events(spark, sf_dir)), mode, keys)

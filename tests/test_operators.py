@@ -5,7 +5,7 @@ import random
 import pytest
 
 import __spark_entry__
-from memloom.operators import components, greedy, scoring
+from memloom.operators import components, greedy
 from memloom.plans.dialect import Op, spell
 from memloom.sources import storage
 
@@ -19,13 +19,6 @@ def test_dialect_spells_nested_calls():
     assert spell("SELECT #us(#hours(ts, 1)) + 0.5 FROM t WHERE x = '0.5'", 1) == "SELECT epoch_us((ts + to_hours(1))) + 0.5e0 FROM t WHERE x = '0.5'"
 
 
-def test_known_decay(spark):
-    # half-life 30, one half-life old, 3 accesses, importance 7, confidence .6
-    rows = spark.sql("SELECT 1L AS id, 'fact' AS type, 7.0D AS importance, 0.6D AS confidence, 3L AS access_count, 30.0D AS age")
-    op = next(o for o in scoring.OPS if o.name == "dec1")
-    assert op(rows).first().exponential == pytest.approx(5.5055)
-
-
 def test_rank_fusion_known_numbers(spark):
     fuse = Op("f", "SELECT id, sum(1.0 / (60 + r)) AS s FROM @t GROUP BY id", ("t",))
     got = {r.id: r.s for r in fuse(spark.createDataFrame([("doc1", 1), ("doc2", 2), ("doc3", 3), ("doc2", 1), ("doc1", 2), ("doc4", 3)], "id string, r int")).collect()}

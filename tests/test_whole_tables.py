@@ -2,12 +2,16 @@
 
 import datetime
 import os
+import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from memloom.operators import understanding
 from memloom.plans import registry
+from memloom.plans.views import load
 
 EVENTS = [(i, 41 + i % 3, ("view", "click", "error")[i % 3 if i % 5 else 0], i % 4) for i in range(6001, 6041)]
 
@@ -41,15 +45,24 @@ def test_every_memory_is_covered(spark, large_ids):
     assert {r.user_id for r in story} == {41, 42, 43}
 
 
-def test_similarity_covers_all_pairs_of_a_user(spark, large_ids):
-    text = {i: (u, t, set(f"{t} event with key k{k} of user {u}".split())) for i, u, t, k in EVENTS}
+def test_similarity_covers_all_texts_of_a_user(spark, large_ids):
+    cls = {}
+    for r in load(spark, large_ids, "note")[0].collect():
+        cls.setdefault((r.user_id, r.text), []).extend([r.id, 16010] if r.id == 6010 else [r.id])
+    stop, groups = set(understanding.STOP_WORDS), [set(g.split()) for g in understanding.SYNONYMS]
     want = {}
-    for a, (ua, ta, x) in text.items():
-        for b, (ub, tb, y) in text.items():
-            if ua == ub and a < b:
-                want[a, b] = min(1.0, len(x & y) / len(x | y) + 0.2 * (ta == tb))
-    got = {(r.a, r.b): r.s for r in rows(spark, large_ids, "sim8")}
-    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], abs=1e-7) for p in want)
+    for (ua, ta), ia in cls.items():
+        for (ub, tb), ib in cls.items():
+            x, y = (set(re.findall(r"\w+", t.lower())) - stop for t in (ta, tb))
+            if ua == ub and min(ia) < min(ib) and x and y:
+                s = min(1.0, len(x & y) / len(x | y) + 0.2 * sum(bool(x & g) and bool(y & g) for g in groups))
+                if ta.lower() in tb.lower() or tb.lower() in ta.lower():
+                    s = max(s, 0.8)
+                if s >= 0.2:
+                    want[min(ia), min(ib)] = (len(ia), len(ib), s)
+    notes = load(spark, large_ids, "note")[0]
+    got = {(r.a, r.b): (r.n_a, r.n_b, r.s) for r in understanding.lexical_likeness(notes.union(notes.where("id = 6010").withColumn("id", F.col("id") + 10000)), least=0.2).collect()}
+    assert want and got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], abs=1e-7) for p in want)
 
 
 def test_dispatch_covers_all_queries(spark, large_ids):
