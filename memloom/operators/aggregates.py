@@ -18,7 +18,6 @@ OPS = [
     Op("flt3", "SELECT id FROM @mem WHERE age > 21", ("mem",), "Past their time to live."),
     Op("flt4", "SELECT id FROM @doc WHERE lower(text) LIKE '%licen%'", ("doc",), "Case-insensitive substring."),
     Op("flt5", "SELECT CAST(sum(CASE WHEN age * 24 <= 72 THEN 1 ELSE 0 END) AS BIGINT) AS last_3_days, CAST(sum(CASE WHEN age <= 7 THEN 1 ELSE 0 END) AS BIGINT) AS last_week, CAST(sum(CASE WHEN age <= 30 THEN 1 ELSE 0 END) AS BIGINT) AS last_month, CAST(sum(CASE WHEN created_at >= TIMESTAMP '2024-01-29 00:00:00' THEN 1 ELSE 0 END) AS BIGINT) AS this_week FROM @mem", ("mem",), "Named time ranges."),
-    Op("flt6", "SELECT id, CASE WHEN importance > 8 AND tag1 = 'purchase' THEN 'big' WHEN #like(text, 'key k[0-3]') THEN 'low key' ELSE 'none' END AS trigger FROM @mem", ("mem",), "Trigger conditions."),
     Op("flt8", "SELECT id FROM @usage WHERE status_code >= 400 AND response_ms > 100000 AND tokens BETWEEN 10 AND 60", ("usage",), "Trace query."),
     Op("flt9", "SELECT id, text_length, CAST(floor(text_length / 4.0) AS BIGINT) AS token_count FROM @doc", ("doc",), "Size columns."),
     Op("flt11", "SELECT id, replace(replace('User {user} did {what}', '{user}', CAST(user_id AS STRING)), '{what}', tag1) AS text FROM @mem", ("mem",), "Template instantiation."),
@@ -60,7 +59,6 @@ OPS = [
     Op("mon2", "SELECT user_id, tag1 AS event, count(*) AS n, max(created_at) AS last FROM @mem GROUP BY user_id, tag1", ("mem",), "Event statistics by user."),
     Op("mon3", "SELECT key_id, round(100.0 * avg(CASE WHEN response_ms > 200000 THEN 1.0 ELSE 0.0 END), 7) AS slow_share, round(0.6 * (1 - avg(CASE WHEN status_code >= 400 THEN 1.0 ELSE 0.0 END)) + 0.4 * (1 - least(1.0, avg(response_ms) / 500000.0)), 8) AS score FROM @usage GROUP BY key_id", ("usage",), "Performance snapshot."),
     Op("quo2", "SELECT key_id, day, count(*) AS n, CASE WHEN count(*) > 1 THEN 'limited' ELSE 'ok' END AS state FROM @usage GROUP BY key_id, day", ("usage",), "Rate limits in tumbling windows."),
-    Op("agt1", "SELECT m.id FROM @mem m WHERE m.session_id = @agent OR m.tag1 = 'view' OR (m.tag1 = 'click' AND EXISTS (SELECT 1 FROM @links l WHERE l.src = m.user_id % 25 AND l.dst = @agent))", ("mem", "links"), "Memories an agent may see.", {"agent": 3}),
     Op("sch1", "SELECT id, concat(CASE WHEN importance < 0.5 THEN 'importance below 0.5;' ELSE '' END, CASE WHEN confidence > 0.95 THEN 'confidence above 0.95;' ELSE '' END, CASE WHEN length(text) < 38 THEN 'text too short;' ELSE '' END) AS errors FROM @mem", ("mem",), "Validation messages."),
     Op("aud1", "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS r FROM @mem WHERE tag1 = 'error' AND importance > 5) x WHERE r > 20 AND r <= 70", ("mem",), "Audit page."),
     Op("sof1", "SELECT session_id, count(*) AS n, CAST(sum(CASE WHEN is_archived THEN 1 ELSE 0 END) AS BIGINT) AS deleted FROM @mem GROUP BY session_id", ("mem",), "Soft deletes by session."),

@@ -7,25 +7,20 @@ from ..plans.dialect import Op
 
 OPS = [
     Op("src8", "SELECT concat('{\"id\":', CAST(id AS STRING), ',\"type\":\"', type, '\",\"tag\":\"', tag2, '\"}') AS line FROM @mem", ("mem",), "JSON lines, one record each."),
-    Op("src12", "SELECT o.id, round(CASE WHEN n.id IS NULL THEN o.importance ELSE greatest(o.importance, n.importance) END, 8) AS importance, CASE WHEN n.id IS NULL THEN 'kept' ELSE 'merged' END AS state FROM (SELECT * FROM @mem WHERE id % 2 = 0) o LEFT JOIN (SELECT id, importance * 1.5 AS importance FROM @mem WHERE id % 3 = 0) n ON n.id = o.id", ("mem",), "Import with the merge strategy."),
     Op("src13", "SELECT src AS id, 'link' AS kind, CAST(count(*) AS BIGINT) AS n FROM @links GROUP BY src UNION ALL SELECT dst AS id, 'target' AS kind, CAST(count(*) AS BIGINT) AS n FROM @links GROUP BY dst", ("links",), "Counts of an exported graph."),
     Op("src14", "SELECT tier, count(*) AS n, round(avg(balance), 6) AS balance FROM @users GROUP BY tier", ("users",), "Side tables."),
     Op("flt7", "SELECT id FROM @facts WHERE status IN ('F', 'O') AND from_us <= @at AND coalesce(to_us, 9000000000000000000) > @at", ("facts",), "Bi-temporal predicate with a status.", {"at": 820000000000000}),
-    Op("flt10", "SELECT id + 1000000 AS id, user_id, concat(text, ' (copy)') AS text, concat(tag1, ',clone') AS tags, created_at FROM @mem WHERE user_id = 7", ("mem",), "Clones with overrides."),
     Op("joi5", "SELECT r.qid, r.id, m.type FROM (SELECT id % 5 AS qid, id FROM @mem WHERE importance > 9.9) r JOIN @mem m ON m.id = r.id", ("mem",), "Lookup of retrieved ids."),
     Op("joi6", "SELECT a.src, b.dst, a.relation AS first_relation, b.relation AS second_relation FROM @links a JOIN @links b ON a.dst = b.src AND a.src <> b.dst", ("links",), "Two-hop adjacency."),
     Op("top6", "SELECT tag, n FROM (SELECT tag, n, row_number() OVER (ORDER BY n DESC, tag) AS r FROM (SELECT tag, count(*) AS n FROM @tag GROUP BY tag) x) y WHERE r <= 5", ("tag",), "Most used saved searches."),
     Op("set1", "SELECT id, 'facts' AS collection FROM @mem WHERE type NOT IN ('preference', 'habit') UNION ALL SELECT id, 'prefs' AS collection FROM @mem WHERE type IN ('preference', 'habit')", ("mem",), "Union of two collections."),
     Op("set4", "SELECT user_id, #joined(tag) AS tags FROM @tag GROUP BY user_id", ("tag",), "Union of tags on a merge."),
     Op("str10", "SELECT a.fact_id, a.id AS old_id, b.id AS new_id, CASE WHEN a.status = b.status THEN 'same' ELSE concat(a.status, '->', b.status) END AS status_change, round(b.value - a.value, 6) AS delta FROM @facts a JOIN @facts b ON b.fact_id = a.fact_id AND b.from_us = a.to_us AND b.id <> a.id", ("facts",), "Difference between consecutive versions."),
-    Op("str11", "SELECT a.id, CASE WHEN position(a.text IN b.text) > 0 THEN b.text WHEN position(b.text IN a.text) > 0 THEN a.text ELSE concat(a.text, '. ', b.text) END AS text FROM @mem a JOIN @mem b ON b.id = a.id + 1", ("mem",), "Texts combined."),
     Op("dat1", "SELECT id, round(age, 9) AS fractional_days, days FROM @mem", ("mem",), "Age in fractional and in whole days."),
     Op("mth3", "SELECT a.id, b.id AS other, round(#dot(a.v, b.v) / (sqrt(#dot(a.v, a.v)) * sqrt(#dot(b.v, b.v))), 8) AS cosine FROM @vec a JOIN @vec b ON b.id = a.id + 1", ("vec",), "Cosine similarity."),
     Op("arr1", "SELECT user_id, tag, share FROM (SELECT user_id, tag, round(n / CAST(sum(n) OVER (PARTITION BY user_id) AS DOUBLE), 8) AS share, n FROM (SELECT user_id, tag, count(*) AS n FROM @tag GROUP BY user_id, tag) x) y WHERE n >= 2 AND share > 0.1", ("tag",), "Common tags by share."),
-    Op("jsn1", "SELECT event_id AS id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM @events", ("events",), "Fields of a JSON payload."),
     Op("ret6", "SELECT q.id AS qid, v.id, CASE WHEN q.id % 3 = 0 THEN 'vector_only' WHEN q.id % 3 = 1 THEN 'keyword_only' ELSE 'hybrid' END AS mode FROM @vec q JOIN @vec v ON v.label = q.label AND v.id <> q.id", ("vec",), "Dispatch by mode."),
     Op("ret8", "SELECT id, round(greatest(0.0, least(1.0, (importance * 4 - 20 + 10) / 20.0)), 9) AS rerank FROM @mem", ("mem",), "Normalised rerank score."),
-    Op("ret11", "SELECT src, dst, round(max(score) / max(max(score)) OVER (PARTITION BY src), 9) AS score FROM (SELECT src, dst, weight / 2.0 AS score FROM @links UNION ALL SELECT a.src, b.dst, a.weight * b.weight / 3.0 AS score FROM @links a JOIN @links b ON b.src = a.dst) x GROUP BY src, dst", ("links",), "Graph score up to two hops, scaled by the best."),
     Op("ret17", "SELECT m.id, round(0.9 * m.confidence + 0.1 * f.score, 9) AS score FROM @mem m JOIN (SELECT user_id, avg(CASE WHEN tag1 = 'purchase' THEN 1.0 ELSE 0.3 END) AS score FROM @mem GROUP BY user_id) f ON f.user_id = m.user_id", ("mem",), "Recall with feedback."),
     Op("hlt14", "SELECT user_id, id, action FROM (SELECT user_id, id, action, row_number() OVER (PARTITION BY user_id ORDER BY action, id) AS r FROM (SELECT user_id, id, CASE WHEN importance < 1 AND access_count = 0 THEN 'cleanup' WHEN access_count > 9 AND importance < 4 THEN 'raise' WHEN access_count = 0 AND importance > 9 THEN 'lower' END AS action FROM @mem) x WHERE action IS NOT NULL) y WHERE r <= 20", ("mem",), "Healing actions, up to a limit."),
     Op("hlt16", "SELECT m.user_id, count(*) AS n, CAST(sum(CASE WHEN m.age > 20 AND m.access_count = 0 THEN 1 ELSE 0 END) AS BIGINT) AS stale, count(*) - count(DISTINCT m.text) AS copies, count(DISTINCT m.tag2) AS topics FROM @mem m GROUP BY m.user_id", ("mem",), "Combined quality report."),
@@ -34,13 +29,10 @@ OPS = [
     Op("gra1", "SELECT src, dst, relation FROM (SELECT l.src, l.dst, l.relation, row_number() OVER (PARTITION BY l.src, l.dst ORDER BY l.weight DESC, l.relation) AS r FROM @links l WHERE EXISTS (SELECT 1 FROM @links n WHERE n.src = l.dst)) x WHERE r = 1", ("links",), "Edges whose nodes exist, one per pair."),
     Op("gra7", "SELECT l.src, l.relation, count(*) AS n FROM (SELECT src, dst, relation FROM @links UNION ALL SELECT a.src, b.dst, 'related_to' AS relation FROM @links a JOIN @links b ON b.src = a.dst) l GROUP BY l.src, l.relation", ("links",), "Connections by relation."),
     Op("gra10", "SELECT concat('memory_', CAST(id AS STRING)) AS src, concat('topic_', tag) AS dst, 'about' AS relation FROM @tag UNION ALL SELECT concat('memory_', CAST(id AS STRING)) AS src, concat('entity_', CAST(user_id AS STRING)) AS dst, 'mentions' AS relation FROM @mem", ("tag", "mem"), "Links that populate the graph."),
-    Op("gra14", "WITH RECURSIVE up(node, root, depth) AS (SELECT dst, src, 1 FROM @links WHERE src < dst UNION ALL SELECT u.node, l.src, u.depth + 1 FROM up u JOIN @links l ON l.dst = u.root AND l.src < l.dst WHERE u.depth < 25) SELECT node, CAST(max(depth) AS BIGINT) AS generations, CAST(min(root) AS BIGINT) AS oldest FROM up GROUP BY node", ("links",), "Ancestry along parents of smaller number."),
     Op("gra17", "SELECT tag, CAST(CAST(created_at AS DATE) AS STRING) AS day, count(*) AS n FROM @tag GROUP BY tag, CAST(CAST(created_at AS DATE) AS STRING)", ("tag",), "Mentions over time."),
     Op("txt3", "SELECT tag AS entity, count(*) AS mentions, min(created_at) AS first_seen, max(created_at) AS last_seen, count(DISTINCT user_id) AS users FROM @tag GROUP BY tag", ("tag",), "Entity profiles."),
     Op("txt5", "SELECT id, round(0.5 * least(1.0, #hits(text, '[0-9]+') / 5.0) + 0.5 * least(1.0, length(text) / 2000.0), 9) AS quality FROM @doc", ("doc",), "Fact quality."),
     Op("txt6", "SELECT id, #hits(text, '[\\n]') + 1 AS parts FROM @doc", ("doc",), "Splitting into parts."),
-    Op("txt13", "SELECT id, #sub(regexp_extract(lower(text), '(key k[0-9]+ of user [0-9]+)', 1), '[.,!?]+$', '') AS extracted FROM @mem", ("mem",), "Memories extracted by pattern."),
-    Op("txt14", "SELECT conv_id, turn, CASE WHEN prev IS NULL OR length(text) > 4 * length(prev) THEN 'boundary' ELSE 'same' END AS state FROM (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM @turns) x", ("turns",), "Session boundaries."),
     Op("txt16", "SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS context_chars FROM @turns", ("turns",), "Running context."),
     Op("cmp5", "SELECT id, #size(#tokens(text)) AS before_n, CAST(floor(#size(#tokens(text)) * 0.5) AS BIGINT) AS after_n, round(#size(#distinct(#tokens(text))) / greatest(1.0, #size(#tokens(text))), 8) AS preserved FROM @doc", ("doc",), "Token pruning metrics."),
     Op("cmp6", "SELECT user_id, tag, count(*) AS episodes, round(avg(importance), 8) AS confidence, CASE WHEN count(*) >= 10 THEN 'abstract' WHEN count(*) >= 5 THEN 'general' ELSE 'specific' END AS level FROM @tag GROUP BY user_id, tag", ("tag",), "Episodic to semantic, by topic."),
@@ -67,7 +59,6 @@ OPS = [
     Op("set3", "SELECT a.id, round(#common(a.t, b.t) / CAST(#size(a.t) + #size(b.t) - #common(a.t, b.t) AS DOUBLE), 9) AS jaccard FROM (SELECT id, #distinct(#tokens(text)) AS t FROM @mem) a JOIN (SELECT id, #distinct(#tokens(text)) AS t FROM @mem) b ON b.id = a.id + 1", ("mem",), "Jaccard similarity of token sets."),
     Op("dat3", "SELECT id, CASE WHEN h >= 5 AND h < 8 THEN 'early_morning' WHEN h >= 8 AND h < 12 THEN 'morning' WHEN h >= 12 AND h < 17 THEN 'afternoon' WHEN h >= 17 AND h < 21 THEN 'evening' WHEN h >= 21 OR h = 0 THEN 'night' ELSE 'late_night' END AS period FROM (SELECT id, hour(created_at) AS h FROM @mem) x", ("mem",), "Period of the day."),
     Op("mth2", "SELECT id, round(exp(-age / 30.0), 9) AS e, round(pow(0.5, age / 30.0), 9) AS p, round(1.0 / (1 + ln(1 + age)), 9) AS l FROM @mem", ("mem",), "The decay family."),
-    Op("map1", "SELECT id, concat('kind=', tag1, ';key=', tag2, CASE WHEN is_archived THEN ';archived=true' ELSE '' END) AS metadata FROM @mem", ("mem",), "Metadata merged."),
     Op("ret7", "SELECT k.id, round(v.s, 8) AS sim FROM (SELECT id FROM @mem WHERE tag1 = 'click') k JOIN (SELECT m.id, #dot(q.v, m.v) / (sqrt(#dot(q.v, q.v)) * sqrt(#dot(m.v, m.v))) AS s FROM @vec m CROSS JOIN (SELECT v FROM @vec WHERE id = 0) q WHERE m.id <> 0) v ON v.id = k.id", ("mem", "vec"), "Candidates: only ids among one query's vector hits."),
     Op("sim20", "SELECT id, CASE WHEN score >= 0.98 THEN 'exact' WHEN score >= 0.85 THEN 'soft' WHEN score >= 0.75 THEN 'paraphrase' ELSE 'different' END AS kind FROM (SELECT id, confidence AS score FROM @mem) x", ("mem",), "Kinds of duplicates from a given pair score."),
     Op("lif5", "SELECT tier, low, high FROM (SELECT 'hot' AS tier, 0 AS low, 30 AS high UNION ALL SELECT 'warm' AS tier, 30 AS low, 90 AS high UNION ALL SELECT 'cold' AS tier, 90 AS low, 365 AS high) c WHERE EXISTS (SELECT 1 FROM @mem m WHERE m.age >= c.low AND m.age < c.high)", ("mem",), "Configured tiers in use."),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import health, hybrid
+from ..operators import health, hybrid, keeping
 from ..operators import understanding as und
 from .views import load
 
@@ -47,6 +47,20 @@ QUERIES = {
     "ret4": _one("note", und.route),
     "ret5": _one("note", und.intent_weights),
     "ret18": _one("note", und.time_window),
+    "flt6": _one("note", lambda m: keeping.fired(_tagged(m), TRIGGERS)),
+    "flt10": _one("mem", lambda m: _cloned(m)),
+    "map1": _one("mem", lambda m: keeping.merged_metadata(_tagged(m), {"key": "x", "seen": "yes"}, ("kind",)).select("id", keeping.spelled("metadata").alias("metadata"))),
+    "jsn1": _one("events", lambda e: keeping.payload(e.select(F.col("event_id").alias("id"), F.concat(F.lit("say "), "props").alias("props")), "props", "k long, x string").select("id", F.coalesce("k", F.lit(-1)).alias("k"))),
+    "str9": _one("doc", keeping.anonymised),
+    "str11": _one("pair", lambda p: p.select("id", keeping.combined("old", "new").alias("text"))),
+    "str11_many": _one("note", lambda m: keeping.combined_texts(m, "user_id", "type")),
+    "txt13": _one("note", keeping.extracted),
+    "txt14": _one("note", lambda m: keeping.session_boundaries(m, idle_us=60 * 3_600_000_000)),
+    "src12": _one("mem", lambda m: _imported(m)),
+    "gra14": _one("parent", keeping.lineage),
+    "agt1": lambda spark, sf_dir: keeping.accessible(*load(spark, sf_dir, "owned_note", "agent", "agent_grant"), 3, NOW_US),
+    "ret11": lambda spark, sf_dir: keeping.graph_scores(*load(spark, sf_dir, "entity_query", "links", "entity_owner")),
+    "ret16": _one("note", keeping.context_text),
     "ret12": _one("note", lambda m: hybrid.retrieve(_asked(m), m)),
     "cfl1": _one("note", lambda m: und.conflicts(m).select("a", "b", "s", "kind", "confidence")),
     "cfl2": _one("note", lambda m: und.resolve(und.conflicts(m))),
@@ -59,6 +73,25 @@ QUERIES = {
 }
 
 
+def _tagged(memories: DataFrame) -> DataFrame:
+    return memories.withColumns({"tags": F.array("tag1", "tag2"), "metadata": F.create_map(F.lit("kind"), F.col("tag1"), F.lit("key"), F.col("tag2"))})
+
+
+def _cloned(memories: DataFrame) -> DataFrame:
+    made = keeping.clones(_tagged(memories), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"), {"key": "copied", "by": "test"}, add=("clone", "click"), remove=("view",))
+    return made.select("id", "user_id", "text", F.array_join("tags", ",").alias("tags"), keeping.spelled("metadata").alias("metadata"), "created_at")
+
+
+def _imported(memories: DataFrame) -> DataFrame:
+    old = memories.select("id", "user_id", "importance", F.array("tag1").alias("tags"), F.create_map(F.lit("kind"), F.col("tag1"), F.lit("key"), F.col("tag2")).alias("metadata"))
+    new = memories.select((F.col("id") * 2).alias("id"), "user_id", (F.col("importance") * 1.1).alias("importance"), F.array("tag2", "tag1").alias("tags"), F.create_map(F.lit("key"), F.lit("new"), F.lit("from"), F.lit("import")).alias("metadata"))
+    return keeping.imported(old, new, "merge").select("id", "user_id", F.round("importance", 8).alias("importance"), F.array_join("tags", ",").alias("tags"), keeping.spelled("metadata").alias("metadata"), "state")
+
+
+#: Triggers and their conditions.
+TRIGGERS = {"big": [("importance", "gt", 8.0), ("type", "eq", "preference")], "coffee": [("text", "contains", "coffee"), ("importance", "lt", 5)], "key": [("text", "matches", "k[0-3]$")], "tagged": [("tags", "contains", "click")], "always": [], "unknown": [("importance", "near", 3)]}
+
+
 def _asked(notes: DataFrame) -> DataFrame:
     """The queries: every memory whose id is divisible by 100, against all of its user."""
     return notes.where("id % 100 = 0").select(F.col("id").alias("qid"), "user_id", "text")
@@ -157,13 +190,17 @@ _DENIES = "(" + " OR ".join(f"contains({{0}}, {_q(p)})" for p in und.NEGATIONS)
 _SIDES = " OR ".join(f"({_some('o', p)} AND {_some('n', q)}) OR ({_some('o', q)} AND {_some('n', p)})" for p, q in und.OPPOSITES)
 _OWN = "CASE WHEN s.owner_id = r.user_id THEN 'owner' WHEN g.permission IS NOT NULL THEN g.permission WHEN s.is_public THEN 'read' END"
 
+_IMPORTANCE = f"""greatest(1, least(10, 5e0 - CASE WHEN length(text) < 5 OR lower(text) IN ('hi', 'hello', 'ok', 'yes', 'no', 'yeah', 'sure') THEN 3 ELSE 0 END
+      + CASE WHEN {_word_in(health.HIGH)} THEN 2 WHEN {_word_in(health.MEDIUM)} THEN 1 WHEN {_word_in(health.LOW)} THEN -0.5e0 ELSE 0 END
+      + CASE WHEN lower(text) <> text OR text LIKE '%!%' THEN 1 ELSE 0 END + CASE WHEN length(text) > 100 THEN 0.5e0 ELSE 0 END + CASE WHEN type IN ('preference', 'goal') THEN 1 WHEN type = 'context' THEN 0.5e0 ELSE 0 END))"""
+_TECH = _q(keeping.TECHNOLOGY)
+_EXTRACTED = " UNION ALL ".join(f"SELECT id, '{k}' AS type, trim(unnest(regexp_extract_all(lower(text), {_q(p)}, 1))) AS found FROM note" for k, p in keeping.EXTRACTED)
+
 #: Name to (view, DuckDB SQL over the views in braces' place).
 ORACLE = {
     "dec1": ("note", f"WITH {{views}}, {_DECAYED} SELECT id, " + ", ".join(f"round({k}, 9) AS {k}" for k in health.DECAYS) + " FROM d"),
     "dec2": ("note", f"WITH {{views}}, {_DECAYED} SELECT user_id, count(*) AS n, count(*) FILTER (exponential <> importance) AS updated, round(sum(importance - exponential), 6) AS total_decay, round(avg(importance - exponential), 8) AS avg_decay, count(*) FILTER (importance > 0 AND importance - exponential > 0.1e0 * importance) AS significant FROM d GROUP BY user_id"),
-    "sco1": ("note", f"""WITH {{views}} SELECT id, greatest(1, least(10, 5e0 - CASE WHEN length(text) < 5 OR lower(text) IN ('hi', 'hello', 'ok', 'yes', 'no', 'yeah', 'sure') THEN 3 ELSE 0 END
-      + CASE WHEN {_word_in(health.HIGH)} THEN 2 WHEN {_word_in(health.MEDIUM)} THEN 1 WHEN {_word_in(health.LOW)} THEN -0.5e0 ELSE 0 END
-      + CASE WHEN lower(text) <> text OR text LIKE '%!%' THEN 1 ELSE 0 END + CASE WHEN length(text) > 100 THEN 0.5e0 ELSE 0 END + CASE WHEN type IN ('preference', 'goal') THEN 1 WHEN type = 'context' THEN 0.5e0 ELSE 0 END)) AS importance FROM note"""),
+    "sco1": ("note", f"WITH {{views}} SELECT id, {_IMPORTANCE} AS importance FROM note"),
     "hlt4": ("note", f"WITH {{views}}, {_STORE} SELECT user_id, {_ROUNDED}, round(h, 6) AS health FROM scored"),
     "hlt5": ("note", f"WITH {{views}} SELECT id, days AS age_days, round(least(10, e) / 10e0, 7) AS confidence FROM (SELECT id, days, {_STALE} AS e FROM note) x WHERE e > 0"),
     "hlt7": ("note", f"""WITH {{views}}, {_TAGS}, base AS (SELECT user_id, count(*)::DOUBLE AS n, count(DISTINCT type) AS kinds, max(days) - min(days) AS span, avg(least(100, 50 * exp(-days / 90e0) + 50 * exp(-idle_days / 60e0) + least(20, 2 * access_count))) AS freshness,
@@ -251,4 +288,28 @@ ORACLE = {
     "quo1": ("space,grants,request", f"""WITH {{views}}, own AS (SELECT r.path AS asked, r.user_id, s.path AS place, s.inherits, {_OWN} AS p FROM request r JOIN space s ON r.path = s.path OR starts_with(r.path, s.path || '/') LEFT JOIN grants g ON g.path = s.path AND g.user_id = r.user_id),
       pick AS (SELECT asked, user_id, max(p) FILTER (place = asked) AS mine, bool_or(inherits) FILTER (place = asked) AS inherits, arg_min(p, length(place)) FILTER (p IS NOT NULL AND place <> asked) AS theirs FROM own GROUP BY asked, user_id)
       SELECT asked AS path, user_id, coalesce(mine, CASE WHEN inherits THEN theirs END, 'none') AS permission FROM pick"""),
+    "flt6": ("note", "WITH {views} SELECT id, array_to_string(list_filter([CASE WHEN importance > 8 AND type = 'preference' THEN 'big' END, CASE WHEN contains(text, 'coffee') AND importance < 5 THEN 'coffee' END, CASE WHEN regexp_matches(text, 'k[0-3]$') THEN 'key' END, CASE WHEN 'click' IN (tag1, tag2) THEN 'tagged' END, 'always'], lambda x: x IS NOT NULL), ',') AS triggers FROM note"),
+    "flt10": ("mem", "WITH {views} SELECT 'mem_' || left(sha256(id::VARCHAR), 32) AS id, user_id, text, array_to_string(list_filter(list_distinct_ordered, lambda t: t <> 'view'), ',') AS tags, 'by=test;cloned_from=' || id || ';key=copied;kind=' || tag1 AS metadata, TIMESTAMP '2024-02-01 00:00:00' AS created_at FROM (SELECT *, CASE WHEN tag1 = 'click' THEN [tag1, tag2, 'clone'] ELSE [tag1, tag2, 'clone', 'click'] END AS list_distinct_ordered FROM mem) x"),
+    "map1": ("mem", "WITH {views} SELECT id, 'key=x;seen=yes' AS metadata FROM mem"),
+    "jsn1": ("mem", "SELECT event_id AS id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) AS k FROM events"),
+    "str9": ("doc", "WITH {views} SELECT id, regexp_replace(regexp_replace(regexp_replace(text, '[\\p{L}\\p{N}_][\\p{L}\\p{N}_.-]*@[\\p{L}\\p{N}_.-]+\\.[\\p{L}\\p{N}_]+', '[EMAIL]', 'g'), '\\b[0-9]{3}[-.]?[0-9]{3}[-.]?[0-9]{4}\\b', '[PHONE]', 'g'), '\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b', '[SSN]', 'g') AS text FROM doc"),
+    "str11": ("pair", "WITH {views} SELECT id, CASE WHEN contains(new, old) THEN new WHEN contains(old, new) THEN old ELSE old || '. ' || new END AS text FROM pair"),
+    "str11_many": ("note", "WITH {views}, f AS (SELECT * FROM note QUALIFY row_number() OVER (PARTITION BY user_id, type, lower(trim(text)) ORDER BY us, id) = 1) SELECT user_id, type, string_agg(text, '. ' ORDER BY us, id) AS text FROM f GROUP BY user_id, type"),
+    "txt13": ("note", f"WITH {{views}}, x AS ({_EXTRACTED}), y AS (SELECT id, type, regexp_replace(found, '[.,!?]+$', '') AS text FROM x WHERE length(found) >= 3) SELECT id, type, text, {_IMPORTANCE} AS importance FROM y"),
+    "txt14": ("note", f"""WITH {{views}}, m AS (SELECT user_id, id, us, list_distinct(regexp_extract_all(text, {_TECH}, 1)) AS now, us - lag(us) OVER (PARTITION BY user_id ORDER BY us, id) > 216000000000 AS pause FROM note),
+      r AS (SELECT *, count(*) FILTER (pause) OVER (PARTITION BY user_id ORDER BY us, id) AS run FROM m),
+      b AS (SELECT *, list_distinct(flatten(list(now) OVER (PARTITION BY user_id, run ORDER BY us, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) AS before FROM r)
+      SELECT id, CASE WHEN pause THEN 'idle' WHEN len(now) > 0 AND len(before) > 0 AND len(list_intersect(now, before)) < 0.3e0 * len(now) THEN 'topic' ELSE 'none' END AS boundary FROM b"""),
+    "src12": ("mem", """WITH {views}, n AS (SELECT id * 2 AS id, user_id, importance * 1.1e0 AS importance, tag1, tag2 FROM mem)
+      SELECT id, coalesce(o.user_id, n.user_id) AS user_id, round(coalesce(CASE WHEN o.user_id IS NOT NULL THEN greatest(o.importance, n.importance) ELSE n.importance END, o.importance), 8) AS importance,
+        CASE WHEN n.user_id IS NULL THEN o.tag1 WHEN o.user_id IS NULL THEN n.tag2 || ',' || n.tag1 WHEN o.tag1 = n.tag1 THEN o.tag1 || ',' || n.tag2 ELSE o.tag1 || ',' || n.tag2 || ',' || n.tag1 END AS tags,
+        CASE WHEN n.user_id IS NULL THEN 'key=' || o.tag2 || ';kind=' || o.tag1 WHEN o.user_id IS NULL THEN 'from=import;key=new' ELSE 'from=import;key=new;kind=' || o.tag1 END AS metadata,
+        CASE WHEN n.user_id IS NULL THEN 'kept' WHEN o.user_id IS NULL THEN 'added' ELSE 'merged' END AS state FROM (SELECT id, user_id, importance, tag1, tag2 FROM mem) o FULL JOIN n USING (id)"""),
+    "gra14": ("parent", """WITH RECURSIVE {views}, up(node, up, n) AS (SELECT child, parent, 1 FROM parent UNION SELECT u.node, p.parent, u.n + 1 FROM up u JOIN parent p ON p.child = u.up)
+      SELECT node, up AS root, min(n)::INT AS generations FROM up WHERE up NOT IN (SELECT child FROM parent) GROUP BY node, up"""),
+    "agt1": ("owned_note,agent,agent_grant", f"""WITH {{views}} SELECT id FROM owned_note m WHERE agent_id IS NULL OR agent_id = 3 OR (visibility = 'public' AND user_id = (SELECT user_id FROM agent WHERE agent_id = 3)) OR (visibility = 'shared' AND agent_id IN (SELECT grantor FROM agent_grant WHERE grantee = 3 AND active AND coalesce(expires_us > {NOW_US}, true)))"""),
+    "ret11": ("entity_query,links,entity_owner", """WITH {views}, w AS (SELECT qid, user_id, entity, entity AS id, 1e0 AS w, 0 AS h FROM entity_query UNION ALL SELECT q.qid, q.user_id, entity, dst, weight, 1 FROM entity_query q JOIN links ON src = entity UNION ALL SELECT q.qid, q.user_id, entity, b.dst, a.weight * b.weight, 2 FROM entity_query q JOIN links a ON a.src = entity JOIN links b ON b.src = a.dst),
+      f AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY qid, entity, id ORDER BY h, w DESC) = 1), s AS (SELECT f.qid, f.id, max(0.8e0 * w / (1 + h)) AS s FROM f JOIN entity_owner o ON o.id = f.id AND o.user_id = f.user_id GROUP BY f.qid, f.id)
+      SELECT qid, id, round(s / max(s) OVER (PARTITION BY qid), 9) AS score FROM s"""),
+    "ret16": ("note", "WITH {views}, t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC, id) AS r FROM note) SELECT user_id, string_agg(r || '. [' || type || '] ' || text, chr(10) ORDER BY r) AS context FROM t WHERE r <= 10 GROUP BY user_id"),
 }

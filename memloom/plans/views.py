@@ -40,6 +40,12 @@ VIEWS = {
     "relation": """
       SELECT src, dst, relation FROM @links UNION ALL SELECT CAST(s_suppkey AS INT) AS src, s_nationkey AS dst, CASE s_suppkey % 6 WHEN 0 THEN 'works_at' WHEN 1 THEN 'studied_at' WHEN 2 THEN 'manages' WHEN 3 THEN 'knows' WHEN 4 THEN 'founded_by' ELSE 'part_of' END AS relation FROM supplier
       UNION ALL SELECT CAST(s_suppkey AS INT) AS src, s_nationkey + 5 AS dst, 'located_in' AS relation FROM supplier""",
+    "parent": "SELECT id AS child, parent FROM (SELECT id, lag(id) OVER (PARTITION BY user_id, type ORDER BY us, id) AS parent FROM @note) x WHERE id % 5 <> 0 AND parent IS NOT NULL",
+    "owned_note": "SELECT id, user_id % 10 AS user_id, CASE WHEN id % 5 <> 0 THEN id % 7 END AS agent_id, CASE id % 3 WHEN 0 THEN 'private' WHEN 1 THEN 'public' ELSE 'shared' END AS visibility FROM @note",
+    "agent": "SELECT CAST(n_nationkey AS BIGINT) AS agent_id, CAST(n_nationkey % 10 AS BIGINT) AS user_id FROM nation",
+    "agent_grant": "SELECT CAST(src AS BIGINT) AS grantor, CAST(dst AS BIGINT) AS grantee, weight >= 0.6 AS active, CASE src % 4 WHEN 0 THEN #us(@now) - 1 WHEN 1 THEN #us(@now) + 1 END AS expires_us FROM @links",
+    "entity_query": "SELECT CAST(n_nationkey AS BIGINT) AS qid, CAST(n_nationkey % 3 AS BIGINT) AS user_id, n_nationkey AS entity, 0.8 AS confidence FROM nation",
+    "entity_owner": "SELECT n_nationkey AS id, CAST(n_nationkey % 3 AS BIGINT) AS user_id FROM nation",
     "doc_note": "SELECT doc_id AS id, text, source AS type FROM documents WHERE text IS NOT NULL",
     "vec": "SELECT vec_id AS id, embedding AS v, label FROM embeddings",
     "turns": "SELECT conv_id, turn, role, text FROM conversations",

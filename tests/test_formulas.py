@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from memloom.operators import health
+from memloom.operators import health, keeping
 from memloom.operators import understanding as und
 from memloom.plans.views import load
 
@@ -161,3 +161,51 @@ def test_permissions_walk_from_the_root(spark):
     assert [got["a/b/c", u] for u in (1, 3, 7, 8, 9)] == ["owner", "owner", "write", "admin", "read"]
     assert [got["a/b/d", u] for u in (1, 3, 7, 8, 9)] == ["none", "owner", "none", "none", "none"]
     assert all(got["a/b/x", u] == "none" for u in (1, 3, 7, 8, 9))
+
+
+def test_conditions_of_triggers(spark):
+    rows = spark.createDataFrame([(1, 9.0, "coffee", ["a"]), (2, None, None, None)], "id long, importance double, text string, tags array<string>")
+    triggers = {"none": [], "gt": [("importance", "gt", 8)], "lt": [("importance", "lt", 8)], "eq": [("text", "eq", "coffee")], "part": [("text", "contains", "off")], "tag": [("tags", "contains", "a")], "re": [("text", "matches", "^c.*e$")], "odd": [("text", "near", 1)], "two": [("importance", "gt", 1), ("text", "eq", "tea")]}
+    got = {r.id: r.triggers for r in keeping.fired(rows, triggers).collect()}
+    assert got == {1: "none,gt,eq,part,tag,re", 2: "none"}
+
+
+def test_personal_data_is_masked_in_order(spark):
+    rows = spark.createDataFrame([(1, "bob.o@ex-1.example.org or 555-123-4567, 5551234567 and 123-45-6789"), (2, None), (3, "é@x.fr")], "id long, text string")
+    assert {r.id: r.text for r in keeping.anonymised(rows).collect()} == {1: "[EMAIL] or [PHONE], [PHONE] and [SSN]", 2: None, 3: "[EMAIL]"}
+
+
+def test_memories_in_conversations(spark):
+    rows = spark.createDataFrame([(1, "I love jazz!"), (2, "My name is Bo.\nI want to sleep"), (3, None), (4, "need it")], "id long, text string")
+    got = {(r.id, r.type, r.text) for r in keeping.extracted(rows).collect()}
+    assert got == {(1, "preference", "jazz"), (2, "fact", "bo"), (2, "preference", "to sleep"), (2, "goal", "sleep"), (2, "context", "to sleep")}
+
+
+def test_session_boundaries(spark):
+    minute = 60_000_000
+    rows = [(1, 0, "Python and Docker"), (2, minute, "Docker again"), (3, 2 * minute, "now React, Vue, Go, Rust"), (4, 3 * minute, "plain"), (5, 90 * minute, "back"), (6, 91 * minute, "React")]
+    m = spark.createDataFrame([(1, i, t, x) for i, t, x in rows], "user_id long, id long, us long, text string")
+    assert {r.id: r.boundary for r in keeping.session_boundaries(m).collect()} == {1: "none", 2: "none", 3: "topic", 4: "none", 5: "idle", 6: "none"}
+
+
+def test_imports_by_strategy(spark):
+    kind = "id long, user_id long, importance double, tags array<string>, metadata map<string,string>"
+    old = spark.createDataFrame([(1, 1, 5.0, ["a"], {"x": "1", "y": "2"}), (2, 1, 9.0, ["a"], {})], kind)
+    new = spark.createDataFrame([(1, 7, 4.0, ["b", "a"], {"x": "3"}), (3, 7, 1.0, [], {})], kind)
+    got = {s: {r.id: (r.user_id, r.importance, r.tags, r.metadata, r.state) for r in keeping.imported(old, new, s, user=4).collect()} for s in ("skip", "replace", "merge")}
+    assert got["merge"] == {1: (1, 5.0, ["a", "b"], {"x": "3", "y": "2"}, "merged"), 2: (1, 9.0, ["a"], {}, "kept"), 3: (4, 1.0, [], {}, "added")}
+    assert got["skip"][1] == (1, 5.0, ["a"], {"x": "1", "y": "2"}, "skipped") and got["replace"][1] == (4, 4.0, ["b", "a"], {"x": "3"}, "replaced")
+
+
+def test_lineage_ends_on_cycles(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (9, 3), (4, 5), (5, 4), (4, 6)], "parent long, child long")
+    assert {tuple(r) for r in keeping.lineage(edges).collect()} == {(2, 1, 1), (3, 1, 1), (3, 9, 1)}
+
+
+def test_graph_scores_by_hand(spark):
+    q = spark.createDataFrame([(1, 5, 10, 0.8), (1, 5, 11, 0.4)], "qid long, user_id long, entity long, confidence double")
+    e = spark.createDataFrame([(10, 20, 0.5), (20, 30, 0.5), (10, 30, 0.1), (11, 20, 1.0), (30, 40, 1.0)], "src long, dst long, weight double")
+    owned = spark.createDataFrame([(20, 5), (30, 5), (40, 5), (10, 6)], "id long, user_id long")
+    # 20: max(.8 * .5, .4) / 2; 30: one hop of weight .1 is fewer than two of .25, from 11 there are two of .5
+    got = {r.id: r.score for r in keeping.graph_scores(q, e, owned).collect()}
+    assert got == pytest.approx({20: 1.0, 30: max(0.8 * 0.1 / 2, 0.4 * 0.5 / 3) / 0.2, 40: 0.8 * 0.1 / 3 / 0.2})
