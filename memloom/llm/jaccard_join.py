@@ -5,24 +5,28 @@ at least 0.75. The join is exact up to collisions of 64-bit hashes.
 
 1. One pass hashes every document's set. Equal sets are one class, known by a
    64-bit hash of the set; copies are never expanded into pairs. The same pass
-   counts 5-grams in a sketch of fixed size; it orders them and estimates
+   counts 5-grams in a sketch, sized by the corpus; it orders them and estimates
    costs, no link depends on its errors.
-2. Each class orders its 5-grams from rare to frequent (by the sketch) and emits
+2. Each class orders its 5-grams from rare to frequent (by the sketch) and keeps
    a prefix: with size n, overlap a = ceil(0.75 n) needed and l matches asked
    for, the first n - a + l of them. Two linked sets share at least l 5-grams of
    these prefixes. Every class picks the l for which the estimated cost of
    scanning postings and verifying candidates is least; a pair must then share
    the smaller of its two l within the prefixes of that length.
-3. Prefixes meet by 5-gram. A posting list of moderate length yields the pairs
-   that pass the length and match conditions; a long one only yields stars, so
-   nothing grows with the square of a group's size. If many classes are on
-   stars, the join starts again among these alone: their sketch is emptier, so
-   it tells more 5-grams apart, and classes that share a passage but little else
-   leave the stars.
-4. Pairs and stars together connect classes into families. Families are
+3. Near copies first: the few 5-grams of least hash in every prefix meet, each
+   list's classes are compared with the least of them that shares two of these
+   5-grams, and links found so make groups. This finds most links of most groups
+   at a cost in proportion to the classes; it need not find all.
+4. All prefixes meet by 5-gram. A list whose classes are of one group yields
+   nothing; one of moderate length the pairs across groups that pass the length
+   and match conditions; a long one only yields stars, so nothing grows with the
+   square of a group's size. If many classes are on stars, the join starts again
+   among these alone: their sketch is emptier, so it tells more 5-grams apart, and
+   classes that share a passage but little else leave the stars.
+5. Pairs and stars together connect classes into families. Families are
    verified exactly, in blocks of bounded size: a matrix product over the
    5-grams two blocks share gives all overlaps at once, and only the links'
-   components leave the task. The components of those are the result.
+   components leave the task. The components of all links are the result.
 """
 
 from __future__ import annotations
@@ -32,18 +36,25 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, stage, stage_path
+from .common import drop_stage, mix64, slices, stage, stage_path
 from .components import connected
 
 WORDS = 5
 #: Jaccard threshold in hundredths.
 PERCENT = 75
-SKETCH_BITS, CHUNK = 22, 1 << 15
+#: The sketch has a slot for so many 5-grams of the corpus, and 2 to the power of these at least and at most.
+GRAMS_A_SLOT, SKETCH_BITS, CHUNK = 64, (22, 24), 1 << 15
 #: A 5-gram whose count surely exceeds this makes a star; so does a longer posting list than LIST.
 HOT, LIST = 256, 32
+#: A hot 5-gram's list is dealt to so many tasks.
+SALTS = 512
+#: 5-grams of a prefix that look for near copies first, and how many of them two must share.
+EARLY, EARLY_SHARED = 8, 2
+#: Members of a group's first comparison that one task takes with the same centre.
+SPOKES = 1024
 MAX_MATCHES = 48
 #: Candidates that a 5-gram of no noticeable count is expected to bring.
 EXPECTED = 0.1
@@ -108,8 +119,18 @@ def needed(n: int) -> int:
     return -(-n * PERCENT // 100)
 
 
-def _slots(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def levels(n: int, length: int) -> np.ndarray:
+    """For each 5-gram of a prefix of a set of n, the number of matches from which on the prefix has it."""
+    return np.maximum(1, np.arange(length) - (n - needed(n)) + 1)
+
+
+def _slots(s: np.ndarray, slots: int) -> np.ndarray:
+    return (s >> np.uint64(65 - slots.bit_length())).astype(np.int64)
+
+
+def sketch_size(chars: int) -> int:
+    """Slots for texts of so many characters in all, six to a word."""
+    return 1 << min(max(SKETCH_BITS[0], (chars // (6 * GRAMS_A_SLOT)).bit_length()), SKETCH_BITS[1])
 
 
 def _rows(batches, likely: np.ndarray | None):
@@ -123,11 +144,12 @@ def _rows(batches, likely: np.ndarray | None):
         yield batch
 
 
-def _first_pass(docs: DataFrame, likely: np.ndarray | None) -> tuple[DataFrame, DataFrame]:
-    """(d, n, c) for every document, and the sketch's chunks by task."""
+def _first_pass(docs: DataFrame, likely: np.ndarray | None, slots: int) -> tuple[DataFrame, DataFrame]:
+    """(d, n, c, h) for every document, and the sketch's chunks by task."""
+    names = ["kind", "d", "n", "c", "h", "chunk", "counts"]
 
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
+        sketch = np.zeros(slots, np.uint8)
         known: set[int] = set()
         for batch in _rows(batches, likely):
             sizes, classes = [], []
@@ -141,21 +163,21 @@ def _first_pass(docs: DataFrame, likely: np.ndarray | None) -> tuple[DataFrame,
                         if len(known) >= 200_000:
                             known.clear()
                         known.add(c)
-                        at = _slots(s)
+                        at = _slots(s, slots)
                         sketch[at] = np.minimum(sketch[at], 254) + 1
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["kind", "d", "n", "c", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), batch.column(2), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if sketch.any():
             parts = sketch.reshape(-1, CHUNK)
             n = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array([zlib.compress(p, 1) for p in parts], pa.binary())], names=["kind", "d", "n", "c", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), *[pa.nulls(n, pa.int64())] * 4, pa.array(np.arange(n, dtype=np.int32)), pa.array([zlib.compress(p, 1) for p in parts], pa.binary())], names=names)
 
     spark = docs.sparkSession
-    both = docs.mapInArrow(run, "kind int, d long, n long, c long, chunk int, counts binary")
+    both = docs.select("d", "t", F.xxhash64("t").alias("h")).mapInArrow(run, "kind int, d long, n long, c long, h long, chunk int, counts binary")
     path = stage_path(spark, "sets")
     both.write.partitionBy("kind").parquet(path)
-    read = spark.read.schema("d long, n long, c long, chunk int, counts binary, kind int").parquet(path)
-    return read.where("kind = 0").select("d", "n", "c"), read.where("kind = 1").select("chunk", "counts")
+    read = spark.read.schema("d long, n long, c long, h long, chunk int, counts binary, kind int").parquet(path)
+    return read.where("kind = 0").select("d", "n", "c", "h"), read.where("kind = 1").select("chunk", "counts")
 
 
 def add_chunks(chunks: DataFrame, size: int) -> np.ndarray:
@@ -183,12 +205,12 @@ class Order:
     def __init__(self, sketch: np.ndarray):
         # above the mean only: half of the rare 5-grams keep a count of zero, enough to fill most prefixes,
         # and those in a few documents more than others already come late
-        noise = int(sketch.sum(dtype=np.int64) // len(sketch))
-        self.extra = np.minimum(np.maximum(sketch.astype(np.int64) - noise, 0), 65535).astype(np.uint16)
+        noise = np.uint32(sketch.sum(dtype=np.int64) // len(sketch))
+        self.extra = np.minimum(np.where(sketch > noise, sketch - noise, 0), 65535).astype(np.uint16)
 
     def prefix(self, s: np.ndarray):
-        """(5-grams, level at which each enters, matches l, is it hot) of a set."""
-        extra = self.extra[_slots(s)]
+        """(5-grams, matches l, is it hot) of a set."""
+        extra = self.extra[_slots(s, len(self.extra))]
         order = np.lexsort((s, np.log2(extra + 1.0).astype(np.int8)))
         a = needed(len(s))
         base = len(s) - a
@@ -198,18 +220,17 @@ class Order:
         # a longer prefix costs its own rows and postings; of its candidates, one in `tries` at most is left to verify
         matches = int(np.argmin(tries + candidates[base + tries - 1] * (1 + len(s) / 8 / tries))) + 1
         take = order[: base + matches]
-        level = np.maximum(1, np.arange(len(take)) - base + 1)
-        return s[take], level, matches, extra[take] >= HOT
+        return s[take], matches, extra[take] >= HOT
 
 
-def _postings(docs: DataFrame, order: Order, likely: np.ndarray | None) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b, m, w) and star rows (g, c) from the prefixes."""
+def _prefixes(docs: DataFrame, order: Order, likely: np.ndarray | None) -> DataFrame:
+    """(c, n, l, grams, hot) of every class: the 5-grams of its prefix in order."""
 
-    def emit(batches):
+    def run(batches):
         known: set[int] = set()
         for batch in _rows(batches, likely):
             for _, texts in slices(batch, "t"):
-                cols = [[], [], [], []]
+                rows = []
                 for text in texts:
                     s = shingles(text)
                     c = set_hash(s)
@@ -218,22 +239,113 @@ def _postings(docs: DataFrame, order: Order, likely: np.ndarray | None) -> tuple
                     if len(known) >= 200_000:
                         known.clear()
                     known.add(c)
-                    grams, level, matches, hot = order.prefix(s)
-                    cols[0].append(grams.view(np.int64))
-                    cols[1].append(np.full(len(grams), c))
-                    cols[2].append(len(s) << 16 | matches << 8 | level)
-                    cols[3].append(np.where(hot, c & 63, -1))
-                if cols[0]:
-                    g, c, p, salt = map(np.concatenate, cols)
-                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c, pa.int64()), pa.array(p.astype(np.int64)), pa.array(salt.astype(np.int8))], names=["g", "c", "p", "salt"])
+                    grams, matches, hot = order.prefix(s)
+                    rows.append((c, len(s), matches, grams.tobytes(), np.packbits(hot).tobytes()))
+                if rows:
+                    c, n, m, grams, hot = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int32()), pa.array(grams, pa.binary()), pa.array(hot, pa.binary())], names=["c", "n", "l", "grams", "hot"])
+
+    found = docs.mapInArrow(run, "c long, n long, l int, grams binary, hot binary")
+    # a class that two tasks hold has two equal rows: the lists drop the second
+    return stage(found, "prefixes")
+
+
+def _each(batches):
+    """(c, n, l, grams, hot, k) of the rows of a prefix table; k is c where it is not given."""
+    for batch in batches:
+        c, n, m = (np.asarray(batch.column(i)).tolist() for i in range(3))
+        k = batch.column(5).to_pylist() if batch.num_columns > 5 else c
+        for i, (grams, hot) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
+            g = np.frombuffer(grams.as_buffer(), np.int64)
+            yield c[i], n[i], m[i], g, np.unpackbits(np.frombuffer(hot.as_buffer(), np.uint8), count=len(g)).astype(bool), c[i] if k[i] is None else k[i]
+
+
+def _full(rows, names: list[str], types: list, size: int = 500_000):
+    """Arrow batches of about ``size`` rows from tuples of equally long arrays."""
+    held, n = [], 0
 
-    names = ["kind", "a", "b", "m", "w"]
+    def flush():
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+
+    for row in rows:
+        held.append(row)
+        n += len(row[0])
+        if n >= size:
+            yield flush()
+            held, n = [], 0
+    if held:
+        yield flush()
 
-    def rows(kind, a, b, m, w):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(m.astype(np.int32)), pa.array(w.astype(np.int64))], names=names)
+
+def _near_copies(prefixes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes to compare first: b shares ``EARLY_SHARED`` of the
+    ``EARLY`` least-hashed 5-grams of the prefixes with a, the least of their lists."""
+
+    def run(batches):
+        def rows():
+            for c, n, _, grams, hot, _ in _each(batches):
+                take = n - needed(n) + 1
+                least = np.argsort(grams[:take].view(np.uint64) * np.uint64(_ODD), kind="stable")[:EARLY]
+                yield grams[least], np.full(len(least), c), np.where(hot[least], c & SALTS - 1, -1)
+
+        yield from _full(rows(), ["g", "c", "salt"], [np.int64, np.int64, np.int16])
+
+    rows = prefixes.mapInArrow(run, "g long, c long, salt short")
+    part = rows.withColumn("a", F.min("c").over(Window.partitionBy("g", "salt")))
+    parts = part.where("salt >= 0").select("g", "a").distinct()  # SALTS rows a 5-gram at most
+    joined = parts.withColumn("m", F.min("a").over(Window.partitionBy("g"))).select(F.col("m").alias("a"), F.col("a").alias("b"))
+    spokes = part.select("a", F.col("c").alias("b")).union(joined).where("a <> b")
+    return spokes.groupBy("a", "b").count().where(F.col("count") >= EARLY_SHARED).select("a", "b")
+
+
+def _linked_spokes(docs: DataFrame, spokes: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of classes that link. Each centre's set meets its
+    members' sets, so the work grows with the pairs; large stars are dealt out."""
+    spokes = stage(spokes, "spokes")
+    wide = spokes.groupBy("a").count().where(F.col("count") > SPOKES).select(F.col("a").alias("h"), F.floor(F.col("count") / SPOKES + 1).alias("parts"))
+    dealt = spokes.join(wide, F.col("a") == F.col("h"), "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).alias("s"))
+    members = dealt.select("a", "s", F.lit(True).alias("member"), F.col("b").alias("c"))
+    ends = members.union(members.select("a", "s", F.lit(False).alias("member"), F.col("a").alias("c")).distinct())
+    rows = _with_sets(docs, stage(ends.join(classes.select("c", "rep"), "c"), "spokes")).select("a", "s", "member", "c", "set")
+
+    def run(batches):
+        centre = np.zeros(0, np.uint64)
+        for batch in batches:
+            found = []
+            for a, member, c, raw in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), batch.column(4), strict=True):
+                s = np.frombuffer(raw.as_buffer(), np.uint64)
+                if not member:
+                    centre = s.copy()
+                    continue
+                at = np.minimum(np.searchsorted(centre, s), len(centre) - 1)
+                both = int((centre[at] == s).sum())
+                if 100 * both >= PERCENT * (len(centre) + len(s) - both):
+                    found.append((a, c))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+
+    return rows.repartition("a", "s").sortWithinPartitions("a", "s", "member").mapInArrow(run, "a long, b long")
+
+
+def _postings(prefixes: DataFrame, group: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of groups with a candidate pair of classes, and star rows (g, k):
+    the groups on a long list. ``group`` has the group (label) of the classes (node)
+    that have one; any other class is a group of its own."""
+
+    def emit(batches):
+        def rows():
+            for c, n, m, grams, hot, k in _each(batches):
+                level = levels(n, len(grams))
+                yield grams, np.full(len(grams), c), n << 16 | m << 8 | level, np.where(hot, c & SALTS - 1, -1), np.full(len(grams), 0 if k == c else k)
+
+        yield from _full(rows(), ["g", "c", "p", "salt", "k"], [np.int64, np.int64, np.int64, np.int16, np.int64])
+
+    names = ["kind", "a", "b", "ka", "kb", "m", "w"]
+
+    def rows(kind, a, b, ka, kb, m, w):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *map(pa.array, (a, b, ka, kb)), pa.array(m.astype(np.int32)), pa.array(w.astype(np.int64))], names=names)
 
     def meet(batches):
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 5
         pairs: list[np.ndarray] = []
         waiting = 0
 
@@ -243,19 +355,25 @@ def _postings(docs: DataFrame, order: Order, likely: np.ndarray | None) -> tuple
             both = both[:, o]
             new = np.concatenate([[True], (both[0, 1:] != both[0, :-1]) | (both[1, 1:] != both[1, :-1])])
             at = np.flatnonzero(new)
-            return rows(0, both[0, at], both[1, at], both[2, at], np.diff(np.append(at, both.shape[1])))
+            return rows(0, *both[:, at], np.diff(np.append(at, both.shape[1])))
 
-        def groups(g, c, p, salt):
+        def groups(g, c, p, salt, k):
             keep = np.ones(len(g), bool)
             keep[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-            g, c, p, salt = g[keep], c[keep], p[keep], salt[keep]
+            g, c, p, salt, k = g[keep], c[keep], p[keep], salt[keep], k[keep]
             start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             size = np.diff(np.append(start, len(g)))
-            star = np.repeat((size > LIST) | (salt[start] >= 0), size)
-            out = rows(1, g[star], c[star], p[star], np.zeros(star.sum())) if star.any() else None
+            hot = salt[start] >= 0  # other tasks hold the rest of its list
+            across = np.minimum.reduceat(k, start) < np.maximum.reduceat(k, start) if len(g) else hot
+            star = np.repeat(hot | (size > LIST) & across, size)
+            out = None
+            if star.any():  # each group of a list once
+                listed = np.unique(np.stack([g[star], k[star]]), axis=1)
+                none = np.zeros(listed.shape[1], np.int64)
+                out = rows(1, listed[0], none, listed[1], none, none, none)
             found = []
             for n in range(2, LIST + 1):
-                at = start[(size == n) & (salt[start] < 0)]
+                at = start[(size == n) & ~hot & across]
                 i, j = np.triu_indices(n, 1)
                 for s in range(0, len(at), max(1, 400_000 // len(i))):
                     part = at[s : s + max(1, 400_000 // len(i)), None]
@@ -263,15 +381,17 @@ def _postings(docs: DataFrame, order: Order, likely: np.ndarray | None) -> tuple
                     px, py = p[x], p[y]
                     nx, ny = px >> 16, py >> 16
                     m = np.minimum(px >> 8 & 255, py >> 8 & 255)
-                    ok = (100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)) & (np.maximum(px & 255, py & 255) <= m)
+                    ok = (k[x] != k[y]) & (100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)) & (np.maximum(px & 255, py & 255) <= m)
                     if ok.any():
-                        found.append(np.stack([c[x][ok], c[y][ok], m[ok]]))
+                        found.append(np.stack([c[x][ok], c[y][ok], k[x][ok], k[y][ok], m[ok]]))
             return out, found
 
         for batch in batches:
-            cols = [np.concatenate([h, np.asarray(batch.column(i)).astype(np.int64)]) for i, h in enumerate(held)]
-            if not len(cols[0]):
+            new = [np.asarray(batch.column(i)).astype(np.int64) for i in range(5)]
+            if not len(new[0]):
                 continue
+            new[4] = np.where(new[4] == 0, new[1], new[4])
+            cols = [np.concatenate(x) for x in zip(held, new, strict=True)]
             # the last 5-gram may go on in the next batch; rows of a hot one need not be held
             other = np.flatnonzero(cols[0] != cols[0][-1])
             cut = len(cols[0]) if cols[3][-1] >= 0 else int(other[-1]) + 1 if len(other) else 0
@@ -293,13 +413,20 @@ def _postings(docs: DataFrame, order: Order, likely: np.ndarray | None) -> tuple
         if pairs:
             yield flush()
 
-    spark = docs.sparkSession
-    prefixes = docs.mapInArrow(emit, "g long, c long, p long, salt byte")
-    dealt = prefixes.repartition("g", "salt").sortWithinPartitions("g", "c")
+    spark = prefixes.sparkSession
+    named = prefixes.join(group.select(F.col("node").alias("c"), F.col("label").alias("k")), "c", "left").select("c", "n", "l", "grams", "hot", "k")
+    dealt = named.mapInArrow(emit, "g long, c long, p long, salt short, k long").repartition("g", "salt").sortWithinPartitions("g", "c")
     path = stage_path(spark, "candidates")
-    dealt.mapInArrow(meet, "kind int, a long, b long, m int, w long").write.partitionBy("kind").parquet(path)
-    read = spark.read.schema("a long, b long, m int, w long, kind int").parquet(path)
-    return read.where("kind = 0").select("a", "b", "m", "w"), read.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("c"))
+    dealt.mapInArrow(meet, "kind int, a long, b long, ka long, kb long, m int, w long").write.partitionBy("kind").parquet(path)
+    read = spark.read.schema("a long, b long, ka long, kb long, m int, w long, kind int").parquet(path)
+    pairs = read.where("kind = 0").groupBy("a", "b").agg(F.sum("w").alias("w"), F.first("m").alias("m"), F.first("ka").alias("ka"), F.first("kb").alias("kb")).where("w >= m")
+    return pairs.select(F.col("ka").alias("a"), F.col("kb").alias("b")), read.where("kind = 1").select(F.col("a").alias("g"), F.col("ka").alias("k"))
+
+
+def _spread(stars: DataFrame) -> DataFrame:
+    """(a, b) from each list of several groups: its least group, any other one."""
+    centre = stars.groupBy("g").agg(F.min("k").alias("b"), F.max("k").alias("high")).where("b < high").select(F.col("g").alias("h"), "b")
+    return stars.join(centre, F.col("g") == F.col("h")).where("k <> b").select(F.col("k").alias("a"), "b").distinct()
 
 
 def _local_links(left: list, right: list, same: bool) -> list[tuple[int, int]]:
@@ -374,42 +501,50 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     its own included). A document without words, or of null text, is linked
     with nothing, its component is its own id. Rows that repeat an id get a row
     each, of the same component if their texts link. The id column must be an
-    integer; rows of null id are linked with nothing.
+    integer; rows of null id are linked with nothing. Two more columns tell rows
+    of one id apart: ``text_hash`` long (Spark's xxhash64 of the text) and
+    ``group_key`` long, one value for each component.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
-    table, chunks = _first_pass(docs, None)
+    slots = sketch_size(docs.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0])
+    table, chunks = _first_pass(docs, None, slots)
     classes = table.where("n > 0 and d is not null").groupBy("c").agg(F.min("d").alias("rep"), F.first("n").alias("n"))
-    order = Order(add_chunks(chunks, 1 << SKETCH_BITS))
-    pairs, stars = _postings(docs, order, None)
-    found, n, before = [], stars.select("c").distinct().count(), None
+    prefixes = _prefixes(docs.where("d is not null"), Order(add_chunks(chunks, slots)), None)
+    group = stage(connected(_linked_spokes(docs, _near_copies(prefixes), classes)), "groups")
+    of = classes.join(group, F.col("c") == F.col("node"), "left").select("c", "rep", "n", F.coalesce("label", "c").alias("k"))
+    pairs, stars = _postings(prefixes, group)
+    drop_stage(prefixes)
+    found, before = [pairs], None
+    spokes = stage(_spread(stars), "stars")
     while True:
-        found.append(pairs.groupBy("a", "b").agg(F.sum("w").alias("w"), F.first("m").alias("m")).where("w >= m").select("a", "b"))
+        starred = of.join(spokes.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "k", "left_semi")
+        n = starred.count()
         if n <= FEW or before is not None and n > before // 2:
             break
         before = n
-        likely = _bitmap(stars.select("c").distinct().join(classes, "c").select("rep"))
-        chunks = _first_pass(docs, likely)[1]
-        pairs, stars = _postings(docs, Order(add_chunks(chunks, 1 << SKETCH_BITS)), likely)
-        n = stars.select("c").distinct().count()
-    enough = found[0]
-    for more in found[1:]:
+        likely = _bitmap(starred.select("rep"))
+        again = _prefixes(docs.where("d is not null"), Order(add_chunks(_first_pass(docs, likely, slots)[1], slots)), likely)
+        pairs, stars = _postings(again, group)
+        found.append(pairs)
+        spokes = stage(_spread(stars), "stars")
+    enough = spokes
+    for more in found:
         enough = enough.union(more)
-    centre = stars.groupBy("g").agg(F.min("c").alias("b")).withColumnRenamed("g", "h")
-    spokes = stars.join(centre, F.col("g") == F.col("h")).where("c <> b").select(F.col("c").alias("a"), "b")
-    family = connected(enough.union(spokes))
+    family = connected(enough)
 
-    # the families' members, by representative, and the blocks they fall into
-    members = stage(family.join(classes, F.col("node") == F.col("c")).select(F.col("label").alias("f"), "rep", "n"), "members")
+    # the families' members, and the blocks they fall into
+    members = stage(of.join(family, F.col("node") == F.col("k")).select(F.col("label").alias("f"), "c", "rep", "n"), "members")
     size = members.groupBy("f").agg((F.floor(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n") / BLOCK_GRAMS)) + 1).cast("int").alias("k"), F.count(F.lit(1)).alias("of")).where("of > 1").withColumnRenamed("f", "f2")
-    placed = members.join(size, F.col("f") == F.col("f2")).select("f", "rep", "k", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int").alias("i"))
-    sets = _sets_of(docs, members.select("rep"))
-    own = placed.join(sets, "rep")
+    placed = members.join(size, F.col("f") == F.col("f2")).select("f", "c", "rep", "k", F.pmod(F.xxhash64("c"), F.col("k")).cast("int").alias("i"))
+    own = _with_sets(docs, stage(placed, "placed"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
-    blocks = own.select("f", "i", "rep", "set", other).select("f", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), (F.col("i") > F.col("o")).alias("right"), F.col("rep").alias("d"), "set")
-    component = connected(_verify(blocks))
-    named = classes.join(component, F.col("rep") == F.col("node"), "left").select(F.col("c").alias("c2"), F.coalesce("label", "rep").alias("component_id"))
-    out = table.join(named, (F.col("c") == F.col("c2")) & (F.col("n") > 0) & F.col("d").isNotNull(), "left")
-    return out.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "d").alias("component_id"))
+    blocks = own.select("f", "i", "c", "set", other).select("f", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), (F.col("i") > F.col("o")).alias("right"), F.col("c").alias("d"), "set")
+    component = stage(connected(_verify(blocks).union(group.select("node", "label"))), "components")
+    least = component.join(classes, F.col("node") == F.col("c")).groupBy("label").agg(F.min("rep").alias("component_id")).withColumnRenamed("label", "l2")
+    named = component.join(least, F.col("label") == F.col("l2")).select(F.col("node").alias("c2"), "component_id", "label")
+    first = classes.join(named, F.col("c") == F.col("c2"), "left").select(F.col("c").alias("c2"), F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("label", "c").alias("group_key"))
+    out = table.join(first, (F.col("c") == F.col("c2")) & (F.col("n") > 0) & F.col("d").isNotNull(), "left")
+    return out.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "d").alias("component_id"), F.col("h").alias("text_hash"), F.coalesce("group_key", "c").alias("group_key"))
 
 
 def _bitmap(wanted: DataFrame, bits: int = 1 << 20) -> np.ndarray:
@@ -426,18 +561,31 @@ def _bitmap(wanted: DataFrame, bits: int = 1 << 20) -> np.ndarray:
     return add_chunks(wanted.mapInArrow(mark, "chunk int, counts binary"), bits) > 0
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, set) of the wanted documents: the bitmap spares the texts of most
-    others the way, the join decides."""
-    likely = _bitmap(wanted)
+def _with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted``, which has classes (c, rep), with the classes' sets: the bitmap
+    over ids spares the texts of most other documents the way, the join decides."""
+    likely = _bitmap(wanted.select("rep"))
 
     def run(batches):
+        seen: set = set()
         for batch in _rows(batches, likely):
-            sets = [shingles(x).tobytes() for _, texts in slices(batch, "t") for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "set"])
-
-    found = docs.where("d is not null").mapInArrow(run, "rep long, set binary")
-    return found.join(wanted.distinct(), "rep", "left_semi")
+            ids = iter(batch.column(0).to_pylist())
+            rows = []
+            for _, texts in slices(batch, "t"):
+                for text, d in zip(texts, ids):  # noqa: B905
+                    s = shingles(text)
+                    row = d, set_hash(s)
+                    if row not in seen:  # a repeated row
+                        rows.append((*row, s.tobytes()))
+                    if len(seen) >= 200_000:
+                        seen.clear()
+                    seen.add(row)
+            d, c, sets = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(c, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "c", "set"])
+
+    found = docs.where("d is not null").mapInArrow(run, "rep long, c long, set binary")
+    # both sides grow with the input: the same join at every size
+    return found.join(wanted.hint("merge"), ["rep", "c"])
 
 
 def _id_slots(ids: np.ndarray, bits: int) -> np.ndarray:

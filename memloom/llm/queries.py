@@ -66,7 +66,7 @@ def op9_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.link(read_table(spark, sf_dir, "documents"))
+    return jaccard_join.link(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {
