@@ -203,20 +203,6 @@ def migrated(vec: DataFrame) -> DataFrame:
     return vec.select("id", "v").mapInPandas(run, "id long, norm double, first double")
 
 
-def facts_with_context(docs: DataFrame, width: int = 50) -> DataFrame:
-    """TXT4, TXT15: number facts with their place and the characters around them."""
-    import re
-
-    pattern = re.compile(r"[0-9]{3,}")
-
-    def run(batches):
-        for pdf in batches:
-            found = [(i, m.start(), m.group(), t[max(0, m.start() - width) : m.end() + width]) for i, t in zip(pdf.id, pdf.text, strict=True) for m in pattern.finditer(t or "")]
-            yield pd.DataFrame(found, columns=["id", "start", "fact", "around"])
-
-    return docs.select("id", "text").mapInPandas(run, "id long, start long, fact string, around string")
-
-
 def pruned_text(docs: DataFrame, share: float = 0.5) -> DataFrame:
     """CMP4: the share of a text's words that scores best, in the order of the text."""
 

@@ -199,3 +199,27 @@ def context_text(memories: DataFrame, k: int = 10) -> DataFrame:
     top = memories.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
     line = F.concat(F.col("_r").cast("string"), F.lit(". ["), F.col("type"), F.lit("] "), F.col("text"))
     return top.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", line.alias("l")))), lambda x: x["l"]), "\n").alias("context"))
+
+
+def linked(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges (src, dst, relation, weight, at) after new ones are added: an edge needs both
+    its nodes, and of each ordered pair the last one by ``at`` stays, new before old."""
+    n = nodes.select(F.col("id").alias("_n"))
+    sound = new.join(n, F.col("src") == F.col("_n"), "left_semi").join(n, F.col("dst") == F.col("_n"), "left_semi")
+    every = edges.withColumn("_new", F.lit(0)).unionByName(sound.withColumn("_new", F.lit(1)))
+    last = every.groupBy("src", "dst").agg(F.max_by(F.struct("relation", "weight", "at"), F.struct("_new", "at", "relation", "weight")).alias("_r"))
+    return last.select("src", "dst", "_r.*")
+
+
+def lineage_records(merged: DataFrame, refined: DataFrame, inferred: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(kind, memory, parents, note) of every derived memory, parents in order.
+
+    Merged: memory, parents. Refined: memory, parent. Inferred: memory, parents, rule,
+    confidence. Resolved: memory (the winner), a, b, strategy."""
+    ids = lambda c: F.array_join(F.array_sort(c).cast("array<string>"), ",")
+    return (
+        merged.select(F.lit("merged").alias("kind"), F.col("memory").cast("string").alias("memory"), ids(F.col("parents")).alias("parents"), F.concat(F.lit("Merged "), F.size("parents").cast("string"), F.lit(" memories")).alias("note"))
+        .union(refined.select(F.lit("refined"), F.col("memory").cast("string"), F.col("parent").cast("string"), F.lit("Memory refined")))
+        .union(inferred.select(F.lit("inferred"), F.col("memory").cast("string"), ids(F.col("parents")), F.concat(F.lit("Inferred by "), F.col("rule"), F.lit(" at "), F.col("confidence").cast("string"))))
+        .union(resolved.select(F.lit("resolved"), F.col("memory").cast("string"), ids(F.array("a", "b")), F.concat(F.lit("Conflict resolved by "), F.col("strategy"))))
+    )

@@ -26,13 +26,10 @@ OPS = [
     Op("hlt16", "SELECT m.user_id, count(*) AS n, CAST(sum(CASE WHEN m.age > 20 AND m.access_count = 0 THEN 1 ELSE 0 END) AS BIGINT) AS stale, count(*) - count(DISTINCT m.text) AS copies, count(DISTINCT m.tag2) AS topics FROM @mem m GROUP BY m.user_id", ("mem",), "Combined quality report."),
     Op("ins7", "SELECT tag, CAST(sum(CASE WHEN age > 20 THEN 1 ELSE 0 END) AS BIGINT) AS early, CAST(sum(CASE WHEN age <= 10 THEN 1 ELSE 0 END) AS BIGINT) AS late FROM @tag GROUP BY tag", ("tag",), "Tag trends."),
     Op("prd3", "SELECT user_id, kind, n FROM (SELECT user_id, 'refresh' AS kind, count(*) AS n FROM @mem WHERE age > 20 AND importance > 7 GROUP BY user_id UNION ALL SELECT user_id, 'consolidate' AS kind, count(*) AS n FROM @mem WHERE type = 'context' GROUP BY user_id HAVING count(*) >= 10 UNION ALL SELECT user_id, 'reinforce' AS kind, count(*) AS n FROM @mem WHERE type = 'habit' AND access_count > 8 GROUP BY user_id) x", ("mem",), "Recommendations by rule."),
-    Op("gra1", "SELECT src, dst, relation FROM (SELECT l.src, l.dst, l.relation, row_number() OVER (PARTITION BY l.src, l.dst ORDER BY l.weight DESC, l.relation) AS r FROM @links l WHERE EXISTS (SELECT 1 FROM @links n WHERE n.src = l.dst)) x WHERE r = 1", ("links",), "Edges whose nodes exist, one per pair."),
     Op("gra7", "SELECT l.src, l.relation, count(*) AS n FROM (SELECT src, dst, relation FROM @links UNION ALL SELECT a.src, b.dst, 'related_to' AS relation FROM @links a JOIN @links b ON b.src = a.dst) l GROUP BY l.src, l.relation", ("links",), "Connections by relation."),
     Op("gra10", "SELECT concat('memory_', CAST(id AS STRING)) AS src, concat('topic_', tag) AS dst, 'about' AS relation FROM @tag UNION ALL SELECT concat('memory_', CAST(id AS STRING)) AS src, concat('entity_', CAST(user_id AS STRING)) AS dst, 'mentions' AS relation FROM @mem", ("tag", "mem"), "Links that populate the graph."),
     Op("gra17", "SELECT tag, CAST(CAST(created_at AS DATE) AS STRING) AS day, count(*) AS n FROM @tag GROUP BY tag, CAST(CAST(created_at AS DATE) AS STRING)", ("tag",), "Mentions over time."),
     Op("txt3", "SELECT tag AS entity, count(*) AS mentions, min(created_at) AS first_seen, max(created_at) AS last_seen, count(DISTINCT user_id) AS users FROM @tag GROUP BY tag", ("tag",), "Entity profiles."),
-    Op("txt5", "SELECT id, round(0.5 * least(1.0, #hits(text, '[0-9]+') / 5.0) + 0.5 * least(1.0, length(text) / 2000.0), 9) AS quality FROM @doc", ("doc",), "Fact quality."),
-    Op("txt6", "SELECT id, #hits(text, '[\\n]') + 1 AS parts FROM @doc", ("doc",), "Splitting into parts."),
     Op("txt16", "SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS context_chars FROM @turns", ("turns",), "Running context."),
     Op("cmp5", "SELECT id, #size(#tokens(text)) AS before_n, CAST(floor(#size(#tokens(text)) * 0.5) AS BIGINT) AS after_n, round(#size(#distinct(#tokens(text))) / greatest(1.0, #size(#tokens(text))), 8) AS preserved FROM @doc", ("doc",), "Token pruning metrics."),
     Op("cmp6", "SELECT user_id, tag, count(*) AS episodes, round(avg(importance), 8) AS confidence, CASE WHEN count(*) >= 10 THEN 'abstract' WHEN count(*) >= 5 THEN 'general' ELSE 'specific' END AS level FROM @tag GROUP BY user_id, tag", ("tag",), "Episodic to semantic, by topic."),
@@ -40,7 +37,6 @@ OPS = [
     Op("con5", "SELECT user_id, type, #joined(tag2) AS key_facts, round(max(importance), 8) AS best FROM @mem GROUP BY user_id, type", ("mem",), "Key facts of a cluster."),
     Op("con6", "SELECT tag2, type, count(*) AS n, count(DISTINCT user_id) AS users FROM @mem GROUP BY tag2, type HAVING count(DISTINCT user_id) >= 2", ("mem",), "Groups across users."),
     Op("con7", "SELECT user_id, count(*) AS n, count(DISTINCT type) AS types, CASE WHEN count(DISTINCT type) <= 2 THEN true ELSE false END AS may_run FROM @mem WHERE age <= 3 GROUP BY user_id", ("mem",), "Gate of a consolidation group."),
-    Op("prv1", "SELECT b.id, a.id AS parent, CASE WHEN a.type = b.type THEN 'refined' ELSE 'derived' END AS kind FROM @mem a JOIN @mem b ON b.user_id = a.user_id AND b.tag2 = a.tag2 AND b.id > a.id AND b.us - a.us < 7200000000", ("mem",), "Lineage."),
     Op("prv2", "SELECT id, #hits(text, 'https?://[^ ]+') AS citations FROM @doc", ("doc",), "Citations."),
     Op("tms3", "SELECT id, confidence FROM @mem", ("mem",), "Belief lookup."),
     Op("rtn5", "SELECT id FROM @mem WHERE age > CASE tag1 WHEN 'error' THEN 29 WHEN 'purchase' THEN 25 ELSE 15 END", ("mem",), "Audit retention by severity."),

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from ..plans.dialect import Op
 
-_COS = "#dot(a.v, b.v) / (sqrt(#dot(a.v, a.v)) * sqrt(#dot(b.v, b.v)))"
-_PAIRS = f"SELECT a.id AS a, b.id AS b, a.label AS la, b.label AS lb, {_COS} AS s FROM @vec a JOIN @vec b ON a.label = b.label AND a.id < b.id"
+_NORMED = "(SELECT id, label, v, sqrt(#dot(v, v)) AS norm FROM @vec)"
+_PAIRS = f"SELECT a.id AS a, b.id AS b, a.label AS la, b.label AS lb, #dot(a.v, b.v) / (a.norm * b.norm) AS s FROM {_NORMED} a JOIN {_NORMED} b ON a.label = b.label AND a.id < b.id"
 _BOTH = "SELECT src AS u, dst AS v FROM @links WHERE src <> dst UNION SELECT dst AS u, src AS v FROM @links WHERE src <> dst"
 _STRENGTH = "0.4 * avg(confidence) + 0.3 * least(count(*) / 10.0, 1.0) + 0.2 * exp(-min(age) / 365.0) + 0.1 * least(count(DISTINCT session_id) / 5.0, 1.0)"
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import health, hybrid, keeping
+from ..operators import facts, health, hybrid, keeping
 from ..operators import understanding as und
 from .views import load
 
@@ -58,6 +58,13 @@ QUERIES = {
     "txt14": _one("note", lambda m: keeping.session_boundaries(m, idle_us=60 * 3_600_000_000)),
     "src12": _one("mem", lambda m: _imported(m)),
     "gra14": _one("parent", keeping.lineage),
+    "gra1": lambda spark, sf_dir: _linked(*load(spark, sf_dir, "links", "nation")),
+    "prv1": lambda spark, sf_dir: _lineage(*load(spark, sf_dir, "note", "pair", "relation")),
+    "txt4": _one("note", facts.extract),
+    "txt5": _one("note", lambda m: _sure(facts.extract(m))),
+    "txt6": _one("turns", lambda t: facts.turns_of(_transcripts(t))),
+    "txt6_related": _one("note", lambda m: facts.related(facts.extract(m)).select("id", "fact", "entity", "related")),
+    "txt15": _one("doc", lambda d: facts.with_quality(facts.extract(d)).groupBy("id").agg(F.count(F.lit(1)).alias("facts"), F.round(F.avg("quality"), 6).alias("quality"), F.round(F.max("confidence"), 6).alias("confidence"))),
     "agt1": lambda spark, sf_dir: keeping.accessible(*load(spark, sf_dir, "owned_note", "agent", "agent_grant"), 3, NOW_US),
     "ret11": lambda spark, sf_dir: keeping.graph_scores(*load(spark, sf_dir, "entity_query", "links", "entity_owner")),
     "ret16": _one("note", keeping.context_text),
@@ -92,6 +99,33 @@ def _imported(memories: DataFrame) -> DataFrame:
 TRIGGERS = {"big": [("importance", "gt", 8.0), ("type", "eq", "preference")], "coffee": [("text", "contains", "coffee"), ("importance", "lt", 5)], "key": [("text", "matches", "k[0-3]$")], "tagged": [("tags", "contains", "click")], "always": [], "unknown": [("importance", "near", 3)]}
 
 
+def _lineage(notes: DataFrame, pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    merged = notes.groupBy("user_id", "text").agg(F.min("id").alias("memory"), F.collect_list("id").alias("parents")).where(F.size("parents") > 1)
+    refined = und.smart_update(pairs).where("action = 'update'").join(pairs.select("id", "old_id"), "id").select(F.col("id").alias("memory"), F.col("old_id").alias("parent"))
+    inferred = und.infer(edges).select(F.concat_ws(">", F.col("src").cast("string"), F.col("dst").cast("string")).alias("memory"), F.array(F.col("src").cast("long"), F.col("dst").cast("long")).alias("parents"), "rule", "confidence")
+    resolved = und.resolve(und.conflicts(notes)).select(F.col("by_confidence").alias("memory"), "a", "b", F.lit("confidence").alias("strategy"))
+    return keeping.lineage_records(merged, refined, inferred, resolved)
+
+
+def _linked(links: DataFrame, nation: DataFrame) -> DataFrame:
+    nodes = nation.select(F.col("n_nationkey").alias("id"))
+    old = links.select("src", "dst", "relation", "weight", F.lit(0).alias("at"))
+    new = links.select("src", ((F.col("dst") + F.col("src") % 3) % 27).alias("dst"), F.lit("knows").alias("relation"), (F.col("weight") / 2).alias("weight"), (F.col("src") % 5).alias("at"))
+    return keeping.linked(nodes, old, new).select("src", "dst", "relation", F.round("weight", 6).alias("weight"))
+
+
+def _sure(found: DataFrame) -> DataFrame:
+    scored = facts.with_quality(found)
+    return scored.select("id", "category", "fact", *[F.round(c, 6).alias(c) for c in ("specificity", "verifiability", "completeness", "clarity", "relevance", "quality", "confidence")])
+
+
+def _transcripts(turns: DataFrame) -> DataFrame:
+    """Conversations as transcripts with marks of the speakers."""
+    line = F.concat(F.initcap("role"), F.lit(": "), F.col("text"))
+    own = turns.where(F.col("role").isNotNull() & F.col("text").isNotNull())
+    return own.groupBy(F.col("conv_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+
+
 def _asked(notes: DataFrame) -> DataFrame:
     """The queries: every memory whose id is divisible by 100, against all of its user."""
     return notes.where("id % 100 = 0").select(F.col("id").alias("qid"), "user_id", "text")
@@ -312,4 +346,12 @@ ORACLE = {
       f AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY qid, entity, id ORDER BY h, w DESC) = 1), s AS (SELECT f.qid, f.id, max(0.8e0 * w / (1 + h)) AS s FROM f JOIN entity_owner o ON o.id = f.id AND o.user_id = f.user_id GROUP BY f.qid, f.id)
       SELECT qid, id, round(s / max(s) OVER (PARTITION BY qid), 9) AS score FROM s"""),
     "ret16": ("note", "WITH {views}, t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC, id) AS r FROM note) SELECT user_id, string_agg(r || '. [' || type || '] ' || text, chr(10) ORDER BY r) AS context FROM t WHERE r <= 10 GROUP BY user_id"),
+    "gra1": ("links,nation", """WITH {views}, e AS (SELECT src, dst, relation, weight, 0 AS t, 0 AS fresh FROM links UNION ALL SELECT src, (dst + src % 3) % 27, 'knows', weight / 2, src % 5, 1 FROM links WHERE src IN (SELECT n_nationkey FROM nation) AND (dst + src % 3) % 27 IN (SELECT n_nationkey FROM nation))
+      SELECT src, dst, relation, round(weight, 6) AS weight FROM e QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY fresh DESC, t DESC, relation DESC, weight DESC) = 1"""),
+    "prv1": ("note,pair,relation", "WITH {views}, " + _CONFLICTS + ", rule AS (" + "{gra9}" + "), upd AS (" + "{sim16}" + """)
+      SELECT 'merged' AS kind, min(id)::VARCHAR AS memory, string_agg(id::VARCHAR, ',' ORDER BY id) AS parents, 'Merged ' || count(*) || ' memories' AS note FROM note GROUP BY user_id, text HAVING count(*) > 1
+      UNION ALL SELECT 'refined', u.id::VARCHAR, p.old_id::VARCHAR, 'Memory refined' FROM upd u JOIN pair p ON p.id = u.id WHERE action = 'update'
+      UNION ALL SELECT 'inferred', src || '>' || dst, least(src, dst) || ',' || greatest(src, dst), 'Inferred by ' || rule || ' at ' || confidence FROM rule
+      UNION ALL SELECT 'resolved', CASE WHEN cb > ca THEN b WHEN ca > cb THEN a ELSE later END::VARCHAR, a || ',' || b, 'Conflict resolved by confidence' FROM conflict"""),
 }
+ORACLE["prv1"] = (ORACLE["prv1"][0], ORACLE["prv1"][1].replace("{gra9}", ORACLE["gra9"][1].replace("WITH {views}, ", "WITH ", 1)).replace("{sim16}", ORACLE["sim16"][1].replace("WITH {views}, ", "WITH ", 1)))

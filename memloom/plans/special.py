@@ -60,8 +60,6 @@ QUERIES = {
     "ret14": _one("mem", greedy.assembled_context),
     "tmp4": _one("mem", greedy.interval_patterns),
     "mig1": _one("vec", greedy.migrated),
-    "txt4": _one("doc", greedy.facts_with_context),
-    "txt15": _one("doc", lambda d: greedy.facts_with_context(d).groupBy("id").agg(F.count(F.lit(1)).alias("facts"), F.min("start").alias("first_at"))),
     "cmp4": _one("doc", greedy.pruned_text),
     "str8": str8,
     "gra4": gra4,
@@ -90,6 +88,12 @@ ORACLE = {
       w AS (SELECT user_id, id, k, us AS start, 0::BIGINT AS win FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.id, r.k, CASE WHEN r.us - w.start > 14400000000 THEN r.us ELSE w.start END, CASE WHEN r.us - w.start > 14400000000 THEN w.win + 1 ELSE w.win END FROM w JOIN r ON r.user_id = w.user_id AND r.k = w.k + 1)
       SELECT user_id, id, win FROM w"""),
     "gra4": ("links", _COMPONENTS),
+    "sim5": ("vec", """WITH RECURSIVE {views}, e AS (SELECT a.id AS a, b.id AS b FROM vec a JOIN vec b ON a.label = b.label AND a.id <> b.id WHERE list_cosine_similarity(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) >= 0.3),
+      reach(v, u) AS (SELECT a, a FROM e UNION SELECT e.b, r.u FROM reach r JOIN e ON e.a = r.v) SELECT component, count(*) AS n, string_agg(v::VARCHAR, ',' ORDER BY v) AS members FROM (SELECT v, min(u) AS component FROM reach GROUP BY v) x GROUP BY component"""),
+    "win15": ("mem", """WITH RECURSIVE {views}, r AS (SELECT user_id, id, length(text) // 4 + 1 AS n, row_number() OVER (PARTITION BY user_id ORDER BY importance * confidence DESC, id) AS k FROM mem),
+      w AS (SELECT user_id, id, k, n <= 60 AS kept, 60 - CASE WHEN n <= 60 THEN n ELSE 0 END AS room FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.id, r.k, r.n <= w.room, w.room - CASE WHEN r.n <= w.room THEN r.n ELSE 0 END FROM w JOIN r ON r.user_id = w.user_id AND r.k = w.k + 1)
+      SELECT user_id, id FROM w WHERE kept"""),
+    "stm10": ("mem", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY date_trunc('hour', ts), event_type HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 2 HOUR"),
     "lif4": ("mem", "WITH {views} SELECT id, 'ok' AS state FROM mem"),
     "src7": ("mem", _BACK),
     "src9": ("mem", _BACK),

@@ -26,7 +26,7 @@ VIEWS = {
       FROM @mem""",
     "tag": "SELECT id, user_id, created_at, us, age, type, importance, session_id, tag1 AS tag FROM @mem UNION ALL SELECT id, user_id, created_at, us, age, type, importance, session_id, tag2 AS tag FROM @mem",
     "doc": "SELECT doc_id AS id, lang AS user_id, text, source, n_chars, CAST(length(text) AS BIGINT) AS text_length FROM documents",
-    "pair": "SELECT id, old, text AS new, idle_days, confidence FROM (SELECT id, text, lag(text) OVER w AS old, lag(idle_days) OVER w AS idle_days, lag(confidence) OVER w AS confidence FROM @note WINDOW w AS (PARTITION BY user_id, type ORDER BY us, id)) x WHERE old IS NOT NULL",
+    "pair": "SELECT id, old_id, old, text AS new, idle_days, confidence FROM (SELECT id, text, lag(id) OVER w AS old_id, lag(text) OVER w AS old, lag(idle_days) OVER w AS idle_days, lag(confidence) OVER w AS confidence FROM @note WINDOW w AS (PARTITION BY user_id, type ORDER BY us, id)) x WHERE old IS NOT NULL",
     "intent": """
       SELECT id, user_id, CASE id % 3 WHEN 0 THEN 'event' WHEN 1 THEN 'time' ELSE 'hybrid' END AS trigger, CASE id % 4 WHEN 0 THEN split('Coffee,budget', ',') WHEN 1 THEN split('boston', ',') WHEN 2 THEN split('opera,zebra', ',') END AS keywords, CASE id % 5 WHEN 0 THEN 'meat|tea' WHEN 1 THEN 'WORKS? at [A-Z]' END AS pattern,
         CASE id % 3 WHEN 0 THEN NULL ELSE us + (id % 11) * 864000000000 END AS due_us, CASE id % 13 WHEN 0 THEN #us(@now) - 86400000000 WHEN 1 THEN #us(@now) + 86400000000 END AS until_us, CASE id % 7 WHEN 0 THEN 86400000000 WHEN 1 THEN 604800000000 WHEN 2 THEN 2592000000000 END AS every_us, CASE id % 2 WHEN 0 THEN id % 6 END AS remaining, CASE id % 5 WHEN 0 THEN #us(@now) - 3600000000 WHEN 1 THEN #us(@now) + 864000000000 END AS expires_us

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from memloom.operators import health, keeping
+from memloom.operators import facts, health, keeping
 from memloom.operators import understanding as und
 from memloom.plans.views import load
 
@@ -209,3 +209,25 @@ def test_graph_scores_by_hand(spark):
     # 20: max(.8 * .5, .4) / 2; 30: one hop of weight .1 is fewer than two of .25, from 11 there are two of .5
     got = {r.id: r.score for r in keeping.graph_scores(q, e, owned).collect()}
     assert got == pytest.approx({20: 1.0, 30: max(0.8 * 0.1 / 2, 0.4 * 0.5 / 3) / 0.2, 40: 0.8 * 0.1 / 3 / 0.2})
+
+
+def test_facts_and_their_quality(spark):
+    text = "John works at Acme since 2019. He likes green tea. He LIKES green tea." + " x" * 60 + " lived in Paris"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "nothing here")], "id long, text string")
+    got = {(r.category, r.fact): r for r in facts.extract(docs).collect()}
+    assert {k: (r.entity, r.temporal, r.temporal_type) for k, r in got.items()} == {
+        ("employment", "works at Acme since"): ("Acme since", "2019", "start_date"),
+        ("location", "lives in Paris"): ("Paris", "", "present"),
+        ("preference", "likes green tea"): ("green tea", "2019", "start_date"),
+    }
+    assert text[got["location", "lives in Paris"].start :].startswith("lived in Paris")
+    r = facts.with_quality(facts.extract(docs)).where("category = 'employment'").first()
+    quality = 0.2 * (4 / 20 + 0.2) + 0.25 * 1.0 + 0.25 * 1.0 + 0.15 + 0.15 * 0.9 * 0.85
+    assert r.quality == pytest.approx(quality) and r.confidence == 1.0
+    two = spark.createDataFrame([(1, "a", "E"), (1, "b", "E"), (1, "c", "F"), (2, "a", "E")], "id long, fact string, entity string")
+    assert {(r.id, r.fact): r.related for r in facts.related(two).collect()} == {(1, "a"): "b", (1, "b"): "a", (1, "c"): "", (2, "a"): ""}
+
+
+def test_turns_of_transcripts(spark):
+    rows = spark.createDataFrame([(1, "User: hi\n\n there\nAssistant:  yes\nSystem:\nok"), (2, "no marks\nat all"), (3, None)], "id long, text string")
+    assert sorted((r.id, r.text) for r in facts.turns_of(rows).collect()) == [(1, "hi there"), (1, "ok"), (1, "yes"), (2, "no marks at all")]

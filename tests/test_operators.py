@@ -89,5 +89,3 @@ def test_assembled_context_states_reasons(spark):
 def test_sequence_ratio_and_facts(spark):
     pairs = spark.createDataFrame([("abcd", "bcde"), (None, "x"), ("", "")], "a string, b string")
     assert [r.ratio for r in greedy.sequence_ratio(pairs, "a", "b").collect()] == [0.75, 0.0, 1.0]
-    docs = spark.createDataFrame([(1, "in 1984 and 42"), (2, None)], "id long, text string")
-    assert [(r.id, r.start, r.fact) for r in greedy.facts_with_context(docs).collect()] == [(1, 3, "1984")]
