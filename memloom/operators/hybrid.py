@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut
 from . import understanding as und
 
 # BM25's k1, b and the share of the mean idf that replaces a negative one; the constant of rank fusion.
@@ -24,13 +27,26 @@ def _set(text: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
 
 
+def _counted(tok: DataFrame) -> DataFrame:
+    """(id, part, len, w, tf) of every text's tokens: counted where the text is, without a shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            ids, parts, own = (batch.column(k).to_pylist() for k in range(3))
+            rows = [(i, p, len(t), w, n) for i, p, t in zip(ids, parts, own, strict=True) if t for w, n in Counter(t).items()]
+            yield pa.RecordBatch.from_pylist([dict(zip(("id", "part", "len", "w", "tf"), r, strict=True)) for r in rows], schema=kind)
+
+    kind = pa.schema([("id", pa.int64()), ("part", pa.string()), ("len", pa.int64()), ("w", pa.string()), ("tf", pa.int64())])
+    return tok.select(F.col("id").cast("long"), F.col("part").cast("string"), "t").mapInArrow(run, "id long, part string, len long, w string, tf long")
+
+
 def bm25(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(qid, id, score) of the documents that share a token with a query of their
     corpus (``part``); every other one scores zero. Scores are rounded, so that ties
     do not hang on the order of sums. Queries: qid, part, text. Corpus: id, part, text."""
     tok = corpus.select("id", "part", _tokens("text").alias("t"))
-    size = tok.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean"))
-    tf = tok.select("id", "part", F.size("t").alias("len"), F.explode("t").alias("w")).groupBy("id", "part", "len", "w").agg(F.count(F.lit(1)).alias("tf"))
+    size = tok.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.size("t"), F.lit(0))).alias("mean"))
+    tf = _counted(tok)
     df = tf.groupBy("part", "w").agg(F.count(F.lit(1)).alias("df"))
     raw = df.join(size, "part").withColumn("raw", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     floor = raw.groupBy("part").agg((F.avg("raw") * EPSILON).alias("floor"))
@@ -41,6 +57,19 @@ def bm25(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return asked.join(idf, ["part", "w"]).join(tf, ["part", "w"]).groupBy("qid", "part", "id").agg(F.round(F.sum(weight), 9).alias("score"))
 
 
+def lexical_top(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
+    """(qid, id, score) of each query's ``k`` best documents of its corpus. Documents
+    without a common token score zero and fill up, the smaller ids first."""
+    scored = cut(bm25(queries, corpus).select("qid", "part", "id", "score"))
+    met = scored.groupBy("qid").agg(F.count(F.lit(1)).alias("hits"), F.sum((F.col("score") >= 0).cast("int")).alias("good"))
+    short = queries.select("qid", "part").join(met, "qid", "left").na.fill(0, ["hits", "good"]).where(F.col("good") < k)
+    room = short.groupBy("part").agg((F.max("hits") + k).alias("room"))
+    first = corpus.select("part", "id").join(room, "part").withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("id"))).where(F.col("r") <= F.col("room"))
+    fill = short.join(first, "part").join(scored.select("qid", "id"), ["qid", "id"], "left_anti").select("qid", "part", "id", F.lit(0.0).alias("score"))
+    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
+    return scored.union(fill).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("qid", "id", "score")
+
+
 def retrieve(queries: DataFrame, memories: DataFrame, k: int = 10, depth: int = 200, fused: int = 60, kept: int = 50) -> DataFrame:
     """The ``k`` best memories of a user for each query.
 

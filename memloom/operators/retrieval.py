@@ -10,14 +10,14 @@ _VECTOR = f"SELECT q.id AS qid, m.id, {_COS} AS sim FROM (SELECT id, v FROM @vec
 _TOKEN = "SELECT id, user_id, word, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT id, user_id, #each(#tokens(text)) AS word FROM @doc) w GROUP BY id, user_id, word"
 _LENGTH = "SELECT id, user_id, CAST(#size(#tokens(text)) AS DOUBLE) AS len FROM @doc"
 _IDF = "SELECT d.user_id, d.word, ln((c.n - d.df + 0.5) / (d.df + 0.5)) AS raw FROM (SELECT user_id, word, count(*) AS df FROM tok GROUP BY user_id, word) d JOIN (SELECT user_id, count(*) AS n FROM @doc GROUP BY user_id) c ON c.user_id = d.user_id"
-_QUERY = "SELECT DISTINCT id AS qid, user_id, word FROM (SELECT id, user_id, #each(#tokens(text)) AS word FROM @doc WHERE id % 100 = 0) q"
+_QUERY = "SELECT id AS qid, user_id, word, count(*) AS times FROM (SELECT id, user_id, #each(#tokens(text)) AS word FROM @doc WHERE id % 100 = 0) q GROUP BY id, user_id, word"
 #: The first k documents without a common token fill up with zero scores: they stand in the gaps between the others' places.
 #: Documents of a language are one user's memories; a query is a document's whole text, of every id divisible by 100.
 BM25 = f"""WITH tok AS ({_TOKEN}), len AS ({_LENGTH}), raw AS ({_IDF}),
   idf AS (SELECT r.user_id, r.word, CASE WHEN r.raw < 0 THEN 0.25 * a.mean ELSE r.raw END AS idf FROM raw r JOIN (SELECT user_id, avg(raw) AS mean FROM raw GROUP BY user_id) a ON a.user_id = r.user_id),
   mean AS (SELECT user_id, avg(len) AS avgdl FROM len GROUP BY user_id),
   query AS ({_QUERY}),
-  scored AS (SELECT q.qid, t.id, round(sum(i.idf * t.tf * 2.5 / (t.tf + 1.5 * (0.25 + 0.75 * l.len / a.avgdl))), 9) AS score
+  scored AS (SELECT q.qid, t.id, round(sum(q.times * i.idf * t.tf * 2.5 / (t.tf + 1.5 * (0.25 + 0.75 * l.len / a.avgdl))), 9) AS score
     FROM query q JOIN tok t ON t.user_id = q.user_id AND t.word = q.word JOIN idf i ON i.user_id = t.user_id AND i.word = t.word JOIN len l ON l.id = t.id JOIN mean a ON a.user_id = t.user_id GROUP BY q.qid, t.id),
   place AS (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM @doc),
   hit AS (SELECT s.qid, p.user_id, p.r FROM scored s JOIN place p ON p.id = s.id UNION ALL SELECT id AS qid, user_id, n + 1 AS r FROM place WHERE id % 100 = 0),

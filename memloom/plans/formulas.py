@@ -68,6 +68,7 @@ QUERIES = {
     "agt1": lambda spark, sf_dir: keeping.accessible(*load(spark, sf_dir, "owned_note", "agent", "agent_grant"), 3, NOW_US),
     "ret11": lambda spark, sf_dir: keeping.graph_scores(*load(spark, sf_dir, "entity_query", "links", "entity_owner")),
     "ret16": _one("note", keeping.context_text),
+    "ret2": _one("doc", lambda d: _found(d)),
     "ret12": _one("note", lambda m: hybrid.retrieve(_asked(m), m)),
     "cfl1": _one("note", lambda m: und.conflicts(m).select("a", "b", "s", "kind", "confidence")),
     "cfl2": _one("note", lambda m: und.resolve(und.conflicts(m))),
@@ -131,6 +132,13 @@ def _asked(notes: DataFrame) -> DataFrame:
     return notes.where("id % 100 = 0").select(F.col("id").alias("qid"), "user_id", "text")
 
 
+def _found(docs: DataFrame) -> DataFrame:
+    """BM25 within a language; queries are the whole texts of every id divisible by 100."""
+    corpus = docs.select("id", F.col("user_id").alias("part"), "text").where("part IS NOT NULL")
+    asked = corpus.where("id % 100 = 0").select(F.col("id").alias("qid"), "part", "text")
+    return hybrid.lexical_top(asked, corpus, 10).select("qid", "id", F.round("score", 6).alias("score"))
+
+
 def _propagated(notes: DataFrame) -> DataFrame:
     """Each memory supports the next two of its user, in order of time."""
     after = Window.partitionBy("user_id").orderBy("us", "id")
