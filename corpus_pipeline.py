@@ -30,30 +30,40 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document of the smallest id stays.
-    Documents without a word are linked with nothing and stay."""
-    linked = jaccard_join.link(docs).where("component_id <> doc_id").select("doc_id")
-    again = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    gone = linked.union(again).distinct().select(F.col("doc_id").alias("_d"))
-    kept = _like_input(docs, docs.join(gone, F.col("doc_id") == F.col("_d"), "left_anti"))
-    # a repeated id is one document, the least of its rows
-    rest = docs.join(again, "doc_id", "left_semi").join(linked, "doc_id", "left_anti")
-    one = rest.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("r")).select("doc_id", "r.*")
-    return kept.union(_like_input(docs, one))
+    """Of each component of near duplicates one document stays, the one of the
+    smallest id; where rows repeat that id, the least of them by text. Documents
+    without a word, or of null id, are linked with nothing and stay."""
+    found = stage(jaccard_join.link(docs).where("n_shingles > 0 and doc_id is not null"), "links")
+    first = found.where("component_id = doc_id")
+    again = first.groupBy("group_key").count().where("count > 1")
+    again = first.join(again, "group_key", "left_semi").select("doc_id", "text_hash", "group_key").distinct()
+    gone = found.where("component_id <> doc_id").select("doc_id", "text_hash").union(again.select("doc_id", "text_hash")).distinct()
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
+    same = (F.col("doc_id") == F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_hash"))
+    kept = docs.join(gone, same, "left_anti")
+    rest = again.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"), F.col("group_key").alias("_group"))
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")).join(rest, same)
+    one = rows.groupBy("_group").agg(F.min_by("_row", F.struct("doc_id", "text")).alias("_row")).select("_row.*")
+    return _like_input(docs, kept).union(_like_input(docs, one))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_d"))
-    return _like_input(docs, docs.join(found, F.col("doc_id") == F.col("_d"), "left_anti"))
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_found_id"))
+    return _like_input(docs, docs.join(found, F.col("doc_id") == F.col("_found_id"), "left_anti"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret is replaced by a mark; all documents stay. n_chars follows the text."""
+    """Every secret is replaced by a mark; all documents stay. n_chars, if there is
+    one, follows the text; all other columns pass through."""
     model = secret_scan.train(secret_scan.labelled_samples(spark, docs.select("doc_id", "text")))
-    found = secret_scan.scan(docs, model, extra=("text", "lang", "source"))
-    clean = found.select("doc_id", secret_scan.redact(F.col("text"), F.col("spans")).alias("text"), "lang", "source")
-    return _like_input(docs, clean.withColumn("n_chars", F.length("text").cast("long")))
+    packed = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_none")).alias("_rest"))
+    found = secret_scan.scan(packed, model, extra=("text", "_rest"))
+    clean = found.select("doc_id", secret_scan.redact(F.col("text"), F.col("spans")).alias("text"), "_rest")
+    clean = clean.select("doc_id", "text", "_rest.*")
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return _like_input(docs, clean)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
