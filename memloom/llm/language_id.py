@@ -9,8 +9,9 @@ text: the expected use of each piece comes from the same forward pass and its
 backward twin.
 
 Words are runs of letters, lower-cased, with the vocabulary's word-start mark
-in front; a word longer than ``CHUNK`` characters is scored in chunks of that
-length, so every character of a text counts.
+in front. Words of equal length are worked on side by side; those of over
+``LONG`` characters one by one, with the pass rescaled on its way, so that
+neither memory nor the range of numbers bounds a word's length.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import HashIndex, mix64, slices, smallest
 
 MARK = "▁"
-MAX_PIECE, CHUNK = 8, 32
+#: Beyond so many characters a word's probability could leave the range of doubles.
+LONG = 32
 #: Words whose scores a worker keeps; when more are known, it starts again.
 CACHE_WORDS = 250_000
 #: Characters of words that are worked on at once.
@@ -37,13 +39,14 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
-    """The vocabulary's pieces of at most ``MAX_PIECE`` characters, by hash."""
+    """All pieces of the vocabulary that stand for text, by hash."""
 
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.texts = [t for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_byte(i) and not model.is_unknown(i) and 0 < len(t := model.id_to_piece(i)) <= MAX_PIECE]
+        self.texts = [t for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_byte(i) and not model.is_unknown(i) and (t := model.id_to_piece(i))]
+        self.longest = max(map(len, self.texts))
         keys = np.zeros(len(self.texts), np.uint64)
-        for n in range(1, MAX_PIECE + 1):
+        for n in range(1, self.longest + 1):
             own = [i for i, t in enumerate(self.texts) if len(t) == n]
             if own:
                 keys[own] = _hashes(_codes([self.texts[i] for i in own], n), 0, n)
@@ -57,7 +60,16 @@ class Pieces:
         codes = _codes(words, n)
         out: list[list[np.ndarray]] = [[]]
         for end in range(1, n + 1):
-            out.append([self.index.get(_hashes(codes, end - k, end)) for k in range(1, min(MAX_PIECE, end) + 1)])
+            out.append([self.index.get(_hashes(codes, end - k, end)) for k in range(1, min(self.longest, end) + 1)])
+        return out
+
+    def along(self, word: str) -> np.ndarray:
+        """(end, length - 1) of one word: id of the piece of that length that ends there (-1: none)."""
+        n = len(word)
+        out = np.full((n + 1, self.longest), -1, np.int32)
+        codes = _codes([word], n)[0]
+        for k in range(1, min(self.longest, n) + 1):
+            out[k:, k - 1] = self.index.get(_hashes(np.lib.stride_tricks.sliding_window_view(codes, k), 0, k))
         return out
 
 
@@ -78,15 +90,8 @@ def pieces_of(path: str) -> Pieces:
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased letter runs with the word-start mark, in chunks."""
-    out = []
-    for w in _WORDS(text.lower()):
-        if len(w) < CHUNK:
-            out.append(MARK + w)
-        else:
-            out.append(MARK + w[: CHUNK - 1])
-            out += [w[i : i + CHUNK] for i in range(CHUNK - 1, len(w), CHUNK)]
-    return out
+    """Lower-cased letter runs with the word-start mark."""
+    return [MARK + w for w in _WORDS(text.lower())]
 
 
 class Model:
@@ -140,6 +145,40 @@ class Model:
                 for c in range(use.shape[1]):
                     into[:, c] += np.bincount(i[hit], use[:, c], len(into))
 
+    def _forward_long(self, word: str):
+        """Of one word of any length: piece ids, forward values each divided by all
+        scales up to it, and the scales."""
+        ids, padded = pieces_of(self.path).along(word), np.vstack([self.prob, np.zeros((1, len(self.languages)))])
+        n, most = len(word), ids.shape[1]
+        alpha, scale = np.zeros((n + 1 + most, len(self.languages))), np.ones((n + 1, len(self.languages)))
+        alpha[most] = 1  # in front stand zeros, for pieces that would begin before the word
+        for end in range(1, n + 1):
+            p = padded[ids[end]]
+            p[0] = np.maximum(p[0], self.floor)
+            before = alpha[end + most - 1 : end - 1 : -1]
+            a = (p * before).sum(0)
+            # each value is relative to the one before: earlier ones are rescaled as the window moves on
+            scale[end] = a
+            alpha[end : end + most] /= a
+            alpha[end + most] = 1
+        return ids, scale
+
+    def _expected_long(self, word: str, counts: np.ndarray, into: np.ndarray) -> None:
+        ids, scale = self._forward_long(word)
+        padded = np.vstack([self.prob, np.zeros((1, len(self.languages)))])
+        n, most = len(word), ids.shape[1]
+        logs = np.cumsum(np.log(scale), axis=0)
+        beta = np.zeros((n + 1, len(self.languages)))  # times the forward value at the same place, over the word's probability
+        beta[n] = 1
+        for end in range(n, 0, -1):
+            k = min(most, end)
+            p = padded[ids[end, :k]]
+            p[0] = np.maximum(p[0], self.floor)
+            use = np.exp(logs[end - k : end][::-1] - logs[end]) * p * beta[end]
+            beta[end - k : end] += use[::-1]
+            hit = np.flatnonzero(ids[end, :k] >= 0)
+            np.add.at(into, ids[end, hit], use[hit] * counts)
+
     def learn(self, words: list[str]) -> None:
         """Score words that are not known yet."""
         by_length: dict[int, list[str]] = {}
@@ -147,10 +186,10 @@ class Model:
             by_length.setdefault(len(w), []).append(w)
         found = []
         for n, own in by_length.items():
-            step = max(256, _CELLS // n)
+            step = max(256, _CELLS // n) if n <= LONG else 1
             for s in range(0, len(own), step):
                 part = own[s : s + step]
-                found.append(np.log(self.forward(part, n)[2][n]))
+                found.append(np.log(self.forward(part, n)[2][n]) if n <= LONG else np.log(self._forward_long(part[0])[1]).sum(0)[None])
                 at = len(self.known)
                 self.known.update(zip(part, range(at, at + len(part))))
         if found:
@@ -208,10 +247,13 @@ def train(labelled: DataFrame, path: str, text_col: str = "text", lang_col: str
     for _ in range(rounds if languages else 0):
         use = np.zeros_like(model.prob)
         for n, own in groups.items():
-            step = max(256, _CELLS // n)
+            step = max(256, _CELLS // n) if n <= LONG else 1
             for s in range(0, len(own), step):
                 part = own[s : s + step]
-                model.expected(part, n, np.array([vocabulary[w] for w in part]), use)
+                if n > LONG:
+                    model._expected_long(part[0], vocabulary[part[0]], use)
+                else:
+                    model.expected(part, n, np.array([vocabulary[w] for w in part]), use)
         use += smoothing
         model.prob = use / use.sum(0)
     return model
