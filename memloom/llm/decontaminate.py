@@ -18,18 +18,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, COVERED, LITERALS = 8, 13, 5
-#: Benchmark windows up to which that side is broadcast; beyond it is shuffled.
-BROADCAST_WINDOWS = 1_000_000
+#: Benchmark windows up to which that side is broadcast, and different hashes of them up to
+#: which these alone are, to thin out the texts' windows; beyond, both sides are shuffled.
+BROADCAST_WINDOWS, BROADCAST_HASHES = 1_000_000, 5_000_000
 #: Units of measure and money.
 UNITS = "mm cm m km g kg mg t l ml s ms min h hr hrs hz khz mhz ghz kb mb gb tb v w kw a n pa j kj mol ft in mi lb lbs oz inch inches foot feet yard yards mile miles pound pounds ounce ounces meter meters metre metres centimeter centimeters kilometer kilometers kilometre kilometres gram grams kilogram kilograms ton tons tonne tonnes liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees".split()
-_NAME = "\x02"
+_NAME, _JOIN = "\x02", "\x04"
 _NAMES = r"(?<=[\p{L}\p{N},;:] )(?=\p{Lu}\p{Ll})"
-_BREAK = r"(?:[^\p{L}\p{N}\x02.,]|[.,](?!\d)|(?<!\d)[.,])+"
+_BREAK = r"(?:[^\p{L}\p{N}\x02\x04.,]|[.,](?!\d)|(?<!\d)[.,])+"
 
 
 def words(text: Column) -> Column:
-    """Lower-cased words; a name has a mark in front."""
-    return F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _NAMES, _NAME)), _BREAK), lambda w: w != "")
+    """Lower-cased words; a name has a mark in front, and names in a row are one."""
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), _NAMES, _NAME)
+    return F.filter(F.split(F.lower(F.regexp_replace(marked, r"(\x02[\p{L}\p{N}]+) (?=\x02)", "$1" + _JOIN)), _BREAK), lambda w: w != "")
 
 
 def _is_name(w: Column) -> Column:
@@ -52,19 +54,20 @@ def template(word_array: Column) -> Column:
 
 
 def _windows(table: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, words, position, window hash) of every window: the hash of its template,
-    or of its words where fewer than ``LITERALS`` of them are no placeholders."""
+    """(key, number of words, position, the window's own words, its hash) of every window:
+    the hash of its template, or of its words where fewer than ``LITERALS`` of them are
+    no placeholders. No row carries more of a text than its window."""
     # each explode of one array keeps the planner from computing that array again wherever it is used
     cut = table.select(F.col(key).alias("k"), F.explode(F.array(words(F.col(text)))).alias("words"))
     cut = cut.select("k", "words", F.explode(F.array(template(F.col("words")))).alias("h"))
     at = cut.where(F.size("h") >= WINDOW).select("k", "words", "h", F.explode(F.sequence(F.lit(0), F.size("h") - WINDOW)).alias("pos"))
     own = [F.get("h", F.col("pos") + i) for i in range(WINDOW)]
     literal = sum(((~h.isin(1, 2, 3)).cast("int") for h in own[1:]), (~own[0].isin(1, 2, 3)).cast("int"))
-    return at.select("k", "words", "pos", F.when(literal >= LITERALS, F.xxhash64(*own)).otherwise(F.xxhash64(_exact("pos", WINDOW))).alias("w"))
+    return at.select("k", F.size("words").alias("of"), "pos", F.slice("words", F.col("pos") + 1, WINDOW).alias("words"), F.when(literal >= LITERALS, F.xxhash64(*own)).otherwise(F.xxhash64(_exact("pos", WINDOW))).alias("w"))
 
 
 def _bare(w: Column) -> Column:
-    return F.translate(w, _NAME, "")
+    return F.translate(w, _JOIN + _NAME, " ")
 
 
 def _exact(pos: str, n: Column | int) -> Column:
@@ -138,12 +141,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
     listed = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text).alias("t"))
     items = _windows(listed, "item", "t")
-    items = items.select(F.col("k").alias("item"), F.col("pos").alias("ipos"), F.slice("words", F.col("pos") + 1, WINDOW).alias("iwords"), F.size("words").alias("of"), F.col("w").alias("iw"))
+    items = items.select(F.col("k").alias("item"), F.col("pos").alias("ipos"), F.col("words").alias("iwords"), "of", F.col("w").alias("iw"))
+    windows = _windows(texts, "k", "t").drop("of")
     if items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         items = F.broadcast(items)  # the size was just checked
-    met = _windows(texts, "k", "t").join(items, F.col("w") == F.col("iw"))
+    else:
+        hashes = items.select(F.col("iw").alias("w")).distinct()
+        if hashes.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:
+            windows = windows.join(F.broadcast(hashes), "w", "left_semi")  # likewise
+    met = windows.join(items, F.col("w") == F.col("iw"))
     slot = lambda x: _is_name(x["a"]) | _is_number(x["a"]) | x["a"].isin(UNITS)
-    pairs = F.filter(F.zip_with("iwords", F.slice("words", F.col("pos") + 1, WINDOW), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), slot)
+    pairs = F.filter(F.zip_with("iwords", "words", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), slot)
     pairs = F.transform(pairs, lambda x: F.struct(x["a"].alias("a"), _bare(x["b"]).alias("b")))
     met = met.select("k", "item", "of", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), pairs.alias("pairs"))
     line = met.groupBy("k", "item", "of", "shift").agg(F.array_sort(F.collect_set(F.struct("ipos", "pairs"))).alias("windows"))
