@@ -54,8 +54,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        # for pre-tokens, which are normalised and cut already
+        # for pre-tokens, which are normalised and cut already; a text that may hold a special token never comes here
         self.merger = tokenizers.Tokenizer.from_file(path)
         self.merger.encode_special_tokens = True
         self.merger.normalizer = None
@@ -171,8 +170,8 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, id_col
     dealt = encoded.repartition(len(bounds) + 1, "file").sortWithinPartitions("file", "d", "ids")
     manifest = dealt.mapInArrow(put, "file int, n_docs long, n_tokens long")
     path = stage_path(spark, "manifest")
-    manifest.coalesce(max(1, min(64, len(bounds) + 1))).write.parquet(path)
-    # a row for each file: small enough for one task, however many documents there are
+    manifest.write.parquet(path)
+    # a row for each file of docs_per_file documents: the running sum sees these alone, in one task
     return spark.read.schema(manifest.schema).parquet(path).withColumn("base", F.coalesce(F.sum("n_tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
@@ -201,7 +200,9 @@ class TokenFile:
 
 def read(manifest: DataFrame, folder: str, dtype: str = "<u2") -> DataFrame:
     """Documents from the files: ``doc_id``, ``start``, ``n_tokens`` long and
-    ``ids`` binary (little-endian unsigned 32-bit), in the files' order."""
+    ``ids`` binary (little-endian unsigned 32-bit). Files are dealt to as many
+    tasks as there are files; within a file documents are in its order."""
+    n_files = manifest.count()
 
     def get(batches):
         for batch in batches:
@@ -216,7 +217,8 @@ def read(manifest: DataFrame, folder: str, dtype: str = "<u2") -> DataFrame:
                         pa.array([tokens[k].astype("<u4").tobytes() for k in own], pa.binary()),
                     ], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return manifest.select("file", "base").repartition(F.col("file")).mapInArrow(get, "doc_id long, start long, n_tokens long, ids binary")
+    # a number that is given is kept: adaptive execution would put so small a table into one task
+    return manifest.select("file", "base").repartition(max(1, n_files), "file").mapInArrow(get, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digest(read_back: DataFrame) -> DataFrame:
