@@ -1,18 +1,24 @@
 """Exact top-k search by inner product (operator 9): a vector-approximation file.
 
 Every vector is approximated by the cell it falls in: one byte per dimension
-names an interval between fixed marks. From a candidate's cell alone follow an
-upper and a lower bound of its inner product with a query. The search scans
-the cells of a block of candidates, takes the k-th best lower bound as a
-threshold, and reads exact vectors in descending order of upper bound until
-the next bound lies below the k-th exact score: nothing unseen can then enter.
-
-Queries and candidates meet in blocks of fixed size, so no task holds more
-than two blocks, and each block pair returns at most k rows a query. Equal
-vectors are one class: only its k + 1 smallest ids can be among a query's k
-best (one of them may be the query itself), the others are beaten by them in
-every tie, so a vector that fills a third of the table costs no more than k + 1
-rows.
+names one of 256 intervals between marks that all vectors share. The cells are
+written as a file of their own, a small part of the exact vectors. From a cell
+alone follows the inner product with a query up to a distance that depends on
+the query only, so one product bounds it from both sides. The search
+
+1. scans the cells: a task bounds a block of candidates for a block of queries
+   and returns, for each query, what its own k-th lower bound does not rule out;
+2. takes each query's k-th lower bound over all blocks and drops what lies below;
+3. reads exact vectors in descending order of bound: the first k of each query,
+   then those whose upper bound reaches the k-th exact score. Nothing unseen can
+   then enter.
+
+Queries and cells meet in blocks of fixed size, so no task holds more than two
+blocks. Equal vectors are one class: only its k + 1 smallest ids can be among a
+query's k best (one of them may be the query itself), the others are beaten by
+them in every tie, so a vector that fills a third of the table costs no more than
+k + 1 rows. Every query meets every block of cells, as an exact search without an
+index of another kind must: the work is the product of their numbers.
 """
 
 from __future__ import annotations
@@ -22,8 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CELL_BITS = 5
-QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 8192
+from .common import stage
+
+#: A cell number fits a byte.
+CELLS = 256
+QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 65_536
+#: Distances bounded at once in a task.
+_AT_ONCE = 4_000_000
 #: Float64 sums of integer products are exact below this.
 _EXACT = float(1 << 53)
 
@@ -40,49 +51,38 @@ def integer_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     return table.where(keep).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * F.lit(scale))).alias("v"))
 
 
-class CellIndex:
-    """Cells of a block of exact vectors (rows) and the bounds they give."""
-
-    def __init__(self, vectors: np.ndarray, bits: int = CELL_BITS):
-        self.vectors = vectors
-        low, high = vectors.min(0), vectors.max(0)
-        width = np.maximum(1, -(-(high - low + 1) // (1 << bits)))
-        self.cells = ((vectors - low) // width).astype(np.uint8)
-        self.low, self.width, self.high = low, width, high
-
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds, queries x candidates, from the cells alone."""
-        bottom = (self.low + self.cells * self.width).astype(np.float64)
-        top = np.minimum(bottom + (self.width - 1), self.high)
-        plus, minus = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
-        return plus @ bottom.T + minus @ top.T, plus @ top.T + minus @ bottom.T
-
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int):
-        """(query position, candidate position, score) of each query's k best."""
-        lower, upper = self.bounds(queries)
-        own = query_ids[:, None] == ids[None, :]
-        lower[own] = upper[own] = -np.inf
-        n = lower.shape[1]
-        at_least = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(lower), -np.inf)
-        out = []
-        for q in range(len(queries)):
-            maybe = np.flatnonzero((upper[q] >= at_least[q]) & (upper[q] > -np.inf))
-            maybe = maybe[np.lexsort((ids[maybe], -upper[q, maybe]))]
-            best = np.zeros(0, np.float64)
-            seen, scores = 0, []
-            while seen < len(maybe) and (len(best) < k or upper[q, maybe[seen]] >= best[0]):
-                part = maybe[seen : seen + 4 * k]
-                exact = self.vectors[part].astype(np.float64) @ queries[q]
-                scores.append(exact)
-                best = np.sort(np.concatenate([best, exact]))[-k:]
-                seen += len(part)
-            if scores:
-                exact = np.concatenate(scores)
-                order = np.lexsort((ids[maybe[:seen]], -exact))[:k]
-                out.append((np.full(len(order), q), maybe[order], exact[order]))
-        if not out:
-            return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def cell_marks(vectors: DataFrame) -> DataFrame:
+    """(d, low, width): for each dimension number the marks' start and distance, by coordinate."""
+    at = vectors.select(F.size("v").alias("d"), F.posexplode("v").alias("p", "x")).groupBy("d", "p").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    at = at.withColumn("width", F.expr(f"greatest(1L, (high - low + {CELLS}) DIV {CELLS})"))
+    row = F.array_sort(F.collect_list(F.struct("p", "low", "width")))  # one entry a coordinate
+    return at.groupBy("d").agg(F.transform(row, lambda x: x["low"]).alias("low"), F.transform(row, lambda x: x["width"]).alias("width"))
+
+
+def scan_block(a: np.ndarray, b: np.ndarray, h: np.ndarray, own: np.ndarray, cells: np.ndarray, ids: np.ndarray, k: int):
+    """(query position, candidate position, twice the middle of the bounds) of what each
+    query's k-th lower bound in the block does not rule out.
+
+    Twice an inner product lies within ``h`` of ``a . cell + b``, for every query of the block."""
+    if len(a) and len(cells) and float(np.abs(a).max()) * CELLS * a.shape[1] + float(np.abs(b).max()) >= _EXACT:
+        raise ValueError("components are too large for exact inner products")
+    cells = cells.astype(np.float64).T
+    out = []
+    step = max(1, _AT_ONCE // max(1, len(ids)))
+    for s in range(0, len(a), step):
+        mid = a[s : s + step].astype(np.float64) @ cells + b[s : s + step, None]
+        mid[own[s : s + step, None] == ids[None, :]] = -np.inf
+        n = mid.shape[1]
+        least = np.partition(mid, n - k, axis=1)[:, n - k] if n > k else np.full(len(mid), -np.inf)
+        q, c = np.nonzero((mid >= (least - 2 * h[s : s + step])[:, None]) & (mid > -np.inf))
+        out.append((q + s, c, mid[q, c].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
+
+
+def _exact(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The pairs with their exact inner products; reads the vectors of these pairs."""
+    dot = F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return pairs.join(queries.select("q", "qh", F.col("v").alias("qv")), ["q", "qh"]).join(vectors.select("id", "h", "v"), ["id", "h"]).select("q", "qh", "id", "h", "mid", "half", "r", dot.alias("score"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
@@ -94,39 +94,50 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int =
     meets only vectors of its own dimension. Rows that repeat an id of the same
     vector count once. Products must sum to less than 2**53.
     """
-    hashed = vectors.distinct().withColumn("h", F.xxhash64("v")).withColumn("g", F.xxhash64(F.lit(7), F.col("v")))
-    ranked = hashed.withColumn("r", F.row_number().over(Window.partitionBy("h", "g").orderBy("id"))).where(F.col("r") <= k + 1)
-    n_c = max(1, -(-vectors.count() // candidate_block))
-    n_q = max(1, -(-queries.count() // query_block))
-    left = queries.distinct().select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n_q)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"))
-    right = ranked.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_c)).cast("int").alias("cb"))
-
-    def by_dimension(table: pa.Table):
-        lists = table.column("v").combine_chunks()
-        size = np.asarray(lists.value_lengths())
-        flat, start = np.asarray(lists.flatten()), np.cumsum(size) - size
-        ids = np.asarray(table.column("id"))
-        for d in np.unique(size):
-            rows = np.flatnonzero(size == d)
-            yield int(d), ids[rows], flat[start[rows][:, None] + np.arange(d)]
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        parts = []
-        if a.num_rows and b.num_rows:
-            mine = {d: (i, v) for d, i, v in by_dimension(a)}
-            for d, ids, v in by_dimension(b):
-                if d in mine:
-                    q_ids, q = mine[d]
-                    if float(np.abs(q).max()) * float(np.abs(v).max()) * d >= _EXACT:
-                        raise ValueError("components are too large for exact inner products")
-                    index = CellIndex(v)
-                    step = max(1, 8_000_000 // len(v))
-                    for s in range(0, len(q), step):
-                        at, c, score = index.search(q[s : s + step], q_ids[s : s + step], ids, k)
-                        parts.append((q_ids[s : s + step][at], ids[c], score.astype(np.int64)))
-        cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.int64())})
-
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(meet, "query_id long, vec_id long, score long")
+    hashed = F.struct(F.xxhash64("v"), F.xxhash64(F.lit(7), F.col("v")))
+    vectors = vectors.withColumn("h", hashed)
+    asked = queries.select(F.col("id").alias("q"), hashed.alias("qh"), "v").dropDuplicates(["q", "qh"])
+    marks = stage(cell_marks(vectors.union(asked.select(F.col("q").alias("id"), "v", F.col("qh").alias("h")))), "marks")
+
+    # the file of cells
+    cell = F.transform(F.arrays_zip("v", "low", "width"), lambda x: ((x["v"] - x["low"]) / x["width"]).cast("int").cast("short"))
+    celled = vectors.withColumn("d", F.size("v")).join(marks, "d").select("id", "h", "d", cell.alias("cells")).dropDuplicates(["id", "h"])
+    first = F.row_number().over(Window.partitionBy("h").orderBy("id"))
+    cells = stage(celled.withColumn("r", first).where(F.col("r") <= k + 1).drop("r"), "cells")
+
+    q = asked.withColumn("d", F.size("v")).join(marks, "d")
+    z = F.arrays_zip("v", "low", "width")
+    total = lambda f: F.aggregate(F.transform(z, f), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    q = q.select("q", "qh", "d", F.transform(z, lambda x: 2 * x["v"] * x["width"]).alias("a"), total(lambda x: x["v"] * (2 * x["low"] + x["width"] - 1)).alias("b"), total(lambda x: F.abs(x["v"]) * (x["width"] - 1)).alias("half"))
+    n_c = max(1, -(-cells.count() // candidate_block))
+    n_q = max(1, -(-asked.count() // query_block))
+    left = q.select("*", F.pmod(F.xxhash64("q"), F.lit(n_q)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"))
+    right = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_c)).cast("int").alias("cb"))
+
+    def matrix(column, d: int) -> np.ndarray:
+        return np.asarray(column.combine_chunks().flatten()).reshape(-1, d)
+
+    def meet(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        if not ours.num_rows or not theirs.num_rows:
+            return empty
+        d = ours.column("d")[0].as_py()
+        own, ids = np.asarray(ours.column("q")), np.asarray(theirs.column("id"))
+        at, c, mid = scan_block(matrix(ours.column("a"), d), np.asarray(ours.column("b")), np.asarray(ours.column("half")), own, matrix(theirs.column("cells"), d), ids, k)
+        ours, theirs = ours.take(at), theirs.take(c)
+        return pa.table({"q": ours.column("q"), "qh": ours.column("qh").cast(hash_type), "id": theirs.column("id"), "h": theirs.column("h").cast(hash_type), "mid": pa.array(mid), "half": ours.column("half")})
+
+    kind = "struct<col1:bigint,col2:bigint>"
+    hash_type = pa.struct([("col1", pa.int64()), ("col2", pa.int64())])
+    empty = pa.schema([("q", pa.int64()), ("qh", hash_type), ("id", pa.int64()), ("h", hash_type), ("mid", pa.int64()), ("half", pa.int64())]).empty_table()
+    found = left.groupBy("d", "qb", "cb").cogroup(right.groupBy("d", "qb", "cb")).applyInArrow(meet, f"q long, qh {kind}, id long, h {kind}, mid long, half long")
+    order = Window.partitionBy("q", "qh").orderBy(F.col("mid").desc(), "id")
+    found = stage(found.withColumn("r", F.row_number().over(order)), "bounds")
+    kth = found.where(F.col("r") == k).select("q", "qh", F.col("mid").alias("least"))
+    found = found.join(kth, ["q", "qh"], "left").where(F.col("least").isNull() | (F.col("mid") >= F.col("least") - 2 * F.col("half"))).drop("least")
+
+    sure = stage(_exact(found.where(F.col("r") <= k), asked, vectors), "first")
+    reached = sure.groupBy("q", "qh").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).drop("n")
+    maybe = found.where(F.col("r") > k).join(reached, ["q", "qh"]).where(F.col("mid") + F.col("half") >= 2 * F.col("least")).drop("least")
+    every = sure.union(_exact(maybe, asked, vectors)).select(F.col("q").alias("query_id"), F.col("id").alias("vec_id"), "score").distinct()
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
