@@ -1,4 +1,5 @@
-"""One thin query per operator of this package; each takes (spark, sf_dir)."""
+"""One thin query per operator of this package; each takes (spark, sf_dir), reads whole tables
+and whole texts, and only the columns that it names: others, whatever they are called, are ignored."""
 
 from __future__ import annotations
 
@@ -11,6 +12,8 @@ from .common import crc_fold, read_table, stage, stage_path
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's toxicity. Null and empty texts score the base rate, texts of any length are read whole,
+    repeated rows get a row each, an empty table gives none; only ids and texts of ``documents`` are read."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = toxicity.train(docs.select("doc_id", "text"), labels.where(crc_fold("doc_id", 3) != 1).select("doc_id", "toxic"))
     out = toxicity.score(docs, model, threshold=0.7)
@@ -18,28 +21,38 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and round trip of every text. A null text is empty (no ids), invalid surrogates are encoded as the
+    library would, repeated rows get a row each, an empty table gives none."""
     docs = read_table(spark, sf_dir, "documents")
     out = byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-log-likelihood of every text. A null text, or one without words, scores 0 with a null
+    ``per_token``; repeated rows get equal rows, an empty table gives none."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return masked_lm.score(docs, masked_lm.train(docs))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text. A null text is empty (no spans); overlapping kinds are all listed, ties by
+    kind; repeated rows get a row each, an empty table gives none."""
     docs = read_table(spark, sf_dir, "documents")
     model = secret_scan.train(secret_scan.labelled_samples(spark, docs.select("doc_id", "text")))
     return secret_scan.digest(secret_scan.scan(docs, model))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, one row per id. Null and empty texts hold nothing; rows that
+    repeat an id are one document; an empty table on either side gives none."""
     found = decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_items", F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"), "covered", "changed")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of every text, read back. A null text has the end id only; rows of null id are not
+    written, rows that repeat an id stand next to each other; an empty table gives no file and no row."""
     docs = read_table(spark, sf_dir, "documents")
     path, folder = public_tokenizers.path("word_bpe_49k.json"), stage_path(spark, "tokens")
     manifest = token_files.write(docs, path, folder, end_id=2)
@@ -47,13 +60,17 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical chats of every conversation, in parts of 256 turn numbers that make one chat in order. Null
+    roles and texts count as empty, repeated rows are repeated turns, an empty table gives none."""
     raw = stage(chat_format.transcripts(read_table(spark, sf_dir, "conversations")), "transcripts")
     hmm = chat_format.train(raw.where(crc_fold("c", 4) != 2))
-    out = chat_format.format_chats(raw, hmm, ["c", "part"])
+    out = chat_format.format_chats(raw, hmm)
     return out.select(F.col("c").alias("conv_id"), "part", (crc_fold("c", 4) == 2).alias("held_out"), "n_turns", "roles", "chat")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text. A null text, or one without a letter, is ``und`` with 0; ties go to the
+    smaller code; repeated rows get a row each, an empty table gives none."""
     docs = read_table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(crc_fold("doc_id", 4) != 2), public_tokenizers.path("piece_bpe_32k.model"))
     out = language_id.identify(docs, model)
@@ -61,11 +78,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of every fiftieth vector. Vectors that are null, empty or hold null or non-finite
+    components take no part; ties go to the smaller id; an empty table gives none."""
     vectors = vector_topk.integer_vectors(read_table(spark, sf_dir, "embeddings"))
     return vector_topk.top_k(vectors, vectors.where(F.col("id") % 50 == 0), k=5)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near duplicates of every text. Null texts and texts without words are linked with
+    nothing; rows that repeat an id get a row each; an empty table gives none."""
     return jaccard_join.link(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
