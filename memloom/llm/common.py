@@ -11,36 +11,17 @@ Conventions of every operator in this package:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (``spark.checkpoint.dir``).
-
-    Only a session without that setting, as in tests, gets a folder of its own.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="memloom-")
-        spark.sparkContext.setCheckpointDir(_OWN[app])
-    return _OWN[app]
+from ..sources.storage import fresh_path
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/memloom-{uuid.uuid4().hex}/{name}"
+    return fresh_path(spark, name)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -5,17 +5,18 @@ left and the two on its right; a document's score is the sum of the tokens'
 conditional log-probabilities.
 
 Tokens are words: lower-cased ASCII, punctuation cut off, digits alike. The
-softmax is hierarchical. The network predicts one of the corpus's most frequent
-words or, for every other word, one of a fixed number of classes by its ending;
-log p(word | class) is added from the corpus's counts. The ``LISTED`` most
+softmax is hierarchical, on three levels. An outcome of the network is one of the
+corpus's most frequent words or, for every other word, one of a fixed number of
+classes by its ending; outcomes stand in groups, and the network predicts the group,
+then the outcome within it. Below a class, log p(word | class) is added from the corpus's counts. The ``LISTED`` most
 frequent words have counts of their own; the rest of a class is shared out by a
 byte model, counted on those rarer words and scaled to sum to one over the words
 of the class that are not listed, so unseen words have a probability as well. Training is data-parallel, in
 numpy: in every round each task starts from the same parameters, runs Adam over
 a fixed share of the positions of every document it holds, another share in each
 round and all positions in the end, and the tasks' parameters are averaged,
-weighted by their positions. Word counts and
-parameters are gathered from all documents, so both grow with the corpus; only
+weighted by their positions, so how rows are dealt to tasks has a small part in the
+parameters. Word counts and parameters are gathered from all documents, so both grow with the corpus; only
 the listed words, the byte model and the averaged parameters, all of bounded
 size, reach the driver.
 """
@@ -32,9 +33,13 @@ from pyspark.sql import functions as F
 
 from .common import drop_stage, mix64, slices, stage
 
-VOCABULARY, ENDINGS, HIDDEN, SIDES = 256, 64, 32, (-2, -1, 1, 2)
+#: Outcomes of the network: so many groups of as many.
+GROUPS = 32
+VOCABULARY, ENDINGS, HIDDEN, SIDES = GROUPS * GROUPS, 64, 32, (-2, -1, 1, 2)
+#: Words that are outcomes of their own, besides the edge of a text and the classes.
+HEAD = VOCABULARY - 1 - ENDINGS
 #: A task trains on one position of this many, other ones in each round: all positions in as many rounds.
-STRIDE, ROUNDS, BATCH = 2, 2, 512
+STRIDE, ROUNDS, BATCH = 2, 2, 4096
 #: Words with a count of their own, those of the network included; scale of the classes of counts.
 LISTED, _FINE = 65_536, 64
 CACHE_WORDS = 300_000
@@ -158,69 +163,108 @@ class Ids(dict):
         return np.concatenate(ids), np.concatenate(owner)
 
 
+_ONES = np.ones(GROUPS, np.float32)
+
+
+def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials relative to each row's top (in place), and the tops."""
+    top = logits.max(1)
+    logits -= top[:, None]
+    return np.exp(logits, out=logits), top
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Probabilities, in place."""
+    p, _ = _exponentials(logits)
+    p *= (1 / (p @ _ONES))[:, None]
+    return p
+
+
+def _log_sum(logits: np.ndarray) -> np.ndarray:
+    """The log of each row's sum of exponentials; spoils the logits."""
+    p, top = _exponentials(logits)
+    return top + np.log(p @ _ONES)
+
+
 class WindowNet:
-    """One table of hidden contributions per side, tanh, softmax over the vocabulary."""
+    """One table of hidden contributions per side, tanh, softmax over groups and within each."""
 
     def __init__(self, parameters: np.ndarray | None = None):
-        n = len(SIDES) * VOCABULARY * HIDDEN
+        sizes = [len(SIDES) * VOCABULARY * HIDDEN, HIDDEN, HIDDEN * GROUPS, GROUPS, GROUPS * HIDDEN * GROUPS, VOCABULARY]
         if parameters is None:
             rng = np.random.default_rng(17)
-            parameters = np.concatenate([rng.normal(0, 0.1, n), np.zeros(HIDDEN), rng.normal(0, 0.1, HIDDEN * VOCABULARY), np.zeros(VOCABULARY)])
+            parameters = np.concatenate([rng.normal(0, 0.1, n) if n > VOCABULARY else np.zeros(n) for n in sizes])
         self.all = parameters.astype(np.float32)
-        self.side = self.all[:n].reshape(len(SIDES), VOCABULARY, HIDDEN)
-        self.bias = self.all[n : n + HIDDEN]
-        self.out = self.all[n + HIDDEN : n + HIDDEN + HIDDEN * VOCABULARY].reshape(HIDDEN, VOCABULARY)
-        self.out_bias = self.all[-VOCABULARY:]
+        parts = np.split(self.all, np.cumsum(sizes)[:-1])
+        self.side, self.bias = parts[0].reshape(len(SIDES), VOCABULARY, HIDDEN), parts[1]
+        self.group, self.group_bias = parts[2].reshape(HIDDEN, GROUPS), parts[3]
+        self.word, self.word_bias = parts[4].reshape(GROUPS, HIDDEN, GROUPS), parts[5].reshape(GROUPS, GROUPS)
 
     def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        h = self.side[0][ids[at + SIDES[0]]] + self.bias
+        h = self.side[0].take(ids[at + SIDES[0]], axis=0)
+        h += self.bias
         for k, d in enumerate(SIDES[1:], 1):
-            h += self.side[k][ids[at + d]]
-        return np.tanh(h)
+            h += self.side[k].take(ids[at + d], axis=0)
+        return np.tanh(h, out=h)
+
+    @staticmethod
+    def _by_group(ids: np.ndarray, at: np.ndarray):
+        """The positions in order of their outcomes' groups: (order, group, place in it, first of each group)."""
+        group, place = np.divmod(ids[at], GROUPS)
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        return order, group, place[order], np.searchsorted(group, np.arange(GROUPS + 1))
 
     def log_probability(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.empty(len(at))
-        # hidden values lie within 1, so no logit passes this bound; below 80 no exponential overflows
-        safe = float(np.abs(self.out).sum(0).max() + np.abs(self.out_bias).max()) < 80
-        for s in range(0, len(at), 2048):
-            part = at[s : s + 2048]
-            logits = self.hidden(ids, part) @ self.out
-            logits += self.out_bias
-            hit = logits[np.arange(len(part)), ids[part]]
-            if not safe:
-                top = logits.max(1)
-                hit = hit - top
-                logits -= top[:, None]
-            np.exp(logits, out=logits)
-            out[s : s + 2048] = hit - np.log(logits.sum(1))
+        for s in range(0, len(at), 16_384):
+            order, group, place, first = self._by_group(ids, at[s : s + 16_384])
+            h = self.hidden(ids, at[s : s + 16_384][order])
+            row = np.arange(len(order))
+            logits = h @ self.group + self.group_bias
+            found = logits[row, group]
+            found -= _log_sum(logits)
+            for g in range(GROUPS):
+                a, b = first[g], first[g + 1]
+                if a < b:
+                    logits = h[a:b] @ self.word[g] + self.word_bias[g]
+                    found[a:b] += logits[row[: b - a], place[a:b]]
+                    found[a:b] -= _log_sum(logits)
+            out[s + order] = found
         return out
 
     def gradient(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        order, group, place, first = self._by_group(ids, at)
+        at, n, row = at[order], len(at), np.arange(len(at))
         h = self.hidden(ids, at)
-        p = h @ self.out
-        p += self.out_bias
-        p -= p.max(1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(at)), ids[at]] -= 1
-        p /= len(at)
-        g = WindowNet(np.zeros_like(self.all))
-        g.out[:], g.out_bias[:] = h.T @ p, p.sum(0)
-        back = (p @ self.out.T) * (1 - h * h)
-        g.bias[:] = back.sum(0)
+        out = WindowNet(np.zeros_like(self.all))
+        p = _softmax(h @ self.group + self.group_bias)
+        p[row, group] -= 1
+        out.group[:], out.group_bias[:] = h.T @ p, p.sum(0)
+        back = p @ self.group.T
+        for g in range(GROUPS):
+            a, b = first[g], first[g + 1]
+            if a < b:
+                p = _softmax(h[a:b] @ self.word[g] + self.word_bias[g])
+                p[row[: b - a], place[a:b]] -= 1
+                out.word[g], out.word_bias[g] = h[a:b].T @ p, p.sum(0)
+                back[a:b] += p @ self.word[g].T
+        back *= 1 - h * h
+        out.bias[:] = back.sum(0)
         for k, d in enumerate(SIDES):
             near = ids[at + d]
             order = np.argsort(near, kind="stable")
             near = near[order]
             first = np.flatnonzero(np.diff(near, prepend=-1))
-            g.side[k][near[first]] = np.add.reduceat(back[order], first, axis=0)
-        return g.all
+            out.side[k][near[first]] = np.add.reduceat(back.take(order, axis=0), first, axis=0)
+        out.all /= n
+        return out.all
 
 
 def share(ids: np.ndarray, owner: np.ndarray, turn: int, stride: int = STRIDE) -> np.ndarray:
     """The positions of round ``turn``: one of ``stride``, disjoint from those of the next ``stride`` - 1 rounds."""
     at = np.flatnonzero(owner >= 0)
-    # by the words around, so that it depends neither on order nor on partitions
+    # by the words around and the place in the text, so that rounds split every text
     key = mix64((ids[at] * 65537 + ids[at - 1] * 257 + ids[at + 1] + at - np.searchsorted(owner[at], owner[at])).astype(np.uint64))
     return at[key % np.uint64(stride) == turn % stride]
 
@@ -255,7 +299,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
             least = x + 1
             break
     listed = {bytes(w): n for w, n in counted.where(level >= least).collect()}  # LISTED rows at most
-    head = sorted(listed, key=lambda w: (-listed[w], w))[: VOCABULARY - 1 - ENDINGS]
+    head = sorted(listed, key=lambda w: (-listed[w], w))[:HEAD]
 
     def spell(batches):
         tally: Counter = Counter()
@@ -281,7 +325,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     found = vocabulary(docs, text_col)
     words = list(found)
     parameters = WindowNet().all
-    chunk = 1024
+    chunk = 8192
 
     for turn in range(rounds):
 
@@ -295,12 +339,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
                     for s in range(0, len(at), BATCH):
                         g = net.gradient(ids, at[s : s + BATCH])
                         t += 1
-                        m += 0.1 * (g - m)
-                        v += 0.01 * (g * g - v)
-                        net.all -= 0.01 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+                        m *= 0.9
+                        m += 0.1 * g
+                        v *= 0.99
+                        v += 0.01 * np.square(g, out=g)
+                        np.sqrt(v, out=g)
+                        g *= 1 / np.sqrt(1 - 0.99**t)
+                        g += 1e-8
+                        np.divide(m, g, out=g)
+                        g *= 0.01 / (1 - 0.9**t)
+                        net.all -= g
                         seen += len(at[s : s + BATCH])
             if seen:
-                parts = np.append(net.all.astype(np.float64), np.zeros(-len(net.all) % chunk)).reshape(-1, chunk) * seen
+                parts = np.append(net.all, np.zeros(-len(net.all) % chunk, np.float32)).reshape(-1, chunk)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array([seen] * len(parts), pa.int64())], names=["k", "x", "n"])
 
         def average(batches):
@@ -308,7 +359,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
             count: Counter = Counter()
             for batch in batches:
                 for k, x, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                    part = np.frombuffer(x.as_buffer(), np.float64)
+                    part = np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) * n
                     total[k] = total[k] + part if k in total else part
                     count[k] += n
             if total:

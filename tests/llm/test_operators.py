@@ -125,8 +125,9 @@ def test_masked_lm_scores_every_token(spark):
         total = 0.0
         for at in np.flatnonzero(owner == 0):  # one token at a time, softmax in the open
             h = np.tanh(net.bias + sum(net.side[k][ids[at + s]] for k, s in enumerate(masked_lm.SIDES)))
-            logits = (h @ net.out + net.out_bias).astype(np.float64)
-            total += logits[ids[at]] - np.log(np.exp(logits).sum())
+            g, w = divmod(int(ids[at]), masked_lm.GROUPS)
+            for logits, hit in ((h @ net.group + net.group_bias, g), (h @ net.word[g] + net.word_bias[g], w)):
+                total += float(logits[hit]) - np.log(np.exp(logits.astype(np.float64)).sum())
         assert got[d].n_tokens == len(text.split()) and got[d].score == pytest.approx(total, rel=1e-4)
     assert got[100].score == 0 and got[100].n_tokens == 0 and got[100].per_token is None
     untrained = {r.doc_id: r.score for r in masked_lm.score(docs, (words, masked_lm.WindowNet().all)).collect()}
@@ -139,7 +140,7 @@ def test_masked_lm_gradient():
     net, ids = masked_lm.WindowNet(), rng.integers(0, masked_lm.VOCABULARY, 40)
     at = np.arange(2, 38)
     g = net.gradient(ids, at)
-    for k in rng.choice(np.flatnonzero(np.abs(g) > 1e-4), 8, replace=False):
+    for k in rng.choice(np.flatnonzero(np.abs(g) > 1e-3), 12, replace=False):
         up, down = masked_lm.WindowNet(net.all.copy()), masked_lm.WindowNet(net.all.copy())
         up.all[k] += 1e-2
         down.all[k] -= 1e-2
@@ -159,7 +160,8 @@ def test_masked_lm_tells_words_of_a_class_apart(spark, monkeypatch):
     words = [f"{a}{b}{c}ing" for a in "bcdfgklmnprst" for b in "aeiou" for c in "bdgklmnprst"]  # one class
     rows = [(i, " ".join([f"{a}{b}" for a in "bcdfghklmnprst" for b in "aeiouwxyzcdfgh"] * 3 + rng.choices(words[:80], range(80, 0, -1), k=60))) for i in range(40)]
     tail = words[:80]
-    monkeypatch.setattr(masked_lm, "LISTED", 250)  # in the driver, where the list is cut
+    monkeypatch.setattr(masked_lm, "LISTED", 250)  # in the driver, where the lists are cut
+    monkeypatch.setattr(masked_lm, "HEAD", 150)
     words_, parameters = masked_lm.train(frame(spark, rows), rounds=1)
     text = "ba be bi bo {} ca ce ci co"
     n = collections.Counter(" ".join(t for _, t in rows).split())
@@ -246,7 +248,11 @@ def test_secret_scan_finds_secrets_joined_to_ordinary_text(spark):
 # 5 ---------------------------------------------------------------------------
 
 
-def test_decontaminate(spark):
+@pytest.mark.parametrize("limits", [None, (0, 100), (0, 0)])
+def test_decontaminate(spark, limits, monkeypatch):
+    if limits:  # the benchmark's side is too large to broadcast
+        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limits[0])
+        monkeypatch.setattr(decontaminate, "BROADCAST_HASHES", limits[1])
     item = "The train from Berlin covers 340 km in 4 hours and then stops for 20 minutes before going on to the coast"
     changed = item.replace("Berlin", "Madrid").replace("340", "512").replace("4 hours", "6 hours")
     clash = changed.replace("stops for 20", "stops for 6 and 20").replace("20 minutes", "20 minutes")
@@ -273,13 +279,19 @@ def test_decontaminate_loses_no_copies(spark):
     assert got[1].covered >= 13 and not got[2].changed and got[3].covered == 6 and not got[3].changed
 
 
+def test_decontaminate_meets_names_of_other_lengths(spark):
+    item = "Every morning the ferry from New York to Boston carries 30 crates of fresh fish past the old lighthouse"
+    rows = [(1, item.replace("New York", "Rome").replace("Boston", "Los Angeles Bay")), (2, item.replace("New York", "Rome").replace("fresh fish", "red wine"))]
+    got = decontaminate.contaminated(frame(spark, rows), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r["items"], r.changed) for r in got] == [(1, [7], True)]
+
+
 # 6 ---------------------------------------------------------------------------
 
 
 def test_token_files(spark):
     library = tokenizers.Tokenizer.from_file(WORD_BPE)
-    library.encode_special_tokens = True
-    rows = [(5, "Hello WORLD's end"), (-3, "É ½ Σίσυφος <|endoftext|>"), (9, None), (7, ""), (7, "twice"), (None, "gone"), (11, "word " * 5000)]
+    rows = [(5, "Hello WORLD's end"), (-3, "É ½ Σίσυφος <|endoftext|>"), (2, "hello <|endoftext|> world<|STARTOFTEXT|><|startoftext|>"), (9, None), (7, ""), (7, "twice"), (None, "gone"), (11, "word " * 5000)]
     folder = stage_path(spark, "tokens")
     manifest = token_files.write(frame(spark, rows), WORD_BPE, folder, end_id=2, docs_per_file=2)
     got = token_files.read(manifest, folder).orderBy("start").collect()
@@ -299,8 +311,7 @@ def test_token_files(spark):
 
 def test_word_encoder_equals_the_library():
     own, library, rng = token_files.WordEncoder(WORD_BPE), tokenizers.Tokenizer.from_file(WORD_BPE), random.Random(2)
-    library.encode_special_tokens = True
-    pool = [chr(c) for c in [*range(256), 0x300, 0x301, 0x2028, 0x180E, 0x4E00, 0x130, 0x3A3, 0x212A, 0x1E9E, 0x1C4, 0x660, 0x2160]]
+    pool = ["<|endoftext|>", "<|startoftext|>"] + [chr(c) for c in [*range(256), 0x300, 0x301, 0x2028, 0x180E, 0x4E00, 0x130, 0x3A3, 0x212A, 0x1E9E, 0x1C4, 0x660, 0x2160]]
     texts = ["".join(rng.choice(pool) if rng.random() < 0.5 else rng.choice("abest  '_") for _ in range(rng.randint(0, 40))) for _ in range(1500)]
     for text, raw in zip(texts, own.encode_many(texts), strict=True):
         assert np.frombuffer(raw, own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
@@ -317,20 +328,20 @@ def test_viterbi_against_all_paths():
     counts = collections.Counter()
     for text, states in truth:
         s = [chat_format.STATES.index(x) for x in states]
-        for a, (_, f) in zip(s, chat_format.lines_of(text), strict=True):
+        for a, (_, f, _) in zip(s, chat_format.lines_of(text), strict=True):
             counts.update(("o", a, v) for v in f)
         counts["s", s[0], ""] += 1
         counts.update(("t", a, str(b)) for a, b in itertools.pairwise(s))
     hmm = chat_format.Hmm(dict(counts))
     for _ in range(20):
-        features = [rng.choice([f for text, _ in truth for _, f in chat_format.lines_of(text)]) for _ in range(4)]
+        features = [rng.choice([f for text, _ in truth for _, f, _ in chat_format.lines_of(text)]) for _ in range(4)]
 
         def value(path, features=features):
             return hmm.start[path[0]] + sum(hmm.move[a, b] for a, b in itertools.pairwise(path)) + sum(hmm.seen[v][s] for s, f in zip(path, features, strict=True) for v in f)
 
-        best = max(value(p) for p in itertools.product(range(6), repeat=4))
+        best = max(value(p) for p in itertools.product(range(len(chat_format.STATES)), repeat=4))
         assert value(hmm.viterbi(features)) == pytest.approx(best)
-    assert hmm.parse("") == [] and hmm.viterbi([]) == []
+    assert hmm.parse("") == ([], False) and hmm.viterbi([]) == []
 
 
 def test_chat_format_recovers_held_out_roles(spark):
@@ -344,9 +355,42 @@ def test_chat_format_recovers_held_out_roles(spark):
     raw = chat_format.transcripts(odd)
     assert sorted((r.c or 0, r.part) for r in raw.collect()) == [(0, 0), (1, 0), (2, 0), (3, 2)]
     hmm = chat_format.train(raw)
-    assert chat_format.format_chats(spark.createDataFrame([("a", None), ("b", " \n ")], "n string, text string"), hmm, ["n"]).where("n_turns = 0 and chat = ''").count() == 2
+    blank = spark.createDataFrame([(1, 0, None, 3), (2, 0, " \n ", 3), (None, 0, "", 3)], "c long, part long, text string, chat int")
+    assert chat_format.format_chats(blank, hmm).where("n_turns = 0 and chat = ''").count() == 3
+    assert {r.c: r.n_turns for r in chat_format.format_chats(raw.where("c is not null"), hmm).collect()}[1] == 2  # a repeated row is a repeated turn
     empty = chat_format.transcripts(odd.limit(0))
-    assert chat_format.format_chats(empty, chat_format.train(empty), ["c"]).count() == 0
+    assert chat_format.format_chats(empty, chat_format.train(empty)).count() == 0
+
+
+def test_parts_of_a_long_conversation_make_one_chat(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "SEGMENT", 3)
+    rng = random.Random(12)
+    said = ["what is it?", "It is so.\nBecause it was.", "one\n\ntwo\n\n\nthree", "", "why", "A: not a mark of mine", "x" * 30_000]
+    rows = [(c, n, rng.choice(["user", "assistant", "system", "tool"]), rng.choice(said)) for c in range(12) for n in range(rng.choice([1, 7, 40]))]
+    rows += [(None, n, "user", "hm") for n in range(5)]
+    raw = chat_format.transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    table = spark.createDataFrame([tuple(r) for r in raw] + [(50, 0, "", ""), (50, 1, "User: hi", ""), (50, 2, " ", "")], "c long, part long, text string, truth string")
+    hmm = chat_format.train(table.where("c <> 50"))
+    whole, chats, turns = collections.defaultdict(list), collections.defaultdict(str), collections.Counter()
+    for r in table.orderBy("c", "part").collect():
+        whole[r.c].append(r.text)
+    for r in chat_format.format_chats(table, hmm).orderBy("c", "part").collect():
+        chats[r.c] += r.chat
+        turns[r.c] += r.n_turns
+    for c, texts in whole.items():
+        found, _ = hmm.parse("\n".join(x for x in texts if x.strip()))
+        assert chats[c] == chat_format.render(found) and turns[c] == len(found)
+
+
+def test_transcripts_keep_what_is_said(spark):
+    said = [("system", "be brief"), ("user", "para one\n\npara two"), ("assistant", ""), ("user", "Q: is this mine?"), ("tool", "1\n2"), ("assistant", "a line\n\n\nanother")]
+    # below a heading line, a turn that begins like a mark cannot be told from a marked turn
+    heard = [(r, t.removeprefix("Q: ")) for r, t in said]
+    made = [chat_format.transcript(heard if s == 3 else said, s) for s in (0, 1, 2, 3)]
+    rows = [(k, 0, t, " ".join(str(chat_format.STATES.index(x)) for x in truth)) for k, (t, truth) in enumerate(made)]
+    hmm = chat_format.train(spark.createDataFrame(rows, "c long, part long, text string, truth string"))
+    for k, (text, _) in enumerate(made):
+        assert hmm.parse(text)[0] == (heard if k == 3 else said)
 
 
 # 8 ---------------------------------------------------------------------------
@@ -362,13 +406,23 @@ def test_forward_sums_all_segmentations():
         if not word:
             return np.ones(2)
         total = np.zeros(2)
-        for k in range(1, min(len(word), language_id.MAX_PIECE) + 1):
+        for k in range(1, min(len(word), pieces.longest) + 1):
             p = model.prob[number[word[:k]]] if word[:k] in number else np.zeros(2)
             total += (np.maximum(p, model.floor) if k == 1 else p) * brute(word[k:])
         return total
 
-    for word in ["▁the", "▁straße", "▁zq界x", "a", "▁international"]:
-        assert model.forward([word], len(word))[2][len(word)][0] == pytest.approx(brute(word))
+    assert len(pieces) > 31_000 and pieces.longest == max(map(len, pieces.texts)) > 8  # the vocabulary is not cut
+    for word in ["▁the", "▁straße", "▁zq界x", "a", "▁international", max(pieces.texts, key=len)]:
+        whole = model.forward([word], len(word))[2][len(word)][0]
+        assert whole == pytest.approx(brute(word))
+        assert np.log(model._forward_long(word)[1]).sum(0) == pytest.approx(np.log(whole))
+        use, long = np.zeros((len(pieces), 2)), np.zeros((len(pieces), 2))
+        model.expected([word], len(word), np.array([[2.0, 3.0]]), use)
+        model._expected_long(word, np.array([2.0, 3.0]), long)
+        assert long == pytest.approx(use)
+    endless = "▁" + "international" * 3000
+    assert np.isfinite(np.log(model._forward_long(endless)[1]).sum(0)).all()
+    assert model.score_many([endless[1:] + " a"])[0] == pytest.approx(np.log(model._forward_long(endless)[1]).sum(0) + np.log(brute("▁a")))
     # expected uses, weighted by length, cover every character once
     use = np.zeros((len(pieces), 2))
     model.expected(["▁the"], 4, np.ones((1, 2)), use)
@@ -409,6 +463,25 @@ def test_vector_topk_against_brute_force(spark):
     assert vector_topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_bounds_hold_and_few_exact_vectors_are_read():
+    rng = np.random.default_rng(4)
+    v, q = rng.integers(-(10**5), 10**5, (3000, 16)), rng.integers(-(10**5), 10**5, (7, 16))
+    low = v.min(0)
+    width = np.maximum(1, (v.max(0) - low + vector_topk.CELLS) // vector_topk.CELLS)
+    assert width.min() > 1
+    cells = (v - low) // width
+    assert cells.max() < vector_topk.CELLS
+    a, b, half = 2 * q * width, (q * (2 * low + width - 1)).sum(1), (np.abs(q) * (width - 1)).sum(1)
+    exact = q @ v.T
+    assert (np.abs(2 * exact - (a @ cells.T + b[:, None])) <= half[:, None]).all()
+    at, c, mid = vector_topk.scan_block(a, b, half, np.full(7, -1), cells, np.arange(3000), 5)
+    assert (mid == (a @ cells.T + b[:, None])[at, c]).all() and len(at) < 7 * 100
+    for k in range(7):
+        assert set(np.argsort(-exact[k])[:5]) <= set(c[at == k])
+    with pytest.raises(ValueError, match="too large"):
+        vector_topk.scan_block(a * 2**40, b, half, np.full(7, -1), cells, np.arange(3000), 5)
+
+
 # 10 --------------------------------------------------------------------------
 
 
@@ -458,7 +531,7 @@ def test_jaccard_join_edge_cases(spark):
 
 def test_multi_match_prefixes_lose_no_pair():
     rng = np.random.default_rng(9)
-    order = jaccard_join.Order(rng.integers(0, 40, 1 << jaccard_join.SKETCH_BITS))
+    order = jaccard_join.Order(rng.integers(0, 40, jaccard_join.sketch_size(0)))
     base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
     for _ in range(200):
         n = int(rng.integers(1, 300))
@@ -467,6 +540,7 @@ def test_multi_match_prefixes_lose_no_pair():
         inter = len(np.intersect1d(a, b))
         if 100 * inter < 75 * (len(a) + len(b) - inter):
             continue
-        (ga, la, ma, _), (gb, lb, mb, _) = order.prefix(a), order.prefix(b)
+        (ga, ma, _), (gb, mb, _) = order.prefix(a), order.prefix(b)
         m = min(ma, mb)
+        la, lb = jaccard_join.levels(len(a), len(ga)), jaccard_join.levels(len(b), len(gb))
         assert len(np.intersect1d(ga[la <= m], gb[lb <= m])) >= m
