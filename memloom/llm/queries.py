@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, masked_lm, secret_scan, token_files, toxicity, vector_topk
+from . import byte_bpe, chat_format, collocations, decontaminate, jaccard_join, language_id, masked_lm, secret_scan, token_files, toxicity, vector_topk
 from .common import crc_fold, read_table, stage, stage_path
 
 
@@ -90,6 +90,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of every language. A null text is empty, a null language is ``und``;
+    repeated rows count each; ties go by count, then by the phrase's bytes; an empty table gives none."""
+    return collocations.mine(read_table(spark, sf_dir, "documents"), at_least=10, top=2000)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
@@ -101,4 +107,5 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_vector_topk": op9_vector_topk,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_collocations": op13_collocations,
 }

@@ -41,4 +41,42 @@ SELECT s.doc_id, s.n AS n_shingles, coalesce(min(r.other), s.doc_id) AS componen
 FROM sizes s LEFT JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, s.n
 """
 
-ORACLE: dict[str, str] = {"op9_vector_topk": OP9, "op10_jaccard_join": OP10}
+OP13 = r"""
+WITH p AS (
+  SELECT lang, list_filter(string_split_regex(x, '[\x20\x09]+'), lambda t: t <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x FROM documents)
+), spots AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p
+), f1 AS (
+  SELECT lang, w[i] AS g, count(*) AS f FROM spots GROUP BY ALL
+), f2 AS (
+  SELECT lang, w[i] AS x, w[i + 1] AS y, count(*) AS f FROM spots WHERE i + 1 <= len(w) GROUP BY ALL
+), f3 AS (
+  SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS f FROM spots WHERE i + 2 <= len(w) GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.x || ' ' || c.y AS phrase, c.f AS a, 1 AS k, l.f AS l, r.f AS r
+  FROM f2 c JOIN f1 l ON l.lang = c.lang AND l.g = c.x JOIN f1 r ON r.lang = c.lang AND r.g = c.y WHERE c.f >= 10
+  UNION ALL
+  SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, c.f, 1, l.f, r.f
+  FROM f3 c JOIN f1 l ON l.lang = c.lang AND l.g = c.x JOIN f2 r ON r.lang = c.lang AND r.x = c.y AND r.y = c.z WHERE c.f >= 10
+  UNION ALL
+  SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, c.f, 2, l.f, r.f
+  FROM f3 c JOIN f2 l ON l.lang = c.lang AND l.x = c.x AND l.y = c.y JOIN f1 r ON r.lang = c.lang AND r.g = c.z WHERE c.f >= 10
+), scored AS (
+  SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), gone AS (
+  SELECT DISTINCT s.lang, s.x || ' ' || s.y AS phrase
+  FROM f2 s JOIN f3 b ON b.lang = s.lang AND ((b.x = s.x AND b.y = s.y) OR (b.y = s.x AND b.z = s.y))
+  WHERE s.f >= 10 AND b.f >= 10 AND 100 * b.f >= 50 * s.f
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM lowest c WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.lang = c.lang AND g.phrase = c.phrase)
+), totals AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE: dict[str, str] = {"op9_vector_topk": OP9, "op10_jaccard_join": OP10, "op13_collocations": OP13}
