@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, collocations, decontaminate, jaccard_join, language_id, masked_lm, secret_scan, token_files, toxicity, vector_topk
+from . import byte_bpe, chat_format, collocations, decontaminate, jaccard_join, language_id, masked_lm, prefix_trie, secret_scan, token_files, toxicity, vector_topk
 from .common import crc_fold, read_table, stage, stage_path
 
 
@@ -90,6 +90,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of rebuilt conversations. Null roles and texts are empty, null turns come first, equal turns go
+    by role and text, repeated rows are repeated turns, rows of null conv_id are left out; an empty table gives no node."""
+    return prefix_trie.trie(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 strongest phrases of every language. A null text is empty, a null language is ``und``;
     repeated rows count each; ties go by count, then by the phrase's bytes; an empty table gives none."""
@@ -107,5 +113,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_vector_topk": op9_vector_topk,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_collocations": op13_collocations,
 }
