@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, collocations, decontaminate, jaccard_join, language_id, masked_lm, prefix_trie, secret_scan, token_files, toxicity, vector_topk
+from . import byte_bpe, chat_format, collocations, decontaminate, jaccard_join, language_id, license_scan, masked_lm, prefix_trie, secret_scan, token_files, toxicity, vector_topk
 from .common import crc_fold, read_table, stage, stage_path
 
 
@@ -96,6 +96,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and fuzzy notices of every text. A null text is empty (no word, empty labels, score 0);
+    places of different phrases may overlap and count each; repeated rows get a row each; an empty table gives none."""
+    return license_scan.digest(license_scan.scan(read_table(spark, sf_dir, "documents")))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 strongest phrases of every language. A null text is empty, a null language is ``und``;
     repeated rows count each; ties go by count, then by the phrase's bytes; an empty table gives none."""
@@ -114,5 +120,6 @@ QUERIES = {
     "op9_vector_topk": op9_vector_topk,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_license_scan": op12_license_scan,
     "op13_collocations": op13_collocations,
 }

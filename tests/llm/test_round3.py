@@ -11,7 +11,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from memloom.llm import collocations, prefix_trie
+from memloom.llm import collocations, license_scan, prefix_trie
 from memloom.llm.sql import ORACLE
 
 
@@ -83,3 +83,72 @@ def test_collocations_equal_sql(spark, monkeypatch):
     few = collocations.mine(frame, top=3)
     assert few.where("rank > 3").count() == 0 and few.count() == 9
     assert collocations.mine(frame.limit(0)).count() == 0
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, left = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(left[j] + 1, row[j - 1] + 1, left[j - 1] + (x != y)))
+    return row[-1]
+
+
+def notices_by_hand(words):
+    """Notices of which some run of words is within the allowed edits."""
+    found = set()
+    for i, (_, head, body, edits) in enumerate(license_scan.NOTICES):
+        for a in range(len(words)):
+            for b in range(a + 1, len(words) + 1):
+                run = " ".join(words[a:b])
+                if len(run) > len(head) + len(body) + edits:
+                    break
+                if run.startswith(head) and abs(len(run) - len(head) - len(body)) <= edits and distance(run[len(head) :], body) <= edits:
+                    found.add(i)
+    return found
+
+
+def test_notices_equal_brute_force():
+    scanner, rng = license_scan.Scanner(), random.Random(1)
+    hits = 0
+    for trial in range(160):
+        label, head, body, edits = license_scan.NOTICES[trial % len(license_scan.NOTICES)]
+        spoiled = list(head + body)
+        for _ in range(rng.randint(0, edits + 1)):
+            at = rng.randrange(len(spoiled))
+            spoiled[at : at + rng.choice([0, 1])] = rng.choice(["", "x", "é", " "])
+        norm, _ = license_scan.normal(f"Some words, {''.join(spoiled)}. {rng.choice(['Permit license!', 'limit license', 'apaches', ''])}")
+        words = norm.split(" ")
+        mine = scanner.fuzzy(norm)
+        want = {license_scan.NOTICES[i][0] for i in notices_by_hand(words)}
+        assert {s[0] for s in mine} == want, norm
+        for _, first, last, made, allowed in mine:
+            run = " ".join(words[first : last + 1])
+            assert made <= allowed and any(run.startswith(h) and distance(run[len(h) :], b) <= made for _, h, b, _ in license_scan.NOTICES)
+        hits += bool(want)
+    assert hits > 80
+
+
+def base_by_hand(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    places = [(i, label) for phrase, label in license_scan.PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    starts = [i for i, _ in places]
+    return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))
+
+
+def test_license_query_equals_brute_force_and_edge_cases(spark):
+    rng = random.Random(2)
+    bits = "cc by CC-BY mit license License apache gnu general public é GNU\u00a0x , . \n cc by".split(" ")
+    rows = [(i, " ".join(rng.choice(bits) for _ in range(rng.randint(0, 80)))) for i in range(200)]
+    rows += [(1, None), (2, ""), (None, "MIT License"), (3, "mit licence"), (3, "mit licence"), (4, "it license; limit license"), (5, "x" * 300_000 + " the GNU Generl Public Licence " + "y " * 200_000)]
+    frame = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, n_words int, spans string")
+    got = license_scan.digest(license_scan.scan(frame))
+    key = lambda r: str(r)
+    assert sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got.collect()), key=key) == sorted(((d, *base_by_hand(t)) for d, t in rows), key=key)
+    by_id = {r.doc_id: r for r in got.where("doc_id in (3, 4, 5) and n_base = 0").collect()}
+    assert by_id[3].labels == "mit" and by_id[3].score == 0.5 and by_id[3].spans == "mit:0:1:1"
+    assert by_id[4].labels == "" and by_id[4].score == 0
+    assert by_id[5].labels == "gpl" and by_id[5].spans == "gpl:2:5:2"
+    assert license_scan.scan(frame.limit(0)).count() == 0
+    assert all(set(r.base_labels.split(",")) <= set(r.labels.split(",")) for r in got.where("n_base > 0").collect())
