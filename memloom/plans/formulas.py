@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import facts, health, hybrid, keeping
+from ..operators import facts, health, hybrid, keeping, setjoin
 from ..operators import understanding as und
 from .views import load
 
@@ -20,6 +20,7 @@ def _one(view: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSess
 
 
 QUERIES = {
+    "sim3": _one("doc", setjoin.similar),
     "dec1": _one("note", health.decay),
     "dec2": _one("note", health.decay_statistics),
     "sco1": _one("note", health.heuristic_importance),
