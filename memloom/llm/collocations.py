@@ -13,8 +13,9 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from .common import smallest, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COUNTED = "lang string, gram string, f long"
+ROWS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("f", pa.int64())])
 #: Bytes of pieces that a task counts at once, and duckdb's memory in a task.
 FLUSH_BYTES, MEMORY = 48 << 20, "600MB"
 
@@ -38,6 +40,8 @@ SELECT lang, gram, CAST(sum(f) AS BIGINT) AS f FROM (
   SELECT lang, '', CAST(sum(n * len(string_split(piece, ' '))) AS BIGINT) FROM held GROUP BY lang
 ) GROUP BY lang, gram
 """
+#: The same with the hash bucket of each n-gram, neighbours alike, so that they pack well.
+BUCKETED = f"SELECT CAST(hash(lang, gram) % {{buckets}} AS INTEGER) AS bucket, * FROM ({GRAMS}) ORDER BY bucket, lang, gram"
 SUMS = "SELECT lang, gram, CAST(sum(f) AS BIGINT) AS f FROM held GROUP BY lang, gram"
 
 
@@ -52,9 +56,9 @@ def pieces(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     return clean.groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _counting(sql: str, flush: int | None):
-    """A function over Arrow batches that runs ``sql`` over what it holds, each time
-    ``flush`` bytes are held if that is given, and at the end."""
+def _counting(sql: str, flush: int | None, held: Callable, out: Callable):
+    """A function over Arrow batches that runs ``sql`` over the tables that ``held`` makes of a batch, each time
+    ``flush`` bytes are held if that is given, and at the end; ``out`` makes batches of the result's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
@@ -65,17 +69,16 @@ def _counting(sql: str, flush: int | None):
             size = 0
 
             def counted():
-                for out in db.sql(sql).to_arrow_reader(50_000):
-                    yield out.cast(pa.schema([("lang", pa.string()), ("gram", pa.string()), ("f", pa.int64())]))
+                for found in db.sql(sql).to_arrow_reader(50_000):
+                    yield from out(found)
                 db.execute("DROP TABLE held")
 
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                db.register("batch", pa.Table.from_batches([batch]))
-                db.execute("INSERT INTO held SELECT * FROM batch" if size else "CREATE TABLE held AS SELECT * FROM batch")
-                db.unregister("batch")
-                size += max(1, batch.nbytes)
+                for table in held(batch):
+                    db.register("batch", table)
+                    db.execute("INSERT INTO held SELECT * FROM batch" if size else "CREATE TABLE held AS SELECT * FROM batch")
+                    db.unregister("batch")
+                    size += max(1, table.nbytes)
                 if flush and size >= flush:
                     yield from counted()
                     size = 0
@@ -88,11 +91,37 @@ def _counting(sql: str, flush: int | None):
     return run
 
 
+def _packed(found: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket's stretch of ordered rows: the bucket and the rows as a compressed Arrow stream."""
+    if not found.num_rows:
+        return
+    buckets = found.column(0).to_numpy()
+    rows = pa.record_batch(found.columns[1:], found.schema.names[1:]).cast(ROWS)
+    cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
+    packs = []
+    for i, j in zip(cuts, cuts[1:]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, ROWS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_batch(rows.slice(i, j - i))
+        packs.append(sink.getvalue().to_pybytes())
+    yield pa.record_batch([pa.array(buckets[cuts[:-1]], pa.int32()), pa.array(packs, pa.binary())], ["bucket", "rows"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[pa.Table]:
+    for pack in batch.column(1):
+        yield pa.ipc.open_stream(pack.as_buffer()).read_all()
+
+
 def count_grams(found: DataFrame, at_least: int = 10) -> DataFrame:
     """``lang``, ``gram``, ``f`` of all n-grams of up to three words that occur ``at_least``
-    times in ``pieces``; the gram '' has the number of words of the language."""
-    parts = found.mapInArrow(_counting(GRAMS, FLUSH_BYTES), COUNTED)
-    whole = parts.repartition("lang", "gram").mapInArrow(_counting(SUMS, None), COUNTED)
+    times in ``pieces``; the gram '' has the number of words of the language.
+
+    Counts of parts of the pieces go to as many hash buckets as there are shuffle partitions.
+    """
+    buckets = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = _counting(BUCKETED.format(buckets=buckets), FLUSH_BYTES, lambda b: [pa.Table.from_batches([b])] if b.num_rows else [], _packed)
+    parts = found.mapInArrow(split, "bucket int, rows binary")
+    whole = parts.repartition("bucket").mapInArrow(_counting(SUMS, None, _unpacked, lambda b: [b.cast(ROWS)]), COUNTED)
     return whole.where((F.col("f") >= at_least) | (F.col("gram") == ""))
 
 
