@@ -26,7 +26,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COUNTED = "lang string, gram string, f long"
 ROWS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("f", pa.int64())])
 #: Bytes of pieces that a task counts at once, and duckdb's memory in a task.
-FLUSH_BYTES, MEMORY = 48 << 20, "600MB"
+FLUSH_BYTES, MEMORY = 12 << 20, "600MB"
 
 #: All 1- to 3-grams of a piece whose words are joined by single spaces. The
 #: empty gram carries the number of words.
@@ -40,8 +40,9 @@ SELECT lang, gram, CAST(sum(f) AS BIGINT) AS f FROM (
   SELECT lang, '', CAST(sum(n * len(string_split(piece, ' '))) AS BIGINT) FROM held GROUP BY lang
 ) GROUP BY lang, gram
 """
-#: The same with the hash bucket of each n-gram, neighbours alike, so that they pack well.
-BUCKETED = f"SELECT CAST(hash(lang, gram) % {{buckets}} AS INTEGER) AS bucket, * FROM ({GRAMS}) ORDER BY bucket, lang, gram"
+#: The same with the hash bucket of each n-gram. Those of one first word go to 16 buckets at most, so
+#: neighbours are alike and pack well, and no word's n-grams are all in one bucket.
+BUCKETED = f"SELECT CAST(hash(lang, split_part(gram, ' ', 1), hash(gram) % 16) % {{buckets}} AS INTEGER) AS bucket, * FROM ({GRAMS}) ORDER BY bucket, lang, gram"
 SUMS = "SELECT lang, gram, CAST(sum(f) AS BIGINT) AS f FROM held GROUP BY lang, gram"
 
 
@@ -101,7 +102,7 @@ def _packed(found: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     packs = []
     for i, j in zip(cuts, cuts[1:]):
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, ROWS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        with pa.ipc.new_stream(sink, ROWS, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as stream:
             stream.write_batch(rows.slice(i, j - i))
         packs.append(sink.getvalue().to_pybytes())
     yield pa.record_batch([pa.array(buckets[cuts[:-1]], pa.int32()), pa.array(packs, pa.binary())], ["bucket", "rows"])
