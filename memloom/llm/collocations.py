@@ -113,16 +113,17 @@ def _unpacked(batch: pa.RecordBatch) -> Iterator[pa.Table]:
         yield pa.ipc.open_stream(pack.as_buffer()).read_all()
 
 
-def count_grams(found: DataFrame, at_least: int = 10) -> DataFrame:
+def count_grams(found: DataFrame, at_least: int = 10, per_partition: int = 8) -> DataFrame:
     """``lang``, ``gram``, ``f`` of all n-grams of up to three words that occur ``at_least``
     times in ``pieces``; the gram '' has the number of words of the language.
 
-    Counts of parts of the pieces go to as many hash buckets as there are shuffle partitions.
+    Counts of parts of the pieces go to ``per_partition`` hash buckets for each shuffle partition. Their
+    number is stated, since packed rows are many times larger once a task holds them.
     """
-    buckets = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = per_partition * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     split = _counting(BUCKETED.format(buckets=buckets), FLUSH_BYTES, lambda b: [pa.Table.from_batches([b])] if b.num_rows else [], _packed)
     parts = found.mapInArrow(split, "bucket int, rows binary")
-    whole = parts.repartition("bucket").mapInArrow(_counting(SUMS, None, _unpacked, lambda b: [b.cast(ROWS)]), COUNTED)
+    whole = parts.repartition(buckets, "bucket").mapInArrow(_counting(SUMS, None, _unpacked, lambda b: [b.cast(ROWS)]), COUNTED)
     return whole.where((F.col("f") >= at_least) | (F.col("gram") == ""))
 
 
