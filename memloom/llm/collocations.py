@@ -1,11 +1,15 @@
 """Phrase collocations per language, by weighted counts of distinct pieces.
 
 Texts are cut at punctuation and line ends into pieces. Identical pieces of a
-language become one row with a multiplicity; their n-grams are counted with
-that weight by duckdb inside tasks, first per part of the pieces, then per hash
-bucket of n-grams, spilling to Spark's own scratch folders beyond a memory
-limit. Candidates send lookup requests, shuffled to where the counts of their
-parts are; the answers come back as the least favourable cut's score.
+language become one row with a multiplicity, and rows become blocks of a few MB.
+Most n-grams are too rare to matter, so blocks ask first: a request holds the
+hashed cells of a block's n-grams with their weights, shuffled to where a range of
+cells is summed; the answer names the cells that reach the limit. A cell's sum is
+at least that of any n-gram in it, so nothing frequent is lost. The n-grams
+left are counted exactly, by duckdb per hash bucket, which spills to Spark's own
+scratch folders beyond a memory limit. Candidates then send lookup requests, shuffled
+to where the counts of their parts are; the answers come back as the least
+favourable cut's score.
 """
 
 from __future__ import annotations
@@ -13,36 +17,27 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import smallest, stage
+from .common import drop_stage, mix64, smallest, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COUNTED = "lang string, gram string, f long"
 ROWS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("f", pa.int64())])
-#: Bytes of pieces that a task counts at once, and duckdb's memory in a task.
-FLUSH_BYTES, MEMORY = 12 << 20, "600MB"
-
-#: All 1- to 3-grams of a piece whose words are joined by single spaces. The
-#: empty gram carries the number of words.
-GRAMS = """
-SELECT lang, gram, CAST(sum(f) AS BIGINT) AS f FROM (
-  SELECT lang, unnest(list_concat(w,
-      list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
-      list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS gram, n AS f
-  FROM (SELECT lang, string_split(piece, ' ') AS w, n FROM held)
-  UNION ALL
-  SELECT lang, '', CAST(sum(n * len(string_split(piece, ' '))) AS BIGINT) FROM held GROUP BY lang
-) GROUP BY lang, gram
-"""
-#: The same with the hash bucket of each n-gram. Those of one first word go to 16 buckets at most, so
-#: neighbours are alike and pack well, and no word's n-grams are all in one bucket.
-BUCKETED = f"SELECT CAST(hash(lang, split_part(gram, ' ', 1), hash(gram) % 16) % {{buckets}} AS INTEGER) AS bucket, * FROM ({GRAMS}) ORDER BY bucket, lang, gram"
+PIECES = pa.schema([("lang", pa.string()), ("piece", pa.string()), ("n", pa.int64())])
+#: Bytes of pieces in a block, bits of a cell, and duckdb's memory in a task.
+FLUSH_BYTES, CELL_BITS, MEMORY = 8 << 20, 40, "600MB"
+#: Added before each word of an n-gram is hashed in.
+STEP = np.uint64(0x9E3779B97F4A7C15)
+CODEC = "zstd"
+
 SUMS = "SELECT lang, gram, CAST(sum(f) AS BIGINT) AS f FROM held GROUP BY lang, gram"
 
 
@@ -57,41 +52,172 @@ def pieces(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     return clean.groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _counting(sql: str, flush: int | None, held: Callable, out: Callable):
-    """A function over Arrow batches that runs ``sql`` over the tables that ``held`` makes of a batch, each time
-    ``flush`` bytes are held if that is given, and at the end; ``out`` makes batches of the result's."""
+def _stream(rows: pa.Table | pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec(CODEC, compression_level=5))) as stream:
+        stream.write(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _blocks(flush: int):
+    """Pieces as compressed Arrow streams of about ``flush`` bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            rows = 1 + batch.num_rows * flush // max(1, 4 * batch.nbytes)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows).cast(PIECES)
+                held.append(part)
+                size += part.nbytes
+                if size >= flush:
+                    yield _stream_row(held)
+                    held, size = [], 0
+        if held:
+            yield _stream_row(held)
+
+    return run
+
+
+def _stream_row(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([_stream(pa.Table.from_batches(held))], pa.binary())], ["pieces"])
+
+
+class _Block:
+    """The words of a block's pieces with the cells of the n-grams that begin at them."""
+
+    def __init__(self, packed: pa.Scalar):
+        table = pa.ipc.open_stream(packed.as_buffer()).read_all().combine_chunks()
+        split = pc.split_pattern(table["piece"].combine_chunks(), " ")
+        self.words, ends = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+        self.lengths = np.diff(ends)
+        row = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.left = ends[1:][row] - ends[0] - np.arange(len(row))
+        langs = table["lang"].combine_chunks().dictionary_encode()
+        self.langs, self.row_lang, self.n = langs.dictionary, langs.indices.to_numpy().astype(np.int64), table["n"].to_numpy()
+        self.lang, self.weight = self.row_lang[row], self.n[row]
+        coded = self.words.dictionary_encode()
+        self.code, self.kinds = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        self.lang_hash = _hashes(self.langs)
+        word = _hashes(coded.dictionary)[self.code]
+        self.hash = [mix64(self.lang_hash[self.lang] ^ word)]
+        for j in (1, 2):
+            after = np.concatenate([word[j:], np.zeros(min(j, len(word)), np.uint64)])
+            self.hash.append(mix64(self.hash[-1] + STEP ^ after))
+
+    def starts(self, words: int) -> np.ndarray:
+        return np.flatnonzero(self.left >= words)
+
+    def cells(self, words: int) -> np.ndarray:
+        return (self.hash[words - 1] >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _hashes(strings: pa.Array) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in strings.cast(pa.binary()).to_pylist()), np.uint64, len(strings))
+
+
+def _requests(buckets: int, at_least: int):
+    """For every block and range of cells: the cells, as packed differences, and their weights up to ``at_least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import duckdb
-
-        scratch = tempfile.mkdtemp(prefix="duckdb-", dir=(os.environ.get("SPARK_LOCAL_DIRS") or "").split(",")[0] or None)
-        db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": scratch, "preserve_insertion_order": False})
-        try:
-            size = 0
-
-            def counted():
-                for found in db.sql(sql).to_arrow_reader(50_000):
-                    yield from out(found)
-                db.execute("DROP TABLE held")
-
-            for batch in batches:
-                for table in held(batch):
-                    db.register("batch", table)
-                    db.execute("INSERT INTO held SELECT * FROM batch" if size else "CREATE TABLE held AS SELECT * FROM batch")
-                    db.unregister("batch")
-                    size += max(1, table.nbytes)
-                if flush and size >= flush:
-                    yield from counted()
-                    size = 0
-            if size:
-                yield from counted()
-        finally:
-            db.close()
-            shutil.rmtree(scratch, ignore_errors=True)
+        codec = pa.Codec(CODEC, compression_level=3)
+        for batch in batches:
+            for number, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                block = _Block(packed)
+                at = [block.starts(j) for j in (1, 2, 3)]
+                cells = np.concatenate([block.cells(j)[a] for j, a in zip((1, 2, 3), at)])
+                order = np.argsort(cells)
+                cells, weight = cells[order], np.concatenate([block.weight[a] for a in at])[order]
+                first = np.flatnonzero(np.diff(cells, prepend=-1))
+                cells, weight = cells[first], np.minimum(np.add.reduceat(weight, first), at_least).astype(np.uint8)
+                cuts = np.searchsorted(cells, -(-(np.arange(buckets + 1) << CELL_BITS) // buckets))
+                rows = []
+                for bucket, (i, j) in enumerate(zip(cuts, cuts[1:])):
+                    if j > i:
+                        planes = np.diff(cells[i:j], prepend=0).view(np.uint8).reshape(-1, 8).T
+                        rows.append((number, bucket, int(j - i), codec.compress(planes.tobytes() + weight[i:j].tobytes(), asbytes=True)))
+                yield _table(rows)
 
     return run
 
 
+REQUEST = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("size", pa.int64()), ("cells", pa.binary())])
+
+
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, REQUEST)], schema=REQUEST)
+
+
+def _answers(at_least: int):
+    """For every request of one range, the cells whose weights over all requests reach ``at_least``."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        codec, cells, weights = pa.Codec(CODEC), [], []
+        for size, packed in zip(asked["size"].to_pylist(), asked["cells"].combine_chunks()):
+            raw = np.frombuffer(codec.decompress(packed.as_buffer(), 9 * size), np.uint8)
+            cells.append(np.cumsum(np.ascontiguousarray(raw[: 8 * size].reshape(8, size).T).view(np.int64).ravel()))
+            weights.append(raw[8 * size :])
+        every, place = np.unique(np.concatenate(cells), return_inverse=True)
+        enough = every[np.bincount(place, np.concatenate(weights), len(every)) >= at_least]
+        own = [c[np.isin(c, enough, assume_unique=True)] for c in cells]
+        rows = [(block, bucket, len(c), c.tobytes()) for block, bucket, c in zip(asked["block"].to_pylist(), asked["bucket"].to_pylist(), own)]
+        return pa.Table.from_batches([_table(rows)])
+
+    return run
+
+
+def _kept(buckets: int):
+    """A block's counts of the n-grams in the cells that it was answered, and its words of each language as the gram ''."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed, answers in zip(batch.column(0), batch.column(1).to_pylist()):
+                block = _Block(packed)
+                enough = np.sort(np.frombuffer(b"".join(answers or []), np.int64))
+                total = np.bincount(block.row_lang, block.n * block.lengths, len(block.langs)).astype(np.int64)
+                out = [(block.lang_hash, block.langs, pa.array([""] * len(total)), total)]
+                for j in (1, 2, 3):
+                    at = block.starts(j)
+                    cells = block.cells(j)[at]
+                    near = np.searchsorted(enough, cells)
+                    at = at[(near < len(enough)) & (np.append(enough, -1)[near] == cells)]
+                    # equal n-grams have equal codes: word by word, so that a key stays small
+                    key = block.lang[at]
+                    for k in range(j):
+                        first, key = np.unique(key * block.kinds + block.code[at + k], return_index=True, return_inverse=True)[1:]
+                    f = np.bincount(key, block.weight[at], len(first)).astype(np.int64)
+                    at = at[first]
+                    words = [block.words.take(pa.array(at + k)) for k in range(j)]
+                    out.append((block.hash[j - 1][at], block.langs.take(pa.array(block.lang[at])), pc.binary_join_element_wise(*words, " ") if j > 1 else words[0], f))
+                bucket = np.concatenate([h % np.uint64(buckets) for h, *_ in out]).astype(np.int32)
+                found = pa.table([pa.array(bucket), *[pa.concat_arrays([o[i] for o in out]) for i in (1, 2)], pa.array(np.concatenate([o[3] for o in out]))], ["bucket", *ROWS.names])
+                found = found.sort_by([("bucket", "ascending"), ("lang", "ascending"), ("gram", "ascending")]).combine_chunks()
+                for part in found.to_batches():
+                    yield from _packed(part)
+
+    return run
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of a bucket's packed rows, by duckdb, which spills beyond its memory."""
+    import duckdb
+
+    scratch = tempfile.mkdtemp(prefix="duckdb-", dir=(os.environ.get("SPARK_LOCAL_DIRS") or "").split(",")[0] or None)
+    db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": scratch, "preserve_insertion_order": False})
+    try:
+        db.execute("CREATE TABLE held (lang VARCHAR, gram VARCHAR, f BIGINT)")
+        for batch in batches:
+            for pack in batch.column(1):
+                db.register("batch", pa.ipc.open_stream(pack.as_buffer()).read_all())
+                db.execute("INSERT INTO held SELECT * FROM batch")
+                db.unregister("batch")
+        for found in db.sql(SUMS).to_arrow_reader(50_000):
+            yield found.cast(ROWS)
+    finally:
+        db.close()
+        shutil.rmtree(scratch, ignore_errors=True)
+
+
 def _packed(found: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A row for each bucket's stretch of ordered rows: the bucket and the rows as a compressed Arrow stream."""
     if not found.num_rows:
@@ -99,32 +225,29 @@ def _packed(found: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     buckets = found.column(0).to_numpy()
     rows = pa.record_batch(found.columns[1:], found.schema.names[1:]).cast(ROWS)
     cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
-    packs = []
-    for i, j in zip(cuts, cuts[1:]):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, ROWS, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as stream:
-            stream.write_batch(rows.slice(i, j - i))
-        packs.append(sink.getvalue().to_pybytes())
+    packs = [_stream(rows.slice(i, j - i)) for i, j in zip(cuts, cuts[1:])]
     yield pa.record_batch([pa.array(buckets[cuts[:-1]], pa.int32()), pa.array(packs, pa.binary())], ["bucket", "rows"])
 
 
-def _unpacked(batch: pa.RecordBatch) -> Iterator[pa.Table]:
-    for pack in batch.column(1):
-        yield pa.ipc.open_stream(pack.as_buffer()).read_all()
-
-
 def count_grams(found: DataFrame, at_least: int = 10, per_partition: int = 8) -> DataFrame:
     """``lang``, ``gram``, ``f`` of all n-grams of up to three words that occur ``at_least``
     times in ``pieces``; the gram '' has the number of words of the language.
 
-    Counts of parts of the pieces go to ``per_partition`` hash buckets for each shuffle partition. Their
+    Cells and counts go to ``per_partition`` hash buckets for each shuffle partition. Their
     number is stated, since packed rows are many times larger once a task holds them.
     """
     buckets = per_partition * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split = _counting(BUCKETED.format(buckets=buckets), FLUSH_BYTES, lambda b: [pa.Table.from_batches([b])] if b.num_rows else [], _packed)
-    parts = found.mapInArrow(split, "bucket int, rows binary")
-    whole = parts.repartition(buckets, "bucket").mapInArrow(_counting(SUMS, None, _unpacked, lambda b: [b.cast(ROWS)]), COUNTED)
-    return whole.where((F.col("f") >= at_least) | (F.col("gram") == ""))
+    packed = found.mapInArrow(_blocks(FLUSH_BYTES), "pieces binary")
+    blocks = stage(packed.select(F.monotonically_increasing_id().alias("block"), "pieces"), "blocks")
+    request = "block long, bucket int, size long, cells binary"
+    asked = blocks.mapInArrow(_requests(buckets, at_least), request)
+    answers = stage(asked.groupBy("bucket").applyInArrow(_answers(at_least), request), "answers")
+    own = answers.where("size > 0").groupBy("block").agg(F.collect_list("cells").alias("cells"))
+    parts = blocks.join(own, "block", "left").select("pieces", "cells").mapInArrow(_kept(buckets), "bucket int, rows binary")
+    counts = stage(parts.repartition(buckets, "bucket").mapInArrow(_sums, COUNTED).where((F.col("f") >= at_least) | (F.col("gram") == "")), "grams")
+    drop_stage(answers)
+    drop_stage(blocks)
+    return counts
 
 
 def collocations(counts: DataFrame, top: int = 2000, inside: int = 50) -> DataFrame:
@@ -161,4 +284,4 @@ def collocations(counts: DataFrame, top: int = 2000, inside: int = 50) -> DataFr
 
 def mine(docs: DataFrame, at_least: int = 10, top: int = 2000) -> DataFrame:
     """Collocations of ``docs``. An empty table gives none."""
-    return collocations(stage(count_grams(pieces(docs), at_least), "grams"), top)
+    return collocations(count_grams(pieces(docs), at_least), top)
