@@ -14,6 +14,7 @@ favourable cut's score.
 
 from __future__ import annotations
 
+import math
 import os
 import shutil
 import tempfile
@@ -34,6 +35,8 @@ ROWS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("f", pa.int64()
 PIECES = pa.schema([("lang", pa.string()), ("piece", pa.string()), ("n", pa.int64())])
 #: Bytes of pieces in a block, bits of a cell, and duckdb's memory in a task.
 FLUSH_BYTES, CELL_BITS, MEMORY = 8 << 20, 40, "600MB"
+#: Hash buckets for a table of one block; four times the blocks have twice as many.
+BUCKETS = 64
 #: Added before each word of an n-gram is hashed in.
 STEP = np.uint64(0x9E3779B97F4A7C15)
 CODEC = "zstd"
@@ -136,6 +139,7 @@ def _requests(buckets: int, at_least: int):
                     if j > i:
                         planes = np.diff(cells[i:j], prepend=0).view(np.uint8).reshape(-1, 8).T
                         rows.append((number, bucket, int(j - i), codec.compress(planes.tobytes() + weight[i:j].tobytes(), asbytes=True)))
+                del block, order, cells, weight
                 yield _table(rows)
 
     return run
@@ -192,6 +196,7 @@ def _kept(buckets: int):
                 bucket = np.concatenate([h % np.uint64(buckets) for h, *_ in out]).astype(np.int32)
                 found = pa.table([pa.array(bucket), *[pa.concat_arrays([o[i] for o in out]) for i in (1, 2)], pa.array(np.concatenate([o[3] for o in out]))], ["bucket", *ROWS.names])
                 found = found.sort_by([("bucket", "ascending"), ("lang", "ascending"), ("gram", "ascending")]).combine_chunks()
+                del block, out, words, key, at
                 for part in found.to_batches():
                     yield from _packed(part)
 
@@ -229,16 +234,18 @@ def _packed(found: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(buckets[cuts[:-1]], pa.int32()), pa.array(packs, pa.binary())], ["bucket", "rows"])
 
 
-def count_grams(found: DataFrame, at_least: int = 10, per_partition: int = 8) -> DataFrame:
+def count_grams(found: DataFrame, at_least: int = 10) -> DataFrame:
     """``lang``, ``gram``, ``f`` of all n-grams of up to three words that occur ``at_least``
     times in ``pieces``; the gram '' has the number of words of the language.
 
-    Cells and counts go to ``per_partition`` hash buckets for each shuffle partition. Their
-    number is stated, since packed rows are many times larger once a task holds them.
+    The number of hash buckets follows the square root of the size of the blocks, as blocks times buckets
+    are the rows that are shuffled; it is stated, since packed rows are many times larger once a task holds them.
     """
-    buckets = per_partition * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = found.mapInArrow(_blocks(FLUSH_BYTES), "pieces binary")
-    blocks = stage(packed.select(F.monotonically_increasing_id().alias("block"), "pieces"), "blocks")
+    blocks = stage(packed.select(F.monotonically_increasing_id().alias("block"), "pieces", F.octet_length("pieces").alias("bytes")), "blocks")
+    size = blocks.agg(F.sum(F.col("bytes").cast("long"))).first()[0] or 0
+    buckets = BUCKETS * math.ceil(math.sqrt(size / FLUSH_BYTES) or 1)
+    blocks = blocks.select("block", "pieces")
     request = "block long, bucket int, size long, cells binary"
     asked = blocks.mapInArrow(_requests(buckets, at_least), request)
     answers = stage(asked.groupBy("bucket").applyInArrow(_answers(at_least), request), "answers")
