@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import facts, health, hybrid, keeping, setjoin
+from ..operators import cosinejoin, facts, health, hybrid, keeping, setjoin
 from ..operators import understanding as und
 from .views import load
 
@@ -21,6 +21,13 @@ def _one(view: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSess
 
 QUERIES = {
     "sim3": _one("doc", setjoin.similar),
+    "joi3": _one("vec", cosinejoin.pairs),
+    "sim1": _one("vec", cosinejoin.write_gate),
+    "sim2": _one("vec", cosinejoin.service_gate),
+    "sim4": _one("vec", cosinejoin.near_duplicates),
+    "sim12": _one("vec", cosinejoin.quality),
+    "sim13": _one("vec", cosinejoin.relations),
+    "sim19": _one("vec", cosinejoin.warnings),
     "dec1": _one("note", health.decay),
     "dec2": _one("note", health.decay_statistics),
     "sco1": _one("note", health.heuristic_importance),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import components, greedy
+from ..operators import components, cosinejoin, greedy
 from ..sources import storage
 from ..streaming import streams
 from .views import load
@@ -21,10 +21,7 @@ def gra4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sim5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate clusters: components of similar pairs, with their size."""
-    from ..operators.similarity import OPS
-
-    pairs = next(op for op in OPS if op.name == "joi3")(load(spark, sf_dir, "vec")[0], least=0.3)
-    found = components.components(pairs, "a", "b")
+    found = components.components(cosinejoin.similar(load(spark, sf_dir, "vec")[0], 0.3), "a", "b")
     return found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("node")).cast("array<string>"), ",").alias("members"))
 
 
