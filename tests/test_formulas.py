@@ -231,3 +231,16 @@ def test_facts_and_their_quality(spark):
 def test_turns_of_transcripts(spark):
     rows = spark.createDataFrame([(1, "User: hi\n\n there\nAssistant:  yes\nSystem:\nok"), (2, "no marks\nat all"), (3, None)], "id long, text string")
     assert sorted((r.id, r.text) for r in facts.turns_of(rows).collect()) == [(1, "hi there"), (1, "ok"), (1, "yes"), (2, "no marks at all")]
+
+
+def test_permissions_of_groups_equal_those_of_each_request(spark):
+    spaces = spark.createDataFrame([("a", 1, False, True), ("a/b", 2, True, True), ("a/b/c", 3, False, True), ("a/b/d", 3, False, False), ("e", 9, True, True)], "path string, owner_id long, is_public boolean, inherits boolean")
+    grants = spark.createDataFrame([("a", 7, "write"), ("a/b", 7, "admin"), ("a/b/c", 8, "admin"), ("a/b/c", 8, "read"), ("e/f", 7, "write")], "path string, user_id long, permission string")
+    places = spark.createDataFrame([(1, p) for p in ("a/b/c", "a/b/d", "a/b/x", "a/b/c")] + [(2, "e/f"), (2, "e"), (None, "a")], "grp int, path string")
+    members = spark.createDataFrame([(g, u) for g in (1, 2, 2) for u in (1, 3, 7, 8, 9)], "grp int, user_id long")
+    asked = places.join(members, "grp").select("path", "user_id")
+    want = {tuple(r) for r in und.effective_permission(spaces, grants, asked).collect()}
+    for rows in (1, 10**6):
+        got = und.effective_permission_of_groups(spaces, grants, places, members, rows)
+        found = [tuple(r) for r in got.collect()]
+        assert set(found) == want and len(found) == len(want)
