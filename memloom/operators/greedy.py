@@ -8,6 +8,7 @@ import gzip
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,73 +62,129 @@ def budget(mem: DataFrame, tokens: int = 60) -> DataFrame:
     return mem.select("user_id", "id", "importance", "confidence", "text").groupBy("user_id").applyInPandas(run, "user_id long, id long")
 
 
-def _pairs(pdf: pd.DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    v = np.stack(pdf.v.to_numpy()).astype(np.float64)
+def _units(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order and their vectors at length 1, without a copy per row."""
+    rows = rows.sort_by("id").combine_chunks()
+    v = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    s = v @ v.T
-    return s, s >= least
+    return rows["id"].to_numpy(), v
+
+
+def _best(v: np.ndarray, of: np.ndarray, among: np.ndarray, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """For each row ``of``, its most similar other row ``among`` (ascending; the first of equals) and the similarity.
+    Products are made ``cells`` numbers at a time, so memory does not follow their square."""
+    best, top = np.full(len(of), -1), np.full(len(of), -np.inf)
+    step, others = max(1, cells // max(1, len(among))), v[among]
+    for at in range(0, len(of), step):
+        own = of[at : at + step]
+        s = np.round(v[own] @ others.T, 12)
+        place = np.minimum(np.searchsorted(among, own), len(among) - 1)
+        mine = np.flatnonzero(among[place] == own)
+        s[mine, place[mine]] = -np.inf
+        to = s.argmax(axis=1)
+        best[at : at + step], top[at : at + step] = among[to], s[np.arange(len(own)), to]
+    return best, top
+
+
+def _mutual(best: np.ndarray, top: np.ndarray, alive: np.ndarray, least: float) -> np.ndarray:
+    """Pairs (i < j) that are each other's best and similar enough; at least the best of all, if that is."""
+    i = alive[(top[alive] >= least)]
+    if not len(i):
+        return np.zeros((0, 2), int)
+    i = i[(best[best[i]] == i) & (i < best[i])]
+    first = alive[top[alive].argmax()]
+    pair = sorted((int(first), int(best[first])))
+    taken = np.isin(i, pair) | np.isin(best[i], pair)
+    return np.vstack([np.column_stack([i[~taken], best[i[~taken]]]), [pair]])
 
 
 def star_clusters(vec: DataFrame, least: float = 0.3) -> DataFrame:
-    """SIM6: a seed absorbs the later rows that are similar to it; not transitive."""
+    """SIM6: a seed absorbs the later rows that are similar to it; not transitive.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        _, near = _pairs(pdf, least)
-        seed = np.full(len(pdf), -1)
-        for i in range(len(pdf)):
-            if seed[i] < 0:
-                free = (seed < 0) & near[i]
-                free[:i] = False
-                free[i] = True
-                seed[free] = i
-        return pd.DataFrame({"label": pdf.label, "id": pdf.id, "seed": pdf.id.to_numpy()[seed]})
+    Rows of a label come in order of id, a batch at a time; only the seeds are kept."""
 
-    return vec.groupBy("label").applyInPandas(run, "label int, id long, seed long")
+    def run(batches):
+        held, ids, seeds = None, [], np.zeros((0, 0))
+        for batch in batches:
+            labels, own = batch.column("label").to_pylist(), batch.column("id").to_numpy()
+            vectors, out = batch.column("v").to_pylist(), []
+            at = 0
+            while at < len(own):
+                end = next((k for k in range(at, min(at + 512, len(own))) if (labels[k], len(vectors[k])) != (labels[at], len(vectors[at]))), min(at + 512, len(own)))
+                if (labels[at], len(vectors[at])) != held:
+                    held, ids, seeds = (labels[at], len(vectors[at])), [], np.zeros((0, len(vectors[at])))
+                v = np.array(vectors[at:end], dtype=np.float64)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                near = v @ seeds.T >= least
+                seed = np.where(near.any(axis=1), near.argmax(axis=1), -1) if len(ids) else np.full(len(v), -1)
+                within, old = v @ v.T >= least, len(ids)
+                for i in np.flatnonzero(seed < 0):
+                    if seed[i] < 0:
+                        free = (seed < 0) & within[i]
+                        free[:i] = False
+                        free[i] = True
+                        seed[free] = len(ids)
+                        ids.append(own[at + i])
+                if len(ids) > old:
+                    fresh = np.array([np.flatnonzero(seed == k)[0] for k in range(old, len(ids))])
+                    seeds = np.vstack([seeds, v[fresh]])
+                out.extend(ids[k] for k in seed)
+                at = end
+            yield pa.record_batch([pa.array(labels, pa.int32()), pa.array(own), pa.array(out, pa.int64())], ["label", "id", "seed"])
+
+    dealt = vec.select("label", "id", "v").repartition("label").sortWithinPartitions("label", F.size("v"), "id")
+    return dealt.mapInArrow(run, "label int, id long, seed long")
 
 
 def agglomerative(vec: DataFrame, least: float = 0.1) -> DataFrame:
-    """SIM11: average linkage, until no two clusters are similar enough."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        s, _ = _pairs(pdf, least)
-        groups, size = list(range(len(pdf))), np.ones(len(pdf))
-        np.fill_diagonal(s, -np.inf)
-        owner = np.arange(len(pdf))
-        while len(groups) > 1:
-            i, j = np.unravel_index(s.argmax(), s.shape)
-            if s[i, j] < least:
-                break
-            i, j = min(i, j), max(i, j)
-            row = (size[i] * s[i] + size[j] * s[j]) / (size[i] + size[j])
-            s[i], s[:, i] = row, row
-            s[i, i] = -np.inf
-            s[j], s[:, j] = -np.inf, -np.inf
+    """SIM11: average linkage, until no two clusters are similar enough.
+
+    The mean similarity of two clusters is the product of their mean vectors. A merged cluster is no
+    closer to another than the closer of its parts was, so all pairs that are each other's best are merged
+    at once, and only rows whose best is gone look again."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, v = _units(rows)
+        size, owner, alive = np.ones(len(ids)), np.arange(len(ids)), np.arange(len(ids))
+        best, top = _best(v, alive, alive)
+        while len(alive) > 1 and len(pairs := _mutual(best, top, alive, least)):
+            i, j = pairs.T
+            v[i] = (size[i, None] * v[i] + size[j, None] * v[j]) / (size[i] + size[j])[:, None]
             size[i] += size[j]
-            owner[owner == j] = i
-            groups.remove(j)
-        return pd.DataFrame({"label": pdf.label, "id": pdf.id, "cluster": pdf.id.to_numpy()[owner]})
+            owner[j] = i
+            alive = np.setdiff1d(alive, j)
+            stale = alive[np.isin(alive, i) | np.isin(best[alive], pairs)]
+            if len(alive) > 1:
+                best[stale], top[stale] = _best(v, stale, alive)
+        while (owner[owner] != owner).any():
+            owner = owner[owner]
+        return pa.table([pa.array([rows["label"][0].as_py()] * len(ids), pa.int32()), pa.array(ids), pa.array(ids[owner])], ["label", "id", "cluster"])
 
-    return vec.groupBy("label").applyInPandas(run, "label int, id long, cluster long")
+    return vec.select("label", "id", "v").groupBy("label").applyInArrow(run, "label int, id long, cluster long")
 
 
 def disjoint_merges(vec: DataFrame, least: float = 0.25) -> DataFrame:
-    """SIM14: the most similar pair first, each row in one pair at most."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        s, near = _pairs(pdf, least)
-        i, j = np.nonzero(np.triu(near, 1))
-        order = np.lexsort((j, i, -s[i, j]))
-        used, out = set(), []
-        for k in order:
-            if i[k] not in used and j[k] not in used:
-                used |= {i[k], j[k]}
-                out.append((pdf.label[0], pdf.id[i[k]], pdf.id[j[k]], round(float(s[i[k], j[k]]) + 0.05, 6)))
-        return pd.DataFrame(out, columns=["label", "a", "b", "confidence"])
-
-    return vec.groupBy("label").applyInPandas(run, "label int, a long, b long, confidence double")
+    """SIM14: the most similar pair first, each row in one pair at most.
+
+    Pairs that are each other's best among the free rows are what that order takes; only rows whose best was
+    taken look again."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, v = _units(rows)
+        alive, out = np.arange(len(ids)), []
+        best, top = _best(v, alive, alive)
+        while len(alive) > 1 and len(pairs := _mutual(best, top, alive, least)):
+            out.append((ids[pairs[:, 0]], ids[pairs[:, 1]], top[pairs].max(axis=1)))
+            alive = np.setdiff1d(alive, pairs)
+            # a row without a partner now has none later
+            alive = alive[top[alive] >= least]
+            stale = alive[np.isin(best[alive], pairs)]
+            if len(alive) > 1:
+                best[stale], top[stale] = _best(v, stale, alive)
+        a, b, s = (np.concatenate(x) for x in zip(*out)) if out else (ids[:0], ids[:0], np.zeros(0))
+        return pa.table([pa.array([rows["label"][0].as_py()] * len(a), pa.int32()), pa.array(a), pa.array(b), pa.array(np.round(s + 0.05, 6))], ["label", "a", "b", "confidence"])
+
+    return vec.select("label", "id", "v").groupBy("label").applyInArrow(run, "label int, a long, b long, confidence double")
 
 
 def reconcile(mem: DataFrame) -> DataFrame:

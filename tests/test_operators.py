@@ -1,5 +1,6 @@
 """Known numbers, properties, and brute-force twins of the ordered operators."""
 
+import numpy as np
 import random
 
 import pytest
@@ -89,3 +90,27 @@ def test_assembled_context_states_reasons(spark):
 def test_sequence_ratio_and_facts(spark):
     pairs = spark.createDataFrame([("abcd", "bcde"), (None, "x"), ("", "")], "a string, b string")
     assert [r.ratio for r in greedy.sequence_ratio(pairs, "a", "b").collect()] == [0.75, 0.0, 1.0]
+
+
+def test_greedy_clusters_in_small_products_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(90, 5))
+    v[50:60] = v[10:20]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(int(i), v[i].tolist(), 1) for i in rng.permutation(90)], "id long, v array<double>, label int")
+    whole, small = greedy._best(u, np.arange(90), np.arange(90)), greedy._best(u, np.arange(90), np.arange(90), 64)
+    assert (whole[0] == small[0]).all() and np.allclose(whole[1], small[1])
+    s = np.round(u @ u.T, 12)
+    pairs, used, want = sorted((-s[i, j], i, j) for i in range(90) for j in range(i + 1, 90) if s[i, j] >= 0.25), set(), set()
+    for _, i, j in pairs:
+        if not used & {i, j}:
+            used |= {i, j}
+            want.add((i, j))
+    assert {(r.a, r.b) for r in greedy.disjoint_merges(frame).collect()} == want
+    groups = [[i] for i in range(90)]
+    while True:
+        score, i, j = max((s[np.ix_(a, b)].mean(), -i, -j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        if score < 0.6:
+            break
+        groups[-i] += groups.pop(-j)
+    assert {r.id: r.cluster for r in greedy.agglomerative(frame, 0.6).collect()} == {i: min(g) for g in groups for i in g}
