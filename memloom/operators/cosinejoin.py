@@ -76,11 +76,13 @@ def _block(rows: pa.Table) -> pa.Table:
     return pa.table([one("label"), one("dim"), one("cell"), *packed, pa.array([angles.min(axis=0)]), pa.array([angles.max(axis=0)])], ["label", "dim", "cell", "ids", "vectors", "low", "high"])
 
 
-def blocks(vectors: DataFrame, rows: int = 512) -> DataFrame:
+def blocks(vectors: DataFrame, rows: int | None = None) -> DataFrame:
     """Blocks of at most about ``rows`` vectors of a label, length and cell; larger cells are split into
-    bands of angles to their pivot, larger bands by hash. The number of cells follows the rows, so that blocks are full."""
+    bands of angles to their pivot, larger bands by hash. The number of cells follows the rows, so that blocks are full.
+    By default a block has 512 rows, or more where there would be over some 2048 blocks, since pairs of blocks are compared."""
     kept = _stage(usable(vectors), "vectors")
     n = kept.count()
+    rows = rows or max(512, n // 2048)
     pivots = _pivots(kept, min(256, max(16, math.isqrt(n) // 4)))
     label = kept.schema["label"].dataType.simpleString()
     placed = _stage(kept.mapInArrow(_near(pivots, max(1, math.isqrt(n // rows))), f"id long, label {label}, dim int, u array<double>, cell int, band int, angles array<double>"), "placed")
@@ -107,31 +109,95 @@ def meeting(packed: DataFrame, least: float) -> DataFrame:
     return both.where(f"NOT {apart}").select(F.col("x_block").alias("x"), F.col("y_block").alias("y"))
 
 
-def _products(least: float):
+def tiles(packed: DataFrame, near: DataFrame) -> DataFrame:
+    """What tasks read: blocks in up to eight tiles a label (16 to 256 blocks each), and every pair of tiles with blocks that meet once, whatever the number of pairs of blocks.
+
+    A row is a block (``side`` 1 or 2) of the pair ``ta, tb`` of tiles, or the list of its blocks that meet (``side`` 0)."""
+    own = Window.partitionBy(*KEY)
+    lean = packed.select(*KEY, "cell", "block").select(*KEY, "block", F.row_number().over(own.orderBy("cell", "block")).alias("r"), F.count(F.lit(1)).over(own).alias("n"))
+    lean = lean.select(*KEY, "block", F.floor((F.col("r") - 1) / F.greatest(F.lit(16), F.least(F.lit(256), F.ceil(F.col("n") / 8)))).alias("t"))
+    tile = lean.select("block", F.min("block").over(Window.partitionBy(*KEY, "t")).alias("tile"))
+    of = lambda s: tile.select(F.col("block").alias(s), F.col("tile").alias(f"t{s}"))
+    met = near.join(of("x"), "x").join(of("y"), "y")
+    flip = F.col("tx") > F.col("ty")
+    met = met.select(F.least("tx", "ty").alias("ta"), F.greatest("tx", "ty").alias("tb"), F.when(flip, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(flip, F.col("x")).otherwise(F.col("y")).alias("y"))
+    lists = _stage(met.groupBy("ta", "tb").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys")), "tiles")
+    first = lists.select("ta", "tb", F.lit(1).alias("side"), F.explode(F.array_distinct(F.when(F.col("ta") == F.col("tb"), F.concat("xs", "ys")).otherwise(F.col("xs")))).alias("block"))
+    second = lists.where("ta < tb").select("ta", "tb", F.lit(2).alias("side"), F.explode(F.array_distinct("ys")).alias("block"))
+    sent = first.union(second).join(packed.select("block", "dim", "ids", "vectors"), "block")
+    rows = sent.unionByName(lists.withColumn("side", F.lit(0)), True).select("ta", "tb", "side", "block", "dim", "ids", "vectors", "xs", "ys")
+    return rows.repartition("ta", "tb").sortWithinPartitions("ta", "tb", "side", "block")
+
+
+def _products(least: float, forest: bool = False):
+    """Similar pairs of every block with those before it; with ``forest``, of each part of a pair of tiles that they connect,
+    a star from its smallest id: no more rows than ids, and no long ways between them."""
+
+    def root(parent: dict, k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    def join(parent: dict, i: np.ndarray, j: np.ndarray, at: np.ndarray, to: np.ndarray) -> None:
+        p, q = (np.array([root(parent, parent.setdefault(int(k), int(k))) for k in ids]) for ids in (i, j))
+        p, q = p[at], q[to]
+        for x, y in np.unique(np.column_stack([p[p != q], q[p != q]]), axis=0).tolist():
+            x, y = root(parent, x), root(parent, y)
+            parent[max(x, y)] = min(x, y)
+
+    def stars(parent: dict) -> Iterator[pa.RecordBatch]:
+        ends = np.array([(root(parent, k), k) for k in parent if parent[k] != k], np.int64).reshape(-1, 2)
+        yield pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.nulls(len(ends), pa.float64())], ["a", "b", "s"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, meets, stored, parent = None, {}, {}, {}
         for batch in batches:
-            found = []
-            for x, y, dim, i, u, j, w in zip(*(c.to_pylist() for c in batch.columns)):
-                i, j = np.frombuffer(i, np.int64), np.frombuffer(j, np.int64)
-                s = np.frombuffer(u).reshape(-1, dim) @ np.frombuffer(w).reshape(-1, dim).T
-                at, to = np.nonzero(s >= least)
-                keep = i[at] != j[to]
-                if x == y:
-                    keep &= at < to
-                at, to = at[keep], to[keep]
-                found.append(pa.record_batch([pa.array(np.minimum(i[at], j[to])), pa.array(np.maximum(i[at], j[to])), pa.array(s[at, to])], ["a", "b", "s"]))
-            if found:
-                yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+            for row in range(batch.num_rows):
+                ta, tb, side, block, dim, ids, vectors, xs, ys = (c[row].as_py() for c in batch.columns)
+                if side == 0 or held != (ta, tb):
+                    if parent:
+                        yield from stars(parent)
+                    held, meets, stored, parent = (ta, tb), {}, {}, {}
+                    for x, y in zip(xs, ys):
+                        meets.setdefault(y, set()).add(x)
+                        if ta == tb:
+                            meets.setdefault(x, set()).add(y)
+                    continue
+                j, w = np.frombuffer(ids, np.int64), np.frombuffer(vectors).reshape(-1, dim)
+                if side == 1:
+                    stored[block] = (j, w)
+                    if ta != tb:
+                        continue
+                found = []
+                for x in sorted(meets.get(block, ())):
+                    if x not in stored:
+                        continue
+                    i, u = stored[x]
+                    s = u @ w.T
+                    at, to = np.nonzero(s >= least)
+                    keep = i[at] != j[to]
+                    if x == block:
+                        keep &= at < to
+                    at, to = at[keep], to[keep]
+                    if forest:
+                        join(parent, i, j, at, to)
+                        continue
+                    found.append(pa.record_batch([pa.array(np.minimum(i[at], j[to])), pa.array(np.maximum(i[at], j[to])), pa.array(s[at, to])], ["a", "b", "s"]))
+                if found:
+                    yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+        if parent:
+            yield from stars(parent)
 
     return run
 
 
-def similar(vectors: DataFrame, least: float) -> DataFrame:
-    """Pairs ``a < b`` of ids of a label with cosine ``s`` >= ``least``. A repeated row pairs anew; an empty table gives none."""
+def similar(vectors: DataFrame, least: float, forest: bool = False) -> DataFrame:
+    """Pairs ``a < b`` of ids of a label with cosine ``s`` >= ``least``. A repeated row pairs anew; an empty table gives none.
+    With ``forest``, pairs (without ``s``) that connect the same ids, at most some nine times as many as there are rows."""
     packed = blocks(vectors)
-    side = lambda s: packed.select(F.col("block").alias(s), *(["dim"] if s == "x" else []), F.col("ids").alias(f"{s}_ids"), F.col("vectors").alias(f"{s}_vectors"))
-    pairs = _stage(meeting(packed, least), "meeting").join(side("x"), "x").join(side("y"), "y")
-    return pairs.select("x", "y", "dim", "x_ids", "x_vectors", "y_ids", "y_vectors").mapInArrow(_products(least), "a long, b long, s double")
+    near = _stage(meeting(packed, least), "meeting")
+    return tiles(packed, near).mapInArrow(_products(least, forest), "a long, b long, s double")
 
 
 def pairs(vectors: DataFrame, least: float = 0.3) -> DataFrame:

@@ -21,7 +21,7 @@ def gra4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sim5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate clusters: components of similar pairs, with their size."""
-    found = components.components(cosinejoin.similar(load(spark, sf_dir, "vec")[0], 0.3), "a", "b")
+    found = components.components(cosinejoin.similar(load(spark, sf_dir, "vec")[0], 0.3, forest=True), "a", "b")
     return found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("node")).cast("array<string>"), ",").alias("members"))
 
 
