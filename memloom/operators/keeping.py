@@ -145,17 +145,21 @@ def imported(old: DataFrame, new: DataFrame, strategy: str = "merge", user: int
 
 def lineage(parents: DataFrame) -> DataFrame:
     """(node, root, generations) of every descendant in a table of (parent, child): its
-    ancestors without parents, and the fewest steps up to each. Each round goes one
-    generation up, to ancestors not met before, so a cycle ends."""
+    ancestors without parents, and the fewest steps up to each. Each round doubles the steps:
+    of those beyond it only ancestors at exactly that many are kept, so a chain has one row a node,
+    and rounds follow the logarithm of its length. Walks longer than there are nodes are cycles."""
     edges = cut(parents.where("parent <> child").select("parent", "child").distinct())
-    front = edges.select(F.col("child").alias("node"), F.col("parent").alias("up"))
-    known, n = front.withColumn("n", F.lit(1)), 1
-    while not front.isEmpty():
-        n += 1
-        front = cut(front.join(edges, F.col("up") == F.col("child")).select("node", F.col("parent").alias("up")).where("node <> up").distinct().join(known, ["node", "up"], "left_anti"))
-        known = cut(known.union(front.withColumn("n", F.lit(n))))
-    roots = known.join(edges.select(F.col("child").alias("c2")).distinct(), F.col("up") == F.col("c2"), "left_anti")
-    return roots.select("node", F.col("up").alias("root"), F.col("n").alias("generations"))
+    below = edges.select(F.col("child").alias("up")).distinct()
+    nodes, steps = below.count(), 1
+    front = edges.select(F.col("child").alias("node"), F.col("parent").alias("up")).withColumn("n", F.lit(1))
+    inner = below.withColumn("more", F.lit(True))
+    front = cut(front.join(inner, "up", "left").select("node", "up", "n", F.coalesce("more", F.lit(False)).alias("more")))
+    while steps <= nodes and not front.where("more").isEmpty():
+        on = front.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("n").alias("m"), F.col("more").alias("goes"))
+        further = front.where("more").select("node", "up", "n").join(on, "up").select("node", F.col("far").alias("up"), (F.col("n") + F.col("m")).alias("n"), F.col("goes").alias("more"))
+        front = cut(front.where("NOT more").union(further).groupBy("node", "up", "more").agg(F.min("n").alias("n")).select("node", "up", "n", "more"))
+        steps *= 2
+    return front.where("NOT more").select("node", F.col("up").alias("root"), F.col("n").alias("generations"))
 
 
 def accessible(memories: DataFrame, agents: DataFrame, grants: DataFrame, agent: int, now_us: int) -> DataFrame:

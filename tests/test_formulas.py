@@ -244,3 +244,14 @@ def test_permissions_of_groups_equal_those_of_each_request(spark):
         got = und.effective_permission_of_groups(spaces, grants, places, members, rows)
         found = [tuple(r) for r in got.collect()]
         assert set(found) == want and len(found) == len(want)
+
+
+def test_lineage_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    cut = keeping.cut
+    monkeypatch.setattr(keeping, "cut", lambda df: rounds.append(1) or cut(df))
+    # a chain of 40, and a diamond whose ways up differ in length
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 103), (100, 103), (200, 103)], "parent long, child long")
+    got = {tuple(r) for r in keeping.lineage(edges).collect()}
+    assert got == {(i, 0, i) for i in range(1, 41)} | {(101, 100, 1), (102, 100, 2), (103, 100, 1), (103, 200, 1)}
+    assert len(rounds) < 12
