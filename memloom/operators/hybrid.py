@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import cut
+from . import lexical
 from . import understanding as und
 
 # BM25's k1, b and the share of the mean idf that replaces a negative one; the constant of rank fusion.
@@ -60,14 +61,8 @@ def bm25(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 def lexical_top(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     """(qid, id, score) of each query's ``k`` best documents of its corpus. Documents
     without a common token score zero and fill up, the smaller ids first."""
-    scored = cut(bm25(queries, corpus).select("qid", "part", "id", "score"))
-    met = scored.groupBy("qid").agg(F.count(F.lit(1)).alias("hits"), F.sum((F.col("score") >= 0).cast("int")).alias("good"))
-    short = queries.select("qid", "part").join(met, "qid", "left").na.fill(0, ["hits", "good"]).where(F.col("good") < k)
-    room = short.groupBy("part").agg((F.max("hits") + k).alias("room"))
-    first = corpus.select("part", "id").join(room, "part").withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("id"))).where(F.col("r") <= F.col("room"))
-    fill = short.join(first, "part").join(scored.select("qid", "id"), ["qid", "id"], "left_anti").select("qid", "part", "id", F.lit(0.0).alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
-    return scored.union(fill).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("qid", "id", "score")
+    hashed = F.transform(_tokens("text"), lambda w: F.xxhash64(w)).alias("t")
+    return lexical.top(queries.select("qid", "part", hashed), corpus.select("id", "part", hashed), k)
 
 
 def retrieve(queries: DataFrame, memories: DataFrame, k: int = 10, depth: int = 200, fused: int = 60, kept: int = 50) -> DataFrame:
