@@ -18,8 +18,9 @@ at least 0.75. The join is exact up to collisions of 64-bit hashes.
    5-grams, and links found so make groups. This finds most links of most groups
    at a cost in proportion to the classes; it need not find all.
 4. All prefixes meet by 5-gram. A list whose classes are of one group yields
-   nothing; one of moderate length the pairs across groups that pass the length
-   and match conditions; a long one only yields stars, so nothing grows with the
+   nothing; one of moderate length the pairs across groups that pass the length,
+   match and place conditions (what stands before and after the 5-gram can make up
+   the overlap); a long one only yields stars, so nothing grows with the
    square of a group's size. If many classes are on stars, the join starts again
    among these alone: their sketch is emptier, so it tells more 5-grams apart, and
    classes that share a passage but little else leave the stars.
@@ -56,6 +57,8 @@ EARLY, EARLY_SHARED = 8, 2
 #: Members of a group's first comparison that one task takes with the same centre.
 SPOKES = 1024
 MAX_MATCHES = 48
+#: The last place in a prefix that is told from later ones.
+PLACES = (1 << 20) - 1
 #: Candidates that a 5-gram of no noticeable count is expected to bring.
 EXPECTED = 0.1
 #: A block of a family holds about so many documents and 5-grams at most.
@@ -335,7 +338,7 @@ def _postings(prefixes: DataFrame, group: DataFrame) -> tuple[DataFrame, DataFra
         def rows():
             for c, n, m, grams, hot, k in _each(batches):
                 level = levels(n, len(grams))
-                yield grams, np.full(len(grams), c), n << 16 | m << 8 | level, np.where(hot, c & SALTS - 1, -1), np.full(len(grams), 0 if k == c else k)
+                yield grams, np.full(len(grams), c), n << 36 | np.minimum(np.arange(len(grams)), PLACES) << 16 | m << 8 | level, np.where(hot, c & SALTS - 1, -1), np.full(len(grams), 0 if k == c else k)
 
         yield from _full(rows(), ["g", "c", "p", "salt", "k"], [np.int64, np.int64, np.int64, np.int16, np.int64])
 
@@ -379,9 +382,12 @@ def _postings(prefixes: DataFrame, group: DataFrame) -> tuple[DataFrame, DataFra
                     part = at[s : s + max(1, 400_000 // len(i)), None]
                     x, y = (part + i).ravel(), (part + j).ravel()
                     px, py = p[x], p[y]
-                    nx, ny = px >> 16, py >> 16
+                    nx, ny = px >> 36, py >> 36
+                    ix, iy = px >> 16 & PLACES, py >> 16 & PLACES
+                    # one for the 5-gram itself, and at most the shorter stretch before and the shorter one after it
+                    most = 1 + np.minimum(ix, iy) + np.minimum(nx - ix, ny - iy) - 1
                     m = np.minimum(px >> 8 & 255, py >> 8 & 255)
-                    ok = (k[x] != k[y]) & (100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)) & (np.maximum(px & 255, py & 255) <= m)
+                    ok = (k[x] != k[y]) & (100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)) & (np.maximum(px & 255, py & 255) <= m) & ((100 + PERCENT) * most >= PERCENT * (nx + ny))
                     if ok.any():
                         found.append(np.stack([c[x][ok], c[y][ok], k[x][ok], k[y][ok], m[ok]]))
             return out, found

@@ -152,3 +152,20 @@ def test_license_query_equals_brute_force_and_edge_cases(spark):
     assert by_id[5].labels == "gpl" and by_id[5].spans == "gpl:2:5:2"
     assert license_scan.scan(frame.limit(0)).count() == 0
     assert all(set(r.base_labels.split(",")) <= set(r.labels.split(",")) for r in got.where("n_base > 0").collect())
+
+
+def test_jaccard_candidates_must_fit_around_a_shared_shingle(spark):
+    """A 5-gram at the start of one prefix and at the end of the other leaves too little for a link."""
+    import numpy as np
+
+    from memloom.llm import jaccard_join
+
+    def row(c, at):
+        grams = np.arange(26) + 1000 * c
+        grams[at] = 7
+        return c, 100, 1, grams.astype(np.int64).tobytes(), np.packbits(np.zeros(26, bool)).tobytes()
+
+    none = spark.createDataFrame([], "node long, label long")
+    for places, pairs in (((0, 25), 0), ((0, 14), 1), ((25, 25), 1), ((3, 20), 0)):
+        prefixes = spark.createDataFrame([row(c, at) for c, at in enumerate(places, 1)], "c long, n long, l int, grams binary, hot binary")
+        assert jaccard_join._postings(prefixes, none)[0].count() == pairs
