@@ -5,12 +5,15 @@ Patterns use ``(?U)``: word characters, digits and blanks are Unicode's.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import cut
+from ..sources.storage import cut, stage
 
 # Patterns of typed entities; the first group of a match is the entity.
 ENTITIES = [
@@ -232,25 +235,111 @@ def _distinct_texts(memories: DataFrame, *by: str) -> DataFrame:
     return memories.groupBy(*by, "text").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("members"))
 
 
+#: Classes of a user in a part at least and at most, parts of a user in between; and classes that are compared at once.
+PART, PART_MOST, PARTS, TOGETHER = 512, 500_000, 16, 512
+
+
+def _likeness(left: pa.Table, right: pa.Table | None, least: float) -> Iterator[pa.RecordBatch]:
+    """Alike pairs of the classes of two parts of a user, or of those of one (``right`` is none)."""
+    classes = left if right is None else pa.concat_tables([left, right])
+    classes = classes.combine_chunks()
+    ids, members, g = (classes[c].to_numpy() for c in ("cls", "members", "g"))
+    low = classes["low"].to_pylist()
+    w = classes["w"].combine_chunks()
+    word = w.flatten().dictionary_encode().indices.to_numpy()
+    size = w.value_lengths().to_numpy().astype(np.int64)
+    ends = np.cumsum(size)
+    touched = np.array([bin(k).count("1") for k in range(1 << len(SYNONYMS))])
+    chunks = lambda start, stop: [(s, min(s + TOGETHER, stop)) for s in range(start, stop, TOGETHER)]
+    first = chunks(0, len(left))
+    second = first if right is None else chunks(len(left), len(classes))
+    for s, e in first:
+        for p, q in second:
+            if right is None and p < s:
+                continue
+            vocab, at = np.unique(np.concatenate([word[ends[s] - size[s] : ends[e - 1]], word[ends[p] - size[p] : ends[q - 1]]]), return_inverse=True)
+            n = size[s:e].sum()
+            x, y = np.zeros((e - s, len(vocab)), np.float32), np.zeros((q - p, len(vocab)), np.float32)
+            x[np.repeat(np.arange(e - s), size[s:e]), at[:n]] = 1
+            y[np.repeat(np.arange(q - p), size[p:q]), at[n:]] = 1
+            both = (x @ y.T).astype(np.float64)
+            na, nb = size[s:e, None], size[None, p:q]
+            like = np.minimum(both / (na + nb - both) + 0.2 * touched[g[s:e, None] & g[None, p:q]], 1.0)
+            pair = ids[s:e, None] != ids[None, p:q]
+            if right is None and p == s:
+                pair = np.triu(pair, 1)
+            # all words of a text that another holds are words of that one, but for the first and the last
+            held = pair & (like < 0.8) & (both >= np.minimum(na, nb) - 2)
+            for i, j in zip(*(k.tolist() for k in np.nonzero(held)), strict=True):
+                if low[s + i] in low[p + j] or low[p + j] in low[s + i]:
+                    like[i, j] = 0.8
+            i, j = np.nonzero(pair & (like >= least - 1e-6))
+            if len(i):
+                o, u = i + s, j + p
+                flip = ids[o] > ids[u]
+                a, b = np.where(flip, u, o), np.where(flip, o, u)
+                yield pa.record_batch([classes["user_id"].combine_chunks().take(pa.array(a)), *map(pa.array, (ids[a], ids[b], members[a], members[b], like[i, j]))], ["user_id", "a", "b", "n_a", "n_b", "s"])
+
+
+def _users(least: float):
+    """Rows by user, parts ``i`` <= ``j`` and side: what a task compares is one pair of parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        key = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            rows = pa.concat_tables(held)
+            n = int(rows["side"].to_numpy().sum())
+            if key[1] == key[2]:
+                yield from _likeness(rows, None, least)
+            elif 0 < n < len(rows):
+                yield from _likeness(rows.slice(0, len(rows) - n), rows.slice(len(rows) - n), least)
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            starts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1])] if keys else []
+            found = []
+            for s, e in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if held and keys[s] != key:
+                    found += close()
+                    held = []
+                key = keys[s]
+                held.append(rows.slice(s, e - s))
+            if found:
+                yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+        if held:
+            yield from close()
+
+    return run
+
+
 def lexical_likeness(memories: DataFrame, least: float = 0.7) -> DataFrame:
     """Pairs of different texts of a user that are alike: token Jaccard without stop
     words, .2 more for each group of synonyms that both touch, .8 at least if one
     holds the other, 1 at most. Equal texts are one class, named by its least id, with
-    its number of members. Pairs that share no token, no synonym group and no text
-    cannot reach the threshold, so classes meet by these keys alone."""
-    groups = F.array(*[F.array(*map(F.lit, g.split())) for g in SYNONYMS])
-    cls = _distinct_texts(memories, "user_id")
+    its number of members.
+
+    All classes of a user meet in one task; those of a user with over ``PART`` in parts, at most ``PARTS`` up to
+    eight million classes, each pair of parts in a task. So only classes are shuffled, never pairs."""
+    groups = [F.array(*map(F.lit, g.split())) for g in SYNONYMS]
     words = F.array_except(_words("text"), F.array(*map(F.lit, STOP_WORDS)))
-    cls = cls.select("user_id", "cls", "members", F.lower("text").alias("low"), words.alias("w")).where(F.size("w") > 0)
-    cls = cls.withColumn("g", F.filter(F.transform(groups, lambda g, i: F.when(F.arrays_overlap(g, F.col("w")), i)), lambda i: i.isNotNull()))
-    keys = cls.select("user_id", "cls", F.explode(F.concat("w", F.transform("g", lambda i: F.concat(F.lit("#"), i.cast("string"))))).alias("key"))
-    met = keys.alias("a").join(keys.alias("b"), (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls"))).select("a.user_id", F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
-    left = cls.select(F.col("cls").alias("a"), F.col("members").alias("n_a"), F.col("low").alias("la"), F.col("w").alias("wa"), F.col("g").alias("ga"))
-    right = cls.select(F.col("cls").alias("b"), F.col("members").alias("n_b"), F.col("low").alias("lb"), F.col("w").alias("wb"), F.col("g").alias("gb"))
-    x = met.join(left, "a").join(right, "b")
-    s = F.least(F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb")) + 0.2 * F.size(F.array_intersect("ga", "gb")), F.lit(1.0))
-    s = F.when(F.contains("la", "lb") | F.contains("lb", "la"), F.greatest(s, F.lit(0.8))).otherwise(s)
-    return x.select("user_id", "a", "b", "n_a", "n_b", F.round(s, 9).alias("s")).where(F.col("s") >= least)
+    cls = _distinct_texts(memories.where("user_id IS NOT NULL"), "user_id").where((F.size(words) > 0) & F.col("cls").isNotNull())
+    cls = stage(cls, "texts")
+    n = F.count(F.lit(1))
+    parts = F.greatest(F.least(F.lit(PARTS), F.ceil(n / PART)), F.ceil(n / PART_MOST)).cast("int")
+    # at most one row for PART classes, so it is broadcast
+    wide = cls.groupBy("user_id").agg(n.alias("n"), parts.alias("parts")).where(F.col("n") > PART).select("user_id", "parts")
+    placed = cls.join(F.broadcast(wide), "user_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("text"), F.col("parts")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("user_id", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "cls", "members", "text")
+    met = met.repartition("user_id", "i", "j").sortWithinPartitions("user_id", "i", "j", "side").select("*", words.alias("w"))
+    touches = reduce(lambda a, b: a + b, [F.when(F.arrays_overlap(g, F.col("w")), 1 << k).otherwise(0) for k, g in enumerate(groups)])
+    rows = met.select("user_id", "i", "j", "side", F.col("cls").cast("long").alias("cls"), "members", F.lower("text").alias("low"), "w", touches.cast("int").alias("g"))
+    kind = memories.schema["user_id"].dataType.simpleString()
+    found = rows.mapInArrow(_users(least), f"user_id {kind}, a long, b long, n_a long, n_b long, s double")
+    return found.select("user_id", "a", "b", "n_a", "n_b", F.round("s", 9).alias("s")).where(F.col("s") >= least)
 
 
 # Parts that deny, and opposite parts, of a text that may replace another.
