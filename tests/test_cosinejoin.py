@@ -66,3 +66,18 @@ def test_quality_is_the_mean_of_all_pairs(spark):
         own = [r for r in rows if r[2] == label]
         s = list(by_hand(own, -2).values())
         assert got[label][0] == len(s) and abs(got[label][1] - np.mean(s)) < 1e-7
+
+
+def test_vectors_are_shuffled_once_as_given_and_no_pairs_but_the_best(spark):
+    rows = clustered(480)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    packed = cosinejoin.blocks(frame, rows=32)
+    # floats stay floats, and no row carries angles
+    assert all(len(r.vectors) == 4 * r.dim * len(r.norms) // 8 for r in packed.collect())
+    every = by_hand(rows, 0.3)
+    best = {}
+    for (a, b), s in every.items():
+        best.setdefault(b, []).append((-s, a))
+    best = {(a, b) for b, xs in best.items() for _, a in sorted(xs)[:3]}
+    got = [(r.a, r.b) for r in cosinejoin.similar(frame, 0.3, hits=3).collect()]
+    assert best <= set(got) <= every.keys() and len(got) == len(set(got)) <= 6 * len(best) < len(every)
