@@ -12,7 +12,8 @@ at least 0.75. The join is exact up to collisions of 64-bit hashes.
    for, the first n - a + l of them. Two linked sets share at least l 5-grams of
    these prefixes. Every class picks the l for which the estimated cost of
    scanning postings and verifying candidates is least; a pair must then share
-   the smaller of its two l within the prefixes of that length.
+   the smaller of its two l within the prefixes of that length, cut to what two sets
+   of their sizes need: of sizes n and n', and o the overlap of a link, the first n - o + l.
 3. Near copies first: the few 5-grams of least hash in every prefix meet, each
    list's classes are compared with the least of them that shares two of these
    5-grams, and links found so make groups. This finds most links of most groups
@@ -387,7 +388,12 @@ def _postings(prefixes: DataFrame, group: DataFrame) -> tuple[DataFrame, DataFra
                     # one for the 5-gram itself, and at most the shorter stretch before and the shorter one after it
                     most = 1 + np.minimum(ix, iy) + np.minimum(nx - ix, ny - iy) - 1
                     m = np.minimum(px >> 8 & 255, py >> 8 & 255)
-                    ok = (k[x] != k[y]) & (100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)) & (np.maximum(px & 255, py & 255) <= m) & ((100 + PERCENT) * most >= PERCENT * (nx + ny))
+                    # at most n - least 5-grams of a set are not shared, so m of its first n - least + m are;
+                    # where one match is asked for (few pairs), the whole prefix counts
+                    least = -(-PERCENT * (nx + ny) // (100 + PERCENT))
+                    early = (m == 1) | (ix < nx - least + m) & (iy < ny - least + m)
+                    level = np.maximum(px & 255, py & 255)
+                    ok = (k[x] != k[y]) & (100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)) & (level <= m) & early & (most >= least)
                     if ok.any():
                         found.append(np.stack([c[x][ok], c[y][ok], k[x][ok], k[y][ok], m[ok]]))
             return out, found

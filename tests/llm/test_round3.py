@@ -169,3 +169,42 @@ def test_jaccard_candidates_must_fit_around_a_shared_shingle(spark):
     for places, pairs in (((0, 25), 0), ((0, 14), 1), ((25, 25), 1), ((3, 20), 0)):
         prefixes = spark.createDataFrame([row(c, at) for c, at in enumerate(places, 1)], "c long, n long, l int, grams binary, hot binary")
         assert jaccard_join._postings(prefixes, none)[0].count() == pairs
+
+
+def test_jaccard_candidates_share_early_shingles(spark):
+    """Of two sets of 100, 86 are shared by a link: five of the first 19 places are, those from place 19 on do not count."""
+    import numpy as np
+
+    from memloom.llm import jaccard_join
+
+    def row(c, shared):
+        grams = np.arange(30) + 1000 * c
+        grams[shared] = shared
+        return c, 100, 5, grams.astype(np.int64).tobytes(), np.packbits(np.zeros(30, bool)).tobytes()
+
+    none = spark.createDataFrame([], "node long, label long")
+    for shared, pairs in ((range(19, 30), 0), (range(14, 19), 1), (range(15, 30), 0)):
+        prefixes = spark.createDataFrame([row(c, list(shared)) for c in (1, 2)], "c long, n long, l int, grams binary, hot binary")
+        assert jaccard_join._postings(prefixes, none)[0].count() == pairs
+
+
+def test_jaccard_early_shingles_lose_no_pair():
+    import numpy as np
+
+    from memloom.llm import jaccard_join
+
+    rng = np.random.default_rng(4)
+    order = jaccard_join.Order(rng.integers(0, 40, jaccard_join.sketch_size(0)))
+    met = 0
+    for _ in range(400):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 300))).astype(np.uint64))
+        kept = a[rng.random(len(a)) < rng.choice([0.8, 0.9])]
+        b = np.unique(np.append(kept, rng.integers(0, 1 << 63, int(rng.integers(0, 1 + len(a) // 8))).astype(np.uint64)))
+        both = len(kept)
+        if not both or 100 * both < 75 * (len(a) + len(b) - both):
+            continue
+        met += 1
+        (ga, ma, _), (gb, mb, _) = order.prefix(a), order.prefix(b)
+        m, least = min(ma, mb), -(-75 * (len(a) + len(b)) // 175)
+        assert len(np.intersect1d(ga[: len(a) - least + m], gb[: len(b) - least + m])) >= m
+    assert met > 100
