@@ -43,6 +43,8 @@ STRIDE, ROUNDS, BATCH = 2, 2, 4096
 #: Words with a count of their own, those of the network included; scale of the classes of counts.
 LISTED, _FINE = 65_536, 64
 CACHE_WORDS = 300_000
+#: How an encoded text holds an outcome, and bytes of encoded texts that are taken at once.
+_ID, SLICE = np.dtype("<u2"), 320_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -163,27 +165,31 @@ class Ids(dict):
         return np.concatenate(ids), np.concatenate(owner)
 
 
-_ONES = np.ones(GROUPS, np.float32)
-
-
 def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials relative to each row's top (in place), and the tops."""
-    top = logits.max(1)
-    logits -= top[:, None]
+    """Exponentials relative to each column's top (in place), and the tops."""
+    top = logits.max(0)
+    logits -= top
     return np.exp(logits, out=logits), top
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    """Probabilities, in place."""
+    """Probabilities, a column each, in place."""
     p, _ = _exponentials(logits)
-    p *= (1 / (p @ _ONES))[:, None]
+    p *= 1 / p.sum(0)
     return p
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
-    """The log of each row's sum of exponentials; spoils the logits."""
+    """The log of each column's sum of exponentials; spoils the logits."""
     p, top = _exponentials(logits)
-    return top + np.log(p @ _ONES)
+    return top + np.log(p.sum(0))
+
+
+def _logits(h: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """One column a position: what is done for all outcomes of a position runs along memory."""
+    out = weight.T @ h.T
+    out += bias[:, None]
+    return out
 
 
 class WindowNet:
@@ -211,7 +217,7 @@ class WindowNet:
     def _by_group(ids: np.ndarray, at: np.ndarray):
         """The positions in order of their outcomes' groups: (order, group, place in it, first of each group)."""
         group, place = np.divmod(ids[at], GROUPS)
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group.astype(np.uint8), kind="stable")  # small types are sorted by digits
         group = group[order]
         return order, group, place[order], np.searchsorted(group, np.arange(GROUPS + 1))
 
@@ -221,14 +227,14 @@ class WindowNet:
             order, group, place, first = self._by_group(ids, at[s : s + 16_384])
             h = self.hidden(ids, at[s : s + 16_384][order])
             row = np.arange(len(order))
-            logits = h @ self.group + self.group_bias
-            found = logits[row, group]
+            logits = _logits(h, self.group, self.group_bias)
+            found = logits[group, row]
             found -= _log_sum(logits)
             for g in range(GROUPS):
                 a, b = first[g], first[g + 1]
                 if a < b:
-                    logits = h[a:b] @ self.word[g] + self.word_bias[g]
-                    found[a:b] += logits[row[: b - a], place[a:b]]
+                    logits = _logits(h[a:b], self.word[g], self.word_bias[g])
+                    found[a:b] += logits[place[a:b], row[: b - a]]
                     found[a:b] -= _log_sum(logits)
             out[s + order] = found
         return out
@@ -238,22 +244,22 @@ class WindowNet:
         at, n, row = at[order], len(at), np.arange(len(at))
         h = self.hidden(ids, at)
         out = WindowNet(np.zeros_like(self.all))
-        p = _softmax(h @ self.group + self.group_bias)
-        p[row, group] -= 1
-        out.group[:], out.group_bias[:] = h.T @ p, p.sum(0)
-        back = p @ self.group.T
+        p = _softmax(_logits(h, self.group, self.group_bias))
+        p[group, row] -= 1
+        out.group[:], out.group_bias[:] = (p @ h).T, p.sum(1)
+        back = p.T @ self.group.T
         for g in range(GROUPS):
             a, b = first[g], first[g + 1]
             if a < b:
-                p = _softmax(h[a:b] @ self.word[g] + self.word_bias[g])
-                p[row[: b - a], place[a:b]] -= 1
-                out.word[g], out.word_bias[g] = h[a:b].T @ p, p.sum(0)
-                back[a:b] += p @ self.word[g].T
+                p = _softmax(_logits(h[a:b], self.word[g], self.word_bias[g]))
+                p[place[a:b], row[: b - a]] -= 1
+                out.word[g], out.word_bias[g] = (p @ h[a:b]).T, p.sum(1)
+                back[a:b] += p.T @ self.word[g].T
         back *= 1 - h * h
         out.bias[:] = back.sum(0)
         for k, d in enumerate(SIDES):
             near = ids[at + d]
-            order = np.argsort(near, kind="stable")
+            order = np.argsort(near.astype(np.uint16), kind="stable")
             near = near[order]
             first = np.flatnonzero(np.diff(near, prepend=-1))
             out.side[k][near[first]] = np.add.reduceat(back.take(order, axis=0), first, axis=0)
@@ -265,10 +271,22 @@ def share(ids: np.ndarray, owner: np.ndarray, turn: int, stride: int = STRIDE) -
     """The positions of round ``turn``: one of ``stride``, disjoint from those of the next ``stride`` - 1 rounds."""
     at = np.flatnonzero(owner >= 0)
     # by the words around and the place in the text, so that rounds split every text
-    key = mix64((ids[at] * 65537 + ids[at - 1] * 257 + ids[at + 1] + at - np.searchsorted(owner[at], owner[at])).astype(np.uint64))
+    first = np.flatnonzero(np.diff(owner[at], prepend=-1))  # of each text
+    key = mix64((ids[at] * 65537 + ids[at - 1] * 257 + ids[at + 1] + at - np.repeat(first, np.diff(first, append=len(at)))).astype(np.uint64))
     return at[key % np.uint64(stride) == turn % stride]
 
 
+def spelling(words: list[bytes], n: np.ndarray) -> np.ndarray:
+    """Byte pairs of words that occur ``n`` times each, read from the end (see ``Vocabulary``), then counts by ending class."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size)
+    flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+    after = np.append(flat[1:], 256)
+    after[end - 1] = 256
+    key = [after * 257 + flat, flat[end - size] * 257 + 256, 257 * 257 + np.fromiter(map(ending, words), np.int64, len(words))]
+    return np.bincount(np.concatenate(key), np.concatenate([np.repeat(n, size), n, n]), 257 * 257 + ENDINGS).astype(np.int64)
+
+
 def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     """The most frequent words of all documents, ties by the word's bytes, and the
     counts behind p(word | class)."""
@@ -302,16 +320,12 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     head = sorted(listed, key=lambda w: (-listed[w], w))[:HEAD]
 
     def spell(batches):
-        tally: Counter = Counter()
+        tally = np.zeros(257 * 257 + ENDINGS, np.int64)
         for batch in batches:
-            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tally[257 * 257 + ending(w)] += n
-                last = 256
-                for b in reversed(w):
-                    tally[last * 257 + b] += n
-                    last = b
-                tally[last * 257 + 256] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.int32()), pa.array(list(tally.values()), pa.int64())], names=["k", "n"])
+            if batch.num_rows:
+                tally += spelling(batch.column(0).to_pylist(), np.asarray(batch.column(1)))
+        k = np.flatnonzero(tally)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(tally[k])], names=["k", "n"])
 
     flat = np.zeros(257 * 257 + ENDINGS, np.int64)
     for k, n in counted.where(level < least).mapInArrow(spell, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
@@ -320,21 +334,71 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     return Vocabulary(head, listed, flat[257 * 257 :], flat[: 257 * 257].reshape(257, 257))
 
 
+def encoded(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id column, ``ids`` binary (the words' outcomes, two bytes each) and ``within`` double
+    (the sum of log p(word | class)) of every text: training and scoring need no more of it."""
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+
+    def run(batches):
+        id_of, within = Ids(words).__getitem__, Within(words).__getitem__
+        for batch in batches:
+            ids, sums = [], []
+            for _, texts in slices(batch, text_col):
+                for text in texts:
+                    cut = words_of(text)
+                    ids.append(np.fromiter(map(id_of, cut), _ID, len(cut)).tobytes())
+                    sums.append(sum(map(within, cut)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(sums, pa.float64())], names=[id_col, "ids", "within"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary, within double")
+
+
+def laid_out(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``Ids.rows``, from the texts' encoded ids."""
+    edge = max(map(abs, SIDES))
+    n = np.fromiter(map(len, raw), np.int64, len(raw)) // _ID.itemsize
+    own = np.repeat(np.arange(len(raw)), n)
+    at = np.arange(len(own)) + edge * (own + 1)
+    ids, owner = np.zeros(len(own) + edge * (len(raw) + 1), np.int64), np.full(len(own) + edge * (len(raw) + 1), -1)
+    ids[at], owner[at] = np.frombuffer(b"".join(raw), _ID), own
+    return ids, owner
+
+
+def _runs(batch: pa.RecordBatch):
+    """Runs of rows of encoded texts, of bounded size."""
+    for _, raw in slices(batch, "ids", SLICE):
+        yield [x or b"" for x in raw]
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[Vocabulary, np.ndarray]:
     """(vocabulary, parameters) of a network fitted on all documents."""
-    found = vocabulary(docs, text_col)
-    words = list(found)
+    words = vocabulary(docs, text_col)
+    table = stage(encoded(docs, words, id_col, text_col), "outcomes")
+    parameters = _fitted(table, rounds, stride)
+    drop_stage(table)
+    return words, parameters
+
+
+def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``score`` by a network fitted on the same documents; their words are looked up once for all rounds."""
+    words = vocabulary(docs, text_col)
+    table = stage(encoded(docs, words, id_col, text_col), "outcomes")
+    return _scored(table, _fitted(table, ROUNDS, STRIDE), id_col)
+
+
+def _fitted(table: DataFrame, rounds: int, stride: int) -> np.ndarray:
+    """Parameters of a network fitted on all encoded texts."""
     parameters = WindowNet().all
     chunk = 8192
 
     for turn in range(rounds):
 
         def run(batches, start=parameters, turn=turn):
-            net, ids_of = WindowNet(start.copy()), Ids(words)
+            net = WindowNet(start.copy())
             m, v, t, seen = np.zeros_like(net.all), np.zeros_like(net.all), 0, 0
             for batch in batches:
-                for _, texts in slices(batch, text_col):
-                    ids, owner = ids_of.texts(texts)
+                for raw in _runs(batch):
+                    ids, owner = laid_out(raw)
                     at = share(ids, owner, turn, stride)
                     for s in range(0, len(at), BATCH):
                         g = net.gradient(ids, at[s : s + BATCH])
@@ -365,14 +429,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(total[k] / count[k]).tobytes() for k in total], pa.binary())], names=["k", "x"])
 
-        local = docs.select(text_col).mapInArrow(run, "k int, x binary, n long")
+        local = table.select("ids").mapInArrow(run, "k int, x binary, n long")
         merged = parameters.copy()
         for k, x in local.repartition("k").mapInArrow(average, "k int, x binary").collect():
             part = np.frombuffer(x, np.float64)
             stop = min(len(merged), (k + 1) * chunk)
             merged[k * chunk : stop] = part[: stop - k * chunk]
         parameters = merged
-    return found, parameters
+    return parameters
 
 
 def score(docs: DataFrame, model: tuple[Vocabulary, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -382,23 +446,25 @@ def score(docs: DataFrame, model: tuple[Vocabulary, np.ndarray], id_col: str = "
     double (the sum of conditional log-probabilities, in nats; 0 for a null
     text or one without words) and ``per_token`` double (null without words).
     """
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
     words, parameters = model
+    return _scored(encoded(docs, words, id_col, text_col), parameters, id_col)
+
+
+def _scored(table: DataFrame, parameters: np.ndarray, id_col: str) -> DataFrame:
+    kind = table.schema[0].dataType.simpleString()
 
     def run(batches):
-        net, ids_of, within = WindowNet(parameters), Ids(words), Within(words).__getitem__
+        net = WindowNet(parameters)
         for batch in batches:
             count, total = [], []
-            for _, texts in slices(batch, text_col):
-                cut = [words_of(text) for text in texts]
-                ids, owner = ids_of.rows(cut)
+            for raw in _runs(batch):
+                ids, owner = laid_out(raw)
                 at = np.flatnonzero(owner >= 0)
                 own = owner[at]
-                n = np.bincount(own, minlength=len(texts))
-                count.append(n)
-                total.append(np.bincount(own, net.log_probability(ids, at), len(texts)) + [sum(map(within, x)) for x in cut])
+                count.append(np.bincount(own, minlength=len(raw)))
+                total.append(np.bincount(own, net.log_probability(ids, at), len(raw)))
             n = np.concatenate(count) if count else np.zeros(0, np.int64)
-            s = np.concatenate(total) if total else np.zeros(0)
+            s = (np.concatenate(total) if total else np.zeros(0)) + np.asarray(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(s), pa.array(s / np.maximum(n, 1), mask=n == 0)], names=[id_col, "n_tokens", "score", "per_token"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, score double, per_token double")
+    return table.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, score double, per_token double")

@@ -32,7 +32,7 @@ def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-log-likelihood of every text. A null text, or one without words, scores 0 with a null
     ``per_token``; repeated rows get equal rows, an empty table gives none."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return masked_lm.score(docs, masked_lm.train(docs))
+    return masked_lm.train_and_score(docs)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,3 +208,37 @@ def test_jaccard_early_shingles_lose_no_pair():
         m, least = min(ma, mb), -(-75 * (len(a) + len(b)) // 175)
         assert len(np.intersect1d(ga[: len(a) - least + m], gb[: len(b) - least + m])) >= m
     assert met > 100
+
+
+def test_masked_lm_encodes_texts_once(spark, monkeypatch):
+    """Encoded texts lie as words do, and the query's scores are those of training and scoring from texts."""
+    import numpy as np
+
+    from memloom.llm import masked_lm
+
+    texts = ["alpha beta unseen", "", "beta", None]
+    ids_of = masked_lm.Ids([b"alpha", b"beta"])
+    raw = [np.array([ids_of[w] for w in masked_lm.words_of(t or "")], "<u2").tobytes() for t in texts]
+    for got, want in zip(masked_lm.laid_out(raw), ids_of.texts([t or "" for t in texts]), strict=True):
+        assert got.tolist() == want.tolist()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 9)], "doc_id long, text string").coalesce(1)
+    cuts = []
+    real = masked_lm.encoded
+    monkeypatch.setattr(masked_lm, "encoded", lambda *a: cuts.append(1) or real(*a))
+    once = {r.doc_id: (r.n_tokens, round(r.score, 4)) for r in masked_lm.train_and_score(docs).collect()}
+    assert len(cuts) == 1
+    assert once == {r.doc_id: (r.n_tokens, round(r.score, 4)) for r in masked_lm.score(docs, masked_lm.train(docs)).collect()}
+
+
+def test_masked_lm_counts_byte_pairs_of_words():
+    import numpy as np
+
+    from memloom.llm import masked_lm
+
+    words, n = [b"a", b"ab", "né".encode(), b"bab"], [3, 5, 1, 10**9]
+    want = np.zeros(257 * 257 + masked_lm.ENDINGS, np.int64)
+    for w, k in zip(words, n, strict=True):
+        want[257 * 257 + masked_lm.ending(w)] += k
+        for a, b in zip([256, *reversed(w)], [*reversed(w), 256], strict=True):
+            want[a * 257 + b] += k
+    assert masked_lm.spelling(words, np.array(n)).tolist() == want.tolist()
