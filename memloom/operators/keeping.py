@@ -220,7 +220,7 @@ def lineage_records(merged: DataFrame, refined: DataFrame, inferred: DataFrame,
 
     Merged: memory, parents. Refined: memory, parent. Inferred: memory, parents, rule,
     confidence. Resolved: memory (the winner), a, b, strategy."""
-    ids = lambda c: F.array_join(F.array_sort(c).cast("array<string>"), ",")
+    ids = lambda c: F.array_join(F.sort_array(c).cast("array<string>"), ",")
     return (
         merged.select(F.lit("merged").alias("kind"), F.col("memory").cast("string").alias("memory"), ids(F.col("parents")).alias("parents"), F.concat(F.lit("Merged "), F.size("parents").cast("string"), F.lit(" memories")).alias("note"))
         .union(refined.select(F.lit("refined"), F.col("memory").cast("string"), F.col("parent").cast("string"), F.lit("Memory refined")))

@@ -255,3 +255,31 @@ def test_lineage_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
     got = {tuple(r) for r in keeping.lineage(edges).collect()}
     assert got == {(i, 0, i) for i in range(1, 41)} | {(101, 100, 1), (102, 100, 2), (103, 100, 1), (103, 200, 1)}
     assert len(rounds) < 12
+
+
+def test_inference_pairs_all_entities_of_a_place_once(spark):
+    # 700 entities at a place, of which two share others, and one that is at two places
+    edges = [(i, 1, "located_in") for i in range(700)] + [(i, p, "located_in") for i in (5, 9) for p in (2, 3)] + [(699, 4, "located_in"), (800, 4, "located_in"), (1, 1, "located_in"), (None, 1, "located_in")]
+    found = [tuple(r) for r in und.infer(spark.createDataFrame(edges, "src int, dst int, relation string")).collect()]
+    want = {(a, b) for a in range(700) for b in range(a + 1, 700)} | {(699, 800)}
+    assert {(a, b) for a, b, rule, _ in found if rule == "co_location_inference"} == want
+    assert len(found) == len(set(found)) == len(want)
+    few = und.infer(spark.createDataFrame(edges, "src int, dst int, relation string"), together=3)
+    assert {(r.src, r.dst) for r in few.where("dst < 700").collect()} <= {(0, 1), (0, 2), (1, 2), (5, 9)}
+
+
+def test_lineage_is_of_all_entities_of_a_place(spark, tmp_path):
+    from memloom.plans import registry
+
+    spark.read.parquet("/root/testdata/sf0.1/supplier.parquet").write.parquet(f"{tmp_path}/supplier.parquet")
+    for table in ("events", "nation", "region"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").write.parquet(f"{tmp_path}/{table}.parquet")
+    edges = {(r.src, r.dst) for r in load(spark, str(tmp_path), "relation")[0].where("relation = 'located_in'").collect()}
+    places = {}
+    for src, dst in edges:
+        places.setdefault(dst, set()).add(src)
+    assert max(map(len, places.values())) > 50
+    want = {f"{a}>{b}" for x in places.values() for a in x for b in x if a < b}
+    got = registry.queries()["prv1"](spark, str(tmp_path)).where("note LIKE 'Inferred by co_location%'").select("memory").collect()
+    assert {r.memory for r in got} == want and len(got) == len(want)
+    assert "<= 50" not in registry.oracle_sql()["prv1"] and "<= 50" in registry.oracle_sql()["gra9"]
