@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import fresh_path
+from .grouppairs import TILES, product
 
 #: Stands for no similarity.
 NONE = -2.0
@@ -112,13 +113,9 @@ def above(queries: DataFrame, vectors: DataFrame, least: float = 0.2) -> DataFra
     return _search(queries, vectors, None, least).select("qid", "id", F.round("sim", 8).alias("sim"))
 
 
-def dispatch(vectors: DataFrame, tiles: int = 8) -> DataFrame:
-    """(qid, id, mode) of each vector with all others of its label. The result is quadratic; ids alone travel, packed in up to
-    ``tiles`` lists a label, so that a label's pairs are dealt to tiles times tiles keys and no key holds more than two lists."""
-    ids = vectors.where("id IS NOT NULL AND label IS NOT NULL").select("id", "label")
-    lists = ids.withColumn("t", F.pmod(F.xxhash64("id"), F.lit(tiles))).groupBy("label", "t").agg(F.collect_list("id").alias("ids"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    left = lists.select("label", F.col("t").cast("int").alias("x"), other.alias("y"), F.col("ids").alias("q"))
-    right = lists.select("label", other.alias("x"), F.col("t").cast("int").alias("y"), F.col("ids").alias("v"))
-    met = left.join(right.hint("shuffle_hash"), ["label", "x", "y"]).select(F.explode("q").alias("qid"), "v").select("qid", F.explode("v").alias("id")).where("id <> qid")
-    return met.select("qid", "id", F.when(F.col("qid") % 3 == 0, "vector_only").when(F.col("qid") % 3 == 1, "keyword_only").otherwise("hybrid").alias("mode"))
+def dispatch(vectors: DataFrame, tiles: int = TILES) -> DataFrame:
+    """(qid, id, mode) of each vector with all others of its label. The result is quadratic; ids alone travel, in blocks
+    of up to ``tiles`` tiles a label, each sent to all of them."""
+    ids = vectors.select("label", "id")
+    mode = F.when(F.col("a") % 3 == 0, "vector_only").when(F.col("a") % 3 == 1, "keyword_only").otherwise("hybrid").alias("mode")
+    return product(ids, ids, "label", mode, tiles=tiles).where("a <> b").select(F.col("a").alias("qid"), F.col("b").alias("id"), "mode")
