@@ -283,3 +283,16 @@ def test_lineage_is_of_all_entities_of_a_place(spark, tmp_path):
     got = registry.queries()["prv1"](spark, str(tmp_path)).where("note LIKE 'Inferred by co_location%'").select("memory").collect()
     assert {r.memory for r in got} == want and len(got) == len(want)
     assert "<= 50" not in registry.oracle_sql()["prv1"] and "<= 50" in registry.oracle_sql()["gra9"]
+
+
+def test_permissions_of_a_large_group_are_dealt_to_many_tasks(spark, monkeypatch):
+    spaces = spark.range(1, 301).selectExpr("concat('a/', id) AS path", "id AS owner_id", "id % 4 = 0 AS is_public", "CASE WHEN id % 5 > 0 THEN id % 3 > 0 END AS inherits").union(spark.sql("SELECT 'a', 7L, false, true"))
+    grants = spark.range(1, 300).selectExpr("CASE WHEN id % 2 = 0 THEN 'a' ELSE concat('a/', id) END AS path", "id AS user_id", "CASE WHEN id % 3 > 0 THEN 'write' ELSE 'admin' END AS permission")
+    places, members = spark.range(1, 310).selectExpr("1 AS grp", "concat('a/', id) AS path"), spark.range(1, 401).selectExpr("1 AS grp", "id AS user_id")
+    want = {tuple(r) for r in und.effective_permission(spaces, grants, places.join(members, "grp").select("path", "user_id")).collect()}
+    for products in (512, 5):
+        monkeypatch.setattr(und, "PRODUCTS", products)
+        got = und.effective_permission_of_groups(spaces, grants, places, members, 1000)
+        sizes = got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert sum(sizes) == 309 * 400 and sum(map(bool, sizes)) >= (50 if products == 512 else 3)
+        assert {tuple(r) for r in got.collect()} == want
